@@ -5,11 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .pii import BASE, find_pii
+from .secrets import find_secrets
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random"
+    )
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[f"n_{k}" for k in BASE], F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added"
+    )
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +40,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secrets": op2_secrets,
+        "op7_pii": op7_pii,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_mix_sources": op10_mix_sources,
     }
