@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .pii import BASE, find_pii
 from .secrets import find_secrets
+from .simhash import simhash_components
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,13 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"), words=4, distance=4)
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     return found.select(
@@ -41,6 +49,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secrets": op2_secrets,
+        "op4_simhash": op4_simhash,
         "op7_pii": op7_pii,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_mix_sources": op10_mix_sources,
