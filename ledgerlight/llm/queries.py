@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sql
+from . import langid, quality, sql
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
@@ -16,6 +16,25 @@ from .secrets import find_secrets
 from .simhash import simhash_components
 
 
+def held_out(remainder: int, parts: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == remainder
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out(2, 4)), "text", "lang")
+    return langid.identify(docs, model).select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.where(~held_out(1, 3)).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    scored = quality.score_quality(docs, quality.fit(labelled))
+    return scored.select(
+        "doc_id", held_out(1, 3).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     return found.select(
@@ -48,6 +67,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op3_quality": op3_quality,
         "op2_secrets": op2_secrets,
         "op4_simhash": op4_simhash,
         "op7_pii": op7_pii,
