@@ -25,12 +25,26 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
 
     The folder is ``spark.checkpoint.dir``; a local one is set only where the session names none.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a local one is set only where the session names none, as in tests."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(
             sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "ledgerlight-checkpoints")
         )
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def with_row_key(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Add ``__key``: (identifier, row number), so that rows that share an identifier can be told apart.
+
+    ``docs`` has to be a table on disk, so that every reading numbers its rows alike.
+    """
+    return docs.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")))
 
 
 def shuffle_partitions(df: DataFrame) -> int:

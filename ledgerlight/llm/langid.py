@@ -140,3 +140,15 @@ def language_id(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
                 lang_col: str = "lang", **bounds: int) -> DataFrame:
     """Fit on ``labelled`` and identify ``docs``; see ``fit`` and ``identify``."""
     return identify(docs, fit(labelled, text_col, lang_col, **bounds), id_col, text_col)
+
+
+def accepted(docs: DataFrame, model: dict, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known with ``min_score`` at least."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of fit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (predict(t.as_py(), shared.value) for t in batch.column(text_col))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -64,6 +64,7 @@ def mix_sources(
     weights: Sequence[float] = WEIGHTS,
     max_repeat: float = 3.0,
     seed: int = 42,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Words that a mix takes from each document.
 
@@ -73,7 +74,8 @@ def mix_sources(
     whole words: as many whole epochs as fit, then documents in key order up to the exact word, so the
     document at the cut gives a part of its words.
 
-    Returns one row per input row: ``id_col, source_col, size, source_size, target, taken``.
+    Returns one row per input row: ``id_col, source_col, size, source_size, target, taken`` and the columns of
+    ``carry``.
 
     * null text has size 0 and gives nothing; a null source is a source of its own, the last in order;
     * rows that tie on the identifier are ordered by size, then by a hash of the text, so reruns agree;
@@ -86,6 +88,7 @@ def mix_sources(
         word_count(F.col(text_col)).alias("size"),
         random_key(F.col(id_col), seed).alias("key"),
         F.xxhash64(F.col(text_col)).alias("tie"),
+        F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("carried"),
     ).withColumn("range", F.substring("key", 1, BUCKET_DIGITS))
     # Null sources need an equi-join key of their own.
     sized = shared_checkpoint(sized.withColumn("pool", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))))
@@ -117,4 +120,5 @@ def mix_sources(
         "source_size",
         "target",
         (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
+        *[F.col("carried")[c].alias(c) for c in carry],
     )

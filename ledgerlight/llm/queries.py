@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import langid, quality, sql
 from .common import table
+from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .pii import BASE, find_pii
@@ -49,6 +50,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "exact").distinct()
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     return found.select(
@@ -71,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op2_secrets": op2_secrets,
         "op4_simhash": op4_simhash,
+        "op6_decontaminate": op6_decontaminate,
         "op7_pii": op7_pii,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_mix_sources": op10_mix_sources,
