@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .pii import BASE, find_pii
 from .secrets import find_secrets
 from .simhash import simhash_components
+from .substrings import remove_repeats
 
 
 def held_out(remainder: int, parts: int) -> Column:
@@ -66,6 +67,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_repeat=3.0, seed=42)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -80,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": op6_decontaminate,
         "op7_pii": op7_pii,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_substrings": op9_substrings,
         "op10_mix_sources": op10_mix_sources,
     }
 
