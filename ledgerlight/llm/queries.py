@@ -11,6 +11,7 @@ from . import langid, quality, sql
 from .common import table
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
+from .extraction import extract_text
 from .mixing import mix_sources
 from .pii import BASE, find_pii
 from .secrets import find_secrets
@@ -51,6 +52,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_windows", "exact").distinct()
@@ -83,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op2_secrets": op2_secrets,
         "op4_simhash": op4_simhash,
+        "op5_extraction": op5_extraction,
         "op6_decontaminate": op6_decontaminate,
         "op7_pii": op7_pii,
         "op8_exact_dedup": op8_exact_dedup,
