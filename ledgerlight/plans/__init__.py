@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import settlement
+from . import evidence, settlement
 
-_GROUPS = (settlement,)
+_GROUPS = (settlement, evidence)
 
 
 def queries() -> dict:
