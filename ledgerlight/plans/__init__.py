@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, settlement
+from . import evidence, observation, settlement
 
-_GROUPS = (settlement, evidence)
+_GROUPS = (settlement, evidence, observation)
 
 
 def queries() -> dict:
