@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, observation, settlement
+from . import evidence, observation, registry, settlement
 
-_GROUPS = (settlement, evidence, observation)
+_GROUPS = (settlement, evidence, observation, registry)
 
 
 def queries() -> dict:
