@@ -1,0 +1,136 @@
+"""Analysis of Markdown cards."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+# Patterns that show a section, matched in lower case.
+SECTIONS = {
+    "training": (r"##\s*train", r"##\s*data", r"training\s*data", r"trained\s*on", r"training\s*procedure", r"training\s*details"),
+    "dataset": (r"dataset", r"corpus", r"trained\s*on\s*\[", r"data\s*sources"),
+    "evaluation": (r"##\s*eval", r"##\s*results", r"##\s*performance", r"##\s*benchmark", r"accuracy", r"f1[\s\-]score", r"bleu", r"rouge"),
+    "limitations": (r"##\s*limit", r"##\s*risk", r"##\s*warning", r"##\s*caveat", r"out[\s\-]of[\s\-]scope", r"should\s*not\s*be\s*used"),
+    "intended_use": (r"##\s*intended", r"##\s*use", r"##\s*application", r"designed\s*for", r"meant\s*for"),
+    "bias": (r"##\s*bias", r"##\s*fair", r"##\s*ethic", r"demographic", r"stereotype"),
+    "environmental": (r"##\s*environment", r"##\s*carbon", r"##\s*co2", r"##\s*energy", r"gpu[\s\-]hours"),
+}
+CHECKS = ("Training data", "License", "Evaluation metrics", "Limitations/risks", "Intended use", "Bias/fairness analysis")
+#: Missing element -> severity.
+SEVERITY = {"NEC#1": 75, "NEC#2": 80, "NEC#7": 45, "NEC#10": 40, "NEC#13": 70}
+#: Keywords per topic.
+KEYWORDS = {"train": ("trained on", "training"), "eval": ("accuracy", "benchmark"), "limits": ("limitation", "risky"), "usage": ("intended use", "designed for"), "license": ("license",)}
+
+
+def card_sections(cards: DataFrame, key: str = "doc_id", text: str = "card") -> DataFrame:
+    """``key, section, heading, n_lines``: text under each heading of one to four ``#``; section 0 is what comes before."""
+    lines = cards.select(key, F.posexplode(F.split(text, "\n")).alias("place", "line"))
+    is_heading = F.col("line").rlike("^#{1,4} ")
+    so_far = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("section", F.sum(is_heading.cast("int")).over(so_far))
+    return lines.groupBy(key, "section").agg(
+        F.max(F.when(is_heading, F.trim(F.regexp_replace("line", "^#+", "")))).alias("heading"), F.count_if(~is_heading).alias("n_lines")
+    )
+
+
+def has_section(card: Column, section: str) -> Column:
+    return F.lower(card).rlike("|".join(SECTIONS[section]))
+
+
+def section_flags(cards: DataFrame, key: str = "doc_id", text: str = "card", license_col: str = "license") -> DataFrame:
+    """Which sections a card has, the checks it misses, and its completeness in percent."""
+    rows = cards.withColumns({s: has_section(F.col(text), s) for s in SECTIONS})
+    passed = (F.col("training") | F.col("dataset"), F.col(license_col).isNotNull(), F.col("evaluation"), F.col("limitations"), F.col("intended_use"), F.col("bias"))
+    missing = F.array_compact(F.array(*[F.when(~p, F.lit(n)) for p, n in zip(passed, CHECKS, strict=True)]))
+    rows = rows.withColumn("missing", missing)
+    return rows.select(key, *SECTIONS, "missing", F.floor((len(CHECKS) - F.size("missing")) / len(CHECKS) * 100).cast("int").alias("completeness"))
+
+
+def keyword_flags(cards: DataFrame, key: str = "doc_id", text: str = "card") -> DataFrame:
+    low = F.lower(text)
+    any_of = lambda words: sum((low.contains(w).cast("int") for w in words), F.lit(0)) > 0
+    return cards.select(key, *[any_of(words).alias(f"kw_{name}") for name, words in KEYWORDS.items()])
+
+
+def front_matter(cards: DataFrame, key: str = "doc_id", text: str = "card") -> DataFrame:
+    """``key, name, values`` of the block between ``---`` lines: scalars and ``- item`` lists."""
+    block = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---", 1)
+    lines = cards.select(key, F.posexplode(F.split(block, "\n")).alias("place", "line"))
+    name = F.regexp_extract("line", r"^([A-Za-z_]+):", 1)
+    so_far = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("name", F.last(F.when(name != "", name), ignorenulls=True).over(so_far))
+    value = F.coalesce(F.nullif(F.regexp_extract("line", r"^\s*- (.+)$", 1), F.lit("")), F.nullif(F.regexp_extract("line", r"^[A-Za-z_]+:\s*(.+)$", 1), F.lit("")))
+    rows = lines.where(F.col("name").isNotNull()).withColumn("value", value).where(F.col("value").isNotNull())
+    return rows.groupBy(key, "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values"))
+
+
+def dataset_mentions(cards: DataFrame, known: list[str], key: str = "doc_id", text: str = "card") -> DataFrame:
+    """Datasets a card names, by explicit ``trained on org/name`` (0.5) or a known name (0.7); the first pattern wins."""
+    low = F.lower(text)
+    explicit = F.regexp_extract_all(low, F.lit(r"(?:datasets?|trained\s+on|training\s+data)[:\s]+\[?([a-z0-9_-]+/[a-z0-9_.-]*[a-z0-9])"), 1)
+    named = F.regexp_extract_all(low, F.lit(rf"\b({'|'.join(known)})\b"), 1)
+    each = cards.select(key, F.explode(F.concat(
+        F.transform(explicit, lambda x: F.struct(x.alias("name"), F.lit(0).alias("kind"))), F.transform(named, lambda x: F.struct(x.alias("name"), F.lit(1).alias("kind"))))).alias("m"))
+    norm = F.regexp_replace(F.regexp_replace("m.name", r"[\s_-]+", "_"), "^the_", "")
+    return each.groupBy(key, norm.alias("dataset")).agg(F.when(F.min("m.kind") == 1, 0.7).otherwise(0.5).alias("confidence"))
+
+
+def provenance_signals(cards: DataFrame, key: str = "doc_id", text: str = "card") -> DataFrame:
+    """Signals of origin with their confidence: base-model tags, named datasets, a training section."""
+    tag = F.regexp_extract_all(F.col(text), F.lit(r"base_model:(\S+)"), 1)
+    sets = F.regexp_extract_all(F.lower(text), F.lit(r"trained on (\S+/\S*[a-z0-9])"), 1)
+    training = F.filter(F.array(F.when(F.col(text).rlike(r"(?im)^##\s+training\b"), F.lit("section"))), lambda x: x.isNotNull())
+    every = F.concat(F.transform(tag, _signal("base_model", 0.95)), F.transform(sets, _signal("dataset", 0.8)), F.transform(training, _signal("training", 0.6)))
+    return cards.select(key, F.explode(every).alias("s")).select(key, "s.*")
+
+
+def _signal(kind: str, confidence: float):
+    return lambda x: F.struct(F.lit(kind).alias("signal"), x.alias("value"), F.lit(confidence).alias("confidence"))
+
+
+def omission_score(rows: DataFrame) -> DataFrame:
+    """Score of missing declarations from ``(model_id, has_datasets, license, has_use, created, author)``."""
+    broken = {"NEC#1": ~F.col("has_datasets"), "NEC#2": F.col("license").isNull(), "NEC#7": ~F.col("has_use"), "NEC#10": F.col("created").isNull(), "NEC#13": F.col("author").isNull()}
+    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in broken.items()]))
+    total = sum((F.when(c, SEVERITY[n]).otherwise(0) for n, c in broken.items()), F.lit(0))
+    score = F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.floor(total * 0.15).cast("int")))
+    rows = rows.select("model_id", F.array_sort(found).alias("violations"), score.alias("score"))
+    badge = F.when(F.col("score") >= 90, "GOLD").when(F.col("score") >= 75, "SILVER").when(F.col("score") >= 60, "BRONZE").otherwise("UNVERIFIED")
+    evidence = F.concat_ws(":", "model_id", F.col("score").cast("string"), F.array_join("violations", ","))
+    return rows.withColumn("badge", badge).withColumn("evidence", F.substring(F.sha2(evidence, 256), 1, 16))
+
+
+def nec_mapper(sections: DataFrame, cards: DataFrame, detectors: DataFrame, key: str = "doc_id", text: str = "card") -> DataFrame:
+    """Per card and detector ``(nec, heading, keyword, group)``: heading found +0.4, keyword +0.3, group +0.3."""
+    heads = sections.where("heading is not null and n_lines > 0").crossJoin(F.broadcast(detectors))  # detectors: a fixed table
+    hit = heads.where(F.lower("heading").contains(F.col("heading_hint"))).select(key, "nec").distinct().withColumn("h", F.lit(0.4))
+    pairs = cards.select(key, F.lower(text).alias("low")).crossJoin(F.broadcast(detectors))
+    words = pairs.select(key, "nec", F.when(F.col("low").contains(F.col("keyword")), 0.3).otherwise(0.0).alias("k"), F.when(F.regexp_like("low", F.col("keyword_group")), 0.3).otherwise(0.0).alias("g"))
+    score = F.round(F.coalesce("h", F.lit(0.0)) + F.col("k") + F.col("g"), 6)
+    rows = words.join(hit, [key, "nec"], "left").select(key, "nec", score.alias("score"))
+    return rows.withColumn("status", F.when(F.col("score") >= 0.6, "PRESENT").when(F.col("score") >= 0.3, "PARTIAL").otherwise("ABSENT"))
+
+
+def nec_audit(predicted: DataFrame, truth: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Correct, false positive and false negative counts and accuracy per element."""
+    rows = predicted.join(truth, [key, "nec"])
+    positive = F.col("status") == "PRESENT"
+    return rows.groupBy("nec").agg(F.count(F.lit(1)).alias("n"), F.count_if(positive == F.col("truth")).alias("correct"), F.count_if(positive & ~F.col("truth")).alias("false_positive"),
+                                   F.count_if(~positive & F.col("truth")).alias("false_negative"), F.round(F.avg((positive == F.col("truth")).cast("int")), 6).alias("accuracy"))
+
+
+def checklist_impact(flags: DataFrame) -> DataFrame:
+    n = F.size("missing")
+    return flags.agg(F.count(F.lit(1)).alias("cards"), F.count_if(n == 0).alias("full"), F.count_if((n > 0) & (n < len(CHECKS))).alias("partial"), F.round(F.avg("completeness"), 6).alias("mean_score"))
+
+
+def repo_links(cards: DataFrame, key: str = "doc_id", text: str = "card") -> DataFrame:
+    links = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"github\.com/([A-Za-z0-9_.-]+/[A-Za-z0-9_-]+)"), 1))
+    return cards.select(key, links.alias("links")).where(F.size("links") > 0)
+
+
+def response_affinity(responses: DataFrame, entity: str = "conv_id", text: str = "text") -> DataFrame:
+    """Share of an entity's tokens that appear in at least two of its responses."""
+    token = F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9 ]", "")), " +")))
+    counts = responses.select(entity, token.alias("token")).where("token <> ''").groupBy(entity, "token").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(entity).agg(F.round(F.count_if(F.col("n") >= 2) / F.count(F.lit(1)), 6).alias("affinity"), F.count(F.lit(1)).alias("tokens"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, observation, registry, settlement
+from . import evidence, observation, registry, settlement, text
 
-_GROUPS = (settlement, evidence, observation, registry)
+_GROUPS = (settlement, evidence, observation, registry, text)
 
 
 def queries() -> dict:
