@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, observation, registry, settlement, text
+from . import evidence, flows, observation, registry, settlement, text
 
-_GROUPS = (settlement, evidence, observation, registry, text)
+_GROUPS = (settlement, evidence, observation, registry, text, flows)
 
 
 def queries() -> dict:
