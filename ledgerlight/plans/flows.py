@@ -34,13 +34,16 @@ def _stored(df, kind="parquet"):
 
 
 def _streamed(df):
+    """A stream over the rows of ``df``; watermarks need instants, so local timestamps become UTC ones."""
+    df = df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
     return df.sparkSession.readStream.schema(df.schema).parquet(_stored(df))
 
 
 def _finished(stream, mode="append"):
     path = folder(stream.sparkSession)
     jobs.to_table(stream, path, mode)
-    return stream.sparkSession.read.parquet(f"{path}/rows")
+    rows = stream.sparkSession.read.parquet(f"{path}/rows")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in rows.dtypes if kind == "timestamp"})
 
 
 def _wide(s, f):

@@ -38,7 +38,7 @@ def stream_weights(receipts: DataFrame, delay: str = "400 days") -> DataFrame:
 
 def stream_changes(snapshots: DataFrame, days: int = 30) -> DataFrame:
     """Snapshots whose fingerprint differs from the target's last one within ``days``; state: hash and time per target."""
-    rows = snapshots.select("target_id", "observed_at", fingerprint().alias("fp"))
+    rows = snapshots.withWatermark("observed_at", "1 day").select("target_id", "observed_at", fingerprint().alias("fp"))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -52,11 +52,12 @@ def stream_changes(snapshots: DataFrame, days: int = 30) -> DataFrame:
                 found.append((key[0], row.observed_at))
             last, at = row.fp, now
         state.update((last, at))
-        state.setTimeoutDuration(days * 86_400_000)
+        # event time: a clock of its own would keep an availableNow query running
+        state.setTimeoutTimestamp(max(at // 1000 + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(found, columns=["target_id", "observed_at"])
 
     return rows.groupBy("target_id").applyInPandasWithState(
-        step, "target_id string, observed_at timestamp", "fp string, at long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "target_id string, observed_at timestamp", "fp string, at long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
