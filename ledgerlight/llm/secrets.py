@@ -74,7 +74,8 @@ def battery(tokens: DataFrame, word_null: DataFrame) -> DataFrame:
     corpus' ordinary tokens (``word_null``: one row with q = sum p^2, t = sum p^3, af = share of a-f), is as
     uniform, stays inside the alphabet and has as many digits and inner capitals.
     """
-    body = F.regexp_replace("found", "=+$", "")
+    body = F.rtrim("found", F.lit("="))
+    mixed = ALPHABETS["base64"] + "-_"
     encoding = F.lit(None).cast("string")
     alphabet = F.lit(None).cast("string")
     for name, letters in reversed(ALPHABETS.items()):
@@ -83,11 +84,12 @@ def battery(tokens: DataFrame, word_null: DataFrame) -> DataFrame:
         fits = body.rlike(f"^[{chars}]+$")
         encoding = F.when(fits, F.lit(name)).otherwise(encoding)
         alphabet = F.when(fits, F.lit(letters)).otherwise(alphabet)
-    mixed = ALPHABETS["base64"] + "-_"
-    rows = tokens.withColumn("body", body).withColumn("encoding", F.coalesce(encoding, F.lit("base64")))
-    rows = rows.withColumn("alphabet", F.coalesce(alphabet, F.lit(mixed)))
-    rows = rows.withColumn("codes", F.transform(F.split("body", ""), lambda c: F.instr(F.col("alphabet"), c)))
-    rows = rows.withColumn("n", F.length("body").cast("double")).withColumn("k", F.length("alphabet").cast("double"))
+    # The generators keep these columns from being computed again for every character below.
+    rows = tokens.select("*", F.inline(F.array(F.struct(
+        body.alias("body"), F.coalesce(encoding, F.lit("base64")).alias("encoding"), F.coalesce(alphabet, F.lit(mixed)).alias("alphabet")))))
+    rows = rows.select("*", F.inline(F.array(F.struct(
+        F.transform(F.split("body", ""), lambda c: F.instr(F.col("alphabet"), c)).alias("codes"),
+        F.length("body").cast("double").alias("n"), F.length("alphabet").cast("double").alias("k")))))
 
     squares = F.aggregate(
         F.split("alphabet", ""),
