@@ -5,6 +5,8 @@ Records stay VARIANT values, so that a share written as text is seen as text. Na
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,25 +73,27 @@ def _get(record: Column, path: str, kind: str) -> Column:
 _RULE = ("name", "kind", "required", "nullable", "len", "min", "re", "in", "items", "keys")
 
 
-def _rules(fields: dict) -> Column:
-    """Literal ARRAY of rules; the plan holds data, not an expression per field."""
+_RULES = "array<struct<name:string,kind:string,required:boolean,nullable:boolean,len:int,min:double,re:string,`in`:string,items:int,keys:int>>"
+
+
+def _rules(fields: dict) -> list[dict]:
     rows = []
     for name, rule in fields.items():
         if isinstance(rule, str):
             kind, *limits = rule.split(" ")
-            bounds = dict(x.split("=", 1) for x in limits)
-            values = [F.lit(name), F.lit("in" if kind[0] == "n" else kind[0]), F.lit("!" in kind), F.lit(kind.endswith("?"))]
-            values += [F.lit(bounds.get(k)).cast("double" if k == "min" else "string" if k in ("re", "in") else "int") for k in _RULE[4:]]
-            rows.append(F.struct(*[x.alias(k) for x, k in zip(values, _RULE, strict=True)]))
-    return F.array(*rows)
+            bounds = {k: float(v) if k == "min" else v if k in ("re", "in") else int(v) for k, v in (x.split("=", 1) for x in limits)}
+            values = [name, "in" if kind[0] == "n" else kind[0], "!" in kind, kind.endswith("?"), *[bounds.get(k) for k in _RULE[4:]]]
+            rows.append(dict(zip(_RULE, values, strict=True)))
+    return rows
 
 
-def _letter(kind: Column) -> Column:
-    """Type letter of a VARIANT's schema, as in CONTRACTS; integers are numbers too."""
-    return (
-        F.when(kind == "STRING", "s").when(kind.startswith("OBJECT"), "o").when(kind.startswith("ARRAY"), "a")
-        .when((kind == "BIGINT") | kind.endswith(",0)"), "i").when(kind.rlike(_TYPES["n"]), "n").otherwise("-")
-    )
+def _contracts() -> Column:
+    """Literal MAP from schema to its rules: the plan holds data, not an expression per field."""
+    known = {
+        sid: {"top": _rules(c), "inner": [{"parent": n[:-2], "many": n.endswith("[]"), "rules": _rules(f)} for n, f in c.items() if isinstance(f, dict)]}
+        for sid, c in CONTRACTS.items()
+    }
+    return F.from_json(F.lit(json.dumps(known)), f"map<string,struct<top:{_RULES},inner:array<struct<parent:string,many:boolean,rules:{_RULES}>>>>")
 
 
 def _bind(value: Column, use) -> Column:
@@ -97,50 +101,54 @@ def _bind(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _letter(value: Column) -> Column:
+    """Type letter of a VARIANT, as in CONTRACTS; integers are numbers too."""
+    return _bind(
+        F.schema_of_variant(value),
+        lambda kind: F.when(kind == "STRING", "s").when(kind.startswith("OBJECT"), "o").when(kind.startswith("ARRAY"), "a")
+        .when((kind == "BIGINT") | kind.endswith(",0)"), "i").when(kind.rlike(_TYPES["n"]), "n").otherwise("-"),
+    )
+
+
 def _broken(members: Column, rules: Column, prefix: Column) -> Column:
-    """ARRAY of (path, rule) for a MAP of an object's members."""
+    """ARRAY of (path, rule) for a MAP of an object's members.
+
+    Lambdas are interpreted, so absent members and rules without limits end early.
+    """
+    none = F.expr(f"cast(array() as {_ISSUE})")
 
     def one(rule: Column) -> Column:
-        return _bind(F.try_element_at(members, rule["name"]), lambda value: tested(rule, value))
+        return _bind(F.try_element_at(members, rule["name"]), lambda value: present(rule, value))
+
+    def issue(rule: Column, name: str) -> Column:
+        return F.struct(F.concat(prefix, rule["name"]).alias("path"), F.lit(name).alias("rule"))
+
+    def present(rule: Column, value: Column) -> Column:
+        return (
+            F.when(value.isNull(), F.when(rule["required"], F.array(issue(rule, "required"))).otherwise(none))
+            .when(rule["nullable"] & F.is_variant_null(value), none)
+            .when(F.instr(rule["kind"], _letter(value)) == 0, F.array(issue(rule, "type")))
+            .when(F.coalesce(*[rule[x].cast("string") for x in _RULE[4:]]).isNull(), none)
+            .otherwise(limits(rule, value))
+        )
 
-    def tested(rule: Column, value: Column) -> Column:
-        path = F.concat(prefix, rule["name"])
-        given = value.isNotNull() & ~(rule["nullable"] & F.is_variant_null(value))
-        of_type = given & (F.instr(rule["kind"], _letter(F.schema_of_variant(value))) > 0)
-        ok = of_type
+    def limits(rule: Column, value: Column) -> Column:
         text, number = _get(value, "$", "string"), _get(value, "$", "double")
         tests = {
-            "required": rule["required"] & value.isNull(),
-            "type": given & ~of_type,
-            "len": rule["len"].isNotNull() & ok & (F.length(text) < rule["len"]),
-            "min": rule["min"].isNotNull() & ok & (number < rule["min"]),
-            "re": rule["re"].isNotNull() & ok & ~F.regexp_like(text, rule["re"]),
-            "in": rule["in"].isNotNull() & ok & ~F.array_contains(F.split(rule["in"], "[|]"), text),
-            "items": rule["items"].isNotNull() & ok & (F.size(_get(value, "$", "array<variant>")) < rule["items"]),
-            "keys": rule["keys"].isNotNull() & ok & (F.size(_get(value, "$", "map<string,variant>")) < rule["keys"]),
+            "len": rule["len"].isNotNull() & (F.length(text) < rule["len"]),
+            "min": rule["min"].isNotNull() & (number < rule["min"]),
+            "re": rule["re"].isNotNull() & ~F.regexp_like(text, rule["re"]),
+            "in": rule["in"].isNotNull() & ~F.array_contains(F.split(rule["in"], "[|]"), text),
+            "items": rule["items"].isNotNull() & (F.size(_get(value, "$", "array<variant>")) < rule["items"]),
+            "keys": rule["keys"].isNotNull() & (F.size(_get(value, "$", "map<string,variant>")) < rule["keys"]),
         }
-        return F.array_compact(F.array(*[F.when(test, F.struct(path.alias("path"), F.lit(name).alias("rule"))) for name, test in tests.items()]))
+        return F.array_compact(F.array(*[F.when(test, issue(rule, name)) for name, test in tests.items()]))
 
     return F.flatten(F.transform(rules, one))
 
 
 def contract_issues(record: Column, schema_id: str | Column) -> Column:
     """ARRAY of (path, rule) that ``record`` breaks; empty if it keeps the contract, null for an unknown schema."""
-    top, inner = F.lit(None), F.lit(None)
-    for sid, contract in CONTRACTS.items():
-        parts = [
-            F.struct(F.lit(n[:-2]).alias("parent"), F.lit(n.endswith("[]")).alias("many"), _rules(f).alias("rules"))
-            for n, f in contract.items() if isinstance(f, dict)
-        ]
-        none = F.filter(F.array(F.struct(F.lit("").alias("parent"), F.lit(False).alias("many"), _rules(contract).alias("rules"))), lambda x: F.lit(False))
-        if isinstance(schema_id, str):
-            if sid == schema_id:
-                top, inner = _rules(contract), F.array(*parts) if parts else none
-        else:
-            top = F.when(schema_id == sid, _rules(contract)).otherwise(top)
-            inner = F.when(schema_id == sid, F.array(*parts) if parts else none).otherwise(inner)
-    members = _get(record, "$", "map<string,variant>")
-
     def part(members: Column, p: Column) -> Column:
         value = F.try_element_at(members, p["parent"])
         items = F.when(p["many"], _get(value, "$", "array<variant>")).when(value.isNotNull(), F.array(value))
@@ -155,7 +163,11 @@ def contract_issues(record: Column, schema_id: str | Column) -> Column:
 
         return F.coalesce(F.flatten(F.transform(items, item)), F.expr(f"cast(array() as {_ISSUE})"))
 
-    return _bind(members, lambda m: F.concat(_broken(m, top, F.lit("")), F.flatten(F.transform(inner, lambda p: part(m, p)))))
+    def parts(members: Column, contract: Column) -> Column:
+        return F.concat(_broken(members, contract["top"], F.lit("")), F.flatten(F.transform(contract["inner"], lambda p: part(members, p))))
+
+    rules = F.try_element_at(_contracts(), F.lit(schema_id) if isinstance(schema_id, str) else schema_id)
+    return _bind(_get(record, "$", "map<string,variant>"), lambda m: _bind(rules, lambda c: parts(m, c)))
 
 
 def check_contract(records: DataFrame, schema_id: str) -> DataFrame:
@@ -240,19 +252,18 @@ def classify_records(lines: DataFrame, column: str = "value") -> DataFrame:
     rows = parse(lines, column)
     rows = rows.withColumn("schema_id", F.when(F.col("kind") == "OBJECT", _get(F.col("record"), "$.schema", "string")))
     broken = F.coalesce(F.size(contract_issues(F.col("record"), F.col("schema_id"))) > 0, F.lit(True))
-    rows = rows.withColumn("breaks_contract", broken)
     data = F.col("schema_id") == DATA
     one = lambda code, level="ERROR": F.array(_code(code, level))
+    warned = F.concat(one("SCHEMA_VALIDATE_DATA_WARN", "WARN"), data_receipt_issues(F.col("record")))
+    by_rules = F.when(data, data_receipt_issues(F.col("record"))).when(F.col("schema_id") == ROYALTY, royalty_issues(F.col("record")))
     issues = (
         F.when(F.col("kind") == "BROKEN", one("JSON_DECODE_ERROR"))
         .when(F.col("kind") != "OBJECT", one("RECORD_NOT_OBJECT"))
-        .when(data & F.col("breaks_contract"), F.concat(one("SCHEMA_VALIDATE_DATA_WARN", "WARN"), data_receipt_issues(F.col("record"))))
-        .when(F.col("breaks_contract"), one("SCHEMA_VALIDATE_ERROR"))
-        .when(data, data_receipt_issues(F.col("record")))
-        .when(F.col("schema_id") == ROYALTY, royalty_issues(F.col("record")))
-        .otherwise(one("UNKNOWN_SCHEMA"))
+        .otherwise(
+            _bind(broken, lambda b: F.when(data & b, warned).when(b, one("SCHEMA_VALIDATE_ERROR")).otherwise(F.coalesce(by_rules, one("UNKNOWN_SCHEMA"))))
+        )
     )
-    rows = rows.withColumn("issues", issues).drop("breaks_contract")
+    rows = rows.withColumn("issues", issues)
     has = lambda level: F.exists("issues", lambda i: i["level"] == level)
     return rows.withColumn("status", F.when(has("ERROR"), "ERROR").when(has("WARN"), "WARN").otherwise("VALID"))
 
@@ -269,14 +280,19 @@ def validation_summary(classified: DataFrame) -> DataFrame:
     return counts.withColumn("health", health)
 
 
+def _each_issue(classified: DataFrame, *columns: str) -> DataFrame:
+    """A row per issue. A plain explode makes Spark filter by size first, which computes the issues once more."""
+    return classified.select(*columns, F.posexplode_outer("issues").alias("place", "i")).where(F.col("i").isNotNull())
+
+
 def issue_counts(classified: DataFrame) -> DataFrame:
     """Issues per code; order them by (-n, code) at the sink."""
-    return classified.select(F.explode("issues").alias("i")).groupBy("i.code").agg(F.count(F.lit(1)).alias("n"))
+    return _each_issue(classified).groupBy("i.code").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bad_sample(classified: DataFrame, max_bad: int, order: str = "line_no") -> DataFrame:
     """The first issues in line order: a report of ``max_bad`` rows."""
-    each = classified.select(order, F.posexplode("issues").alias("place", "i"))
+    each = _each_issue(classified, order)
     return each.orderBy(order, "place").limit(max_bad).select(order, "place", "i.code", "i.level")
 
 
