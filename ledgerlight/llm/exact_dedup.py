@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shared_checkpoint, shuffle_partitions
+from .common import ascii_lower, join_groups, shared_checkpoint, shuffle_partitions
 
 #: Characters of the normalised text that the sampled splitters see. Splitters are drawn from samples
 #: that pass through the driver, so the sampled key has to be short whatever the texts are.
@@ -21,7 +21,7 @@ def exact_dedup(
     comes from the identifier, so that the copies of one very frequent text spread over many partitions.
     Each partition is sorted by its whole texts on disk if need be, and neighbours are compared in full.
     Runs of one text that different salts hold are then merged by the digest of the text; only digests
-    and identifiers move in that step.
+    and identifiers move in that step, and those of very large groups do not move at all.
 
     Returns one row per input row: ``id_col, keep_id, group_size, kept, text_sha256``.
 
@@ -49,8 +49,8 @@ def exact_dedup(
     )
     runs = shared_checkpoint(runs)
     best = F.max("id") if keep == "largest" else F.min("id")
-    groups = runs.groupBy("digest").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return runs.join(groups, "digest").select(
+    groups = shared_checkpoint(runs.groupBy("digest").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    return join_groups(runs, groups, "digest", "group_size").select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",

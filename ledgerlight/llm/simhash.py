@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, shared_checkpoint, shuffle_partitions
+from .common import LOWER, UPPER, join_groups, shared_checkpoint, shuffle_partitions
 from .components import components
 
 SEED = 42
@@ -215,10 +215,11 @@ def simhash_components(
     ids = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = shared_checkpoint(rows.mapInArrow(prints, f"id {ids}, fp long"))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     roots = shared_checkpoint(components(fingerprint_links(nodes.select("fp"), distance)))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    nodes = nodes.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(groups, "root").select("fp", "component_id")
-    return rows.join(nodes, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+    nodes = shared_checkpoint(nodes.select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")))
+    groups = shared_checkpoint(nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints")))
+    nodes = shared_checkpoint(join_groups(nodes, groups, "root", "prints").select("fp", "copies", "component_id"))
+    found = join_groups(rows, nodes, "fp", "copies")
+    return found.select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
