@@ -316,3 +316,16 @@ def test_wrapper_alignment():
     b = extraction.page_wrapper([(("body", "h1"), "x", 0, False), (("body", "p"), "y", 0, False)])
     assert a == [["body", "1", [["p", "+", [["#", "1", []]]]]]]
     assert extraction.merge(a, b) == [["body", "1", [["h1", "?", [["#", "1", []]]], ["p", "+", [["#", "1", []]]]]]]
+
+
+@pytest.mark.parametrize("parts", [1, 4, 1000])
+def test_join_groups(spark, parts):
+    """Every row meets its group once, whichever groups count as large; an empty table stays empty."""
+    from ledgerlight.llm.common import join_groups
+
+    keys = ["a"] * 30 + ["b"] * 3 + ["c"] * 2 + ["d"]
+    rows = spark.createDataFrame(list(enumerate(keys)), "id int, key string")
+    groups = rows.groupBy("key").count()
+    got = sorted((r["id"], r["key"], r["count"]) for r in join_groups(rows, groups, "key", "count", parts).collect())
+    assert got == [(i, k, keys.count(k)) for i, k in enumerate(keys)]
+    assert join_groups(rows.where("false"), groups.where("false"), "key", "count", parts).count() == 0
