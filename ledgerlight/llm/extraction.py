@@ -9,7 +9,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_checkpoint, shuffle_partitions
@@ -150,11 +150,11 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int, bool]]:
 # A wrapper is a list of [label, quantifier, children]; the label "#" is a text slot. Quantifiers: "1", "?", "+", "*".
 
 
-def page_wrapper(found: list) -> list:
-    """The expression of one page: equal neighbours become repeated groups."""
+def _tree(found: list) -> list:
+    """Elements of one page as nodes; a "#" also holds the numbers of its blocks."""
     root: list = []
     open_path: list = []  # (label, node)
-    for path, *_ in found:
+    for block, (path, *_) in enumerate(found):
         path = path[:DEPTH]
         same = 0
         while same < len(open_path) and same < len(path) - 1 and open_path[same][0] == path[same]:
@@ -167,8 +167,14 @@ def page_wrapper(found: list) -> list:
             open_path.append((label, node))
         siblings = open_path[-1][1][2] if open_path else root
         if not siblings or siblings[-1][0] != "#":
-            siblings.append(["#", "1", []])
-    return _folded(root)
+            siblings.append(["#", "1", [], []])
+        siblings[-1][3].append(block)
+    return root
+
+
+def page_wrapper(found: list) -> list:
+    """The expression of one page: equal neighbours become repeated groups."""
+    return _folded(_tree(found))
 
 
 def _either(a: str, b: str) -> str:
@@ -180,7 +186,7 @@ def _either(a: str, b: str) -> str:
 def _folded(nodes: list) -> list:
     """Neighbours with one label become one repeated group whose members are aligned with each other."""
     out: list = []
-    for label, quantifier, children in nodes:
+    for label, quantifier, children, *_ in nodes:
         node = [label, quantifier, _folded(children)]
         if out and out[-1][0] == label:
             last = out[-1]
@@ -215,32 +221,93 @@ def merge(a: list, b: list) -> list:
     return _folded(out)
 
 
-def slots(wrapper: list, path: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
-    """Paths of the text slots."""
-    for label, _, children in wrapper:
-        if label == "#":
-            yield path
+def match(found: list, wrapper: list) -> list[str | None]:
+    """For every block of a page the slot of the wrapper that it fills, by its place in the wrapper; None if it fits none.
+
+    Neighbours with one label are one group. The groups of an element and the children of its wrapper node are aligned in
+    order so that most groups fit; of equal fits those win that use nodes every page has, and repeated nodes for groups of
+    several.
+    """
+    filled: list[str | None] = [None] * len(found)
+
+    def align(nodes: list, expected: list, place: str) -> None:
+        runs: list = []  # (label, nodes)
+        for node in nodes:
+            if runs and runs[-1][0] == node[0]:
+                runs[-1][1].append(node)
+            else:
+                runs.append((node[0], [node]))
+        n, m = len(runs), len(expected)
+        pairs = []
+        if n == m and all(run[0] == node[0] for run, node in zip(runs, expected, strict=True)):
+            pairs = [(i, i) for i in range(n)]
         else:
-            yield from slots(children, (*path, label))
+            fit = [[0] * m for _ in range(n)]
+            best = [[0] * (m + 1) for _ in range(n + 1)]
+            for i in range(n - 1, -1, -1):
+                for j in range(m - 1, -1, -1):
+                    best[i][j] = max(best[i + 1][j], best[i][j + 1])
+                    if runs[i][0] == expected[j][0]:
+                        quantifier = expected[j][1]
+                        fit[i][j] = 4 * (n + 1) + 2 * (quantifier in "1+") + ((quantifier in "+*") == (len(runs[i][1]) > 1))
+                        best[i][j] = max(best[i][j], best[i + 1][j + 1] + fit[i][j])
+            i = j = 0
+            while i < n and j < m:
+                if fit[i][j] and best[i][j] == best[i + 1][j + 1] + fit[i][j]:
+                    pairs.append((i, j))
+                    i, j = i + 1, j + 1
+                elif best[i][j] == best[i][j + 1]:
+                    j += 1
+                else:
+                    i += 1
+        for i, j in pairs:
+            for node in runs[i][1]:
+                if node[0] == "#":
+                    for block in node[3]:
+                        filled[block] = f"{place}{j}"
+                else:
+                    align(node[2], expected[j][2], f"{place}{j}.")
+
+    align(_tree(found), wrapper, "")
+    return filled
 
 
 def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: its expression; per slot: texts, characters, characters in links and a hash of the text."""
+    """Per page: its expression."""
+    for batch in batches:
+        wrappers = [json.dumps(page_wrapper(blocks(html.as_py())), separators=(",", ":")) for html in batch.column("html")]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(wrappers, pa.string())], ["host", "wrapper"])
+
+
+def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page and slot of the host's wrapper that it fills: characters, characters in links and a hash of the text."""
+    wrappers: dict = {}
     for batch in batches:
-        wrappers, stats = [], []
-        for html in batch.column("html"):
+        stats = []
+        for host, html, wrapper in zip(*(batch.column(c) for c in ("host", "html", "wrapper")), strict=True):
             found = blocks(html.as_py())
-            wrappers.append(json.dumps(page_wrapper(found), separators=(",", ":")))
             each: dict = {}
-            for path, text, links, _ in found:
-                row = each.setdefault("/".join(path[:DEPTH]), [0, 0, ""])
-                row[0] += len(text)
-                row[1] += links
-                row[2] += text
-            stats.append([{"slot": k, "chars": c, "links": x, "text_hash": xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) >> 1}
-                          for k, (c, x, t) in each.items()])
+            for slot, (_, text, links, silent) in zip(match(found, _cached(wrappers, host.as_py(), wrapper)), found, strict=True):
+                if slot is not None and not silent:
+                    row = each.setdefault(slot, [0, 0, []])
+                    row[0] += len(text)
+                    row[1] += links
+                    row[2].append(text)
+            stats.append([{"slot": k, "chars": c, "links": x, "text_hash": _hash("\n".join(t))} for k, (c, x, t) in each.items()])
         kind = pa.list_(pa.struct([("slot", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("text_hash", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(wrappers, pa.string()), pa.array(stats, kind)], ["host", "wrapper", "stats"])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(stats, kind)], ["host", "stats"])
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
+
+
+def _cached(wrappers: dict, host: str, wrapper: pa.Scalar) -> list:
+    if host not in wrappers:
+        if len(wrappers) > 1000:
+            wrappers.clear()
+        wrappers[host] = json.loads(wrapper.as_py() or "[]")
+    return wrappers[host]
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,61 +331,67 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def infer_wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From ``pages(host, html)``: ``(host, wrapper)`` and, per host and slot, whether it is ``fixed`` text.
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """From ``pages(host, html)``: ``(host, wrapper)``.
 
     All pages count. Equal expressions of a host are counted once before anything is aligned; what is left is aligned in
     PARTS partial wrappers per host, then those with each other, so one large host is no single task's work.
     """
     n = shuffle_partitions(pages)
-    seen = shared_checkpoint(
-        pages.mapInArrow(_page_rows, "host string, wrapper string, stats array<struct<slot:string,chars:long,links:long,text_hash:long>>")
-    )
-    kinds = seen.select("host", "wrapper").distinct()
-    kinds = kinds.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)).cast("int"))
     schema = "host string, wrapper string"
+    kinds = shared_checkpoint(pages.mapInArrow(_page_rows, schema).distinct())
+    kinds = kinds.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)).cast("int"))
     ordered = ("host", "part", "wrapper")
     partial = kinds.select(*ordered).repartition(n, "host", "part").sortWithinPartitions(*ordered).mapInArrow(_fold, schema)
     partial = partial.select("host", F.lit(0).alias("part"), "wrapper")
-    wrappers = partial.repartition(n, "host").sortWithinPartitions(*ordered).mapInArrow(_fold, schema)
+    return partial.repartition(n, "host").sortWithinPartitions(*ordered).mapInArrow(_fold, schema)
+
+
+def slot_kinds(pages: DataFrame) -> DataFrame:
+    """From ``pages(host, html, wrapper)``: per host and slot that pages fill, whether it is ``fixed`` text."""
+    seen = pages.select("host", "html", "wrapper").mapInArrow(
+        _slot_rows, "host string, stats array<struct<slot:string,chars:long,links:long,text_hash:long>>"
+    )
     stats = seen.select("host", F.explode("stats").alias("s")).select("host", "s.*").groupBy("host", "slot").agg(
         F.count(F.lit(1)).alias("pages"),
         F.approx_count_distinct("text_hash").alias("texts"),
         (F.sum("links") / F.sum("chars")).alias("link_share"),
     )
     fixed = (F.col("pages") >= LEAST_PAGES) & (F.col("texts") < FIXED_SHARE * F.col("pages"))
-    return wrappers, stats.select("host", "slot", (fixed | (F.col("link_share") > LINK_SHARE)).alias("fixed"))
+    return stats.select("host", "slot", (fixed | (F.col("link_share") > LINK_SHARE)).alias("fixed"))
 
 
 def main_text(html: str | None, wrapper: list | None, fixed: frozenset[str] | set[str]) -> str:
     """Text of the page's content slots, blocks joined by newlines.
 
-    Slots under menus, headers, footers, sidebars, notices, adverts, forms and comments are no content. If the wrapper has
-    an article (or main) element and the page fills it, the slots inside are the content; else all slots of the wrapper
-    whose texts are not fixed across the host's pages.
+    Every block is matched to a slot of the host's wrapper. Slots under menus, headers, footers, sidebars, notices, adverts,
+    forms and comments are no content, nor are slots whose texts are fixed across the host's pages. If the page has an
+    article (or main) element with text that is not fixed, its slots are the content, fixed headings among them.
     """
-    found = [(path, text) for path, text, _, silent in blocks(html) if not silent]
+    found = blocks(html)
+    rows = [
+        (path, text, slot not in fixed)
+        for slot, (path, text, _, silent) in zip(match(found, wrapper or []), found, strict=True) if not silent
+    ]
     for root in ROOTS:
-        inside = [text for path, text in found if any(x == root or x.startswith(root + ".") for x in path)]
-        if inside and (wrapper is None or any(any(x == root or x.startswith(root + ".") for x in p) for p in slots(wrapper))):
-            return "\n".join(inside)
-    known = None if wrapper is None else set(slots(wrapper))
-    return "\n".join(
-        text for path, text in found if "/".join(path[:DEPTH]) not in fixed and (known is None or path[:DEPTH] in known)
-    )
+        inside = [(text, varies) for path, text, varies in rows if any(x == root or x.startswith(root + ".") for x in path)]
+        if any(varies for _, varies in inside):
+            return "\n".join(text for text, _ in inside)
+    return "\n".join(text for _, text, varies in rows if varies)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     wrappers: dict = {}
+    slots: dict = {}
     for batch in batches:
         texts = []
         for host, html, wrapper, fixed in zip(*(batch.column(c) for c in ("host", "html", "wrapper", "fixed")), strict=True):
             host = host.as_py()
-            if host not in wrappers:
-                if len(wrappers) > 1000:
-                    wrappers.clear()
-                wrappers[host] = (json.loads(wrapper.as_py() or "null"), frozenset(fixed.as_py() or ()))
-            texts.append(main_text(html.as_py(), *wrappers[host]))
+            if host not in slots:
+                if len(slots) > 1000:
+                    slots.clear()
+                slots[host] = frozenset(fixed.as_py() or ())
+            texts.append(main_text(html.as_py(), _cached(wrappers, host, wrapper), slots[host]))
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             ["id", "url", "text", "n_chars"],
@@ -328,7 +401,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page: ``id_col, url_col, text, n_chars`` (code points).
 
-    Wrappers are inferred from all pages of a host and applied to each of them. The table of wrappers has a row a host; it
+    Wrappers are inferred from all pages of a host, then every page is matched against its host's wrapper: once for the
+    statistics of the slots, once for its text. The table of wrappers has a row a host; it
     is broadcast only if it has at most BROADCAST_BYTES characters, otherwise joined by host.
 
     * null and empty html give the empty text; pages with a null url or without a host share the host "";
@@ -337,11 +411,16 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     host = F.regexp_replace(host, r"^(www|m)\.", "")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    wrappers, slots_of = infer_wrappers(rows.select("host", "html"))
-    fixed = slots_of.groupBy("host").agg(F.collect_list(F.when(F.col("fixed"), F.col("slot"))).alias("fixed"))
+    wrappers = shared_checkpoint(infer_wrappers(rows.select("host", "html")))
+
+    def with_host(table: DataFrame, size: Column) -> DataFrame:
+        chars = table.agg(F.sum(size)).first()[0] or 0
+        return rows.join(F.broadcast(table) if chars <= BROADCAST_BYTES else table, "host", "left")
+
+    kinds = slot_kinds(with_host(wrappers, F.length("wrapper")))
+    fixed = kinds.groupBy("host").agg(F.collect_list(F.when(F.col("fixed"), F.col("slot"))).alias("fixed"))
     table = shared_checkpoint(wrappers.join(fixed, "host", "left"))
-    size = table.agg(F.sum(F.length("wrapper") + F.length(F.array_join("fixed", "")))).first()[0] or 0
-    joined = rows.join(F.broadcast(table) if size <= BROADCAST_BYTES else table, "host", "left")
+    joined = with_host(table, F.length("wrapper") + F.coalesce(F.length(F.array_join("fixed", "")), F.lit(0)))
     ids = pages.schema[id_col].dataType.simpleString()
     out = joined.select("id", "url", "host", "html", "wrapper", "fixed").mapInArrow(
         _extract, f"id {ids}, url string, text string, n_chars long"

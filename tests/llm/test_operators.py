@@ -318,6 +318,23 @@ def test_wrapper_alignment():
     assert extraction.merge(a, b) == [["body", "1", [["h1", "?", [["#", "1", []]]], ["p", "+", [["#", "1", []]]]]]]
 
 
+def test_slots_of_the_wrapper_choose(spark):
+    # Both divs have one path: only their places in the wrapper tell the same words from the story.
+    page = "<body><div><p>Same words</p></div><h2>Title {0}</h2><div><p>Story {0}</p></div></body>"
+    short = "<body><h2>Title {0}</h2><div><p>Story {0}</p></div></body>"
+    promo = "<body><article><p>Buy now</p></article><h2>Title {0}</h2><div><p>Story {0}</p></div></body>"
+    rows = [(i, f"http://d.example.org/{i}", (short if i % 4 == 3 else page).format(i)) for i in range(12)]
+    rows += [(100 + i, f"http://e.example.org/{i}", promo.format(100 + i)) for i in range(6)]
+    got = extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and all(r.text == f"Title {r.page_id}\nStory {r.page_id}" for r in got)
+    found = extraction.blocks(page.format(1))
+    wrapper = extraction.merge(extraction.page_wrapper(found), extraction.page_wrapper(extraction.blocks(short.format(2))))
+    same, title, story = extraction.match(found, wrapper)
+    assert len({same, title, story}) == 3 and extraction.match(extraction.blocks(short.format(2)), wrapper) == [title, story]
+    assert extraction.main_text(page.format(1), wrapper, {same}) == "Title 1\nStory 1"
+    assert extraction.main_text(page.format(1), None, {same}) != "Title 1\nStory 1"
+
+
 @pytest.mark.parametrize("parts", [1, 4, 1000])
 def test_join_groups(spark, parts):
     """Every row meets its group once, whichever groups count as large; an empty table stays empty."""
