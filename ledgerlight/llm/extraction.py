@@ -45,6 +45,8 @@ SILENT_WORDS = frozenset(
     "pager copyright login signin signup search hidden contentinfo complementary dialog".split()
 )
 ROOTS = ("article", "main")
+#: Elements that no word of a class, an identifier or a role silences.
+NEVER_BY_WORDS = frozenset(("html", "body", *ROOTS))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -57,11 +59,11 @@ _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def _label(name: str, rest: str) -> tuple[str, bool]:
-    """Element label (name, classes and id, without digits) and whether it announces boilerplate."""
+def _label(name: str, rest: str) -> tuple[str, bool, bool]:
+    """Element label (name, classes and id, without digits), whether it is boilerplate, and whether its words say so."""
     silent = name in SILENT
     if not rest or ("=" not in rest and "hidden" not in rest):
-        return name, silent
+        return name, silent, False
     words = []
     for key, a, b, c in _NAMES.findall(rest):
         key, value = key.lower(), (a or b or c).lower()
@@ -71,19 +73,21 @@ def _label(name: str, rest: str) -> tuple[str, bool]:
             silent |= "display:none" in value.replace(" ", "")
         elif key == "hidden" or value == "true":
             silent = True
-    silent |= any(w in SILENT_WORDS for w in words)
+    said = name not in NEVER_BY_WORDS and any(w in SILENT_WORDS for w in words)
     words = sorted({w for w in words if not any(ch.isdigit() for ch in w)})[:6]
-    return ".".join([name, *words]), silent
+    return ".".join([name, *words]), silent, said
 
 
 def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int, bool]]:
     """(path, text, characters in links, silent) of every block with text, in page order.
 
     A block ends wherever a block element starts or ends. End tags that HTML implies are supplied; character
-    references are decoded and white space becomes one space.
+    references are decoded and white space becomes one space. Words of a class, an identifier or a role silence an element
+    only if it does not hold the main content, see ``_holders``.
     """
-    stack: list[tuple[str, str, bool]] = []  # name, label, silent
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # name, label, silent, elements around it that words silence
     found: list = []
+    n_said = 0
     text: list[str] = []
     links = 0
     in_link = False
@@ -94,7 +98,8 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int, bool]]:
             joined = "".join(text)
             joined = " ".join((unescape(joined) if "&" in joined else joined).split())
             if joined:
-                found.append((tuple(x[1] for x in stack), joined, min(links, len(joined)), bool(stack) and stack[-1][2]))
+                silent, said = stack[-1][2:] if stack else (False, ())
+                found.append((tuple(x[1] for x in stack), joined, min(links, len(joined)), silent, said))
             text.clear()
         links = 0
 
@@ -136,15 +141,48 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int, bool]]:
         if name in ENDS_ITSELF:
             pop_to(ENDS_ITSELF[name], frozenset(("ul", "ol", "dl", "table", "select")))
         flush()
-        label, silent = _label(name, match.group("rest"))
+        label, silent, said = _label(name, match.group("rest"))
         if name == "header":  # an article's own header is part of it
             silent |= not any(x[0] in ROOTS for x in stack)
         silent |= bool(stack) and stack[-1][2]
         if match.group("rest").endswith("/"):
             continue
-        stack.append((name, label, silent))
+        around = stack[-1][3] if stack else ()
+        if said:
+            n_said += 1
+            around = (*around, n_said)
+        stack.append((name, label, silent, around))
     flush()
-    return found
+    holders = _holders(found) if n_said else ()
+    return [(path, text, links, silent or any(x not in holders for x in said)) for path, text, links, silent, said in found]
+
+
+def _in_root(path: tuple[str, ...], roots: tuple[str, ...] = ROOTS) -> bool:
+    return any(x == root or x.startswith(root + ".") for x in path for root in roots)
+
+
+def _holders(found: list) -> set[int]:
+    """Elements that words silence, but that hold the main content.
+
+    From the outside inwards: while no article or main element with text is open, an element holds the main content if it
+    has such an element in it or more than half of the page's text that is no link.
+    """
+    rows = [(_in_root(path), len(text) - links, said) for path, text, links, silent, said in found if not silent]
+    total = sum(n for _, n, _ in rows)
+    chars: dict[int, int] = {}
+    rooted: set[int] = set()
+    for root, n, said in rows:
+        for x in said:
+            chars[x] = chars.get(x, 0) + n
+        if root:
+            rooted.update(said)
+    holders: set[int] = set()
+    for x in sorted(chars):
+        if any(root and holders.issuperset(said) for root, _, said in rows):
+            break
+        if x in rooted or chars[x] > total / 2:
+            holders.add(x)
+    return holders
 
 
 # A wrapper is a list of [label, quantifier, children]; the label "#" is a text slot. Quantifiers: "1", "?", "+", "*".
@@ -280,10 +318,11 @@ def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and slot of the host's wrapper that it fills: characters, characters in links and a hash of the text."""
+    """Per page a hash of its open text, and per slot of the host's wrapper that it fills: characters, characters in links
+    and a hash of the text."""
     wrappers: dict = {}
     for batch in batches:
-        stats = []
+        stats, pages = [], []
         for host, html, wrapper in zip(*(batch.column(c) for c in ("host", "html", "wrapper")), strict=True):
             found = blocks(html.as_py())
             each: dict = {}
@@ -293,9 +332,10 @@ def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     row[0] += len(text)
                     row[1] += links
                     row[2].append(text)
+            pages.append(_hash("\n".join(text for _, text, _, silent in found if not silent)))
             stats.append([{"slot": k, "chars": c, "links": x, "text_hash": _hash("\n".join(t))} for k, (c, x, t) in each.items()])
         kind = pa.list_(pa.struct([("slot", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("text_hash", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(stats, kind)], ["host", "stats"])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(pages, pa.int64()), pa.array(stats, kind)], ["host", "page", "stats"])
 
 
 def _hash(text: str) -> int:
@@ -348,14 +388,20 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 
 def slot_kinds(pages: DataFrame) -> DataFrame:
-    """From ``pages(host, html, wrapper)``: per host and slot that pages fill, whether it is ``fixed`` text."""
+    """From ``pages(host, html, wrapper)``: per host and slot that pages fill, whether it is ``fixed`` text.
+
+    Exact counts over the host's distinct pages: pages with the same open text are one.
+    """
     seen = pages.select("host", "html", "wrapper").mapInArrow(
-        _slot_rows, "host string, stats array<struct<slot:string,chars:long,links:long,text_hash:long>>"
+        _slot_rows, "host string, page long, stats array<struct<slot:string,chars:long,links:long,text_hash:long>>"
     )
-    stats = seen.select("host", F.explode("stats").alias("s")).select("host", "s.*").groupBy("host", "slot").agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.approx_count_distinct("text_hash").alias("texts"),
-        (F.sum("links") / F.sum("chars")).alias("link_share"),
+    # copies of a page count once
+    stats = seen.select("host", "page", F.explode("stats").alias("s")).select("host", "page", "s.*").distinct()
+    texts = stats.groupBy("host", "slot", "text_hash").agg(
+        F.count_distinct("page").alias("pages"), F.sum("links").alias("links"), F.sum("chars").alias("chars")
+    )
+    stats = texts.groupBy("host", "slot").agg(
+        F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("texts"), (F.sum("links") / F.sum("chars")).alias("link_share")
     )
     fixed = (F.col("pages") >= LEAST_PAGES) & (F.col("texts") < FIXED_SHARE * F.col("pages"))
     return stats.select("host", "slot", (fixed | (F.col("link_share") > LINK_SHARE)).alias("fixed"))
@@ -365,19 +411,29 @@ def main_text(html: str | None, wrapper: list | None, fixed: frozenset[str] | se
     """Text of the page's content slots, blocks joined by newlines.
 
     Every block is matched to a slot of the host's wrapper. Slots under menus, headers, footers, sidebars, notices, adverts,
-    forms and comments are no content, nor are slots whose texts are fixed across the host's pages. If the page has an
-    article (or main) element with text that is not fixed, its slots are the content, fixed headings among them.
+    forms and comments are no content, nor are slots whose texts are fixed across the host's pages. If an article (or main)
+    element holds most of the page's text that is not fixed, its slots are the content, fixed headings among them. If its
+    texts are fixed but the longer part of the page, they are kept beside the slots that are not.
     """
     found = blocks(html)
     rows = [
         (path, text, slot not in fixed)
         for slot, (path, text, _, silent) in zip(match(found, wrapper or []), found, strict=True) if not silent
     ]
+    kept = None
     for root in ROOTS:
-        inside = [(text, varies) for path, text, varies in rows if any(x == root or x.startswith(root + ".") for x in path)]
-        if any(varies for _, varies in inside):
-            return "\n".join(text for text, _ in inside)
-    return "\n".join(text for _, text, varies in rows if varies)
+        inside = [_in_root(path, (root,)) for path, _, _ in rows]
+        if not any(inside):
+            continue
+        own = sum(len(text) for (_, text, _), here in zip(rows, inside, strict=True) if here)
+        varying = sum(len(text) for (_, text, varies), here in zip(rows, inside, strict=True) if here and varies)
+        rest = sum(len(text) for (_, text, varies), here in zip(rows, inside, strict=True) if varies and not here)
+        if varying >= rest:
+            return "\n".join(text for (_, text, _), here in zip(rows, inside, strict=True) if here)
+        if kept is None and own >= rest:
+            kept = inside
+    kept = kept or [False] * len(rows)
+    return "\n".join(text for (_, text, varies), here in zip(rows, kept, strict=True) if varies or here)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

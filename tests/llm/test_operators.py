@@ -335,6 +335,28 @@ def test_slots_of_the_wrapper_choose(spark):
     assert extraction.main_text(page.format(1), None, {same}) != "Title 1\nStory 1"
 
 
+def test_extraction_keeps_the_story(spark):
+    story = "Story {0} goes on and on for a while, as stories do"
+    copies = f"<body><div>Same</div><section><p>{story}</p></section></body>"
+    pages = [
+        f"<body class='has-sidebar'><p>{story}</p><div class=sidebar>Side</div></body>",
+        f"<body><article class='post share'><p>{story}</p></article></body>",
+        f"<body><main id=search><p>{story}</p></main></body>",
+        f"<body><div class='page has-sidebar'><main><p>{story}</p></main><div class=sidebar>Longer than the story: {{0}} {'x ' * 99}</div></div></body>",
+        f"<body><div class='share'><p>{story}</p></div></body>",
+        f"<body><div><p>{story}</p></div><article><p>Teaser {{0}}</p></article></body>",
+        f"<body><article><p>{story}</p></article><div class=comments><article>Me too {{0}}{' yes' * 99}</article></div></body>",
+    ]
+    rows = [(i, f"http://h{i}.example.org/{n}", page.format(i), story.format(i)) for i, page in enumerate(pages) for n in range(4)]
+    rows = [(i, u, h, t + (f"\nTeaser {i}" if i == 5 else "")) for i, u, h, t in rows]
+    rows += [(100 + i % 10, f"http://c.example.org/{i}", copies.format(100 + i % 10), story.format(100 + i % 10)) for i in range(100)]
+    got = extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, want string").drop("want")).collect()
+    want = {i: t for i, _, _, t in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.text == want[r.page_id]
+
+
 @pytest.mark.parametrize("parts", [1, 4, 1000])
 def test_join_groups(spark, parts):
     """Every row meets its group once, whichever groups count as large; an empty table stays empty."""
