@@ -10,13 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a window, literal tokens it needs, tokens in a row that make a leak, tokens below which an item is not looked for.
+#: Tokens of a window, literal tokens a template needs, tokens in a row that make a leak, tokens below which an item has to
+#: stand by itself.
 WINDOW, LITERALS, LEAK, SHORTEST = 8, 4, 13, 5
 #: Characters of benchmark text that one broadcast may hold; a longer benchmark is taken in parts.
 BROADCAST_CHARS = 20_000_000
 #: Words a task remembers.
 MEMO = 500_000
 
+#: Before the tokens of a window that is looked for as it is.
+EXACT = "= "
+
+_BOUND = re.compile(r"[.!?:;\n\r\"“”«»|()\[\]{}<>]")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[%$€£°]")
 NUMBER, NAME, UNIT, FIRST = 1, 2, 3, 4
 PLACEHOLDER = {NUMBER: "<number>", NAME: "<name>", UNIT: "<unit>"}
@@ -54,15 +59,16 @@ class _Ids(dict):
         return found
 
 
-def _windows(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of windows without foreign words and with enough literals, and their hashes."""
+def _windows(ids: np.ndarray, size: int, literals: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of windows without foreign words, and with enough literals if asked for, and their hashes."""
     n = len(ids) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     foreign = np.concatenate(([0], np.cumsum(ids == 0)))
-    literal = np.concatenate(([0], np.cumsum(ids >= FIRST)))
-    need = min(LITERALS, size - 1)
-    ok = (foreign[size:] == foreign[:n]) & (literal[size:] - literal[:n] >= need)
+    ok = foreign[size:] == foreign[:n]
+    if literals:
+        literal = np.concatenate(([0], np.cumsum(ids >= FIRST)))
+        ok &= literal[size:] - literal[:n] >= min(LITERALS, size - 1)
     starts = np.flatnonzero(ok)
     if not len(starts):
         return starts, np.zeros(0, np.uint64)
@@ -70,6 +76,19 @@ def _windows(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, hashes ^ (hashes >> np.uint64(29))
 
 
+def _exact(tokens: list[str], start: int, size: int) -> tuple[str, list[str]]:
+    return EXACT + " ".join(t.lower() for t in tokens[start : start + size]), []
+
+
+def _alone(text: str, start: int, size: int) -> bool:
+    """Whether the tokens from ``start`` on are a passage of their own: bounded by punctuation, line ends or the text's."""
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    before = text[spans[start - 1][1] : spans[start][0]] if start else "\n"
+    last = start + size - 1
+    after = text[spans[last][1] : spans[last + 1][0]] if last + 1 < len(spans) else "\n"
+    return bool(_BOUND.search(before) and _BOUND.search(after))
+
+
 def _template(tokens: list[str], ids: np.ndarray, start: int, size: int) -> tuple[str, list[str]]:
     words, slots = [], []
     for token, i in zip(tokens[start : start + size], ids[start : start + size].tolist(), strict=True):
@@ -81,25 +100,44 @@ def _template(tokens: list[str], ids: np.ndarray, start: int, size: int) -> tupl
     return " ".join(words), slots
 
 
-def _benchmark(items: list, id_col: str, text_col: str) -> tuple[dict, dict[int, np.ndarray], list]:
-    """Words, window hashes by size, and windows (item, position, size, template, slots, windows of the item)."""
+def _benchmark(items: list, id_col: str, text_col: str) -> tuple[tuple, list]:
+    """(words, window hashes by size, tokens, hashes of windows as they are by size), and windows (item, position, size,
+    template, slots, template windows that make a leak, windows in a row that do).
+
+    Every window is kept as it is; those with enough literals are kept as a template too.
+    """
     tokens = [(r[id_col], _TOKEN.findall(r[text_col] or "")) for r in items]
     lower = sorted({t for _, ts in tokens for t in ts if t[0].isalpha() and not (t[0].isupper() and t[1:].islower())}
                    | {t.lower() for _, ts in tokens for t in ts if len(t) == 1})
     words = {w.lower(): FIRST + i for i, w in enumerate(lower) if w.lower() not in UNIT_WORDS | NUMBER_WORDS}
+    every = {t: FIRST + i for i, t in enumerate(sorted({t.lower() for _, ts in tokens for t in ts}))}
     lookup = _Ids(words)
     hashes: dict[int, set] = {}
+    exact: dict[int, set] = {}
     windows = []
     for item, ts in tokens:
-        if len(ts) < SHORTEST:
+        if not ts:
             continue
         size = min(WINDOW, len(ts))
+        row = min(LEAK, len(ts)) - size + 1
+        starts, found = _windows(np.fromiter((every[t.lower()] for t in ts), np.int64, len(ts)), size, False)
+        exact.setdefault(size, set()).update(found.tolist())
+        windows += [(item, int(s), size, *_exact(ts, int(s), size), None, row) for s in starts]
+        if len(ts) < SHORTEST:
+            continue
         ids = np.fromiter(map(lookup.__getitem__, ts), np.int64, len(ts))
         starts, found = _windows(ids, size)
         hashes.setdefault(size, set()).update(found.tolist())
-        need = min(len(starts), max(1, min(LEAK, len(ts)) - size + 1))
-        windows += [(item, int(s), size, *_template(ts, ids, int(s), size), need) for s in starts]
-    return words, {k: np.array(sorted(v), np.uint64) for k, v in hashes.items()}, windows
+        need = min(len(starts), max(1, row))
+        windows += [(item, int(s), size, *_template(ts, ids, int(s), size), need, row) for s in starts]
+    sizes = lambda x: {k: np.array(sorted(v), np.uint64) for k, v in x.items()}
+    return (words, sizes(hashes), every, sizes(exact)), windows
+
+
+def _known(found: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    if known is None or not len(known) or not len(found):
+        return np.zeros(len(found), bool)
+    return known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -109,7 +147,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Both sides become templates: numbers, units and capitalised words that the benchmark never writes in lower case
     turn into typed placeholders. Windows of 8 template tokens are joined by hash. Per document, item and alignment
     the replaced values must be consistent: each benchmark value stands for one document value and the other way
-    round. An alignment leaks if its windows reach 13 tokens (the whole item where that is shorter).
+    round. An alignment leaks if its windows reach 13 tokens (the whole item where that is shorter), or if 13 tokens in
+    a row are the item's own, whatever the rest of it says. Windows with under 4 literals match only as they are.
 
     Returns one row per leaking document text and item: ``id_col, text_hash, item_col, n_windows, exact`` (no value
     was replaced).
@@ -117,7 +156,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     The benchmark is broadcast only in parts of at most ``broadcast_chars`` characters; a longer one takes several
     scans of the documents. Capitalised words are judged by the words of their part.
 
-    * null and empty texts leak nothing; items of fewer than 5 tokens are not looked for; repeated items count once;
+    * null and empty texts leak nothing; repeated items count once; items of fewer than 5 tokens are looked for as they
+      are, as a passage of their own (bounded by punctuation, line ends or the ends of the text);
     * repeated rows (same identifier and text) give one row; rows are keyed by identifier and text hash, so a
       null identifier is safe; empty tables give an empty result.
     """
@@ -134,24 +174,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def _find_part(docs: DataFrame, items: list, item_type, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    words, hashes, windows = _benchmark(items, "item", "text")
-    shared = spark.sparkContext.broadcast((words, hashes))  # bounded by broadcast_chars
+    index, windows = _benchmark(items, "item", "text")
+    shared = spark.sparkContext.broadcast(index)  # bounded by broadcast_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, hashes = shared.value
+        words, hashes, every, exact = shared.value
         lookup = _Ids(words)
         for batch in batches:
             rows, places, templates, slots = [], [], [], []
             for row, text in enumerate(batch.column("text")):
-                tokens = _TOKEN.findall(text.as_py() or "")
+                text = text.as_py() or ""
+                tokens = _TOKEN.findall(text)
                 ids = np.fromiter(map(lookup.__getitem__, tokens), np.int64, len(tokens))
-                for size, known in hashes.items():
+                own = np.fromiter((every.get(t.lower(), 0) for t in tokens), np.int64, len(tokens))
+                for size, known in exact.items():
                     starts, found = _windows(ids, size)
-                    if not len(starts):
-                        continue
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    for start in starts[known[at] == found].tolist() if len(known) else ():
-                        template, values = _template(tokens, ids, start, size)
+                    hit = starts[_known(found, hashes.get(size))].tolist()
+                    matched = [(start, *_template(tokens, ids, start, size)) for start in hit]
+                    starts, found = _windows(own, size, False)
+                    done = set(hit)
+                    for start in starts[_known(found, known)].tolist():
+                        if start not in done and (size >= SHORTEST or _alone(text, start, size)):
+                            matched.append((start, *_exact(tokens, start, size)))
+                    for start, template, values in matched:
                         rows.append(row)
                         places.append(start)
                         templates.append(template)
@@ -168,23 +213,32 @@ def _find_part(docs: DataFrame, items: list, item_type, id_col: str, text_col: s
     seen = rows.mapInArrow(run, f"id {ids}, text_hash long, place long, template string, slots array<string>")
     item = item_type.simpleString()
     table = spark.createDataFrame(
-        windows, f"item {item}, item_place long, size int, template string, item_slots array<string>, need int"
+        windows, f"item {item}, item_place long, size int, template string, item_slots array<string>, need int, row int"
     )
-    pairs = seen.join(F.broadcast(table), "template")  # at most a window per token of the part
+    pairs = seen.join(F.broadcast(table), "template")  # at most two windows per token of the part
     pairs = pairs.select(
-        "id", "text_hash", "item", "need", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
+        "id", "text_hash", "item", "need", "row", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
         F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours")).alias("values"),
     ).distinct()
     # At most a window per token of an item meets in one alignment, so the sets below are small.
+    same = F.forall("values", lambda v: v["theirs"] == v["ours"])
     aligned = pairs.groupBy("id", "text_hash", "item", "shift").agg(
         F.count_distinct("item_place").alias("n_windows"),
-        F.first("need").alias("need"),
+        F.count_distinct(F.when(F.col("need").isNotNull(), F.col("item_place"))).alias("n_templates"),
+        F.max("need").alias("need"),
+        F.first("row").alias("row"),
+        F.array_sort(F.collect_set(F.when(same, F.col("item_place")))).alias("verbatim"),
         F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"),
     )
     one_way = F.size(F.array_distinct(F.transform("values", lambda v: v["theirs"]))) == F.size("values")
     other_way = F.size(F.array_distinct(F.transform("values", lambda v: v["ours"]))) == F.size("values")
-    same = F.forall("values", lambda v: v["theirs"] == v["ours"])
-    leaks = aligned.where((F.col("n_windows") >= F.col("need")) & (same | (one_way & other_way)))
+    consistent = same | (one_way & other_way)
+    # the n-th place of a run is n - 1 after its first: places in order, ``row`` of them without a gap
+    in_row = F.exists(
+        F.transform("verbatim", lambda x, i: F.coalesce(F.get("verbatim", i + F.col("row") - 1) == x + F.col("row") - 1, F.lit(False))),
+        lambda x: x,
+    )
+    leaks = aligned.where(((F.col("n_templates") >= F.col("need")) & consistent) | in_row)
     return leaks.groupBy("id", "text_hash", "item").agg(F.max("n_windows").alias("n_windows"), F.max(same).alias("exact"))
 
 

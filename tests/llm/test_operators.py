@@ -294,6 +294,23 @@ PAGE = (
 )
 
 
+def test_verbatim_passages(spark):
+    long = "the 5 old boats near the quiet harbour carry salt and wood to a small island while 5 gulls follow them all the way home"
+    items = [
+        (1, "How many miles in 5 km"), (2, "Compute 12 + 45 - 7 * 3 + 88 + 21 - 6"), (3, long), (4, "Who wrote Hamlet?"),
+        (5, "green stones fall down the long slope and 1 2 3 4 5 kg 7 kg later rest beside calm water for ever"),
+    ]
+    near = long.replace("5 gulls", "6 gulls")
+    docs = [(10 * i, f"Some page. Q: {t} A: none") for i, t in items] + [
+        (31, "so " + near), (41, "they asked who wrote hamlet yesterday"), (21, "Compute 12 + 45 - 7 * 4 + 88 + 21 - 5"),
+        (51, "and so: fall down the long slope and 1 2 3 4 5 kg 7"), (11, "how many feet in 7 m"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.exact for r in found.collect()}
+    assert got == {(10, 1): True, (20, 2): True, (30, 3): True, (40, 4): True, (50, 5): True, (31, 3): False, (51, 5): True}
+
+
 def test_extraction(spark):
     rows = [(i, f"https://www.a.example.org/{i}", PAGE.replace("One", f"One{i}")) for i in range(6)]
     plain = "<html><body><div class=menu>Home</div><div class=x><p>Text {0} here</p><p>More {0}</p></div><div class=y>Same words</div></body></html>"
