@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ledgerlight import plans
 from ledgerlight.operators import integrity, payouts, similarity, validation
+from ledgerlight.plans import text
+from ledgerlight.sources import views
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the input tables")
@@ -157,3 +159,18 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["provider_id", "trust", "n_outputs"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_report_is_stored(spark, duck):
+    want = duck.execute(f"WITH {views.REPORTS} SELECT model_id, score FROM reports").fetchall()
+    assert sorted(map(str, want)) == sorted(str((r.model_id, r.score)) for r in plans.queries()["a7_read_report_store"](spark, SF).collect())
+
+
+def test_all_vectors_are_searched(spark, duck):
+    want = duck.execute("""SELECT q.vec_id, s.vec_id FROM embeddings q, embeddings s WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id
+        ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], s.embedding::DOUBLE[]), 9) DESC, s.vec_id) <= 8""").fetchall()
+    assert any(shard % 10 == 0 for _, shard in want)
+    assert sorted(want) == sorted((r.query_id, r.shard_id) for r in text._all_matches(spark, SF).collect())
+    receipts = plans.queries()["c4_attribution_receipts"](spark, SF)
+    assert receipts.count() == len({query for query, _ in want})
+    assert plans.queries()["c5_calibrate_alpha"](spark, SF).count() == 5
