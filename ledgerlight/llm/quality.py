@@ -115,29 +115,42 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     return model
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, **options) -> dict:
-    """Fit on about ``sample_rows`` labelled rows, chosen by a hash of the text: a documented bound.
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS,
+        id_col: str = "doc_id", **options) -> dict:
+    """Fit on at most ``sample_rows`` labelled rows, chosen by a hash of identifier and text: an enforced bound.
 
-    The executors compute the features of the sample; the driver fits the model from them. Rows without a label are
-    left out. Without labelled rows the model scores 0.5.
+    Copies of a text with different identifiers are chosen one by one. Either side of the label gets its share of the rows,
+    but a tenth at least where it has them. The executors compute the features of the sample; the driver fits the model from
+    them. Rows without a label are left out. Without labelled rows the model scores 0.5.
     """
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    share = min(1.0, sample_rows / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < round(share * 1_000_000))
+    # of the document's columns only, so that the choice goes before the join with the labels and whole texts do not move
+    hashed = [F.col(c) for c in (id_col, text_col) if c in labelled.columns]
+    rows = labelled.where(F.col(label_col).isNotNull()).select(
+        F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label"), F.xxhash64(*hashed).alias("key")
+    )
+    side = F.col("label") >= 0.5
+    sizes = {r["side"]: r["count"] for r in rows.groupBy(side.alias("side")).count().collect()}
+    total, kept = sum(sizes.values()), {}
+    for k, n in sorted(sizes.items(), key=lambda x: x[1]):  # the smaller side first, the larger takes what is left
+        kept[k] = min(n, sample_rows - sum(kept.values()), max(sample_rows // 10, round(sample_rows * n / total)))
+    # a little more than is needed, from which the least keys are taken
+    share = {k: min(1.0, (kept[k] + 5 * kept[k] ** 0.5) / n) for k, n in sizes.items()}
+    low = {k: F.pmod(F.col("key"), F.lit(1 << 40)) < round(x * (1 << 40)) for k, x in share.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t.as_py()) for t in batch.column("text")]
             index = pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32()))
             value = pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([index, value, batch.column("label").cast(pa.float64())], ["index", "value", "label"])
-
-    got = rows.mapInArrow(run, "index array<int>, value array<float>, label double").toArrow()
-    got = sorted(
-        ((i.values.to_numpy(), v.values.to_numpy().astype(float), y) for i, v, y in
-         zip(got["index"], got["value"], got["label"].to_pylist(), strict=True)),
-        key=lambda x: (len(x[0]), x[0].tobytes(), x[2]),
-    )
+            yield pa.RecordBatch.from_arrays([index, value, batch.column("label"), batch.column("key")], ["index", "value", "label", "key"])
+
+    got = []
+    for k, n in kept.items():
+        chosen = rows.where((side == k) & low[k]).mapInArrow(run, "index array<int>, value array<float>, label double, key long")
+        table = chosen.orderBy(F.pmod(F.col("key"), F.lit(1 << 40)), "key").limit(n).toArrow()
+        got += [(i.values.to_numpy(), v.values.to_numpy().astype(float), y) for i, v, y in
+                zip(table["index"], table["value"], table["label"].to_pylist(), strict=True)]
+    got.sort(key=lambda x: (len(x[0]), x[0].tobytes(), x[2]))
     return train([(i, v) for i, v, _ in got], np.array([y for *_, y in got]), **options)
 
 

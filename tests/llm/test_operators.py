@@ -251,6 +251,16 @@ def test_quality(spark, empty):
     assert quality.score_quality(empty, model).count() == 0
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    rows = [(i, None, 0) for i in range(1000)] + [(1000 + i, sentence(i, 20), int(i < 40)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    monkeypatch.setattr(quality, "train", lambda rows, labels: (rows, labels))
+    got, labels = quality.fit(df, sample_rows=100)
+    empty = len(quality.features(None)[0])
+    assert len(got) == 100 and labels.sum() == 10
+    assert 20 <= sum(len(i) == empty for i, _ in got) <= 70
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(1)
     model = {"b": 0.3, "w": rng.normal(size=50), "v": rng.normal(size=(50, 4))}
