@@ -51,8 +51,8 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, parts: int = 1000) -> DataFrame:
-    """Join each row with its group by ``key``, with no task for all rows of a very large group.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, parts: int = 1000) -> DataFrame:
+    """Join each row with its group by ``key`` (a column or several), with no task for all rows of a very large group.
 
     ``size`` is the group's number of rows, so fewer than ``parts`` groups can hold more than one part in ``parts`` of
     all rows: that bounds the broadcast, whatever the input. The rows of those groups stay where they are, the others
@@ -61,7 +61,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, parts:
     total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     hot = F.broadcast(groups.where(F.col(size) * parts > total))
     cold = groups.where(F.col(size) * parts <= total)
-    rest = rows.join(hot.select(key), key, "left_anti").join(cold, key)
+    rest = rows.join(hot.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(cold, key)
     return rows.join(hot, key).unionByName(rest)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_groups, shared_checkpoint, shuffle_partitions
+from .common import ascii_lower, shared_checkpoint, shuffle_partitions
 
 #: Characters of the normalised text that the sampled splitters see. Splitters are drawn from samples
 #: that pass through the driver, so the sampled key has to be short whatever the texts are.
@@ -13,15 +13,16 @@ LEAD_CHARS = 64
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", lead_chars: int = LEAD_CHARS
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", lead_chars: int = LEAD_CHARS,
+    parts: int | None = None,
+) -> DataFrame:
     """Group equal texts (equal after lower-casing A-Z only) and choose the row of each group that stays.
 
-    Texts are range-partitioned by sampled splitters over (leading characters, salt), where the salt
-    comes from the identifier, so that the copies of one very frequent text spread over many partitions.
-    Each partition is sorted by its whole texts on disk if need be, and neighbours are compared in full.
-    Runs of one text that different salts hold are then merged by the digest of the text; only digests
-    and identifiers move in that step, and those of very large groups do not move at all.
+    Texts are range-partitioned by sampled splitters over (leading characters, hash of the text, salt). Each partition is
+    sorted by whole texts, on disk if need be, and neighbours are compared in full: a run of equal texts is a group. Only
+    texts with more than one part in ``parts`` of all rows (default: a quarter of a partition's share), of which there are
+    fewer than ``parts``, have a salt (from the identifier), so that their copies spread over many partitions; their runs,
+    one row each, are joined end to end by comparing whole texts again.
 
     Returns one row per input row: ``id_col, keep_id, group_size, kept, text_sha256``.
 
@@ -32,25 +33,40 @@ def exact_dedup(
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
     n = shuffle_partitions(docs)
+    parts = parts or 4 * n
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        text.alias("text"),
-        ascii_lower(F.substring(text, 1, lead_chars)).alias("lead"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).alias("salt"),
-    )
-    placed = rows.repartitionByRange(n, "lead", "salt").select(
-        "id", "lead", "salt", ascii_lower(F.col("text")).alias("norm")
-    )
+    rows = docs.select(F.col(id_col).alias("id"), ascii_lower(text).alias("norm"))
+    rows = rows.select("id", "norm", F.xxhash64("norm").alias("place"))
+    counts = shared_checkpoint(rows.groupBy("place").agg(F.count(F.lit(1)).alias("copies")))
+    total = counts.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("copies") * parts > total).select("place", F.lit(True).alias("hot"))  # fewer than ``parts`` rows
+    salted = rows.join(F.broadcast(hot), "place", "left").select(
+        "id", "norm", "place", F.substring("norm", 1, lead_chars).alias("lead"),
+        F.when(F.col("hot"), F.pmod(F.xxhash64(F.col("id")), F.lit(n))).alias("salt"),
+    )
+    best = (lambda c: F.max(c)) if keep == "largest" else (lambda c: F.min(c))
     order = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
-    run = Window.partitionBy("lead", "salt", "norm").orderBy(order)
-    runs = placed.withColumn("place", F.row_number().over(run)).select(
-        "id", (F.col("place") == 1).alias("first"), F.unhex(F.sha2(F.col("norm"), 256)).alias("digest")
-    )
-    runs = shared_checkpoint(runs)
-    best = F.max("id") if keep == "largest" else F.min("id")
-    groups = shared_checkpoint(runs.groupBy("digest").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    return join_groups(runs, groups, "digest", "group_size").select(
+    run = ("lead", "place", "salt", "norm")
+    whole = Window.partitionBy(*run)
+    placed = salted.repartitionByRange(n, "lead", "place", "salt")
+    runs = placed.select(
+        "id", "salt", "norm",
+        F.row_number().over(whole.orderBy(order)).alias("nth"),
+        best("id").over(whole).alias("keep_id"),
+        F.count(F.lit(1)).over(whole).alias("group_size"),
+    )
+    runs = shared_checkpoint(runs.select(
+        "id", "salt", (F.col("nth") == 1).alias("first"), "keep_id", "group_size",
+        F.when(F.col("salt").isNotNull() & (F.col("nth") == 1), F.col("norm")).alias("norm"),
+        F.unhex(F.sha2(F.col("norm"), 256)).alias("digest"),
+    ))
+    alone = runs.where(F.col("salt").isNull()).select("id", "first", "keep_id", "group_size", "digest")
+    merged = runs.where(F.col("norm").isNotNull()).groupBy("norm").agg(
+        best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.first("digest").alias("digest")
+    ).drop("norm")
+    # a row for each hot text
+    spread = runs.where(F.col("salt").isNotNull()).select("id", "first", "digest").join(F.broadcast(merged), "digest")
+    return alone.unionByName(spread).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",

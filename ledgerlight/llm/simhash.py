@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -21,26 +21,27 @@ _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 BLOCK, POSTING_MAX = 1 << 15, 20_000
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """64-bit SimHash of the word shingles of ``text`` (A-Z lowered); 0 without words.
+def fingerprints(text: str | None, words: int = 4, seeds: Sequence[int] = (SEED,)) -> list[int]:
+    """64-bit SimHashes, one a seed, of the word shingles of ``text`` (A-Z lowered); 0 without words.
 
     A bit is 1 where more than half of the shingles' XXH64 values have it. Whole texts, repeats included.
     """
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not tokens:
-        return 0
+        return [0] * len(seeds)
     line = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     reach = min(words, len(tokens)) - 1
     starts, ends = starts[: len(tokens) - reach], ends[reach:]
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((len(seeds), BITS), np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), BLOCK):
-        cut = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)
-        hashes = np.array([digest(line[a:z], SEED) for a, z in cut], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view(np.int64)[0])
+        cut = list(zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True))
+        for k, seed in enumerate(seeds):
+            hashes = np.array([digest(line[a:z], seed) for a, z in cut], np.uint64)
+            ones[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return [int(np.packbits(one * 2 > len(starts), bitorder="little").view(np.int64)[0]) for one in ones]
 
 
 def _forest(links: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -60,25 +61,27 @@ def _forest(links: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
-def _close(left: np.ndarray, right: np.ndarray, distance: int) -> np.ndarray:
-    return np.bitwise_count(left.view(np.uint64) ^ right.view(np.uint64)) <= distance
+def _close(rows: np.ndarray, at: np.ndarray, distance: int) -> np.ndarray:
+    """Which columns of ``rows`` (a fingerprint a row, a node a column) differ from ``at`` in few enough bits."""
+    differing = np.bitwise_count(rows.view(np.uint64) ^ at.view(np.uint64))
+    return differing.sum(0, dtype=np.int64) <= distance
 
 
-def _walk(values: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """Links of a spanning forest of one posting: every fingerprint is reached once."""
-    rest = values
-    while len(rest):
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            at = queue.pop()
-            near = _close(rest, np.array([at]), distance)
-            queue.extend(rest[near])
-            yield from ((int(at), int(x)) for x in rest[near])
-            rest = rest[~near]
+def _walk(ids: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
+    """Links of a spanning forest of one posting: every node is reached once."""
+    while len(ids):
+        queue, ids, prints = [(ids[0], prints[:, :1])], ids[1:], prints[:, 1:]
+        while queue and len(ids):
+            node, at = queue.pop()
+            near = _close(prints, at, distance)
+            found = np.flatnonzero(near)
+            queue.extend((ids[i], prints[:, i : i + 1]) for i in found)
+            yield from ((int(node), int(ids[i])) for i in found)
+            ids, prints = ids[~near], prints[:, ~near]
 
 
-def _posting_links(distance: int, posting_max: int):
-    """Over rows sorted by (mask, key): links inside each posting; a posting over ``posting_max`` gives its key instead."""
+def _posting_links(columns: int, distance: int, posting_max: int):
+    """Over rows sorted by (code, key): links inside each posting; a posting over ``posting_max`` gives its key instead."""
 
     def emit(links: list, long: list) -> pa.RecordBatch:
         kept = list(_forest(links))
@@ -90,10 +93,10 @@ def _posting_links(distance: int, posting_max: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros((3, 0), np.int64)]  # the rows of the posting that is still open
+        held: list[np.ndarray] = [np.zeros((columns, 0), np.int64)]  # the rows of the posting that is still open
         size = 0
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)])
             if not rows.shape[1]:
                 continue
             links, long = [], []
@@ -119,12 +122,18 @@ def _posting_links(distance: int, posting_max: int):
     return run
 
 
+def _prints(rows: np.ndarray) -> np.ndarray:
+    """The fingerprints of index rows: after the node, or the node itself."""
+    return np.ascontiguousarray(rows[3:] if len(rows) > 3 else rows[2:])
+
+
 def _posting(held: list, size: int, links: list, long: list, distance: int, posting_max: int) -> None:
     if size > posting_max:
         head = next(h for h in held if h.shape[1])
         long.append((int(head[1, 0]), int(head[0, 0])))
     elif size > 1:
-        links.extend(_walk(np.concatenate(held, axis=1)[2], distance))
+        rows = np.concatenate(held, axis=1)
+        links.extend(_walk(rows[2], _prints(rows), distance))
 
 
 def _short(rows: np.ndarray, links: list, long: list, distance: int, posting_max: int) -> None:
@@ -135,91 +144,101 @@ def _short(rows: np.ndarray, links: list, long: list, distance: int, posting_max
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, rows.shape[1]))
     two = starts[sizes == 2]
-    near = two[_close(rows[2, two], rows[2, two + 1], distance)]
+    near = two[_close(_prints(rows[:, two]), _prints(rows[:, two + 1]), distance)]
     links.extend(zip(rows[2, near].tolist(), rows[2, near + 1].tolist(), strict=True))
     for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
         _posting([rows[:, start : start + size]], size, links, long, distance, posting_max)
 
 
-def fingerprint_links(fingerprints: DataFrame, distance: int = 4, posting_max: int = POSTING_MAX) -> DataFrame:
-    """Links ``(a, b)`` that connect all fingerprints (column ``fp``, distinct) at ``distance`` or fewer differing bits.
+def fingerprint_links(nodes: DataFrame, distance: int = 4, posting_max: int = POSTING_MAX, prints: Sequence[str] = ("fp",),
+                      node: str = "fp", share: int | None = None) -> DataFrame:
+    """Links ``(a, b)`` that connect all nodes whose fingerprints differ in ``distance`` bits or fewer, all ``prints`` together.
 
-    Two such fingerprints share at least 8 - distance of their positional bytes. Postings of single bytes grow with
-    the square of the corpus when pairs are tallied over them, so the index holds the intersections of that many
-    postings (for 4: the 70 choices of 4 byte positions). Sharing one of them is the same as reaching the guaranteed
-    count; each pair found there is then verified. Of a dense posting only a spanning forest of links is given.
-    Postings over ``posting_max`` are cut into blocks, and every pair of blocks is compared in a task of its own.
+    Nodes share ``share`` positional bytes of one fingerprint at least; for one fingerprint the guaranteed count is
+    8 - distance, and then no link is lost. Postings of single bytes grow with the square of the corpus when pairs are
+    tallied over them, so the index holds the intersections of ``share`` postings (of 4: the 70 choices of 4 byte
+    positions). Sharing one of them is the same as reaching the count; each pair found there is then verified. Of a
+    dense posting only a spanning forest of links is given. Postings over ``posting_max`` are cut into blocks, and every
+    pair of blocks is compared in a task of its own.
     """
-    share = BYTES - distance
+    share = max(1, BYTES - distance) if share is None else share
     masks = [sum(0xFF << 8 * p for p in ps) for ps in combinations(range(BYTES), share)]
     masks = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
-    index = fingerprints.select("fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")).select(
-        "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
-    )
-    n = shuffle_partitions(fingerprints)
+    columns = ["code", "key", node, *[p for p in prints if p != node]]
+    each = [
+        F.struct(F.lit(i * len(masks) + j).cast("long").alias("code"), F.col(p).bitwiseAND(F.lit(m)).alias("key"))
+        for i, p in enumerate(prints) for j, m in enumerate(masks)
+    ]
+    index = nodes.select(*columns[2:], F.explode(F.array(*each)).alias("at")).select("at.*", *columns[2:])
+    n = shuffle_partitions(nodes)
     found = (
-        index.repartition(n, "mask", "key")
-        .sortWithinPartitions("mask", "key")
-        .mapInArrow(_posting_links(distance, posting_max), "a long, b long, long boolean")
+        index.repartition(n, "code", "key")
+        .sortWithinPartitions("code", "key")
+        .mapInArrow(_posting_links(len(columns), distance, posting_max), "a long, b long, long boolean")
     )
     found = shared_checkpoint(found)
     links = found.where(~F.col("long")).select("a", "b")
-    long = found.where("long").select(F.col("a").alias("key"), F.col("b").alias("mask"))
+    long = found.where("long").select(F.col("a").alias("key"), F.col("b").alias("code"))
     if long.isEmpty():
         return links
-    sizes = index.join(long, ["mask", "key"], "left_semi").groupBy("mask", "key").count()
-    sizes = sizes.select("mask", "key", F.ceil(F.col("count") / posting_max).cast("int").alias("blocks"))
-    rows = index.join(sizes, ["mask", "key"]).withColumn(
-        "block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    )
+    sizes = index.join(long, ["code", "key"], "left_semi").groupBy("code", "key").count()
+    sizes = sizes.select("code", "key", F.ceil(F.col("count") / posting_max).cast("int").alias("blocks"))
+    rows = index.join(sizes, ["code", "key"]).withColumn("block", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select(
-        "mask", "key", "fp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+    rows = rows.select(*columns, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def compare(group):
-        values = group["fp"].to_numpy()
-        left = np.sort(values[group["block"].to_numpy() == group["i"].to_numpy()])
-        right = np.sort(values[group["block"].to_numpy() != group["i"].to_numpy()])
-        if not len(right):
-            pairs = list(_walk(left, distance))
+        table = np.stack([group[c].to_numpy() for c in columns])
+        here = group["block"].to_numpy() == group["i"].to_numpy()
+        left, right = table[:, here], table[:, ~here]
+        left, right = left[:, np.argsort(left[2])], right[:, np.argsort(right[2])]
+        if not right.shape[1]:
+            pairs = list(_walk(left[2], _prints(left), distance))
         else:
-            pairs = list(_forest((int(x), int(y)) for x in left for y in right[_close(right, np.array([x]), distance)]))
+            theirs = _prints(right)
+            pairs = list(_forest((int(x), int(y)) for x, at in zip(left[2], _prints(left).T, strict=True)
+                                 for y in right[2, _close(theirs, np.ascontiguousarray(at)[:, None], distance)]))
         import pandas as pd
 
         return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
-    return links.unionByName(rows.groupBy("mask", "key", "i", "j").applyInPandas(compare, "a long, b long"))
+    return links.unionByName(rows.groupBy("code", "key", "i", "j").applyInPandas(compare, "a long, b long"))
 
 
-def simhash_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4
-) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4,
+                       seeds: Sequence[int] = (SEED,), share: int | None = None) -> DataFrame:
     """Fingerprint of each document and the component of near duplicates it belongs to.
 
-    Copies with one fingerprint become one node before the index is built, so groups of copies cost a row each.
+    Copies with the same fingerprints become one node before the index is built, so groups of copies cost a row each.
+    ``distance`` is over all fingerprints of a document, one a seed; ``share`` as in ``fingerprint_links``.
 
-    Returns one row per input row: ``id_col, fingerprint`` (LONG), ``component_id`` (the smallest identifier that can
-    be reached over links, the row's own included).
+    Returns one row per input row: ``id_col, fingerprint`` (LONG, of the first seed), ``component_id`` (the smallest
+    identifier that can be reached over links, the row's own included).
 
     * null and empty texts have fingerprint 0, which links like any other;
     * null identifiers are ignored in ``component_id``; it is null only if all identifiers of a component are;
     * repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
     """
+    fps = [f"fp{i}" for i in range(len(seeds))]
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(t.as_py(), words) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp, pa.int64())], ["id", "fp"])
+            found = np.array([fingerprints(t.as_py(), words, seeds) for t in batch.column("text")], np.int64).reshape(-1, len(seeds))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(x) for x in found.T]], ["id", *fps])
 
     ids = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = shared_checkpoint(rows.mapInArrow(prints, f"id {ids}, fp long"))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    roots = shared_checkpoint(components(fingerprint_links(nodes.select("fp"), distance)))
-    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    nodes = shared_checkpoint(nodes.select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")))
+    rows = shared_checkpoint(rows.mapInArrow(run, f"id {ids}, {', '.join(f'{x} long' for x in fps)}"))
+    nodes = rows.groupBy(*fps).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    if len(fps) == 1:
+        node = "fp0"
+    else:  # numbered once, in a table that is read again
+        node, nodes = "node", shared_checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
+    links = fingerprint_links(nodes.select(*{node: 0, **dict.fromkeys(fps)}), distance, prints=fps, node=node, share=share)
+    roots = shared_checkpoint(components(links)).withColumnRenamed("node", "of")
+    nodes = nodes.join(roots, F.col(node) == F.col("of"), "left")
+    nodes = shared_checkpoint(nodes.select(*fps, "least", "copies", F.coalesce("root", node).alias("root")))
     groups = shared_checkpoint(nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints")))
-    nodes = shared_checkpoint(join_groups(nodes, groups, "root", "prints").select("fp", "copies", "component_id"))
-    found = join_groups(rows, nodes, "fp", "copies")
-    return found.select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+    nodes = shared_checkpoint(join_groups(nodes, groups, "root", "prints").select(*fps, "copies", "component_id"))
+    found = join_groups(rows, nodes, fps, "copies")
+    return found.select(F.col("id").alias(id_col), F.col("fp0").alias("fingerprint"), "component_id")
