@@ -1,4 +1,4 @@
-"""Exact duplicate substrings: suffixes sampled by minimisers, sorted in buckets, compared with their neighbours."""
+"""Exact duplicate substrings: sampled suffixes, range-partitioned and sorted by their leading bytes, compared with neighbours."""
 
 from __future__ import annotations
 
@@ -11,14 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_checkpoint, shuffle_partitions
+from .common import join_groups, shared_checkpoint, shared_table, shuffle_partitions
 
 LENGTH = 200
-#: Bytes of the leading gram that names a bucket.
+#: Bytes of the leading gram of a sampled suffix.
 GRAM = 48
-#: Windows of one bucket that a task sorts at once; the windows of larger ones are dealt out singly.
+#: Windows under one leading gram that a task sorts at once; the windows of more frequent ones are dealt out singly.
 BUCKET_MAX = 100_000
-WHOLE, PART, COPY = 0, 1, 2
+#: Windows that are sorted in one go.
+SORT_BLOCK = 200_000
+WHOLE, PART, COPY, EDGE = 0, 1, 2, 3
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.uint64(pow(_BASE, 1 << i, 1 << 64)) for i in range(7)]
@@ -39,17 +41,23 @@ def _gram_hashes(data: bytes) -> np.ndarray:
     return gram ^ (gram >> np.uint64(29))
 
 
-def runs(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of ``length`` bytes, as runs of neighbours that share their least gram hash.
+def _leads(data: bytes, places: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as signed numbers in the order of the bytes."""
+    each = np.frombuffer(data, np.uint8)[places[:, None] + np.arange(8)]
+    return (np.ascontiguousarray(each).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def runs(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Windows of ``length`` bytes, as runs of neighbours that share their least gram: the suffix there is kept.
 
     The least gram of a window depends on its bytes alone, so equal windows, wherever they are, belong to runs of the
-    same gram. Returns first and last window start, gram hash, and whether the gram repeats in these data (then
-    windows of one run may equal each other).
+    same gram. Returns first and last window start, the suffix's leading bytes, gram hash, and whether the gram repeats in
+    these data (then windows of one run may equal each other).
     """
     width = length - GRAM + 1
     if len(data) < length:
         empty = np.zeros(0, np.int64)
-        return empty, empty, np.zeros(0, np.uint64), np.zeros(0, bool)
+        return empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, bool)
     grams = _gram_hashes(data)
     least, step = grams, 1
     while step * 2 <= width:
@@ -60,141 +68,228 @@ def runs(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     last = np.append(first[1:], n) - 1
     names = least[first]
-    low = np.sort(grams[grams <= names.max()])
-    repeated = np.searchsorted(low, names, "right") - np.searchsorted(low, names, "left") > 1
-    return first, last, names, repeated
+    low = np.flatnonzero(grams <= names.max())
+    low = low[np.argsort(grams[low], kind="stable")]
+    left, right = (np.searchsorted(grams[low], names, side) for side in ("left", "right"))
+    at = low[left]
+    repeated = right - left > 1
+    for i in np.flatnonzero(repeated & (at < first)).tolist():
+        same = low[left[i] : right[i]]
+        at[i] = same[np.searchsorted(same, first[i])]
+    return first, last, _leads(data, at), names, repeated
 
 
 def _runs_of_rows(length: int):
+    names = ["uid", "lead", "gram", "content", "first", "last", "repeated"]
+    types = [np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, bool]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[] for _ in range(6)]
+            found = [[] for _ in names]
             for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text"), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                first, last, names, repeated = runs(data, length)
+                first, last, leads, grams, repeated = runs(data, length)
                 if not len(first):
                     continue
                 ends = (last + length).tolist()
                 content = [xxhash.xxh3_64_intdigest(data[a:z]) for a, z in zip(first.tolist(), ends, strict=True)]
-                values = (np.full(len(first), uid), names.view(np.int64), np.array(content, np.uint64).view(np.int64), first, last, repeated)
+                content = np.array(content, np.uint64).view(np.int64)
+                values = (np.full(len(first), uid), leads, grams.view(np.int64), content, first, last, repeated)
                 for column, value in zip(found, values, strict=True):
                     column.append(value)
             if found[0]:
-                names = ["uid", "gram", "content", "first", "last", "repeated"]
-                types = [np.int64, np.int64, np.int64, np.int32, np.int32, bool]
                 columns = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(found, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
+_SORTED = ("lead", "gram", "content", "uid", "first", "last", "repeated")
+_LABELLED = "kind int, size int, several boolean, lead long, gram long, content long, uid long, first int, last int, repeated boolean"
+
+
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over runs sorted by (gram, content). Runs whose content occurs twice are WHOLE: all their windows repeat.
-    Other runs of a gram that has several contents, or that repeats in its text, are PART; one of each WHOLE content
-    goes along as a COPY to compare with. State: the runs of the content that is still open, one held run."""
-    names = ["uid", "gram", "content", "first", "last", "repeated"]
-    rest = None
-
-    def out(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        n = len(rows["gram"])
-        new_gram = np.concatenate(([True], rows["gram"][1:] != rows["gram"][:-1]))
-        new = new_gram | np.concatenate(([True], rows["content"][1:] != rows["content"][:-1]))
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, n))
-        whole = np.repeat(sizes > 1, sizes)
-        grams = np.flatnonzero(new_gram)
-        contents = np.add.reduceat(new.astype(np.int64), grams)
-        several = np.repeat(contents > 1, np.diff(np.append(grams, n)))
-        part = ~whole & (several | rows["repeated"])
-        copy = whole & new & several
-        kinds, index = [], []
-        for kind, chosen in ((WHOLE, whole), (PART, part), (COPY, copy)):
-            at = np.flatnonzero(chosen)
-            index.append(at)
-            kinds.append(np.full(len(at), kind, np.int32))
-        at = np.concatenate(index)
-        columns = [pa.array(np.concatenate(kinds))] + [pa.array(rows[c][at]) for c in ("uid", "gram", "first", "last")]
-        return pa.RecordBatch.from_arrays(columns, ["kind", "uid", "gram", "first", "last"])
+    """Over runs sorted by (lead, gram, content), each compared with its neighbours.
+
+    Equal neighbours are WHOLE: all their windows repeat. Other runs of a gram that has several contents, or that repeats
+    in its text, are PART; one of each WHOLE content goes along as a COPY to compare with. One run of the first and of the
+    last content of a partition is an EDGE, which the neighbouring partitions decide. State: one run and its count.
+    """
+    held: dict | None = None  # the first run of the content that is still open
+    size, before, opening = 0, False, True
+
+    def out(rows: dict[str, np.ndarray], kind, size, several) -> pa.RecordBatch:
+        n = len(rows["uid"])
+        head = [np.broadcast_to(np.asarray(x, t), n) for x, t in ((kind, np.int32), (size, np.int32), (several, bool))]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*head, *(rows[c] for c in _SORTED))], ["kind", "size", "several", *_SORTED])
 
     for batch in batches:
-        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-        if rest is not None:
-            rows = {c: np.concatenate([rest[c], rows[c]]) for c in names}
-        if not len(rows["gram"]):
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _SORTED}
+        n = len(rows["uid"])
+        if not n:
             continue
-        # the last gram may go on in the next batch
-        cut = int(np.searchsorted(rows["gram"], rows["gram"][-1]))
-        rest = {c: v[cut:] for c, v in rows.items()}
-        if cut:
-            yield out({c: v[:cut] for c, v in rows.items()})
-    if rest is not None:
-        yield out(rest)
+        new_gram, new = np.zeros(n, bool), np.zeros(n, bool)
+        for c in ("lead", "gram", "content"):
+            differs = rows[c][1:] != rows[c][:-1]
+            new[1:] |= differs
+            new[0] |= held is None or rows[c][0] != held[c][0]
+            if c != "content":
+                new_gram[1:] |= differs
+                new_gram[0] |= held is None or rows[c][0] != held[c][0]
+        again = np.flatnonzero(~new)
+        if len(again):
+            yield out({c: v[again] for c, v in rows.items()}, WHOLE, 0, False)
+        starts = np.flatnonzero(new)
+        if not len(starts):
+            size += n
+            continue
+        # groups that end here: the held one, then all but the last that start here
+        heads = {c: v[starts] for c, v in rows.items()}
+        sizes = np.diff(np.append(starts, n))
+        linked = ~new_gram[starts]  # has the gram of the group before
+        if held is not None:
+            heads = {c: np.concatenate([held[c], v]) for c, v in heads.items()}
+            sizes = np.concatenate([[size + starts[0]], sizes])
+            linked = np.concatenate([[before], linked])
+        ended = {c: v[:-1] for c, v in heads.items()}
+        several = linked[:-1] | linked[1:]
+        if len(several):
+            repeated, equal = ended["repeated"], sizes[:-1] > 1
+            kind = np.where(equal, WHOLE, np.where(several | repeated, PART, -1))
+            copy = equal & several
+            if opening:
+                kind[0], copy[0], opening = EDGE, False, False
+            for chosen, kinds in ((kind >= 0, kind), (copy, np.full(len(kind), COPY))):
+                if chosen.any():
+                    yield out({c: v[chosen] for c, v in ended.items()}, kinds[chosen], sizes[:-1][chosen], several[chosen])
+        held, size, before = {c: v[-1:] for c, v in heads.items()}, int(sizes[-1]), bool(linked[-1])
+    if held is not None:
+        yield out(held, EDGE, size, before)
+
+
+def label_runs(found: DataFrame, n: int) -> DataFrame:
+    """Runs that repeat or may repeat in part, from ``found`` (columns of _SORTED): ``kind, uid, lead, gram, first, last``.
+
+    Sampled splitters over (leading bytes, gram, content, row) deal the runs to ranges, so that even one gram or content may
+    span several; each range is sorted and neighbours are compared. What two ranges share is decided from their edges, two
+    runs a range.
+    """
+    labels = shared_checkpoint(
+        found.repartitionByRange(n, "lead", "gram", "content", "uid").sortWithinPartitions("lead", "gram", "content")
+        .select(*_SORTED).mapInArrow(_label, _LABELLED)
+    )
+    edges = labels.where(F.col("kind") == EDGE).drop("kind")
+    contents = edges.groupBy("lead", "gram", "content").agg(
+        F.sum("size").alias("total"), F.max("several").alias("some"), F.min(F.struct("uid", "first")).alias("one")
+    )
+    grams = contents.groupBy("lead", "gram").agg((F.max("some") | (F.count(F.lit(1)) > 1)).alias("more"))
+    edges = edges.join(contents, ["lead", "gram", "content"]).join(grams, ["lead", "gram"])
+    is_copy = F.col("more") & F.struct("uid", "first").eqNullSafe(F.col("one"))
+    kinds = F.when(F.col("total") > 1, F.array(F.lit(WHOLE), F.when(is_copy, COPY))).when(
+        F.col("more") | F.col("repeated"), F.array(F.lit(PART))
+    )
+    decided = edges.withColumn("kind", F.explode(F.array_compact(kinds)))
+    columns = ("kind", "uid", "lead", "gram", "first", "last")
+    return labels.where(F.col("kind") != EDGE).select(*columns).unionByName(decided.select(*columns))
 
 
-def _compare(length: int):
-    """Over contents sorted by gram: sort each bucket's windows and compare neighbours in full."""
-
-    def bucket(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
-        windows, owners = [], []
-        for i, (_, _, _, data) in enumerate(rows):
-            n = len(data) - length + 1
-            windows += [data[j : j + length] for j in range(n)]
-            owners += [(i, j) for j in range(n)]
-        order = sorted(range(len(windows)), key=windows.__getitem__)
-        equal = [windows[a] == windows[b] for a, b in zip(order, order[1:], strict=False)]
-        marks: dict[int, list[int]] = {}
-        for at, index in enumerate(order):
-            if (at and equal[at - 1]) or (at < len(equal) and equal[at]):
-                i, j = owners[index]
-                marks.setdefault(i, []).append(j)
-        for i, places in marks.items():
-            kind, uid, first, _ = rows[i]
-            if kind == PART:
-                yield from ((uid, first + a, first + z + length) for a, z in _joined(np.sort(np.array(places))))
+def _cut(length: int):
+    """Over (uid, text, runs): the bytes of every run; a text is encoded once."""
+    names = ["kind", "uid", "lead", "gram", "large", "first", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_gram, rows, found = None, [], []
+        for batch in batches:
+            out = [[] for _ in names]
+            for uid, text, runs_ in zip(batch.column("uid").to_pylist(), batch.column("text"), batch.column("runs").to_pylist(), strict=True):
+                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                for r in runs_:
+                    values = (r["kind"], uid, r["lead"], r["gram"], r["large"], r["first"], data[r["first"] : r["last"] + length])
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["uid", "start", "end"])
+    return run
 
+
+def equal_windows(contents: list[bytes], groups: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(content, place) of all windows that equal another window of their group.
+
+    Multikey quicksort, breadth first: windows are ordered by their first eight bytes, then those that tie by the next
+    eight, until all differ or whole windows are equal.
+    """
+    sizes = np.fromiter(map(len, contents), np.int64, len(contents))
+    counts = sizes - length + 1
+    base = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(contents)), counts)
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    buffer = np.frombuffer(b"".join(contents), np.uint8)
+    word, step = buffer.astype(np.uint64), 1
+    while step < 8:  # the number at each place is that of the eight bytes from there on
+        word = (word[:-step] << np.uint64(8 * step)) | word[step:]
+        step *= 2
+    at, group = base[owner] + place, np.asarray(groups)[owner]
+    rest = np.arange(len(at))
+    for offset in [*range(0, length - 8, 8), length - 8]:
+        key = word[at[rest] + offset]
+        order = np.lexsort((key, group))
+        rest, key, group = rest[order], key[order], group[order]
+        new = np.ones(len(rest), bool)
+        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        rest, group = rest[tied], np.cumsum(new)[tied]
+        if not len(rest):
+            break
+    return owner[rest], place[rest]
+
+
+def _compare(length: int):
+    """Over contents with the rows of a gram together: sort each gram's windows and compare neighbours in full."""
+
+    def spans(rows: list[tuple]) -> pa.RecordBatch:
+        grams = np.array([r[:2] for r in rows], np.int64).reshape(-1, 2)
+        group = np.cumsum(np.concatenate(([0], (grams[1:] != grams[:-1]).any(1)))) if len(rows) else np.zeros(0, np.int64)
+        owner, place = equal_windows([r[5] for r in rows], group, length) if rows else (np.zeros(0, np.int64),) * 2
+        part = np.array([r[2] == PART for r in rows], bool)[owner]
+        uid, start = (np.array([r[k] for r in rows], np.int64)[owner][part] for k in (3, 4))
+        start = start + place[part]
+        order = np.lexsort((start, uid))
+        uid, start = uid[order], start[order]
+        cut = np.flatnonzero((uid[1:] != uid[:-1]) | (start[1:] != start[:-1] + 1)) + 1
+        first, last = (np.concatenate(x).astype(np.int64) for x in (([0], cut), (cut - 1, [len(uid) - 1]))) if len(uid) else (uid, uid)
+        return pa.RecordBatch.from_arrays([pa.array(uid[first]), pa.array(start[first]), pa.array(start[last] + length)], ["uid", "start", "end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size, open_gram = [], 0, None
         for batch in batches:
-            grams = batch.column("gram").to_pylist()
-            values = zip(*(batch.column(c).to_pylist() for c in ("kind", "uid", "first", "data")), strict=True)
-            for gram, row in zip(grams, values, strict=True):
-                if gram != open_gram:
-                    found += bucket(rows)
-                    open_gram, rows = gram, []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("lead", "gram", "kind", "uid", "first", "data")), strict=True):
+                if size >= SORT_BLOCK and row[:2] != open_gram:
+                    yield spans(rows)
+                    rows, size = [], 0
+                open_gram = row[:2]
                 rows.append(row)
-            yield flush()
-            found.clear()
-        found += bucket(rows)
-        yield flush()
+                size += len(row[5]) - length + 1
+        yield spans(rows)
 
     return run
 
 
-def _joined(places: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of consecutive numbers, as (first, last)."""
-    cuts = np.flatnonzero(np.diff(places) > 1) + 1
-    for group in np.split(places, cuts):
-        yield int(group[0]), int(group[-1])
-
-
 def _single_windows(length: int):
+    """Each window by itself, under the two halves of its 128-bit digest; ``last`` is negative in what is only to compare with."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, uid, first, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "uid", "first", "data")), strict=True):
                 n = len(data) - length + 1
                 for at in range(0, n, 10_000):
                     places = np.arange(at, min(n, at + 10_000))
-                    digests = [xxhash.xxh3_128_digest(data[j : j + length]) for j in places.tolist()]
-                    part = np.full(len(places), kind == PART)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(digests, pa.binary()), pa.array(np.full(len(places), uid)), pa.array(first + places), pa.array(part)],
-                        ["digest", "uid", "start", "part"],
-                    )
+                    digests = b"".join(xxhash.xxh3_128_digest(data[j : j + length]) for j in places.tolist())
+                    halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                    start = (first + places).astype(np.int32)
+                    values = (np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]), np.zeros(len(places), np.int64), np.full(len(places), uid), start,
+                              start if kind == PART else np.full(len(places), -1, np.int32), np.zeros(len(places), bool))
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], list(_SORTED))
 
     return run
 
@@ -235,63 +330,59 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    bucket_max: int = BUCKET_MAX) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts elsewhere in the table.
 
-    Only suffixes at the least 48-byte gram of each window are kept, about one in 77 bytes. They are shuffled by that
-    leading gram (its hash, which is uniform, so equal ranges of it need no sampled splitters). Within a gram, runs of
-    windows with identical content are settled by their digests. For what is left, the contents move to the bucket of
-    their gram, where their windows are sorted and each is compared in full with its neighbours. A gram is never cut by
-    a bucket's boundary; grams with more than ``bucket_max`` windows are dealt out window by window instead
-    and compared by 128-bit digests.
+    Sorting every suffix would move about eight times the input. Only the suffixes at the least 48-byte gram of each window
+    are kept, about one in 77 bytes, each for the run of windows that it is least for; equal windows have equal least grams.
+    Sampled splitters range-partition them by their leading bytes, ranges are sorted, and neighbours are compared, also
+    across the boundaries of ranges: runs of windows with one content (leading bytes and two 64-bit hashes agree) repeat as
+    a whole. Where contents of one gram differ, their bytes are fetched, their windows sorted by multikey quicksort, and
+    neighbours compared in full. The windows of a gram with more than ``bucket_max`` of them are dealt out singly, and
+    sorted and compared across boundaries by 128-bit digests.
 
     Returns one row per input row: ``id_col, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes).
 
     * null and empty texts have no bytes; texts shorter than ``length`` lose nothing; matches never cross rows;
-    * rows are told apart by a row number, so repeated and null identifiers are safe; copies of a row lose all but
-      their last bytes, as each is the other's repeat; an empty table gives an empty result.
+    * rows are told apart by a row number, written once, so repeated and null identifiers are safe; copies of a row lose
+      all but their last bytes, as each is the other's repeat; an empty table gives an empty result.
     """
     if length <= GRAM:
         raise ValueError(f"length has to be over {GRAM}")
     n = shuffle_partitions(docs)
-    rows = docs.select(
+    rows = shared_table(docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
+    ))
     found = rows.select("uid", "text").mapInArrow(
-        _runs_of_rows(length), "uid long, gram long, content long, first int, last int, repeated boolean"
+        _runs_of_rows(length), "uid long, lead long, gram long, content long, first int, last int, repeated boolean"
     )
-    labels = (
-        found.repartition(n, "gram")
-        .sortWithinPartitions("gram", "content")
-        .mapInArrow(_label, "kind int, uid long, gram long, first int, last int")
-    )
-    labels = shared_checkpoint(labels)
+    labels = label_runs(found, n)
     whole = labels.where(F.col("kind") == WHOLE).select(
         "uid", F.col("first").cast("long").alias("start"), (F.col("last") + length).cast("long").alias("end")
     )
 
-    texts = rows.repartition(n, "uid")
     open_runs = labels.where(F.col("kind") != WHOLE)
-    windows = F.sum(F.col("last") - F.col("first") + 1)
-    large = open_runs.groupBy("gram").agg(windows.alias("windows")).where(F.col("windows") > bucket_max).select("gram")
-    large = shared_checkpoint(large)
-    data = F.substring(F.encode("text", "utf-8"), F.col("first") + 1, F.col("last") - F.col("first") + length)
-
-    def contents(chosen: DataFrame) -> DataFrame:
-        return texts.join(chosen, "uid").select("kind", "uid", "gram", F.col("first").cast("long").alias("first"), data.alias("data"))
-
-    usual = open_runs.join(large, "gram", "left_anti")
+    grams = shared_checkpoint(open_runs.groupBy("lead", "gram").agg(
+        F.sum(F.col("last") - F.col("first") + 1).alias("windows"), F.count(F.lit(1)).alias("runs")
+    ))
+    open_runs = join_groups(open_runs, grams, ["lead", "gram"], "runs").withColumn("large", F.col("windows") > bucket_max)
+    by_text = open_runs.groupBy("uid").agg(F.collect_list(F.struct("kind", "lead", "gram", "large", "first", "last")).alias("runs"))
+    texts = rows.repartition(n, "uid")
+    contents = texts.join(by_text, "uid").select("uid", "text", "runs").mapInArrow(
+        _cut(length), "kind int, uid long, lead long, gram long, large boolean, first long, data binary"
+    )
     spans = (
-        contents(usual)
-        .repartition(n, "gram")
-        .sortWithinPartitions("gram")
+        contents.where(~F.col("large"))
+        .repartition(n, "lead", "gram")
+        .sortWithinPartitions("lead", "gram")
         .mapInArrow(_compare(length), "uid long, start long, end long")
     )
     spans = whole.unionByName(spans)
-    if not large.isEmpty():
-        singles = contents(open_runs.join(large, "gram")).mapInArrow(
-            _single_windows(length), "digest binary, uid long, start long, part boolean"
+    if not grams.where(F.col("windows") > bucket_max).isEmpty():
+        singles = contents.where("large").mapInArrow(
+            _single_windows(length), "lead long, gram long, content long, uid long, first int, last int, repeated boolean"
         )
-        repeated = singles.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-        singles = singles.where("part").join(repeated, "digest")
-        spans = spans.unionByName(singles.select("uid", "start", (F.col("start") + length).alias("end")))
+        singles = label_runs(singles, n).where((F.col("kind") == WHOLE) & (F.col("last") >= 0))
+        spans = spans.unionByName(singles.select(
+            "uid", F.col("first").cast("long").alias("start"), (F.col("first") + length).cast("long").alias("end")
+        ))
     spans = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     ids = docs.schema[id_col].dataType.simpleString()
     return (
