@@ -271,6 +271,10 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, "## Evaluation\nAccuracy is fair, see github.com/acme/eval and github.com/acme/eval.\n").otherwise(""),
         F.when(k % 7 == 0, "## Limitations\nOut-of-scope uses are risky.\n").otherwise(""),
         F.when(k % 4 == 0, "### Intended use\nDesigned for text.\n").otherwise(""),
+        F.when(k % 6 == 0, "## Training details\nFine-tuned from org/base-1.2 with a learning rate of 2e-5 and a batch size of 64 on A100.\n").otherwise(""),
+        F.when(k % 9 == 0, "## Environmental impact\nCarbon footprint and energy consumption were measured.\n## Contact\nsee below\n").otherwise(""),
+        F.when(k % 11 == 0, "## Contact\nDeveloped by an organisation that reads every report of an issue, see the changelog.\n").otherwise(""),
+        F.when(k % 13 == 0, "Pretrained with the Common Crawl corpus, `The Stack` and fineweb; datasets:\n- org/a\n- org/b.2\n").otherwise(""),
         lit("## Text\n"), F.coalesce("text", lit("")),
     )
     return table(spark, sf_dir, "documents").select(
@@ -288,6 +292,10 @@ cards AS (
          || CASE WHEN doc_id % 5 = 0 THEN E'## Evaluation\\nAccuracy is fair, see github.com/acme/eval and github.com/acme/eval.\\n' ELSE '' END
          || CASE WHEN doc_id % 7 = 0 THEN E'## Limitations\\nOut-of-scope uses are risky.\\n' ELSE '' END
          || CASE WHEN doc_id % 4 = 0 THEN E'### Intended use\\nDesigned for text.\\n' ELSE '' END
+         || CASE WHEN doc_id % 6 = 0 THEN E'## Training details\\nFine-tuned from org/base-1.2 with a learning rate of 2e-5 and a batch size of 64 on A100.\\n' ELSE '' END
+         || CASE WHEN doc_id % 9 = 0 THEN E'## Environmental impact\\nCarbon footprint and energy consumption were measured.\\n## Contact\\nsee below\\n' ELSE '' END
+         || CASE WHEN doc_id % 11 = 0 THEN E'## Contact\\nDeveloped by an organisation that reads every report of an issue, see the changelog.\\n' ELSE '' END
+         || CASE WHEN doc_id % 13 = 0 THEN E'Pretrained with the Common Crawl corpus, `The Stack` and fineweb; datasets:\\n- org/a\\n- org/b.2\\n' ELSE '' END
          || E'## Text\\n' || coalesce(text, '') AS card
   FROM documents)
 """
