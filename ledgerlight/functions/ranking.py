@@ -7,25 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
 
-def global_rank(df: DataFrame, lead: str, ties: Sequence[Column], descending: bool = True, buckets: int = 64, name: str = "rank") -> DataFrame:
+
+def global_rank(df: DataFrame, lead: str, ties: Sequence[Column], descending: bool = True, name: str = "rank") -> DataFrame:
     """Number the rows from 1 by ``lead`` (nulls last), then ``ties``.
 
-    Quantiles of ``lead`` cut the rows into buckets; a row's number is its place in its bucket plus the rows of the
-    buckets before. The driver holds the cut points and a count per bucket. Rows with one value of ``lead`` share a
-    bucket, and the same input gives the same ranks in every run if ``ties`` decides between all rows.
+    Sampled splitters over (``lead``, ``ties``) cut the rows into ordered ranges of like size, whatever values tie; a row's
+    number is its place in its range plus the rows of the ranges before, of which there is one count each. The same input
+    gives the same ranks in every run if ``ties`` decides between all rows.
     """
-    value = F.col(lead).cast("double")
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.agg(F.percentile_approx(value, shares, 10_000)).first()[0] or []))
-    below = sum((F.when(value > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    bucket = F.when(value.isNull(), len(cuts) + 1).otherwise(F.lit(len(cuts)) - below if descending else below)
-    df = df.withColumn("__bucket", bucket)
-    counts = dict(df.groupBy("__bucket").count().collect())
-    before, start = 0, F.lit(0)
-    for b in sorted(counts):
-        start = F.when(F.col("__bucket") == b, before).otherwise(start)
-        before += counts[b]
-    order = F.col(lead).desc_nulls_last() if descending else F.col(lead).asc_nulls_last()
-    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(order, *ties))
-    return df.withColumn(name, (place + start).cast("long")).drop("__bucket")
+    order = [F.col(lead).desc_nulls_last() if descending else F.col(lead).asc_nulls_last(), *ties]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    before = F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = placed.groupBy("__range").count().select("__range", F.coalesce(before, F.lit(0)).alias("__start"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    ranked = placed.withColumn(name, place).join(F.broadcast(starts), "__range")
+    return ranked.withColumn(name, (F.col(name) + F.col("__start")).cast("long")).drop("__range", "__start")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import global_rank
+from ..functions.storage import stored
 
 TOLERANCE, EPS, ROUNDS = 0.02, 1e-12, 10
 #: The largest weights that capping can ever freeze: the top three, and four more a round.
@@ -34,10 +35,13 @@ def _usable(receipts: DataFrame, period: str) -> DataFrame:
 
 
 def provider_weights(receipts: DataFrame, period: str) -> DataFrame:
-    """Shares per provider, each receipt normalised to 1; receipts whose shares miss 1 by over 0.02 are skipped."""
+    """Shares per provider, each receipt normalised to 1; receipts whose shares miss 1 by over 0.02 are skipped.
+
+    What follows reads this table several times: it is stored, so that the receipts are read once.
+    """
     rows = _usable(receipts, period).where(F.abs(F.col("sum_share") - 1) <= TOLERANCE)
     each = rows.select("sum_share", F.explode("entries").alias("e"))
-    return each.groupBy(F.col("e.provider_id").alias("provider_id")).agg(F.sum(F.col("e.share") / F.col("sum_share")).alias("weight"))
+    return stored(each.groupBy(F.col("e.provider_id").alias("provider_id")).agg(F.sum(F.col("e.share") / F.col("sum_share")).alias("weight")))
 
 
 def payout_audit(receipts: DataFrame, period: str) -> DataFrame:

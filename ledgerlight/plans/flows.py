@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_folder
 from ..operators import disclosure as d
 from ..operators import validation as val
 from ..sources import adapters as a
@@ -21,10 +21,7 @@ from ..operators import payouts as p
 
 def folder(spark) -> str:
     """A new folder that all executors share."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "ledgerlight-checkpoints"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _stored(df, kind="parquet"):
