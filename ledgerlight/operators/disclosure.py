@@ -39,16 +39,31 @@ def reuse_unchanged(current: DataFrame, previous: DataFrame) -> DataFrame:
     return joined.withColumn("has_training_section", F.when(F.col("reused"), F.col("old_training")).otherwise(F.col("has_training_section"))).drop("old_hash", "old_training")
 
 
-def drift_events(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Targets whose fingerprint differs between two snapshots of one schema, with what changed."""
-    pairs = previous.withColumn("fp", fingerprint()).alias("a").join(current.withColumn("fp", fingerprint()).alias("b"), "target_id")
-    pairs = pairs.where((F.col("a.schema") == F.col("b.schema")) & (F.col("a.fp") != F.col("b.fp")))
+def presence(flag: Column) -> Column:
+    return F.when(flag, "PRESENT").when(~flag, "ABSENT").otherwise("UNKNOWN")
+
+
+def failed_fetch(status: Column, error: Column) -> Column:
+    """Whether a snapshot says more about the fetch than about its target."""
+    return F.coalesce(error.rlike("(?i)timeout|connection"), F.lit(False)) | F.coalesce(status != 200, F.lit(False))
+
+
+def drift_events(previous: DataFrame, current: DataFrame, on: tuple[str, ...] = ("target_id",)) -> DataFrame:
+    """Targets whose fingerprint differs between two snapshots of one schema, with what changed.
+
+    Snapshots whose fetch failed are no event. Each field comes with its state before and after; sets also with their
+    counts and what was added and removed.
+    """
+    pairs = previous.withColumn("fp", fingerprint()).alias("a").join(current.withColumn("fp", fingerprint()).alias("b"), list(on))
+    pairs = pairs.where((F.col("a.schema") == F.col("b.schema")) & (F.col("a.fp") != F.col("b.fp")) & ~failed_fetch(F.col("b.http_status"), F.col("b.fetch_error")))
     changed = F.array_compact(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in sorted(STABLE)]))
+    both = lambda name, column, of=lambda c: c: [of(F.col(f"a.{column}")).alias(f"{name}_before"), of(F.col(f"b.{column}")).alias(f"{name}_after")]
     return pairs.select(
-        "target_id", changed.alias("changed"), F.col("a.license").alias("license_before"), F.col("b.license").alias("license_after"),
+        *on, changed.alias("changed"), *both("license", "license"), *both("training", "has_training_section", presence), *both("access", "http_status", access_state),
+        *both("datasets", "declared_datasets", lambda c: F.size(F.array_distinct(c))),
         F.array_sort(F.array_except("b.declared_datasets", "a.declared_datasets")).alias("datasets_added"),
         F.array_sort(F.array_except("a.declared_datasets", "b.declared_datasets")).alias("datasets_removed"),
-        (F.col("b.downloads") - F.col("a.downloads")).alias("downloads_delta"),
+        *both("downloads", "downloads"), (F.col("b.downloads") - F.col("a.downloads")).alias("downloads_delta"),
     )
 
 
@@ -59,16 +74,22 @@ def drift_quality(snapshots: DataFrame) -> DataFrame:
 
 
 def timeline_changes(snapshots: DataFrame, days: int = 30) -> DataFrame:
-    """Snapshots whose fingerprint differs from the target's last one within ``days``."""
+    """Snapshots whose fingerprint differs from the target's last one within ``days``; ``changed`` has the fields that differ
+    from the last one (null at the first)."""
     by = Window.partitionBy("target_id").orderBy("observed_at")
     rows = snapshots.withColumn("fp", fingerprint())
-    rows = rows.withColumn("last_fp", F.lag("fp").over(by)).withColumn("last_at", F.lag("observed_at").over(by))
-    fresh = F.col("last_at") >= F.col("observed_at") - F.expr(f"INTERVAL {days} DAYS")
-    return rows.where(F.col("last_fp").isNull() | ~fresh | (F.col("fp") != F.col("last_fp"))).drop("last_fp", "last_at", "fp")
-
-
-def prune_window(rows: DataFrame, now: str, days: int = 30, column: str = "observed_at") -> DataFrame:
-    """Rows of the last ``days``; rows without a time stay."""
+    last = {f"last_{c}": F.lag(c).over(by) for c in ("fp", "observed_at", *STABLE)}
+    rows = rows.withColumns(last)
+    differ = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"last_{c}")), F.lit(c)) for c in sorted(STABLE)]))
+    rows = rows.withColumn("changed", F.when(F.col("last_fp").isNotNull(), differ))
+    fresh = F.col("last_observed_at") >= F.col("observed_at") - F.expr(f"INTERVAL {days} DAYS")
+    return rows.where(F.col("last_fp").isNull() | ~fresh | (F.col("fp") != F.col("last_fp"))).drop("fp", *last)
+
+
+def prune_window(rows: DataFrame, now: str, days: int = 30, column: str = "observed_at", schema: str | None = None) -> DataFrame:
+    """Rows of the last ``days``; rows without a time stay. Rows of another ``schema``, if one is given, all go."""
+    if schema is not None:
+        rows = rows.where(F.col("schema") == schema)
     return rows.where(F.col(column).isNull() | (F.col(column) >= F.expr(f"TIMESTAMP'{now}' - INTERVAL {days} DAYS")))
 
 
@@ -84,12 +105,14 @@ def _percent(part: Column, whole: Column) -> Column:
 
 
 def disclosure_index(latest: DataFrame, changes: DataFrame, now: str) -> DataFrame:
-    """One row of headline counts: fields present, access, changes of 7 and 30 days, changed targets."""
+    """One row of headline counts: fields present and absent, access, mean downloads, changes of 7 and 30 days, changed
+    targets."""
     n = F.count(F.lit(1))
     state = latest.agg(
         n.alias("targets"), F.count("license").alias("with_license"), _percent(F.count("license"), n).alias("license_pct"),
-        F.count_if("has_training_section").alias("with_training"), F.count_if(access_state(F.col("http_status")) == "ok").alias("access_ok"),
-        F.count_if(access_state(F.col("http_status")) == "forbidden").alias("access_forbidden"),
+        F.count_if("has_training_section").alias("with_training"), (n - F.count("license")).alias("without_license"),
+        F.count_if(~F.coalesce("has_training_section", F.lit(False))).alias("without_training"), F.round(F.avg("downloads"), 2).alias("mean_downloads"),
+        *[F.count_if(access_state(F.col("http_status")) == x).alias(f"access_{x}") for x in ("ok", "forbidden", "not_found", "unknown", "error")],
     )
     since = lambda d: F.col("observed_at") >= F.expr(f"TIMESTAMP'{now}' - INTERVAL {d} DAYS")
     events = changes.agg(F.count_if(since(7)).alias("events_7d"), F.count_if(since(30)).alias("events_30d"), F.count_distinct("target_id").alias("changed_targets"))
@@ -103,6 +126,16 @@ def org_disclosure(latest: DataFrame, n: int = 25) -> DataFrame:
     return rows.orderBy(F.desc("targets"), "org").limit(n)
 
 
+def latest_events(changes: DataFrame, n: int = 20) -> DataFrame:
+    """The last ``n`` changes."""
+    return changes.orderBy(F.desc("observed_at"), "target_id").limit(n).select("target_id", "observed_at", "changed")
+
+
+def gated_share(latest: DataFrame) -> DataFrame:
+    """Share of targets whose access is forbidden, in percent."""
+    return latest.agg(_percent(F.count_if(access_state(F.col("http_status")) == "forbidden"), F.count(F.lit(1))).alias("gated_pct"))
+
+
 def movers(changes: DataFrame, n: int = 10) -> DataFrame:
     """Targets with most change events."""
     return changes.groupBy("target_id").agg(F.count(F.lit(1)).alias("events")).orderBy(F.desc("events"), "target_id").limit(n)
@@ -115,7 +148,10 @@ def undocumented_tops(latest: DataFrame, n: int = 15, downloads: int = 10_000) -
 
 
 def temporal_metrics(observations: DataFrame) -> DataFrame:
-    """First and last sight, days (inclusive), number, and days of the trailing run of absences, per target."""
+    """First and last sight, days (inclusive), number, and days of the trailing run of absences, per target.
+
+    ``with_metrics`` adds them to each observation.
+    """
     absent = F.col("observation_type") == "absence"
     first = observations.groupBy("target_id").agg(
         F.min("observation_timestamp").alias("first_seen"), F.max("observation_timestamp").alias("last_seen"), F.count(F.lit(1)).alias("n"),
@@ -130,6 +166,11 @@ def temporal_metrics(observations: DataFrame) -> DataFrame:
     )
 
 
+def with_metrics(observations: DataFrame) -> DataFrame:
+    """Every observation with the metrics of its target."""
+    return observations.join(temporal_metrics(observations), "target_id")
+
+
 def public_evidence(observations: DataFrame) -> DataFrame:
     """Receipt hashes as ``sha256:`` where they are 64 hex digits, and the evidence number."""
     digest = F.lower("receipt_hash")

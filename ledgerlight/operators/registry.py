@@ -114,10 +114,16 @@ def enrich_with_report(targets: DataFrame, reports: DataFrame) -> DataFrame:
     return chosen.join(facts, "model_id", "left")
 
 
-def drift_after_outreach(messages: DataFrame, drift: DataFrame, hours: int = 24) -> DataFrame:
-    """Changes of a target at least ``hours`` after a message to it."""
-    later = drift.select("target_id", "observed_at")
-    pairs = messages.join(later, "target_id").where(F.col("observed_at") >= F.col("sent_at") + F.expr(f"INTERVAL {hours} HOURS"))
+#: Messages that count as outreach, and fields whose change can be an answer to it: licences are often found automatically.
+SENT, MEANINGFUL = ("sent", "acknowledged", "merged", "accepted"), ("declared_datasets", "has_training_section")
+
+
+def drift_after_outreach(messages: DataFrame, drift: DataFrame, hours: int = 24, days: int = 30) -> DataFrame:
+    """Meaningful changes of a target (``changed``) from ``hours`` to ``days`` after a message to it."""
+    later = drift.where(F.arrays_overlap("changed", F.array(*[F.lit(c) for c in MEANINGFUL]))).select("target_id", "observed_at")
+    wait = lambda n, unit: F.col("sent_at") + F.expr(f"INTERVAL {n} {unit}")
+    sent = messages.where(F.col("status").isin(*SENT))
+    pairs = sent.join(later, "target_id").where(F.col("observed_at").between(wait(hours, "HOURS"), wait(days, "DAYS")))
     waited = F.floor((F.unix_timestamp("observed_at") - F.unix_timestamp("sent_at")) / 3600)
     return pairs.select("message_id", "target_id", "observed_at", waited.alias("hours_after"))
 

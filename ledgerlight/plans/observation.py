@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import disclosure as d
 from ..sources import views as v
 
-NOW, DAY1, DAY2 = "2024-01-31 00:00:00", "2024-01-10", "2024-01-11"
+NOW = "2024-01-31 00:00:00"
 
 
-def _day(s, sf, day):
-    return v.snapshots(s, sf).where(F.col("day") == F.lit(day).cast("date"))
+def _day_before(s, sf):
+    return v.snapshots(s, sf).withColumn("day", F.date_add("day", 1))
 
 
 def _latest(s, sf):
@@ -41,7 +41,7 @@ QUERIES = {
     "d1_disclosure_snapshot": lambda s, f: d.disclosure_snapshot(_api(s, f), v.cards(s, f).where("doc_id % 5 <> 4").select("target_id", "card")),
     "d2_fingerprint": lambda s, f: v.snapshots(s, f).select("target_id", "day", d.fingerprint(["schema", "license", "http_status"]).alias("fp")),
     "d3_reuse_unchanged": lambda s, f: d.reuse_unchanged(_hashed(s, f, 0), _hashed(s, f, 1)).select("target_id", "has_training_section", "reused"),
-    "d4_drift_events": lambda s, f: d.drift_events(_day(s, f, DAY1), _day(s, f, DAY2)),
+    "d4_drift_events": lambda s, f: d.drift_events(_day_before(s, f), v.snapshots(s, f), ("target_id", "day")),
     "d5_drift_quality": lambda s, f: d.drift_quality(v.snapshots(s, f)).select("target_id", "day", "quality"),
     "d6_timeline_changes": lambda s, f: _changes(s, f).select("target_id", "observed_at"),
     "d7_prune_window": lambda s, f: d.prune_window(v.snapshots(s, f), NOW, 10).select("target_id", "observed_at"),
@@ -50,7 +50,10 @@ QUERIES = {
     "d10_org_disclosure": lambda s, f: d.org_disclosure(_latest(s, f)),
     "d11_movers": lambda s, f: d.movers(_changes(s, f)),
     "d11_undocumented_tops": lambda s, f: d.undocumented_tops(_latest(s, f)),
+    "d11_latest_events": lambda s, f: d.latest_events(_changes(s, f)),
+    "d11_gated_share": lambda s, f: d.gated_share(_latest(s, f)),
     "d12_temporal_metrics": lambda s, f: d.temporal_metrics(v.observations(s, f)),
+    "d12_with_metrics": lambda s, f: d.with_metrics(v.observations(s, f)).select("observation_id", "target_id", "days", "n", "absence_days"),
     "d13_public_evidence": lambda s, f: d.public_evidence(v.observations(s, f)),
     "d14_license_snapshot": lambda s, f: d.license_snapshot(_licenses(s, f)),
     "d15_license_drift": lambda s, f: d.license_drift(d.license_snapshot(_licenses(s, f))),
@@ -82,13 +85,16 @@ SQL = {
     "d2_fingerprint": f"""{_S} SELECT target_id, day, sha256('{{"http_status":' || http_status || ',"license":' || coalesce('"' || license || '"', 'null') || ',"schema":"' || schema || '"}}') AS fp
         FROM snapshots""",
     "d3_reuse_unchanged": f"""WITH {v.CARDS} SELECT target_id, CASE WHEN doc_id % 3 = 2 THEN doc_id % 2 = 1 ELSE doc_id % 2 = 0 END AS has_training_section, doc_id % 3 = 2 AS reused FROM cards""",
-    "d4_drift_events": f"""{_S}, a AS (SELECT * FROM f0 WHERE day = '{DAY1}'), b AS (SELECT * FROM f0 WHERE day = '{DAY2}')
-        SELECT target_id, list_filter([CASE WHEN a.declared_datasets <> b.declared_datasets THEN 'declared_datasets' END,
+    "d4_drift_events": f"""{_S}, b AS (SELECT *, {_ACCESS} AS access, CASE WHEN has_training_section THEN 'PRESENT' ELSE 'ABSENT' END AS training FROM f0), a AS (SELECT * REPLACE (day + 1 AS day) FROM b)
+        SELECT target_id, b.day::DATE AS day, list_filter([CASE WHEN a.declared_datasets <> b.declared_datasets THEN 'declared_datasets' END,
             CASE WHEN a.has_training_section <> b.has_training_section THEN 'has_training_section' END, CASE WHEN a.http_status <> b.http_status THEN 'http_status' END,
             CASE WHEN a.license IS DISTINCT FROM b.license THEN 'license' END], lambda x: x IS NOT NULL) AS changed,
-          a.license AS license_before, b.license AS license_after, list_sort(list_filter(b.declared_datasets, lambda x: NOT list_contains(a.declared_datasets, x))) AS datasets_added,
-          list_sort(list_filter(a.declared_datasets, lambda x: NOT list_contains(b.declared_datasets, x))) AS datasets_removed, b.downloads - a.downloads AS downloads_delta
-        FROM a JOIN b USING (target_id) WHERE a.fp <> b.fp""",
+          a.license AS license_before, b.license AS license_after, a.training AS training_before, b.training AS training_after, a.access AS access_before, b.access AS access_after,
+          len(a.declared_datasets)::INTEGER AS datasets_before, len(b.declared_datasets)::INTEGER AS datasets_after,
+          list_sort(list_filter(b.declared_datasets, lambda x: NOT list_contains(a.declared_datasets, x))) AS datasets_added,
+          list_sort(list_filter(a.declared_datasets, lambda x: NOT list_contains(b.declared_datasets, x))) AS datasets_removed,
+          a.downloads AS downloads_before, b.downloads AS downloads_after, b.downloads - a.downloads AS downloads_delta
+        FROM a JOIN b USING (target_id, day) WHERE a.fp <> b.fp AND b.http_status = 200 AND b.fetch_error IS NULL""",
     "d5_drift_quality": f"{_S} SELECT target_id, day, CASE WHEN http_status = 200 THEN 'ok' ELSE 'partial' END AS quality FROM snapshots WHERE fetch_error IS NULL AND http_status IN (200, 404)",
     "d6_timeline_changes": f"{_S} SELECT target_id, observed_at FROM ch",
     "d7_prune_window": f"{_S} SELECT target_id, observed_at FROM snapshots WHERE observed_at >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY",
@@ -96,11 +102,24 @@ SQL = {
         SELECT target_id, license, http_status, observed_at AS seen_at, changed_at, coalesce(changes, 0) AS changes FROM lat LEFT JOIN x USING (target_id)""",
     "d9_disclosure_index": f"""{_S} SELECT count(*) AS targets, count(license) AS with_license, round(100.0 * count(license) / count(*), 1) AS license_pct,
           count(*) FILTER (has_training_section) AS with_training, count(*) FILTER (http_status = 200) AS access_ok, count(*) FILTER (http_status = 403) AS access_forbidden,
+          count(*) - count(license) AS without_license, count(*) FILTER (NOT has_training_section) AS without_training, round(avg(downloads), 2) AS mean_downloads,
+          count(*) FILTER (http_status = 404) AS access_not_found, count(*) FILTER (http_status IS NULL) AS access_unknown, 0::BIGINT AS access_error,
           (SELECT count(*) FROM ch WHERE observed_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS events_7d,
           (SELECT count(*) FROM ch WHERE observed_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY) AS events_30d, (SELECT count(DISTINCT target_id) FROM ch) AS changed_targets FROM lat""",
     "d10_org_disclosure": f"{_S} SELECT split_part(target_id, '/', 1) AS org, count(*) AS targets, round(100.0 * count(license) / count(*), 1) AS license_pct FROM lat GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25",
     "d11_movers": f"{_S} SELECT target_id, count(*) AS events FROM ch GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "d11_undocumented_tops": f"{_S} SELECT target_id, downloads FROM lat WHERE downloads > 10000 AND NOT has_training_section ORDER BY 2 DESC, 1 LIMIT 15",
+    "d11_latest_events": f"""{_S}, f2 AS (SELECT *, lag(license) OVER w AS l1, lag(declared_datasets) OVER w AS l2, lag(has_training_section) OVER w AS l3, lag(http_status) OVER w AS l4 FROM f1
+          WINDOW w AS (PARTITION BY target_id ORDER BY observed_at))
+        SELECT target_id, observed_at, CASE WHEN lfp IS NOT NULL THEN list_filter([CASE WHEN declared_datasets <> l2 THEN 'declared_datasets' END, CASE WHEN has_training_section <> l3 THEN 'has_training_section' END,
+          CASE WHEN http_status <> l4 THEN 'http_status' END, CASE WHEN license IS DISTINCT FROM l1 THEN 'license' END], lambda x: x IS NOT NULL) END AS changed
+        FROM f2 WHERE lfp IS NULL OR lat_ < observed_at - INTERVAL 30 DAY OR fp <> lfp ORDER BY observed_at DESC, target_id LIMIT 20""",
+    "d11_gated_share": f"{_S} SELECT round(100.0 * count(*) FILTER (http_status = 403) / count(*), 1) AS gated_pct FROM lat",
+    "d12_with_metrics": f"""WITH {v.OBSERVATIONS}, a AS (SELECT target_id, min(observation_timestamp) AS f, max(observation_timestamp) AS l, count(*) AS n,
+            max(observation_timestamp) FILTER (observation_type <> 'absence') AS lp FROM observations GROUP BY 1),
+        b AS (SELECT o.target_id, min(observation_timestamp) AS since FROM observations o JOIN a USING (target_id) WHERE observation_type = 'absence' AND (lp IS NULL OR observation_timestamp > lp) GROUP BY 1)
+        SELECT observation_id, target_id, date_diff('day', f::DATE, l::DATE) + 1 AS days, n, coalesce(date_diff('day', since::DATE, l::DATE) + 1, 0) AS absence_days
+        FROM observations JOIN a USING (target_id) LEFT JOIN b USING (target_id)""",
     "d12_temporal_metrics": f"""WITH {v.OBSERVATIONS}, a AS (SELECT target_id, min(observation_timestamp) AS first_seen, max(observation_timestamp) AS last_seen, count(*) AS n,
             max(observation_timestamp) FILTER (observation_type <> 'absence') AS lp FROM observations GROUP BY 1),
         b AS (SELECT o.target_id, min(observation_timestamp) AS since FROM observations o JOIN a USING (target_id) WHERE observation_type = 'absence' AND (lp IS NULL OR observation_timestamp > lp) GROUP BY 1)

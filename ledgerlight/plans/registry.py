@@ -17,7 +17,7 @@ def _written(s, f):
 
 
 def _after(s, f):
-    return r.drift_after_outreach(v.outreach(s, f).where("message_id % 4 = 0"), d.timeline_changes(v.snapshots(s, f)).where("day >= '2024-01-25'"), 24)
+    return r.drift_after_outreach(v.outreach(s, f), d.timeline_changes(v.snapshots(s, f)), 24)
 
 
 def _overrides(s, f):
@@ -53,6 +53,12 @@ def _edges(s, f):
     return g.lineage_edges(v.chains(s, f))
 
 
+def _candidates(s, f):
+    """Targets of the snapshots and a second set that nobody has written to."""
+    seen = v.snapshots(s, f).select("target_id").distinct()
+    return seen.unionByName(v.reports(s, f).where("part_key % 9 = 0").select(F.concat(F.lit("new"), F.col("model_id")).alias("target_id")))
+
+
 def _known(s, f):
     return v.targets(s, f).where("source = 'registry'")
 
@@ -70,14 +76,14 @@ QUERIES = {
     "r9_merge_outreach": lambda s, f: r.merge_outreach(_status(s, f), _second(s, f)),
     "r10_enrich_with_report": lambda s, f: r.enrich_with_report(_report_targets(s, f), v.reports(s, f)),
     "r11_drift_after_outreach": lambda s, f: _after(s, f),
-    "r12_outreach_timeline": lambda s, f: r.outreach_timeline(v.outreach(s, f).where("message_id % 4 = 0"), _after(s, f)),
+    "r12_outreach_timeline": lambda s, f: r.outreach_timeline(v.outreach(s, f), _after(s, f)),
     "r13_verified_findings": lambda s, f: r.verified_findings(_after(s, f)),
     "r14_warranty_packs": lambda s, f: _packs(s, f),
     "r15_warranty_index": lambda s, f: r.warranty_index(_packs(s, f)),
     "r16_passports": lambda s, f: r.passports(v.reports(s, f), _comparisons(s, f)),
     "r17_response_rates": lambda s, f: r.response_rates(v.outreach(s, f), NOW),
     "r18_sync_status": lambda s, f: r.sync_status(v.outreach(s, f), v.outreach(s, f).where("message_id % 3 = 0").select("target_id", "message_id", F.when(F.col("message_id") % 2 == 0, "merged").otherwise("closed").alias("answer"))).select("message_id", "status"),
-    "r19_cooldown_filter": lambda s, f: r.cooldown_filter(v.snapshots(s, f).select("target_id").distinct(), v.outreach(s, f), NOW, 2),
+    "r19_cooldown_filter": lambda s, f: r.cooldown_filter(_candidates(s, f), v.outreach(s, f), NOW, 2),
     "g1_lineage_edges": lambda s, f: _edges(s, f),
     "g1_lineage_nodes": lambda s, f: g.lineage_nodes(v.chains(s, f)),
     "g2_merge_graph": lambda s, f: g.merge_graph(_edges(s, f).where("type = 'owns'"), _edges(s, f).withColumn("weight", F.lit(0.1))),
@@ -107,10 +113,12 @@ ov AS (SELECT target_id, arg_max(CASE WHEN message_id % 2 = 0 THEN 'sent' ELSE '
 st AS (SELECT target_id, coalesce(o, status) AS status, platform, sent_at, messages FROM best LEFT JOIN ov USING (target_id))"""
 _D = f"""WITH {v.OUTREACH}, {v.SNAPSHOTS},
 f0 AS (SELECT *, [schema, license, declared_datasets::VARCHAR, has_training_section::VARCHAR, http_status::VARCHAR]::VARCHAR AS fp FROM snapshots),
-f1 AS (SELECT *, lag(fp) OVER (PARTITION BY target_id ORDER BY observed_at) AS lfp, lag(observed_at) OVER (PARTITION BY target_id ORDER BY observed_at) AS la FROM f0),
-ch AS (SELECT * FROM f1 WHERE (lfp IS NULL OR la < observed_at - INTERVAL 30 DAY OR fp <> lfp) AND day >= '2024-01-25'),
-me AS (SELECT * FROM outreach WHERE message_id % 4 = 0),
-af AS (SELECT message_id, target_id, observed_at, (epoch(date_trunc('second', observed_at))::BIGINT - epoch(date_trunc('second', sent_at))::BIGINT) // 3600 AS hours_after FROM me JOIN ch USING (target_id) WHERE observed_at >= sent_at + INTERVAL 24 HOUR)"""
+f1 AS (SELECT *, lag(fp) OVER w AS lfp, lag(observed_at) OVER w AS la, declared_datasets <> lag(declared_datasets) OVER w OR has_training_section <> lag(has_training_section) OVER w AS means
+  FROM f0 WINDOW w AS (PARTITION BY target_id ORDER BY observed_at)),
+ch AS (SELECT * FROM f1 WHERE lfp IS NULL OR la < observed_at - INTERVAL 30 DAY OR fp <> lfp),
+me AS (SELECT * FROM outreach),
+af AS (SELECT message_id, target_id, observed_at, (epoch(date_trunc('second', observed_at))::BIGINT - epoch(date_trunc('second', sent_at))::BIGINT) // 3600 AS hours_after FROM me JOIN ch USING (target_id)
+  WHERE means AND status IN ('sent', 'accepted') AND observed_at BETWEEN sent_at + INTERVAL 24 HOUR AND sent_at + INTERVAL 30 DAY)"""
 _P = f"""{_R}, ids AS (SELECT model_id, part_key, score FROM reports WHERE part_key % 2 = 0 OR part_key % 3 = 0 OR part_key % 5 = 0),
 pk AS (SELECT model_id, (part_key % 2 = 0)::INTEGER + (part_key % 3 = 0)::INTEGER + (part_key % 5 = 0)::INTEGER AS sources,
   list_filter([CASE WHEN part_key % 2 <> 0 THEN 'report' END, CASE WHEN part_key % 3 <> 0 THEN 'outreach' END, CASE WHEN part_key % 5 <> 0 THEN 'lineage' END], lambda x: x IS NOT NULL) AS exclusions,
@@ -168,7 +176,7 @@ SQL = {
         FROM outreach GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
     "r18_sync_status": f"WITH {v.OUTREACH} SELECT message_id, CASE WHEN message_id % 6 = 0 THEN 'accepted' WHEN message_id % 3 = 0 THEN 'rejected' ELSE status END AS status FROM outreach",
     "r19_cooldown_filter": f"""WITH {v.OUTREACH}, {v.SNAPSHOTS}, rc AS (SELECT * FROM outreach WHERE sent_at >= TIMESTAMP '{NOW}' - INTERVAL 2 DAY)
-        SELECT DISTINCT target_id, split_part(target_id, '/', 1) AS org FROM snapshots WHERE target_id NOT IN (SELECT target_id FROM rc)
+        SELECT DISTINCT target_id, split_part(target_id, '/', 1) AS org FROM (SELECT target_id FROM snapshots UNION ALL SELECT 'new' || lower(replace(p_brand, '#', '')) || '/m' || p_partkey FROM part WHERE p_partkey % 9 = 0) WHERE target_id NOT IN (SELECT target_id FROM rc)
           AND split_part(target_id, '/', 1) NOT IN (SELECT split_part(target_id, '/', 1) FROM rc WHERE status = 'rejected')""",
     "g1_lineage_edges": f"{_G} SELECT * FROM ed",
     "g1_lineage_nodes": f"{_G} SELECT * FROM nd",

@@ -63,14 +63,22 @@ def read_report_store(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce(F.try_variant_get("v", "$.model_id", "string"), stem).alias("model_id"), F.try_variant_get("v", "$.score", "double").alias("score"))
 
 
-def write_payouts(rows: DataFrame, path: str) -> None:
-    """CSV and JSON lines by period; an empty period still gives the headers."""
+def write_payouts(rows: DataFrame, path: str, period: str | None = None) -> None:
+    """CSV and JSON lines by period; if ``period`` is given and has no rows, files with the header alone."""
     text = rows.withColumns({"amount": F.col("amount").cast("decimal(18,2)").cast("string"), "share_agg": F.col("share_agg").cast("decimal(18,6)").cast("string")})
-    text.write.mode("overwrite").partitionBy("period").csv(f"{path}/csv", header=True)
-    text.write.mode("overwrite").partitionBy("period").json(f"{path}/json")
+    by_period = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period")
+    by_period(text).csv(f"{path}/csv", header=True)
+    by_period(text).json(f"{path}/json")
+    if period is not None and rows.where(F.col("period") == period).isEmpty():
+        head = text.drop("period")
+        none = rows.sparkSession.createDataFrame([], head.schema).coalesce(1)
+        none.write.mode("overwrite").csv(f"{path}/csv/period={period}", header=True)
+        none.write.mode("overwrite").json(f"{path}/json/period={period}")
 
 
 def write_snapshot(rows: DataFrame, path: str, day: str = "day") -> None:
-    """History appended by day, the latest state overwritten."""
-    rows.write.mode("append").partitionBy(day).parquet(f"{path}/history")
-    rows.write.mode("overwrite").parquet(f"{path}/latest")
+    """History by day, each day of ``rows`` written anew, so that a run that is repeated does no harm; the state of the last
+    day overwrites ``latest``."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(f"{path}/history")
+    last = rows.agg(F.max(day)).first()[0]
+    rows.where(F.col(day) == F.lit(last)).write.mode("overwrite").parquet(f"{path}/latest")
