@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the fit: labelled rows, hashed words, rank of the pairwise interactions, passes.
@@ -32,12 +33,15 @@ _at = WORD_BINS
 for _name, _ends in STATISTICS.items():
     _OFFSETS[_name] = _at
     _at += len(_ends) + 1
-DIMENSIONS = _at
+#: Bins of the metadata, numbers beside the text: each is cut at the powers of two.
+METADATA, META_BINS = ("n_chars",), 256
+_META = _at
+DIMENSIONS = _at + META_BINS
 _ENDS = (".", "!", "?", ":", ";", ",")
 
 
 def statistics(text: str) -> dict[str, float]:
-    """Structure of a text; its length in bytes and characters is the only metadata used."""
+    """Structure of a text."""
     words = text.split()
     lines = [x for x in text.split("\n") if x.strip()]
     n, chars = len(words), len(text)
@@ -62,12 +66,15 @@ def statistics(text: str) -> dict[str, float]:
     }
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values: hashed words share a unit length, every statistic gives one step."""
+def features(text: str | None, metadata: Sequence[tuple[str, float | None]] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values: hashed words share a unit length, every statistic and every item of metadata gives one step."""
     text = text or ""
     words = set(text.lower().split())
     hashed = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) % WORD_BINS
     steps = [_OFFSETS[k] + int(np.searchsorted(STATISTICS[k], v)) for k, v in statistics(text).items()]
+    for name, number in metadata:
+        power = "none" if number is None or not math.isfinite(number) else int(math.log2(1 + max(0.0, number)))
+        steps.append(_META + zlib.crc32(f"{name}:{power}".encode()) % META_BINS)
     values = np.full(len(words), 1 / np.sqrt(max(1, len(words))))
     return np.concatenate([hashed, steps]), np.concatenate([values, np.full(len(steps), 0.5)])
 
@@ -92,9 +99,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
           rate: float = 0.05, decay: float = 1e-5, seed: int = 42, batch: int = 128) -> dict:
     """AdaGrad on the logistic loss; the same rows give the same model."""
     random = np.random.default_rng(seed)
-    model = {"b": 0.0, "w": np.zeros(DIMENSIONS), "v": random.normal(0, 0.05, (DIMENSIONS, rank))}
+    model = {"b": 0.0, "w": np.zeros(DIMENSIONS), "v": np.zeros((DIMENSIONS, rank))}
     if not rows:
         return model
+    model["v"] = random.normal(0, 0.05, (DIMENSIONS, rank))
     past_b, past_w, past_v = 1e-6, np.full(DIMENSIONS, 1e-6), np.full((DIMENSIONS, rank), 1e-6)
     for _ in range(epochs):
         order = random.permutation(len(rows))
@@ -115,8 +123,21 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     return model
 
 
+def _with_metadata(df: DataFrame, text_col: str, metadata: Sequence[str], *others: Column) -> DataFrame:
+    """``text``, the metadata that ``df`` has as ``meta_<name>`` (null where it is no number), and other columns."""
+    found = [F.col(c).cast("string").try_cast("double").alias(f"meta_{c}") for c in metadata if c in df.columns]
+    return df.select(F.col(text_col).alias("text"), *found, *others)
+
+
+def _features_of(batch: pa.RecordBatch, at: int, to: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    names = [c for c in batch.schema.names if c.startswith("meta_")]
+    numbers = [batch.column(c)[at:to].to_pylist() for c in names]
+    metadata = zip(*numbers, strict=True) if names else [()] * (to - at)
+    return [features(t.as_py(), tuple(zip(names, m, strict=True))) for t, m in zip(batch.column("text")[at:to], metadata, strict=True)]
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS,
-        id_col: str = "doc_id", **options) -> dict:
+        id_col: str = "doc_id", metadata: Sequence[str] = METADATA, **options) -> dict:
     """Fit on at most ``sample_rows`` labelled rows, chosen by a hash of identifier and text: an enforced bound.
 
     Copies of a text with different identifiers are chosen one by one. Either side of the label gets its share of the rows,
@@ -125,9 +146,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
     """
     # of the document's columns only, so that the choice goes before the join with the labels and whole texts do not move
     hashed = [F.col(c) for c in (id_col, text_col) if c in labelled.columns]
-    rows = labelled.where(F.col(label_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label"), F.xxhash64(*hashed).alias("key")
-    )
+    rows = _with_metadata(labelled.where(F.col(label_col).isNotNull()), text_col, metadata,
+                          F.col(label_col).cast("double").alias("label"), F.xxhash64(*hashed).alias("key"))
     side = F.col("label") >= 0.5
     sizes = {r["side"]: r["count"] for r in rows.groupBy(side.alias("side")).count().collect()}
     total, kept = sum(sizes.values()), {}
@@ -139,7 +159,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py()) for t in batch.column("text")]
+            found = _features_of(batch, 0, batch.num_rows)
             index = pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32()))
             value = pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([index, value, batch.column("label"), batch.column("key")], ["index", "value", "label", "key"])
@@ -154,10 +174,11 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
     return train([(i, v) for i, v, _ in got], np.array([y for *_, y in got]), **options)
 
 
-def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",
+                  metadata: Sequence[str] = METADATA) -> DataFrame:
     """``id_col, score`` (0 to 1) for every whole text.
 
-    Only the text is read. Null and empty texts are scored as texts without words. Repeated rows give repeated rows;
+    Only the text and those columns of ``metadata`` that exist are read; what is no number there counts as missing. Null and empty texts are scored as texts without words. Repeated rows give repeated rows;
     an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS x (RANK + 1) numbers
@@ -165,9 +186,8 @@ def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = []
-            texts = batch.column("text")
-            for at in range(0, len(texts), 64):
-                rows = [features(t.as_py()) for t in texts[at : at + 64]]
+            for at in range(0, batch.num_rows, 64):
+                rows = _features_of(batch, at, min(batch.num_rows, at + 64))
                 index, value, row = _flat(rows)
                 score, _ = _sums(shared.value, index, value, row, len(rows))
                 scores.append(1 / (1 + np.exp(-np.clip(score, -30, 30))))
@@ -175,5 +195,5 @@ def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64())], ["id", "score"])
 
     ids = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = _with_metadata(docs, text_col, metadata, F.col(id_col).alias("id"))
     return rows.mapInArrow(run, f"id {ids}, score double").withColumnRenamed("id", id_col)
