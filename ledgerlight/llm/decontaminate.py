@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 WINDOW, LITERALS, LEAK, SHORTEST = 8, 4, 13, 5
 #: Characters of benchmark text that one broadcast may hold; a longer benchmark is taken in parts.
 BROADCAST_CHARS = 20_000_000
-#: Words a task remembers.
-MEMO = 500_000
+#: Words a task remembers, and lower-case words that the whole benchmark may have (eight bytes each are broadcast).
+MEMO, VOCABULARY = 500_000, 4_000_000
 
 #: Before the tokens of a window that is looked for as it is.
 EXACT = "= "
@@ -38,12 +39,20 @@ UNIT_WORDS = frozenset(
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, WINDOW + 1)], np.uint64)
 
 
+def _word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
 class _Ids(dict):
-    """Token -> id. Ids from FIRST on are words of the benchmark; 0 is any other word."""
+    """Token -> id. Ids from FIRST on are words of the benchmark's part; 0 is any other word.
+
+    ``vocabulary`` has the hashes, sorted, of all words that the whole benchmark writes in lower case: a capitalised word is
+    a name if it is none of them.
+    """
 
-    def __init__(self, words: dict[str, int]):
+    def __init__(self, words: dict[str, int], vocabulary: np.ndarray):
         super().__init__()
-        self.words = words
+        self.words, self.vocabulary = words, vocabulary
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
@@ -51,13 +60,24 @@ class _Ids(dict):
             found = NUMBER
         elif low in UNIT_WORDS:
             found = UNIT
-        elif (found := self.words.get(low, 0)) == 0 and token[0].isupper() and token[1:].islower():
+        elif (found := self.words.get(low, 0)) == 0 and token[0].isupper() and not self.in_vocabulary(low):
             found = NAME
         if len(self) >= MEMO:
             self.clear()
         self[token] = found
         return found
 
+    def in_vocabulary(self, low: str) -> bool:
+        return bool(_known(np.array([_word_hash(low)], np.uint64), self.vocabulary)[0])
+
+
+def _joined(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Template ids and the places where they start (with the end): neighbours that are all names, numbers or units are one."""
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (ids[1:] >= FIRST) | (ids[1:] == 0)
+    starts = np.flatnonzero(new)
+    return ids[starts], np.append(starts, len(ids))
+
 
 def _windows(ids: np.ndarray, size: int, literals: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Starts of windows without foreign words, and with enough literals if asked for, and their hashes."""
@@ -89,29 +109,45 @@ def _alone(text: str, start: int, size: int) -> bool:
     return bool(_BOUND.search(before) and _BOUND.search(after))
 
 
-def _template(tokens: list[str], ids: np.ndarray, start: int, size: int) -> tuple[str, list[str]]:
+def _template(tokens: list[str], ids: np.ndarray, bounds: np.ndarray, start: int, size: int) -> tuple[str, list[str]]:
     words, slots = [], []
-    for token, i in zip(tokens[start : start + size], ids[start : start + size].tolist(), strict=True):
-        if i < FIRST:
-            words.append(PLACEHOLDER[i])
-            slots.append(PLACEHOLDER[i] + token.lower())
+    for k in range(start, start + size):
+        token = " ".join(tokens[bounds[k] : bounds[k + 1]]).lower()
+        if ids[k] < FIRST:
+            words.append(PLACEHOLDER[int(ids[k])])
+            slots.append(words[-1] + token)
         else:
-            words.append(token.lower())
+            words.append(token)
     return " ".join(words), slots
 
 
-def _benchmark(items: list, id_col: str, text_col: str) -> tuple[tuple, list]:
+def vocabulary(items: DataFrame) -> np.ndarray:
+    """Hashes of the words that the items (column ``text``) write in lower case, and of single letters, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {t for text in batch.column("text").to_pylist() for t in _TOKEN.findall(text or "") if t[0].isalpha()}
+            low = {_word_hash(t.lower()) for t in found if not t[0].isupper() or len(t) == 1}
+            yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(low, np.uint64, len(low)).view(np.int64))], ["word"])
+
+    words = items.select("text").mapInArrow(run, "word long").distinct().limit(VOCABULARY + 1).toArrow()["word"].to_numpy()
+    if len(words) > VOCABULARY:
+        raise ValueError(f"the benchmark has more than {VOCABULARY} lower-case words")
+    return np.sort(words.view(np.uint64))
+
+
+def _benchmark(items: list, id_col: str, text_col: str, known: np.ndarray) -> tuple[tuple, list]:
     """(words, window hashes by size, tokens, hashes of windows as they are by size), and windows (item, position, size,
     template, slots, template windows that make a leak, windows in a row that do).
 
     Every window is kept as it is; those with enough literals are kept as a template too.
     """
     tokens = [(r[id_col], _TOKEN.findall(r[text_col] or "")) for r in items]
-    lower = sorted({t for _, ts in tokens for t in ts if t[0].isalpha() and not (t[0].isupper() and t[1:].islower())}
-                   | {t.lower() for _, ts in tokens for t in ts if len(t) == 1})
-    words = {w.lower(): FIRST + i for i, w in enumerate(lower) if w.lower() not in UNIT_WORDS | NUMBER_WORDS}
     every = {t: FIRST + i for i, t in enumerate(sorted({t.lower() for _, ts in tokens for t in ts}))}
-    lookup = _Ids(words)
+    lower = np.array([_word_hash(w) for w in every], np.uint64)
+    words = {w: i for (w, i), literal in zip(every.items(), _known(lower, known), strict=True)
+             if literal and w not in UNIT_WORDS | NUMBER_WORDS}
+    lookup = _Ids(words, known)
     hashes: dict[int, set] = {}
     exact: dict[int, set] = {}
     windows = []
@@ -123,19 +159,20 @@ def _benchmark(items: list, id_col: str, text_col: str) -> tuple[tuple, list]:
         starts, found = _windows(np.fromiter((every[t.lower()] for t in ts), np.int64, len(ts)), size, False)
         exact.setdefault(size, set()).update(found.tolist())
         windows += [(item, int(s), size, *_exact(ts, int(s), size), None, row) for s in starts]
-        if len(ts) < SHORTEST:
+        ids, bounds = _joined(np.fromiter(map(lookup.__getitem__, ts), np.int64, len(ts)))
+        if len(ids) < SHORTEST:
             continue
-        ids = np.fromiter(map(lookup.__getitem__, ts), np.int64, len(ts))
+        size = min(WINDOW, len(ids))
         starts, found = _windows(ids, size)
         hashes.setdefault(size, set()).update(found.tolist())
-        need = min(len(starts), max(1, row))
-        windows += [(item, int(s), size, *_template(ts, ids, int(s), size), need, row) for s in starts]
+        need = min(len(starts), min(LEAK, len(ids)) - size + 1)
+        windows += [(item, int(s), size, *_template(ts, ids, bounds, int(s), size), need, None) for s in starts]
     sizes = lambda x: {k: np.array(sorted(v), np.uint64) for k, v in x.items()}
     return (words, sizes(hashes), every, sizes(exact)), windows
 
 
-def _known(found: np.ndarray, known: np.ndarray | None) -> np.ndarray:
-    if known is None or not len(known) or not len(found):
+def _known(found: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known) or not len(found):
         return np.zeros(len(found), bool)
     return known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
 
@@ -145,16 +182,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """Documents that hold a benchmark passage, verbatim or with other numbers, names and units.
 
     Both sides become templates: numbers, units and capitalised words that the benchmark never writes in lower case
-    turn into typed placeholders. Windows of 8 template tokens are joined by hash. Per document, item and alignment
-    the replaced values must be consistent: each benchmark value stands for one document value and the other way
-    round. An alignment leaks if its windows reach 13 tokens (the whole item where that is shorter), or if 13 tokens in
-    a row are the item's own, whatever the rest of it says. Windows with under 4 literals match only as they are.
+    turn into typed placeholders, neighbours of one type into one ("New York", "forty five"). Windows of 8 template tokens
+    are joined by hash. Per document, item and alignment the replaced values must be consistent: each benchmark value
+    stands for one document value and the other way round. An alignment leaks if its windows reach 13 template tokens (the
+    whole item where that is shorter). So does one of 13 tokens in a row that are the item's own, whatever the rest of it
+    says. Windows with under 4 literals match only as they are.
 
-    Returns one row per leaking document text and item: ``id_col, text_hash, item_col, n_windows, exact`` (no value
-    was replaced).
+    Returns one row per leaking document text and item: ``id_col, text_hash, item_col, n_windows, exact`` (verbatim, and no
+    value was replaced).
 
     The benchmark is broadcast only in parts of at most ``broadcast_chars`` characters; a longer one takes several
-    scans of the documents. Capitalised words are judged by the words of their part.
+    scans of the documents, with the same result. Its lower-case words, which tell names, are broadcast whole; a benchmark
+    with more than VOCABULARY of them is refused.
 
     * null and empty texts leak nothing; repeated items count once; items of fewer than 5 tokens are looked for as they
       are, as a passage of their own (bounded by punctuation, line ends or the ends of the text);
@@ -164,43 +203,44 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = int(total // broadcast_chars) + 1
+    known = vocabulary(items)
     out = None
     for part in range(parts):
         chosen = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else items
-        found = _find_part(docs, chosen.collect(), benchmark.schema[item_col].dataType, id_col, text_col)
+        found = _find_part(docs, chosen.collect(), known, benchmark.schema[item_col].dataType, id_col, text_col)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("item", item_col).withColumnRenamed("id", id_col)
 
 
-def _find_part(docs: DataFrame, items: list, item_type, id_col: str, text_col: str) -> DataFrame:
+def _find_part(docs: DataFrame, items: list, known: np.ndarray, item_type, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    index, windows = _benchmark(items, "item", "text")
-    shared = spark.sparkContext.broadcast(index)  # bounded by broadcast_chars
+    index, windows = _benchmark(items, "item", "text", known)
+    shared = spark.sparkContext.broadcast((*index, known))  # bounded by broadcast_chars and VOCABULARY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, hashes, every, exact = shared.value
-        lookup = _Ids(words)
+        words, hashes, every, exact, lower = shared.value
+        lookup = _Ids(words, lower)
         for batch in batches:
             rows, places, templates, slots = [], [], [], []
             for row, text in enumerate(batch.column("text")):
                 text = text.as_py() or ""
                 tokens = _TOKEN.findall(text)
-                ids = np.fromiter(map(lookup.__getitem__, tokens), np.int64, len(tokens))
+                ids, bounds = _joined(np.fromiter(map(lookup.__getitem__, tokens), np.int64, len(tokens)))
                 own = np.fromiter((every.get(t.lower(), 0) for t in tokens), np.int64, len(tokens))
-                for size, known in exact.items():
+                matched = []
+                for size, hashed in hashes.items():
                     starts, found = _windows(ids, size)
-                    hit = starts[_known(found, hashes.get(size))].tolist()
-                    matched = [(start, *_template(tokens, ids, start, size)) for start in hit]
+                    matched += [(start, *_template(tokens, ids, bounds, start, size)) for start in starts[_known(found, hashed)].tolist()]
+                for size, hashed in exact.items():
                     starts, found = _windows(own, size, False)
-                    done = set(hit)
-                    for start in starts[_known(found, known)].tolist():
-                        if start not in done and (size >= SHORTEST or _alone(text, start, size)):
+                    for start in starts[_known(found, hashed)].tolist():
+                        if size >= SHORTEST or _alone(text, start, size):
                             matched.append((start, *_exact(tokens, start, size)))
-                    for start, template, values in matched:
-                        rows.append(row)
-                        places.append(start)
-                        templates.append(template)
-                        slots.append(values)
+                for start, template, values in matched:
+                    rows.append(row)
+                    places.append(start)
+                    templates.append(template)
+                    slots.append(values)
             taken = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(taken), batch.column("text_hash").take(taken), pa.array(places, pa.int64()),
@@ -220,26 +260,32 @@ def _find_part(docs: DataFrame, items: list, item_type, id_col: str, text_col: s
         "id", "text_hash", "item", "need", "row", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
         F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours")).alias("values"),
     ).distinct()
-    # At most a window per token of an item meets in one alignment, so the sets below are small.
-    same = F.forall("values", lambda v: v["theirs"] == v["ours"])
-    aligned = pairs.groupBy("id", "text_hash", "item", "shift").agg(
+    # At most a window per token of an item meets in one alignment, so the sets below are small. Windows of templates have
+    # a ``need``, those of the item as it is have a ``row``.
+    aligned = pairs.groupBy("id", "text_hash", "item", "shift", F.col("need").isNull().alias("plain")).agg(
         F.count_distinct("item_place").alias("n_windows"),
-        F.count_distinct(F.when(F.col("need").isNotNull(), F.col("item_place"))).alias("n_templates"),
         F.max("need").alias("need"),
-        F.first("row").alias("row"),
-        F.array_sort(F.collect_set(F.when(same, F.col("item_place")))).alias("verbatim"),
+        F.max("row").alias("row"),
+        F.array_sort(F.collect_set("item_place")).alias("places"),
         F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"),
     )
+    same = F.forall("values", lambda v: v["theirs"] == v["ours"])
     one_way = F.size(F.array_distinct(F.transform("values", lambda v: v["theirs"]))) == F.size("values")
     other_way = F.size(F.array_distinct(F.transform("values", lambda v: v["ours"]))) == F.size("values")
-    consistent = same | (one_way & other_way)
     # the n-th place of a run is n - 1 after its first: places in order, ``row`` of them without a gap
     in_row = F.exists(
-        F.transform("verbatim", lambda x, i: F.coalesce(F.get("verbatim", i + F.col("row") - 1) == x + F.col("row") - 1, F.lit(False))),
+        F.transform("places", lambda x, i: F.coalesce(F.get("places", i + F.col("row") - 1) == x + F.col("row") - 1, F.lit(False))),
         lambda x: x,
     )
-    leaks = aligned.where(((F.col("n_templates") >= F.col("need")) & consistent) | in_row)
-    return leaks.groupBy("id", "text_hash", "item").agg(F.max("n_windows").alias("n_windows"), F.max(same).alias("exact"))
+    leaks = F.when(F.col("plain"), in_row).otherwise((F.col("n_windows") >= F.col("need")) & one_way & other_way)
+    found = aligned.select("id", "text_hash", "item", "plain", "n_windows", same.alias("same"), leaks.alias("leaks"))
+    templates = F.max(F.when(~F.col("plain"), F.struct("n_windows", "same")))
+    found = found.groupBy("id", "text_hash", "item").agg(
+        F.max(F.when(F.col("leaks"), F.col("n_windows"))).alias("n_windows"),
+        (F.max(F.col("plain") & F.col("leaks")) & F.coalesce(templates["same"], F.lit(True))).alias("exact"),
+        F.max("leaks").alias("leaks"),
+    )
+    return found.where("leaks").drop("leaks")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
