@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +60,8 @@ GAZETTEER = {
     "name": r"(?i)(smith|jones|brown|miller|garc|mart|m[uü]ller|schmidt|dupont|durand|john|mary|anna|peter|paul|jean|marie|jos|carlos)",
 }
 VOTERS = ("form", "context", "known", "shape")
+#: Features of a span that only the classifier sees.
+TRAITS = ("size", "digits", "breaks", "before_it")
 ROUNDS, PRIOR, THRESHOLD = 30, 0.5, 0.5
 
 
@@ -150,21 +152,43 @@ def estimate(counts: dict[tuple, int], rounds: int = ROUNDS) -> dict[tuple, floa
     return posterior
 
 
-def train(counts: dict[tuple, int], posterior: dict[tuple, float], rounds: int = 200, rate: float = 0.5) -> dict[str, float]:
-    """Logistic span classifier on the soft labels: a weight per kind and per (labeler, vote)."""
-    weights = {k: 0.0 for k in PATTERNS} | {f"{v}={x}": 0.0 for v, x in product(VOTERS, (-1, 0, 1))}
-    total = sum(counts.values()) or 1
-    names = {key: [key[0], *(f"{v}={x}" for v, x in zip(VOTERS, key[1:], strict=True))] for key in counts}
-    for _ in range(rounds):
-        slope = dict.fromkeys(weights, 0.0)
-        for key, n in counts.items():
-            score = sum(weights[f] for f in names[key])
-            error = posterior[key] - 1 / (1 + math.exp(-score))
-            for f in names[key]:
-                slope[f] += n / total * error
-        for f in weights:
-            weights[f] += rate * (slope[f] - 1e-4 * weights[f])
-    return weights
+def traits(found: Column, before: Column) -> dict[str, Column]:
+    """Of a span: its length (powers of two), share of digits (quarters), what breaks it, the kind of character before it.
+    Each has a fixed number of values, as text."""
+    inner = F.when(found.contains(" "), "space").when(found.contains("-"), "dash").when(found.contains("."), "dot").otherwise("none")
+    last = F.right(before, F.lit(1))
+    kind = F.when(last == "", "start").when(last.rlike(r"\p{L}"), "letter").when(last.rlike(r"[0-9]"), "digit").when(last.rlike(r"\s"), "space")
+    return {
+        "size": F.least(F.floor(F.log2(F.length(found))), F.lit(7)).cast("string"),
+        "digits": F.floor(4 * F.length(digits(found)) / F.length(found)).cast("string"),
+        "breaks": inner,
+        "before_it": kind.otherwise("mark"),
+    }
+
+
+def names_of(key: tuple) -> list[str]:
+    """Features of a row of the pattern table: kind, votes, traits."""
+    return [key[0], *(f"{n}={x}" for n, x in zip((*VOTERS, *TRAITS), key[1:], strict=False))]
+
+
+def train(counts: dict[tuple, int], posterior: dict[tuple, float], rounds: int = 300, rate: float = 0.5) -> dict[str, float]:
+    """Logistic span classifier on the soft labels: a weight per kind, per (labeler, vote) and per (trait, value).
+
+    ``counts`` has a row for each pattern (kind, votes, traits); ``posterior`` one for each (kind, votes).
+    """
+    keys = sorted(counts)
+    names = sorted({n for key in keys for n in names_of(key)})
+    at = {n: i for i, n in enumerate(names)}
+    weights = np.zeros(len(names))
+    if keys:
+        index = np.array([[at[n] for n in names_of(key)] for key in keys])
+        share = np.array([counts[key] for key in keys], float) / sum(counts.values())
+        label = np.array([posterior[key[: 1 + len(VOTERS)]] for key in keys])
+        for _ in range(rounds):
+            error = share * (label - 1 / (1 + np.exp(-weights[index].sum(1))))
+            slope = np.bincount(index.ravel(), np.repeat(error, index.shape[1]), len(names))
+            weights += rate * (slope - 1e-4 * weights)
+    return dict(zip(names, weights.tolist(), strict=True))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -174,10 +198,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     candidates (written-out addresses, local phone numbers, social security numbers, account numbers, titled names)
     are judged by weak supervision: regex, gazetteer and context labelers vote on every candidate of every kind,
     expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is, and a logistic
-    classifier trained on its posteriors decides. Only the table of vote patterns, whose size has a fixed bound,
-    comes to the driver.
+    classifier of kind, votes and traits of the span, trained on its posteriors, decides. Only the table of patterns, whose
+    size has a fixed bound, comes to the driver.
 
-    Returns one row per input row: ``id_col, n_email, n_ip, n_card, n_phone, n_added, base_spans, spans`` with spans as
+    Returns one row per input row: ``id_col, n_email, n_ip, n_card, n_phone, n_added, n_spans, base_spans, spans`` with spans as
     ``kind:start:end`` (code points, end exclusive), by start, then kind, joined by commas.
 
     * null and empty texts have no spans; other columns of ``docs`` are ignored, whatever their names;
@@ -192,27 +216,31 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     rows = shared_checkpoint(rows)
 
     spans = positions(rows.where(F.size("pieces") > 0)).where(valid(F.col("kind"), F.col("found")))
-    cast = votes(F.col("kind"), F.col("found"), F.coalesce("before", F.lit("")))
+    before = F.coalesce("before", F.lit(""))
+    cast = votes(F.col("kind"), F.col("found"), before) | traits(F.col("found"), before)
     spans = shared_checkpoint(spans.select("uid", "kind", "start", "end", *[v.alias(k) for k, v in cast.items()]))
 
-    table = spans.groupBy("kind", *VOTERS).count().collect()
-    counts = {(r["kind"], *(r[v] for v in VOTERS)): r["count"] for r in table}
-    weights = train(counts, estimate(counts))
-    score = _by_kind(F.col("kind"), {k: F.lit(weights[k]) for k in PATTERNS})
-    for v in VOTERS:
-        score = score + F.when(F.col(v) == 1, weights[f"{v}=1"]).when(F.col(v) == -1, weights[f"{v}=-1"]).otherwise(weights[f"{v}=0"])
+    counts = {tuple(r)[:-1]: r["count"] for r in spans.groupBy("kind", *cast).count().collect()}
+    patterns: dict[tuple, int] = {}
+    for key, n in counts.items():
+        patterns[key[: 1 + len(VOTERS)]] = patterns.get(key[: 1 + len(VOTERS)], 0) + n
+    weights = train(counts, estimate(patterns))
+    table = F.create_map(*[F.lit(x) for name, w in (weights or {"": 0.0}).items() for x in (name, w)])
+    features = [F.col("kind"), *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in cast]]
+    score = F.aggregate(F.transform(F.array(*features), lambda x: F.coalesce(table[x], F.lit(0.0))), F.lit(0.0), lambda total, x: total + x)
     base = F.col("kind").isin(*BASE)
     spans = spans.where(base | (1 / (1 + F.exp(-score)) >= threshold))
 
     found = spans.groupBy("uid").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in BASE],
         F.count_if(~base).alias("n_added"),
+        F.count(F.lit(1)).alias("n_spans"),
         joined(base, KINDS).alias("base_spans"),
         joined(F.lit(True), KINDS).alias("spans"),
     )
     return rows.select("uid", "id").join(found, "uid", "left").select(
         F.col("id").alias(id_col),
-        *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in (*BASE, "added")],
+        *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in (*BASE, "added", "spans")],
         F.coalesce("base_spans", F.lit("")).alias("base_spans"),
         F.coalesce("spans", F.lit("")).alias("spans"),
     )
