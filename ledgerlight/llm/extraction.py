@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import shared_checkpoint, shuffle_partitions
 
-#: Partial wrappers per host, bytes of wrappers that may be broadcast, and the least pages for a slot's statistics.
-PARTS, BROADCAST_BYTES, LEAST_PAGES = 32, 32_000_000, 5
+#: Partial wrappers per host, bytes of wrappers that may be broadcast, pages from which a slot's statistics alone decide.
+PARTS, BROADCAST_BYTES, MANY_PAGES = 32, 32_000_000, 5
 #: A slot is no content if so few of its texts differ, or so many of its characters are links.
 FIXED_SHARE, LINK_SHARE = 0.2, 0.5
 #: Nesting that the wrapper tells apart; deeper elements count as this deep.
@@ -25,11 +25,12 @@ DEPTH = 40
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr math mi mo mn mrow mtext msup msub msubsup mfrac msqrt mroot mover munder "
+    "munderover mspace mstyle semantics".split()
 )
 SILENT = frozenset(
-    "head title nav footer aside form button select option datalist iframe object audio video canvas svg math dialog menu "
-    "fieldset".split()
+    "head title nav footer aside form button select option datalist iframe object audio video canvas svg dialog menu "
+    "fieldset annotation annotation-xml".split()
 )
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
@@ -44,6 +45,15 @@ SILENT_WORDS = frozenset(
     "masthead comment comments reply replies disqus share sharing social related recommended widget toolbar pagination "
     "pager copyright login signin signup search hidden contentinfo complementary dialog".split()
 )
+#: Words that may stand beside those above in the name of such an element, as in "cookie-bar" or "related-posts".
+BESIDE = frozenset(
+    "site page main global top bottom left right primary secondary inner outer wrap wrapper container box bar block panel list "
+    "item items section area region zone slot unit content body text link links button buttons icon icons form field post "
+    "posts article articles story stories news header head title label small large mobile desktop sticky fixed js is the "
+    "app ui module component holder row col column grid group print float level line show".split()
+)
+#: Of the words above those that are also names of sections in an article's own text, as anchors.
+ANCHORS = frozenset("search notice alert share sharing related promotion menu dialog copyright hidden navigation login pager".split())
 ROOTS = ("article", "main")
 #: Elements that no word of a class, an identifier or a role silences.
 NEVER_BY_WORDS = frozenset(("html", "body", *ROOTS))
@@ -56,26 +66,34 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def _label(name: str, rest: str) -> tuple[str, bool, bool]:
-    """Element label (name, classes and id, without digits), whether it is boilerplate, and whether its words say so."""
+def _says(token: str) -> bool:
+    """Whether a class, an identifier or a role is the name of boilerplate: all its words are names of such elements or go
+    with them ("share-buttons", but not "share-of-market")."""
+    words = [w for w in _SPLIT.split(token) if w and not w.isdigit()]
+    return any(w in SILENT_WORDS for w in words) and all(w in SILENT_WORDS or w in BESIDE for w in words)
+
+
+def _label(name: str, rest: str, rooted: bool) -> tuple[str, bool, bool]:
+    """Element label (name, classes and id, without digits), whether it is boilerplate, and whether its names say so."""
     silent = name in SILENT
     if not rest or ("=" not in rest and "hidden" not in rest):
         return name, silent, False
-    words = []
+    words, said = [], False
     for key, a, b, c in _NAMES.findall(rest):
         key, value = key.lower(), (a or b or c).lower()
         if key in ("class", "id", "role"):
             words += [w for w in _SPLIT.split(value) if w]
+            said |= any(_says(t) for t in value.split() if not (key == "id" and rooted and t in ANCHORS))
         elif key == "style":
             silent |= "display:none" in value.replace(" ", "")
         elif key == "hidden" or value == "true":
             silent = True
-    said = name not in NEVER_BY_WORDS and any(w in SILENT_WORDS for w in words)
-    words = sorted({w for w in words if not any(ch.isdigit() for ch in w)})[:6]
-    return ".".join([name, *words]), silent, said
+    words = sorted({w for w in words if not any(ch.isdigit() for ch in w)})
+    return ".".join([name, *words]), silent, said and name not in NEVER_BY_WORDS
 
 
 def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int, bool]]:
@@ -90,7 +108,7 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int, bool]]:
     n_said = 0
     text: list[str] = []
     links = 0
-    in_link = False
+    in_link = -1  # elements open around a link; it ends with the one it is in
 
     def flush() -> None:
         nonlocal links
@@ -104,10 +122,12 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int, bool]]:
         links = 0
 
     def pop_to(names: tuple[str, ...], scopes: frozenset) -> None:
+        nonlocal in_link
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 flush()
                 del stack[i:]
+                in_link = in_link if in_link <= i else -1
                 return
             if stack[i][0] in scopes:
                 return
@@ -116,7 +136,7 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int, bool]]:
         token = match.group()
         if token[0] != "<" or token == "<":
             text.append(token)
-            if in_link:
+            if in_link >= 0:
                 links += len(token)
             continue
         name = match.group("name")
@@ -125,7 +145,7 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int, bool]]:
         name = name.lower()
         if name in INLINE:
             if name == "a":
-                in_link = token[1] != "/"
+                in_link = -1 if token[1] == "/" else len(stack)
             elif name == "br":
                 text.append(" ")
             continue
@@ -141,11 +161,12 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int, bool]]:
         if name in ENDS_ITSELF:
             pop_to(ENDS_ITSELF[name], frozenset(("ul", "ol", "dl", "table", "select")))
         flush()
-        label, silent, said = _label(name, match.group("rest"))
+        rooted = any(x[0] in ROOTS for x in stack)
+        label, silent, said = _label(name, match.group("rest"), rooted)
         if name == "header":  # an article's own header is part of it
-            silent |= not any(x[0] in ROOTS for x in stack)
+            silent |= not rooted
         silent |= bool(stack) and stack[-1][2]
-        if match.group("rest").endswith("/"):
+        if _CLOSED.search(match.group("rest")):
             continue
         around = stack[-1][3] if stack else ()
         if said:
@@ -332,9 +353,11 @@ def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     row[0] += len(text)
                     row[1] += links
                     row[2].append(text)
+            total = sum(c for c, _, _ in each.values())
             pages.append(_hash("\n".join(text for _, text, _, silent in found if not silent)))
-            stats.append([{"slot": k, "chars": c, "links": x, "text_hash": _hash("\n".join(t))} for k, (c, x, t) in each.items()])
-        kind = pa.list_(pa.struct([("slot", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("text_hash", pa.int64())]))
+            stats.append([{"slot": k, "chars": c, "links": x, "text_hash": _hash("\n".join(t)), "share": c / total}
+                          for k, (c, x, t) in each.items()])
+        kind = pa.list_(pa.struct([("slot", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("text_hash", pa.int64()), ("share", pa.float64())]))
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(pages, pa.int64()), pa.array(stats, kind)], ["host", "page", "stats"])
 
 
@@ -390,20 +413,23 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 def slot_kinds(pages: DataFrame) -> DataFrame:
     """From ``pages(host, html, wrapper)``: per host and slot that pages fill, whether it is ``fixed`` text.
 
-    Exact counts over the host's distinct pages: pages with the same open text are one.
+    Exact counts over the host's distinct pages: pages with the same open text are one. A slot is fixed if few of its texts
+    differ; with only two to four pages, if they have one text there that is less than half of each page.
     """
     seen = pages.select("host", "html", "wrapper").mapInArrow(
-        _slot_rows, "host string, page long, stats array<struct<slot:string,chars:long,links:long,text_hash:long>>"
+        _slot_rows, "host string, page long, stats array<struct<slot:string,chars:long,links:long,text_hash:long,share:double>>"
     )
     # copies of a page count once
     stats = seen.select("host", "page", F.explode("stats").alias("s")).select("host", "page", "s.*").distinct()
     texts = stats.groupBy("host", "slot", "text_hash").agg(
-        F.count_distinct("page").alias("pages"), F.sum("links").alias("links"), F.sum("chars").alias("chars")
+        F.count_distinct("page").alias("pages"), F.sum("links").alias("links"), F.sum("chars").alias("chars"), F.max("share").alias("share")
     )
     stats = texts.groupBy("host", "slot").agg(
-        F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("texts"), (F.sum("links") / F.sum("chars")).alias("link_share")
-    )
-    fixed = (F.col("pages") >= LEAST_PAGES) & (F.col("texts") < FIXED_SHARE * F.col("pages"))
+        F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("texts"), (F.sum("links") / F.sum("chars")).alias("link_share"),
+        F.max("share").alias("share"),
+    )
+    few = (F.col("pages") > 1) & (F.col("texts") == 1) & (F.col("share") < 0.5)
+    fixed = F.when(F.col("pages") >= MANY_PAGES, F.col("texts") < FIXED_SHARE * F.col("pages")).otherwise(few)
     return stats.select("host", "slot", (fixed | (F.col("link_share") > LINK_SHARE)).alias("fixed"))
 
 
