@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,14 +10,16 @@ from pyspark.sql import functions as F
 
 from .common import shared_checkpoint, word_count
 
-#: Hex digits of the random key that name a bucket: 16**3 buckets per source.
-BUCKET_DIGITS = 3
+#: Hex digits of the random key that name a range, at least, and rows that a range may hold on average: larger tables have
+#: more ranges, with the same result.
+RANGE_DIGITS, RANGE_ROWS = 3, 50_000
 WEIGHTS = (5, 2, 1)
 
 
-def random_key(id_col: Column, seed: int) -> Column:
-    """32 hex digits, the same for the same identifier and seed in every run."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null"))))
+def random_key(id_col: Column, text_col: Column, seed: int) -> Column:
+    """32 hex digits, the same for the same identifier (the same text, where that is null) and seed in every run."""
+    name = F.coalesce(id_col.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text_col, F.lit("")))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), name))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: float = 3.0) -> DataFrame:
@@ -68,7 +71,7 @@ def mix_sources(
 ) -> DataFrame:
     """Words that a mix takes from each document.
 
-    Each document gets a hash-random key. Its source is cut into 4096 ranges of that key, the ranges'
+    Each document gets a hash-random key. Its source is cut into ranges of that key (4096, more for large tables), the ranges'
     word counts give the words before each range, and a window inside each range gives the words
     before each document: no window spans a whole source. A source's budget is its target rounded to
     whole words: as many whole epochs as fit, then documents in key order up to the exact word, so the
@@ -78,20 +81,22 @@ def mix_sources(
     ``carry``.
 
     * null text has size 0 and gives nothing; a null source is a source of its own, the last in order;
-    * rows that tie on the identifier are ordered by size, then by a hash of the text, so reruns agree;
-      the windows are over keys of the identifier, so rows with null identifiers share one key;
+    * rows that tie on the identifier are ordered by size, then by a hash of the text, so reruns agree; rows with a null
+      identifier have a key of their text;
     * an empty table gives an empty result; other columns of ``docs`` are ignored, whatever their names.
     """
     sized = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
-        random_key(F.col(id_col), seed).alias("key"),
+        random_key(F.col(id_col), F.col(text_col), seed).alias("key"),
         F.xxhash64(F.col(text_col)).alias("tie"),
         F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("carried"),
-    ).withColumn("range", F.substring("key", 1, BUCKET_DIGITS))
+    )
     # Null sources need an equi-join key of their own.
     sized = shared_checkpoint(sized.withColumn("pool", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))))
+    digits = max(RANGE_DIGITS, math.ceil(math.log(max(1, sized.count() / RANGE_ROWS), 16)))
+    sized = sized.withColumn("range", F.substring("key", 1, digits))
 
     ranges = sized.groupBy("pool", "range").agg(F.first("source").alias("source"), F.sum("size").alias("range_size"))
     ranges = shared_checkpoint(ranges)

@@ -16,7 +16,7 @@ _MIXED = """
 d AS (
   SELECT doc_id, source,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5('42:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+         md5('42:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS key
   FROM {docs}),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
