@@ -179,13 +179,16 @@ def public_evidence(observations: DataFrame) -> DataFrame:
 
 
 def license_snapshot(rows: DataFrame) -> DataFrame:
-    """Licence entropy (bits) and share of unknown licences per (dataset, period)."""
+    """Licence entropy (bits), share of unknown licences, and the 20 most frequent licences with their counts, per (dataset,
+    period)."""
     counts = rows.groupBy("dataset", "period", "license").agg(F.count(F.lit(1)).alias("n"))
     total = Window.partitionBy("dataset", "period")
     counts = counts.withColumn("p", F.col("n") / F.sum("n").over(total))
     return counts.groupBy("dataset", "period").agg(
         F.sum("n").alias("rows"), F.round(-F.sum(F.col("p") * F.log2("p")), 4).alias("entropy"),
         F.round(F.coalesce(F.sum(F.when(F.col("license").isNull(), F.col("p"))), F.lit(0.0)), 4).alias("unknown_ratio"),
+        F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.coalesce("license", F.lit("unknown")).alias("license")))), 1, 20),
+                    lambda x: F.concat(x["license"], F.lit(":"), (-x["o"]).cast("string"))).alias("top"),
     )
 
 

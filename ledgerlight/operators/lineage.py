@@ -13,17 +13,20 @@ def node_id(kind: str, name: Column) -> Column:
 
 
 def lineage_edges(models: DataFrame) -> DataFrame:
-    """Edges ``(source, target, type, weight)``: owns, trained_on, finetuned_from, undocumented_source, inherited_opacity."""
+    """Edges ``(source, target, type, weight)``: owns, trained_on, finetuned_from (0.99 to the base, 0.95 along its chain),
+    undocumented_source, inherited_opacity."""
     model = node_id("model", F.col("model_id"))
     owns = models.select(node_id("org", F.col("org")).alias("source"), model.alias("target"), F.lit("owns").alias("type"), F.lit(1.0).alias("weight"))
     trained = models.select(model.alias("source"), F.explode(F.array_distinct("datasets")).alias("d")).select("source", node_id("dataset", F.col("d")).alias("target"), F.lit("trained_on").alias("type"), F.lit(0.7).alias("weight"))
     based = models.where(F.col("base_model").isNotNull())
     tuned = based.select(model.alias("source"), node_id("model", F.col("base_model")).alias("target"), F.lit("finetuned_from").alias("type"), F.lit(0.99).alias("weight"))
+    steps = base_chain(models).select(F.explode(F.arrays_zip(F.col("bases").alias("at"), F.expr("slice(bases, 2, size(bases))").alias("next"))).alias("x")).where("x.next is not null")
+    chained = steps.select(node_id("model", F.col("x.at")).alias("source"), node_id("model", F.col("x.next")).alias("target"), F.lit("finetuned_from").alias("type"), F.lit(0.95).alias("weight"))
     bare = models.where(F.size("datasets") == 0).select(model.alias("source"), node_id("dataset", F.lit("undocumented")).alias("target"), F.lit("undocumented_source").alias("type"), F.lit(0.5).alias("weight"))
     opaque = models.where(F.col("score") < 0.3)
     parents = opaque.select(F.col("model_id").alias("base_model"))
     opacity = opaque.join(parents, "base_model").select(model.alias("source"), node_id("model", F.col("base_model")).alias("target"), F.lit("inherited_opacity").alias("type"), F.lit(0.9).alias("weight"))
-    return reduce(DataFrame.unionByName, [owns, trained, tuned, bare, opacity]).distinct()
+    return reduce(DataFrame.unionByName, [owns, trained, tuned, chained, bare, opacity]).distinct()
 
 
 def lineage_nodes(models: DataFrame) -> DataFrame:
@@ -43,6 +46,26 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.unionByName(edges.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("what"), "type", "n"))
 
 
+def graph_rates(models: DataFrame) -> DataFrame:
+    """Models, those without a documented dataset and their rate in percent, models with a base, mean score in percent."""
+    n, bare = F.count(F.lit(1)), F.count_if(F.size("datasets") == 0)
+    return models.agg(
+        n.alias("models"), bare.alias("undocumented"), F.round(100 * bare / F.greatest(n, F.lit(1)), 1).alias("undocumented_rate"), F.count("base_model").alias("with_base"),
+        F.round(100 * F.avg("score"), 1).alias("mean_score"),
+    )
+
+
+def most_depended(models: DataFrame, n: int = 15) -> DataFrame:
+    """Base models by the number of models that build on them, directly or along their chain."""
+    used = base_chain(models).select("model_id", F.explode("bases").alias("base_model"))
+    return used.groupBy("base_model").agg(F.count(F.lit(1)).alias("dependents")).orderBy(F.desc("dependents"), "base_model").limit(n)
+
+
+def org_means(models: DataFrame) -> DataFrame:
+    """Mean of the scores above 0 per organisation, in percent."""
+    return models.where("score > 0").groupBy("org").agg(F.round(100 * F.avg("score"), 1).alias("mean_score"), F.count(F.lit(1)).alias("models"))
+
+
 def shared_datasets(models: DataFrame, n: int = 20) -> DataFrame:
     """Datasets that at least two organisations use."""
     used = models.select("org", "model_id", F.explode(F.array_distinct("datasets")).alias("dataset"))
@@ -75,7 +98,9 @@ def base_chain(models: DataFrame, max_depth: int = 5) -> DataFrame:
     for _ in range(max_depth):
         grow = F.col("next").isNotNull() & ~F.array_contains("chain", F.coalesce("next", F.lit("")))
         rows = rows.withColumn("grow", grow).withColumn("chain", F.when(F.col("grow"), F.array_append("chain", F.col("next"))).otherwise(F.col("chain")))
-        rows = rows.withColumn("at", F.when(F.col("grow"), F.col("next"))).drop("next", "grow").join(base, "at", "left").drop("at")
+        # chains that have ended look for a name of their own that no model has, so that they do not meet in one task
+        at = F.when(F.col("grow"), F.col("next")).otherwise(F.concat(F.lit("\x00"), "model_id"))
+        rows = rows.withColumn("at", at).drop("next", "grow").join(base, "at", "left").drop("at")
     return rows.select("model_id", F.expr("slice(chain, 2, size(chain))").alias("bases"))
 
 
@@ -99,6 +124,12 @@ def scan_summary(models: DataFrame) -> DataFrame:
                       F.count("base_model").alias("with_base"), F.count("license").alias("with_license"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
+def best_and_worst(models: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` models with the highest and the ``n`` with the lowest score."""
+    pick = lambda order, end: models.orderBy(order, "model_id").limit(n).select(F.lit(end).alias("end"), "model_id", "score")
+    return pick(F.desc_nulls_last("score"), "best").unionByName(pick(F.asc_nulls_last("score"), "worst"))
+
+
 # Target sets
 
 
@@ -107,6 +138,12 @@ def normalize_target_id(target: Column) -> Column:
     return F.lower(F.trim(F.element_at(F.split(target, ":"), -1)))
 
 
+def target_org(target: Column) -> Column:
+    """Organisation of an id: what is before ``/``, else ``unknown``."""
+    name = normalize_target_id(target)
+    return F.when(name.contains("/"), F.split(name, "/")[0]).otherwise("unknown")
+
+
 def merge_targets(targets: DataFrame) -> DataFrame:
     """One row per (id, type): registry over models over datasets."""
     place = F.when(F.col("source") == "registry", 0).when(F.col("source") == "models", 1).otherwise(2)

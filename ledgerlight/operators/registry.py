@@ -90,8 +90,13 @@ def outreach_status(messages: DataFrame, overrides: DataFrame) -> DataFrame:
     return best.join(last, "target_id", "left").select("target_id", F.coalesce("override", "b.status").alias("status"), "b.platform", "b.sent_at", "messages")
 
 
-def outreach_stats(status: DataFrame) -> DataFrame:
-    return status.groupBy("status", "platform").agg(F.count(F.lit(1)).alias("targets"), F.sum("messages").alias("messages"))
+def outreach_stats(status: DataFrame, scores: DataFrame, now: str) -> DataFrame:
+    """By status and platform: targets, messages, mean days since the last one, targets with a report and their mean score."""
+    rows = status.join(scores.select("target_id", "score", F.lit(True).alias("reported")), "target_id", "left")
+    return rows.groupBy("status", "platform").agg(
+        F.count(F.lit(1)).alias("targets"), F.sum("messages").alias("messages"), F.round(F.avg(F.datediff(F.lit(now).cast("date"), "sent_at")), 1).alias("mean_days"),
+        F.count("reported").alias("with_report"), F.round(F.avg("score"), 2).alias("mean_score"),
+    )
 
 
 def merge_outreach(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -185,7 +190,10 @@ def sync_status(log: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def cooldown_filter(candidates: DataFrame, messages: DataFrame, now: str, days: int) -> DataFrame:
-    """Candidates whose target and organisation were not written to in the last ``days``."""
+    """Candidates whose target was not written to, and whose organisation did not reject, in the last ``days``. Where both
+    sides name a ``package``, one that went to the target at any time is not sent again."""
+    if "package" in candidates.columns and "package" in messages.columns:
+        candidates = candidates.join(messages.select("target_id", "package").distinct(), ["target_id", "package"], "left_anti")
     recent = messages.where(F.col("sent_at") >= F.expr(f"TIMESTAMP'{now}' - INTERVAL {days} DAYS"))
     out = candidates.join(recent.select("target_id").distinct(), "target_id", "left_anti").withColumn("org", F.split("target_id", "/")[0])
     orgs = recent.where("status = 'rejected'").select(F.split("target_id", "/")[0].alias("org")).distinct()

@@ -46,7 +46,9 @@ def _finished(stream, mode="append"):
 def _wide(s, f):
     r = v.receipts(s, f)
     cols = [F.try_element_at("top_k", F.lit(i))[c].alias(f"{c}{i}") for i in (3, 1, 2) for c in ("provider_id", "shard_id", "share")]
-    return r.select("output_id", "model_id", "timestamp", *cols)
+    k = F.col("order_key")
+    licences = [F.when(k % 3 == 0, " mit ").alias("license_id1"), F.when(k % 2 == 0, "cc-by").alias("license_id2"), F.when(k % 4 == 0, "mit").otherwise(" ").alias("license_id9")]
+    return r.select("output_id", "model_id", "timestamp", *cols, *licences)
 
 
 def _usage(s, f):
@@ -58,9 +60,14 @@ def _usage(s, f):
 
 def _collections(s, f):
     k = F.col("p_partkey")
-    entry = F.to_json(F.struct(F.concat(F.lit("ds"), k.cast("string")).alias("name"), F.col("p_type").alias("license")))
+    name = F.concat(F.lit("ds"), k.cast("string"))
+    licences = F.when(k % 4 == 0, F.concat(F.lit('[{"License": "'), F.col("p_type"), F.lit('", "License URL": "u"}, "mit"]'))).when(k % 4 == 1, F.concat(F.lit('["'), F.col("p_type"), F.lit('"]'))).when(
+        k % 4 == 2, F.concat(F.lit('[{"spdx_id": "'), F.col("p_type"), F.lit('", "href": "h"}, {"url": "x"}]')))
+    key = F.when(k % 5 == 0, "Dataset Name").otherwise("Unique Dataset Identifier")
+    entry = F.concat(F.lit('{"'), key, F.lit('": "'), name, F.lit('", "Domain": "d'), (k % 7).cast("string"), F.lit('", "License'), F.when(k % 4 == 3, F.concat(F.lit('": "'), F.col("p_type"), F.lit('"'))).otherwise(
+        F.concat(F.lit('s": '), licences)), F.lit("}"))
     body = F.when(k % 3 == 0, F.concat(F.lit("["), entry, F.lit("]"))).when(k % 3 == 1, F.concat(F.lit('{"datasets":['), entry, F.lit("]}"))).otherwise(F.concat(F.lit('{"x":'), entry, F.lit("}")))
-    return v.table(s, f, "part").select(k.cast("string").alias("path"), body.alias("body"))
+    return v.table(s, f, "part").select(F.concat(F.when(k % 17 == 0, "_").otherwise("p/"), k.cast("string")).alias("path"), body.alias("body"))
 
 
 def _changes(s, f):
@@ -110,8 +117,9 @@ def _store(s, f):
 QUERIES = {
     "a2_with_line_no": lambda s, f: _lines(s, f).agg(F.sum("n").alias("lines"), F.count_if((F.col("n") == F.col("last")) & (F.col("n") == F.col("distinct"))).alias("files_ok"), F.count(F.lit(1)).alias("files")).select(
         "lines", (F.col("files_ok") == F.col("files")).alias("ok")),
-    "a3_receipts_from_wide": lambda s, f: a.receipts_from_wide(_wide(s, f), 3).select("output_id", "period", F.transform("top_k", lambda e: e["provider_id"]).alias("providers"), F.size("top_k").alias("n")),
-    "a4_receipts_from_collections": lambda s, f: a.receipts_from_collections(_collections(s, f)),
+    "a3_receipts_from_wide": lambda s, f: a.receipts_from_wide(_wide(s, f), 3).select("output_id", "period", F.transform("top_k", lambda e: e["provider_id"]).alias("providers"), F.size("top_k").alias("n"), "license_refs"),
+    "a4_receipts_from_collections": lambda s, f: a.receipts_from_collections(_collections(s, f)).select(
+        "path", "provider_id", "share", F.transform("license_refs", lambda x: F.concat_ws("|", x["license_id"], x["url"])).alias("licenses"), F.col("meta.dataset_name").alias("name"), F.col("meta.domain").alias("domain")),
     "a5_receipts_from_events": lambda s, f: a.receipts_from_events(_usage(s, f)).select("model_id", "timestamp", "output_id", F.transform("top_k", lambda e: e["provider_id"]).alias("providers")),
     "a6_spider_receipts": lambda s, f: a.spider_receipts(v.table(s, f, "pages").withColumnRenamed("url", "URL"), "crawl", "2024-01").select("receipt_id", "content_id"),
     "a7_read_report_store": _store,
@@ -136,8 +144,12 @@ from .settlement import SQL as _SETTLED  # noqa: E402
 SQL = {
     "a2_with_line_no": f"WITH {v.ENTRIES} SELECT count(DISTINCT order_key) AS lines, true AS ok FROM entries",
     "a3_receipts_from_wide": f"""WITH {v.ENTRIES} SELECT output_id, strftime(any_value(ts), '%Y-%m') AS period, list(provider_id ORDER BY share DESC, CASE rank WHEN 3 THEN 3 ELSE rank END) AS providers,
-        count(*) AS n FROM entries WHERE rank <= 3 GROUP BY 1""",
-    "a4_receipts_from_collections": "SELECT p_partkey::VARCHAR AS path, 'ds' || p_partkey AS provider_id, [p_type] AS licenses, 1.0::DOUBLE AS share FROM part",
+        count(*) AS n, any_value(list_distinct_in_order) AS license_refs
+        FROM (SELECT *, CASE WHEN order_key % 12 = 0 OR order_key % 6 = 0 THEN ['mit', 'cc-by'] WHEN order_key % 3 = 0 THEN ['mit'] WHEN order_key % 4 = 0 THEN ['cc-by', 'mit'] WHEN order_key % 2 = 0 THEN ['cc-by'] ELSE []::VARCHAR[] END AS list_distinct_in_order
+          FROM entries) WHERE rank <= 3 GROUP BY 1""",
+    "a4_receipts_from_collections": """SELECT 'p/' || p_partkey AS path, 'ds' || p_partkey AS provider_id, 1.0::DOUBLE AS share,
+        CASE p_partkey % 4 WHEN 0 THEN [p_type || '|u', 'mit'] WHEN 2 THEN [p_type || '|h'] ELSE [p_type] END AS licenses,
+        CASE WHEN p_partkey % 5 = 0 THEN 'ds' || p_partkey END AS name, 'd' || (p_partkey % 7) AS domain FROM part WHERE p_partkey % 17 <> 0""",
     "a5_receipts_from_events": """WITH e AS (SELECT 'm' || event_id AS model_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp,
           CASE WHEN user_id % 7 = user_id % 5 THEN ['p' || (user_id % 7)] ELSE ['p' || (user_id % 7), 'p' || (user_id % 5)] END AS providers FROM events WHERE event_id % 11 > 0)
         SELECT model_id, timestamp, providers, substr(sha256(model_id || '|' || timestamp || '|' || array_to_string(providers, ',')), 1, 12) AS output_id FROM e""",

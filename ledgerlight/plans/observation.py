@@ -14,6 +14,10 @@ def _day_before(s, sf):
     return v.snapshots(s, sf).withColumn("day", F.date_add("day", 1))
 
 
+def _schemas(s, sf):
+    return v.snapshots(s, sf).withColumn("schema", F.when(F.col("downloads") % 4 == 0, "ddf_snapshot.v2").otherwise(F.col("schema")))
+
+
 def _latest(s, sf):
     return v.snapshots(s, sf).groupBy("target_id").agg(F.max_by(F.struct("license", "http_status", "has_training_section", "downloads"), "observed_at").alias("s")).select("target_id", "s.*")
 
@@ -44,7 +48,7 @@ QUERIES = {
     "d4_drift_events": lambda s, f: d.drift_events(_day_before(s, f), v.snapshots(s, f), ("target_id", "day")),
     "d5_drift_quality": lambda s, f: d.drift_quality(v.snapshots(s, f)).select("target_id", "day", "quality"),
     "d6_timeline_changes": lambda s, f: _changes(s, f).select("target_id", "observed_at"),
-    "d7_prune_window": lambda s, f: d.prune_window(v.snapshots(s, f), NOW, 10).select("target_id", "observed_at"),
+    "d7_prune_window": lambda s, f: d.prune_window(_schemas(s, f), NOW, 10, schema="ddf_snapshot.v3").select("target_id", "observed_at"),
     "d8_timeline_index": lambda s, f: d.timeline_index(v.snapshots(s, f), _changes(s, f)),
     "d9_disclosure_index": lambda s, f: d.disclosure_index(_latest(s, f), _changes(s, f), NOW),
     "d10_org_disclosure": lambda s, f: d.org_disclosure(_latest(s, f)),
@@ -73,7 +77,8 @@ _L = """
 WITH r AS (SELECT 'd' || (l_suppkey % 20) AS dataset, strftime(l_shipdate, '%Y-%m') AS period, CASE WHEN l_linenumber % 4 > 0 THEN l_returnflag || l_linestatus END AS license FROM lineitem),
 c AS (SELECT dataset, period, license, count(*) AS n FROM r GROUP BY ALL),
 p AS (SELECT *, n / sum(n) OVER (PARTITION BY dataset, period) AS p FROM c),
-e AS (SELECT dataset, period, sum(n)::BIGINT AS rows, round(-sum(p * log2(p)), 4) AS entropy, round(coalesce(sum(p) FILTER (license IS NULL), 0), 4) AS unknown_ratio FROM p GROUP BY 1, 2)
+e AS (SELECT dataset, period, sum(n)::BIGINT AS rows, round(-sum(p * log2(p)), 4) AS entropy, round(coalesce(sum(p) FILTER (license IS NULL), 0), 4) AS unknown_ratio,
+  list_transform(list_sort(list({'o': -n, 'license': coalesce(license, 'unknown')}))[1:20], lambda x: x.license || ':' || (-x.o)) AS top FROM p GROUP BY 1, 2)
 """
 
 SQL = {
@@ -97,7 +102,7 @@ SQL = {
         FROM a JOIN b USING (target_id, day) WHERE a.fp <> b.fp AND b.http_status = 200 AND b.fetch_error IS NULL""",
     "d5_drift_quality": f"{_S} SELECT target_id, day, CASE WHEN http_status = 200 THEN 'ok' ELSE 'partial' END AS quality FROM snapshots WHERE fetch_error IS NULL AND http_status IN (200, 404)",
     "d6_timeline_changes": f"{_S} SELECT target_id, observed_at FROM ch",
-    "d7_prune_window": f"{_S} SELECT target_id, observed_at FROM snapshots WHERE observed_at >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY",
+    "d7_prune_window": f"{_S} SELECT target_id, observed_at FROM snapshots WHERE observed_at >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY AND downloads % 4 <> 0",
     "d8_timeline_index": f"""{_S}, x AS (SELECT target_id, max(observed_at) AS changed_at, count(*) AS changes FROM ch GROUP BY 1)
         SELECT target_id, license, http_status, observed_at AS seen_at, changed_at, coalesce(changes, 0) AS changes FROM lat LEFT JOIN x USING (target_id)""",
     "d9_disclosure_index": f"""{_S} SELECT count(*) AS targets, count(license) AS with_license, round(100.0 * count(license) / count(*), 1) AS license_pct,

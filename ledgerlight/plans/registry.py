@@ -29,6 +29,11 @@ def _status(s, f):
     return r.outreach_status(v.outreach(s, f), _overrides(s, f))
 
 
+def _scores(s, f):
+    k = F.col("part_key")
+    return v.reports(s, f).select(F.concat(F.lit("org"), (k % 5).cast("string"), F.lit("/m"), k.cast("string")).alias("target_id"), "score")
+
+
 def _second(s, f):
     return v.outreach(s, f).where("message_id % 3 = 0").groupBy(F.upper("target_id").alias("target_id")).agg(
         F.lit("sent").alias("status"), F.lit("mail").alias("platform"), F.count(F.lit(1)).alias("messages"))
@@ -72,7 +77,7 @@ QUERIES = {
     "r5_latest_reports": lambda s, f: r.latest_reports(v.reports(s, f), _written(s, f), 700).select("model_id", "written", "reported_on"),
     "r6_report_metrics": lambda s, f: r.report_metrics(v.reports(s, f)),
     "r7_outreach_status": lambda s, f: _status(s, f),
-    "r8_outreach_stats": lambda s, f: r.outreach_stats(_status(s, f)),
+    "r8_outreach_stats": lambda s, f: r.outreach_stats(_status(s, f), _scores(s, f), NOW),
     "r9_merge_outreach": lambda s, f: r.merge_outreach(_status(s, f), _second(s, f)),
     "r10_enrich_with_report": lambda s, f: r.enrich_with_report(_report_targets(s, f), v.reports(s, f)),
     "r11_drift_after_outreach": lambda s, f: _after(s, f),
@@ -88,16 +93,21 @@ QUERIES = {
     "g1_lineage_nodes": lambda s, f: g.lineage_nodes(v.chains(s, f)),
     "g2_merge_graph": lambda s, f: g.merge_graph(_edges(s, f).where("type = 'owns'"), _edges(s, f).withColumn("weight", F.lit(0.1))),
     "g3_graph_counts": lambda s, f: g.graph_counts(g.lineage_nodes(v.chains(s, f)), _edges(s, f)),
+    "g3_graph_rates": lambda s, f: g.graph_rates(v.chains(s, f)),
     "g4_shared_datasets": lambda s, f: g.shared_datasets(v.chains(s, f)),
     "g5_opacity_cascades": lambda s, f: g.opacity_cascades(v.chains(s, f)),
+    "g5_most_depended": lambda s, f: g.most_depended(v.chains(s, f)),
+    "g6_org_means": lambda s, f: g.org_means(v.chains(s, f)),
     "g6_score_distribution": lambda s, f: g.score_distribution(v.chains(s, f)),
     "b4_redact_graph": lambda s, f: g.redact_graph(v.chains(s, f)),
     "n10_inherited_signals": lambda s, f: g.inherited_signals(v.chains(s, f)).withColumn("confidence", F.round("confidence", 6)),
     "n11_provenance_score": lambda s, f: g.provenance_score(v.chains(s, f)),
     "n12_base_chain": lambda s, f: g.base_chain(v.chains(s, f)),
+    "n13_best_and_worst": lambda s, f: g.best_and_worst(v.chains(s, f)),
     "n13_scan_summary": lambda s, f: g.scan_summary(v.chains(s, f)),
     "b6_select_targets": lambda s, f: g.select_targets(v.targets(s, f), 1000, 100),
-    "b7_normalize_target_id": lambda s, f: v.targets(s, f).select("target_id", "source", g.normalize_target_id(F.concat(F.lit("hf:model: "), "target_id")).alias("id")),
+    "b7_normalize_target_id": lambda s, f: v.targets(s, f).select("target_id", "source", g.normalize_target_id(F.concat(F.lit("hf:model: "), "target_id")).alias("id"),
+        g.target_org(F.when(F.col("downloads") % 5 == 0, F.lit("gh:bare")).otherwise(F.col("target_id"))).alias("org")),
     "m1_merge_targets": lambda s, f: g.merge_targets(v.targets(s, f)),
     "m2_new_targets": lambda s, f: g.new_targets(v.targets(s, f).where("source <> 'registry'"), _known(s, f)),
     "m3_one_per_org": lambda s, f: g.one_per_org(v.targets(s, f), s.createDataFrame([("org3",)], "org string"), 100, 25),
@@ -129,13 +139,22 @@ def _id(kind: str, name: str) -> str:
     return f"'{kind[0]}_' || substr(sha256('{kind}:' || lower({name})), 1, 12)"
 
 
+_CHAIN = """LEFT JOIN LATERAL (SELECT base_model AS c1 FROM chains WHERE model_id = c0.model_id AND base_model <> c0.model_id) ON true
+        LEFT JOIN LATERAL (SELECT base_model AS c2 FROM chains WHERE model_id = c1 AND base_model NOT IN (c0.model_id, c1)) ON true
+        LEFT JOIN LATERAL (SELECT base_model AS c3 FROM chains WHERE model_id = c2 AND base_model NOT IN (c0.model_id, c1, c2)) ON true
+        LEFT JOIN LATERAL (SELECT base_model AS c4 FROM chains WHERE model_id = c3 AND base_model NOT IN (c0.model_id, c1, c2, c3)) ON true
+        LEFT JOIN LATERAL (SELECT base_model AS c5 FROM chains WHERE model_id = c4 AND base_model NOT IN (c0.model_id, c1, c2, c3, c4)) ON true"""
 _G = f"""WITH {v.CHAINS},
+stp AS (SELECT DISTINCT bases[i] AS base_from, bases[i + 1] AS base_to FROM (SELECT bases, unnest(range(1, len(bases))) AS i FROM (
+  SELECT list_filter([c1, c2, c3, c4, c5], lambda x: x IS NOT NULL) AS bases FROM chains c0 {_CHAIN}))),
 ed AS (
   SELECT {_id('org', 'org')} AS source, {_id('model', 'model_id')} AS target, 'owns' AS type, 1.0::DOUBLE AS weight FROM chains
   UNION SELECT {_id('model', 'model_id')}, {_id('dataset', 'd')}, 'trained_on', 0.7 FROM (SELECT model_id, unnest(datasets) AS d FROM chains)
   UNION SELECT {_id('model', 'model_id')}, {_id('model', 'base_model')}, 'finetuned_from', 0.99 FROM chains WHERE base_model IS NOT NULL
+  UNION SELECT {_id('model', 'base_from')}, {_id('model', 'base_to')}, 'finetuned_from', 0.95 FROM stp
   UNION SELECT {_id('model', 'model_id')}, {_id('dataset', "'undocumented'")}, 'undocumented_source', 0.5 FROM chains WHERE len(datasets) = 0
   UNION SELECT {_id('model', 'a.model_id')}, {_id('model', 'a.base_model')}, 'inherited_opacity', 0.9 FROM chains a JOIN chains b ON a.base_model = b.model_id WHERE a.score < 0.3 AND b.score < 0.3),
+chn AS (SELECT c0.model_id, list_filter([c1, c2, c3, c4, c5], lambda x: x IS NOT NULL) AS bases FROM chains c0 {_CHAIN}),
 nd AS (SELECT {_id('model', 'model_id')} AS id, 'model' AS type, lower(model_id) AS label FROM chains UNION SELECT {_id('org', 'org')}, 'org', lower(org) FROM chains
   UNION SELECT {_id('dataset', 'd')}, 'dataset', lower(d) FROM (SELECT unnest(datasets) AS d FROM chains))"""
 _T = f"WITH {v.TARGETS}"
@@ -157,7 +176,9 @@ SQL = {
         SELECT model_id, completeness, observations[1].status AS provenance, CASE WHEN completeness >= 80 THEN 'complete' WHEN completeness > 0 THEN 'partial' ELSE 'unknown' END AS documentation,
           list_transform(list_filter(observations, lambda o: o.status = 'ABSENT'), lambda o: o.nec_id)[1:3] AS missing FROM k""",
     "r7_outreach_status": f"{_O} SELECT * FROM st",
-    "r8_outreach_stats": f"{_O} SELECT status, platform, count(*) AS targets, sum(messages)::BIGINT AS messages FROM st GROUP BY 1, 2",
+    "r8_outreach_stats": f"""{_O}, sc AS (SELECT 'org' || (p_partkey % 5) || '/m' || p_partkey AS target_id, CASE WHEN p_partkey % 13 > 0 THEN p_size * 2.0::DOUBLE END AS score FROM part)
+        SELECT status, platform, count(*) AS targets, sum(messages)::BIGINT AS messages, round(avg(date_diff('day', sent_at::DATE, DATE '{NOW[:10]}')), 1) AS mean_days,
+          count(sc.target_id) AS with_report, round(avg(score), 2) AS mean_score FROM st LEFT JOIN sc USING (target_id) GROUP BY 1, 2""",
     "r9_merge_outreach": f"""{_O}, b AS (SELECT target_id AS key, 'sent' AS status, 'mail' AS platform, count(*) AS messages FROM outreach WHERE message_id % 3 = 0 GROUP BY 1)
         SELECT coalesce(a.target_id, b.key) AS key, coalesce(CASE WHEN a.status <> 'pending' THEN a.status END, b.status, a.status) AS status, coalesce(a.platform, b.platform) AS platform,
           coalesce(a.messages, b.messages, 0) AS messages FROM st a FULL OUTER JOIN b ON a.target_id = b.key""",
@@ -180,7 +201,7 @@ SQL = {
           AND split_part(target_id, '/', 1) NOT IN (SELECT split_part(target_id, '/', 1) FROM rc WHERE status = 'rejected')""",
     "g1_lineage_edges": f"{_G} SELECT * FROM ed",
     "g1_lineage_nodes": f"{_G} SELECT * FROM nd",
-    "g2_merge_graph": f"{_G} SELECT source, target, type, CASE WHEN type = 'owns' THEN 1.0 ELSE 0.1 END::DOUBLE AS weight, CASE WHEN type = 'owns' THEN 0 ELSE 1 END AS from_source FROM ed",
+    "g2_merge_graph": f"{_G} SELECT DISTINCT source, target, type, CASE WHEN type = 'owns' THEN 1.0 ELSE 0.1 END::DOUBLE AS weight, CASE WHEN type = 'owns' THEN 0 ELSE 1 END AS from_source FROM ed",
     "g3_graph_counts": f"{_G} SELECT 'node' AS what, type, count(*) AS n FROM nd GROUP BY 2 UNION ALL SELECT 'edge', type, count(*) FROM ed GROUP BY 2",
     "g4_shared_datasets": f"{_G} SELECT d AS dataset, count(DISTINCT org) AS orgs, count(DISTINCT model_id) AS models FROM (SELECT org, model_id, unnest(datasets) AS d FROM chains) GROUP BY 1 HAVING count(DISTINCT org) >= 2 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 20",
     "g5_opacity_cascades": f"{_G} SELECT a.base_model, b.score AS base_score, count(*) AS models, count(DISTINCT a.org) AS orgs FROM chains a JOIN chains b ON a.base_model = b.model_id WHERE b.score < 0.4 GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 20",
@@ -189,16 +210,17 @@ SQL = {
     "n10_inherited_signals": f"{_G} SELECT DISTINCT a.model_id, d AS dataset, 0.56::DOUBLE AS confidence FROM chains a JOIN (SELECT model_id, unnest(datasets) AS d FROM chains) b ON a.base_model = b.model_id",
     "n11_provenance_score": f"""{_G} SELECT model_id, round(CASE WHEN has_training THEN 0.3 ELSE 0 END + least(0.3, 0.1 * n) + CASE WHEN license IS NOT NULL THEN 0.1 ELSE 0 END
         + CASE WHEN base_model IS NOT NULL THEN 0.1 ELSE 0 END + least(0.2, 0.05 * n), 6)::DOUBLE AS provenance FROM (SELECT *, len(list_distinct(datasets)) AS n FROM chains)""",
-    "n12_base_chain": f"""{_G} SELECT c0.model_id, list_filter([c1, c2, c3, c4, c5], lambda x: x IS NOT NULL) AS bases FROM chains c0
-        LEFT JOIN LATERAL (SELECT base_model AS c1 FROM chains WHERE model_id = c0.model_id AND base_model <> c0.model_id) ON true
-        LEFT JOIN LATERAL (SELECT base_model AS c2 FROM chains WHERE model_id = c1 AND base_model NOT IN (c0.model_id, c1)) ON true
-        LEFT JOIN LATERAL (SELECT base_model AS c3 FROM chains WHERE model_id = c2 AND base_model NOT IN (c0.model_id, c1, c2)) ON true
-        LEFT JOIN LATERAL (SELECT base_model AS c4 FROM chains WHERE model_id = c3 AND base_model NOT IN (c0.model_id, c1, c2, c3)) ON true
-        LEFT JOIN LATERAL (SELECT base_model AS c5 FROM chains WHERE model_id = c4 AND base_model NOT IN (c0.model_id, c1, c2, c3, c4)) ON true""",
+    "n12_base_chain": f"{_G} SELECT model_id, bases FROM chn",
+    "n13_best_and_worst": f"""{_G} SELECT 'best' AS "end", model_id, score FROM (SELECT * FROM chains ORDER BY score DESC, model_id LIMIT 10)
+        UNION ALL SELECT 'worst', model_id, score FROM (SELECT * FROM chains ORDER BY score, model_id LIMIT 10)""",
+    "g3_graph_rates": f"""{_G} SELECT count(*) AS models, count(*) FILTER (len(datasets) = 0) AS undocumented, round(100.0 * count(*) FILTER (len(datasets) = 0) / count(*), 1) AS undocumented_rate,
+        count(base_model) AS with_base, round(100 * avg(score), 1) AS mean_score FROM chains""",
+    "g5_most_depended": f"{_G} SELECT base_model, count(*) AS dependents FROM (SELECT unnest(bases) AS base_model FROM chn) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15",
+    "g6_org_means": f"{_G} SELECT org, round(100 * avg(score), 1) AS mean_score, count(*) AS models FROM chains WHERE score > 0 GROUP BY 1",
     "n13_scan_summary": f"""{_G} SELECT count(*) AS models, count(*) FILTER (has_training) AS with_training, count(*) FILTER (len(datasets) > 0) AS with_datasets, count(base_model) AS with_base,
         count(license) AS with_license, round(avg(score), 6) AS mean_score FROM chains""",
     "b6_select_targets": f"{_T} SELECT target_id, max(downloads) AS downloads FROM targets WHERE downloads >= 1000 AND NOT private GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100",
-    "b7_normalize_target_id": f"{_T} SELECT target_id, source, lower(target_id) AS id FROM targets",
+    "b7_normalize_target_id": f"{_T} SELECT target_id, source, lower(target_id) AS id, CASE WHEN downloads % 5 = 0 THEN 'unknown' ELSE lower(split_part(target_id, '/', 1)) END AS org FROM targets",
     "m1_merge_targets": f"""{_T} SELECT lower(target_id) AS id, type, source, downloads, private FROM targets QUALIFY row_number() OVER (PARTITION BY lower(target_id), type
         ORDER BY CASE source WHEN 'registry' THEN 0 WHEN 'models' THEN 1 ELSE 2 END, downloads DESC) = 1""",
     "m2_new_targets": f"{_T} SELECT DISTINCT lower(target_id) AS id FROM targets WHERE source <> 'registry' AND lower(target_id) NOT IN (SELECT lower(target_id) FROM targets WHERE source = 'registry')",

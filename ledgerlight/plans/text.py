@@ -32,11 +32,6 @@ def _omission(s, f):
 
 
 def _matches(s, f):
-    e = v.table(s, f, "embeddings")
-    return sim.top_m_similar(e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("shard_id"), F.col("embedding").alias("vec")), 8)
-
-
-def _all_matches(s, f):
     e = v.table(s, f, "embeddings")
     return sim.top_m_similar(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("shard_id"), F.col("embedding").alias("vec")), 8)
 
@@ -61,8 +56,8 @@ QUERIES = {
     "c1_shard_sketch": lambda s, f: _sketches(s, f).select("provider_id", "shard_id", F.transform("sketch", lambda x: F.round(x, 6)).alias("sketch")),
     "c2_top_m_similar": lambda s, f: _matches(s, f).select("query_id", "rank", "shard_id", F.round("score", 5).alias("score")),
     "c3_attribution_shares": lambda s, f: sim.attribution_shares(_matches(s, f), 8.0, 5).select("query_id", "shard_id", "rank", F.round("share", 5).alias("share")),
-    "c4_attribution_receipts": lambda s, f: sim.attribution_receipts(sim.attribution_shares(_all_matches(s, f), 8.0, 5, epsilon=50.0), 50.0),
-    "c5_calibrate_alpha": lambda s, f: sim.attribution_shares(_all_matches(s, f), sim.calibrate_alpha(_all_matches(s, f), 0.35, 5, steps=6), 5).groupBy("rank").agg(F.round(F.avg("share"), 3).alias("mean_share")),
+    "c4_attribution_receipts": lambda s, f: sim.attribution_receipts(sim.attribution_shares(_matches(s, f), 8.0, 5, epsilon=50.0), 50.0),
+    "c5_calibrate_alpha": lambda s, f: sim.attribution_shares(_matches(s, f), sim.calibrate_alpha(_matches(s, f), 0.35, 5, steps=6), 5).groupBy("rank").agg(F.round(F.avg("share"), 3).alias("mean_share")),
 }
 
 _C = f"WITH {v.CARDS}, l AS (SELECT doc_id, card, lower(card) AS low FROM cards)"
@@ -126,7 +121,7 @@ UNION ALL SELECT doc_id, 'model_type', 'gpt2', 0.5, 'model_type: gpt2' FROM l WH
 _KNOWN = ", ".join(f"('{n}', '{t}', '{k}')" for n, (t, k) in c.KNOWN_DATASETS.items())
 # \\b of DuckDB knows ASCII letters only: other letters become x
 _MENTIONS = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(regexp_replace(low, '[^\\P{{L}}a-z]', 'x', 'g'), '{p}', 1)) AS n, 1 AS k FROM l" for p in c.MENTIONS)
-_M = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 = 0), s AS (SELECT vec_id AS shard_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 <> 0),
+_M = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT vec_id AS shard_id, embedding::DOUBLE[] AS v FROM embeddings),
 m AS (SELECT query_id, shard_id, round(list_cosine_similarity(q.v, s.v), 9) AS score FROM q, s),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, shard_id)::INTEGER AS rank FROM m QUALIFY rank <= 8)"""
 

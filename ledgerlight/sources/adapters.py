@@ -7,27 +7,41 @@ from pyspark.sql import functions as F
 
 
 def receipts_from_wide(rows: DataFrame, k: int) -> DataFrame:
-    """Columns ``provider_id{i}, shard_id{i}, share{i}`` become ``top_k``, largest share first; rows without entries go."""
+    """Columns ``provider_id{i}, shard_id{i}, share{i}`` become ``top_k``, largest share first; rows without entries go. The
+    distinct licences of ``license_id1`` to ``license_id9``, where there are such columns, become ``license_refs``."""
     entries = F.array(*[F.struct(F.col(f"share{i}").cast("double").alias("share"), F.lit(i).alias("i"), F.col(f"provider_id{i}").alias("provider_id"), F.col(f"shard_id{i}").alias("shard_id"))
                         for i in range(1, k + 1)])
     found = F.filter(entries, lambda e: e["provider_id"].isNotNull() & (e["provider_id"] != "") & e["share"].isNotNull())
     ordered = F.array_sort(found, lambda a, b: F.when(a["share"] > b["share"], -1).when(a["share"] < b["share"], 1).otherwise(a["i"] - b["i"]))
     top_k = F.transform(ordered, lambda e, i: F.struct((i + 1).alias("rank"), e["provider_id"].alias("provider_id"), e["shard_id"].alias("shard_id"), e["share"].alias("share")))
-    return rows.select("output_id", "model_id", "timestamp", F.substring("timestamp", 1, 7).alias("period"), top_k.alias("top_k")).where(F.size("top_k") > 0)
+    ids = [F.trim(F.col(c)) for c in (f"license_id{i}" for i in range(1, 10)) if c in rows.columns]
+    refs = F.array_distinct(F.filter(F.array(*ids), lambda x: x != "")) if ids else F.expr("cast(array() as array<string>)")
+    return rows.select("output_id", "model_id", "timestamp", F.substring("timestamp", 1, 7).alias("period"), top_k.alias("top_k"), refs.alias("license_refs")).where(F.size("top_k") > 0)
 
 
 def receipts_from_collections(docs: DataFrame, text: str = "body") -> DataFrame:
-    """Dataset entries of JSON documents: a list, ``{"datasets": [...]}``, or an object of objects; one receipt each.
+    """Dataset entries of JSON documents (``path``): a list, ``{"datasets": [...]}``, or an object of objects; one receipt each.
 
-    Names and licences come in several spellings; an entry without a name goes.
+    Documents whose name starts with ``_`` and entries without a name go. Licences are names or objects, in several
+    spellings: ``license_refs`` has (license_id, url); ``meta`` has further fields of the entry.
     """
-    rows = docs.withColumn("v", F.try_parse_json(text)).where(F.col("v").isNotNull())
+    named = ~F.element_at(F.split("path", "/"), -1).startswith("_")
+    rows = docs.where(named).withColumn("v", F.try_parse_json(text)).where(F.col("v").isNotNull())
     listed = F.coalesce(F.try_variant_get("v", "$.datasets", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"), F.map_values(F.try_variant_get("v", "$", "map<string,variant>")))
     each = rows.select("path", F.explode(listed).alias("d"))
-    get = lambda *names: F.coalesce(*[F.try_variant_get("d", f"$['{n}']", "string") for n in names])
-    licence = F.coalesce(F.try_variant_get("d", "$.Licenses", "array<string>"), F.array(get("License", "license")))
-    out = each.select("path", get("Unique Dataset Identifier", "Dataset Name", "name", "id").alias("provider_id"), F.array_compact(licence).alias("licenses"), F.lit(1.0).alias("share"))
-    return out.where(F.col("provider_id").isNotNull())
+    first = lambda of, names: F.coalesce(*[F.try_variant_get(of, f"$['{n}']", "string") for n in names])
+    several = F.coalesce(*[F.try_variant_get("d", f"$.{n}", "array<variant>") for n in ("Licenses", "License")])
+    several = F.coalesce(several, F.array(F.coalesce(*[F.try_variant_get("d", f"$.{n}", "variant") for n in ("Licenses", "License")])))
+
+    def ref(x: Column) -> Column:
+        whole = F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+        return F.struct(F.coalesce(whole, first(x, ("License", "name", "id", "spdx_id"))).alias("license_id"), first(x, ("License URL", "url", "href")).alias("url"))
+
+    refs = F.filter(F.transform(several, ref), lambda x: F.coalesce(x["license_id"], F.lit("")) != "")
+    meta = F.struct(*[first("d", (n,)).alias(a) for n, a in (("Dataset Name", "dataset_name"), ("Hugging Face URL", "hf_url"), ("Dataset URL", "dataset_url"),
+                                                             ("Domain", "domain"), ("Task Type", "task_type"))])
+    out = each.select("path", first("d", ("Unique Dataset Identifier", "Dataset Name")).alias("provider_id"), refs.alias("license_refs"), F.lit(1.0).alias("share"), meta.alias("meta"))
+    return out.where(F.coalesce("provider_id", F.lit("")) != "")
 
 
 def receipts_from_events(events: DataFrame, scope: str = "usage") -> DataFrame:
