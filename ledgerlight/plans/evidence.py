@@ -127,7 +127,7 @@ QUERIES = {
         v.providers(s, d).select("provider_id", F.when(F.col("supp_key") % 5 == 0, "x").otherwise(F.col("status")).alias("status"), F.lit("t").alias("kyc_tier")),
         ["kyc_tier"]).groupBy("n_left", "n_right").agg(F.count(F.lit(1)).alias("n")),
     "h7_reconcile_ledger": lambda s, d: h.reconcile_ledger(_ledger(s, d), _payloads(s, d)),
-    "b8_sign_records": lambda s, d: h.sign_records(dirty(s, d)).select("line_no", "signature"),
+    "b8_sign_records": lambda s, d: h.sign_records(dirty(s, d), key="example").select("line_no", "signature"),
     "b9_record_identity": lambda s, d: v.reports(s, d).select("model_id", h.record_identity(F.lit("model"), F.col("model_id"), F.col("org"), F.col("type")).alias("cid"),
                                                               h.binding_hash(F.col("model_id"), F.col("org")).alias("binding")),
 }

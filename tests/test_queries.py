@@ -4,18 +4,21 @@ import datetime
 import decimal
 import glob
 import hashlib
+import hmac
 import math
 import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight import plans
-from ledgerlight.operators import integrity, payouts, similarity, validation
+from ledgerlight.functions.ranking import global_rank
+from ledgerlight.operators import cards, integrity, payouts, similarity, validation
 from ledgerlight.plans import text
-from ledgerlight.sources import views
+from ledgerlight.sources import adapters, views
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the input tables")
@@ -149,6 +152,102 @@ def test_sketches_are_unit_vectors(spark):
     assert got == pytest.approx([x / norm for x in raw])
 
 
+def test_signatures(spark):
+    df = spark.createDataFrame([('{"a": 1}',), ("no json",), (None,), ('{"b": "é"}',)], "value string")
+    got = {r.value: r.signature for r in integrity.sign_records(df, key="k").collect()}
+    digest = lambda x: hmac.new(b"k", x.encode(), hashlib.sha256).hexdigest()
+    assert got == {x: digest(x) for x in ('{"a": 1}', '{"b": "é"}')} | {"no json": None, None: None}
+    with pytest.raises(Exception, match="NO_SUCH_KEY is not set"):
+        integrity.sign_records(df, key_variable="NO_SUCH_KEY").collect()
+
+
+@pytest.mark.parametrize("rows,tile", [(1000, 1000), (7, 3)])
+def test_similar_in_tiles(spark, rows, tile):
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-2, 3, (60, 5)).astype(float)  # many ties
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "id long, vec array<double>")
+    got = similarity.top_m_similar(table.where("id % 9 = 0").withColumnRenamed("id", "query_id"), table.withColumnRenamed("id", "shard_id"), 4, rows, tile).collect()
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    for q in range(0, 60, 9):
+        scores = np.round(unit @ unit[q], 9)
+        want = sorted(range(60), key=lambda i: (-scores[i], i))[:4]
+        assert [r.shard_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
+def test_shares_receipts_and_sharpness(spark):
+    scores = {1: [0.9, 0.8, 0.8, 0.1], 2: [0.5, 0.4], 3: [0.7]}
+    rows = [(q, i + 1, 10 * q + i, s) for q, ss in scores.items() for i, s in enumerate(ss)]
+    matches = spark.createDataFrame(rows, "query_id long, rank int, shard_id long, score double")
+
+    def softmax(ss, alpha):
+        w = [math.exp(alpha * (s - max(ss))) for s in ss]
+        return [x / sum(w) for x in w]
+
+    shares = {}
+    for q, ss in scores.items():
+        soft = softmax(ss[:3], 8.0)
+        pairs = [s * (1 - s) for s in soft]
+        shares |= {(q, 10 * q + i): p / sum(pairs) if sum(pairs) > 0 else s for i, (p, s) in enumerate(zip(pairs, soft, strict=True))}
+    got = similarity.attribution_shares(matches, 8.0, 3)
+    assert {(r.query_id, r.shard_id): r.share for r in got.collect()} == pytest.approx(shares)
+    for r in similarity.attribution_receipts(got).collect():
+        want = sorted(((-s, i) for (q, i), s in shares.items() if q == r.query_id and s > 0))
+        assert [(e["rank"], e.shard_id, e.share) for e in r.top_k] == [(n + 1, i, pytest.approx(round(-s, 6))) for n, (s, i) in enumerate(want)]
+    alpha = similarity.calibrate_alpha(matches, 0.75, 4, steps=12)
+    mean = lambda a: sum(softmax(ss, a)[0] for ss in scores.values()) / 3
+    low, high = 1.0, 50.0
+    for _ in range(12):
+        plain = (low + high) / 2
+        best = {}
+        for q, ss in scores.items():
+            soft = softmax(ss, plain)
+            pairs = [s * (1 - s) for s in soft]
+            best[q] = pairs[0] / sum(pairs) if sum(pairs) > 0 else soft[0]
+        low, high = (plain, high) if sum(best.values()) / 3 < 0.75 else (low, plain)
+    assert alpha == pytest.approx((low + high) / 2) and mean(alpha) > 0
+
+
+def test_ranks_split_ties(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, 0.0, 0.0, 0.0, 1.5, -2.0]), rng.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, lead double, tie int")
+    for down in (True, False):
+        got = {r.id: r["rank"] for r in global_rank(df.repartition(7), "lead", [F.desc("tie"), F.col("id")], down).collect()}
+        order = sorted(rows, key=lambda r: (r[1] is None, (-1 if down else 1) * (r[1] or 0), -r[2], r[0]))
+        assert got == {r[0]: n + 1 for n, r in enumerate(order)}
+    assert global_rank(df.where("false"), "lead", [F.col("id")]).count() == 0
+
+
+def test_receipts_are_read_once(spark):
+    """What scores, bands, payouts and floors return no longer holds the input: it has been stored per provider."""
+    for name in ("t3_trust_scores", "t4_priority_band", "p7_payout_rows", "f4_check_floors", "p8_concentration"):
+        plan = plans.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_extendedprice" not in plan and "o_orderdate" not in plan, name
+
+
+def test_an_empty_period_has_headers(spark, tmp_path):
+    schema = "provider_id string, period string, amount decimal(18,2), share_agg double"
+    rows = spark.createDataFrame([("p", "2024-01", decimal.Decimal("1.5"), 0.25)], schema)
+    adapters.write_payouts(rows, str(tmp_path / "out"), "2024-02")
+    (full,) = glob.glob(f"{tmp_path}/out/csv/period=2024-01/*.csv")
+    (none,) = glob.glob(f"{tmp_path}/out/csv/period=2024-02/*.csv")
+    assert open(full).read().splitlines() == ["provider_id,amount,share_agg", "p,1.50,0.250000"]
+    assert open(none).read().splitlines() == ["provider_id,amount,share_agg"]
+
+
+def test_card_with_nothing_and_card_with_everything(spark):
+    full = "---\ndatasets:\n- org/set\n- ab\n---\n## Training data\n" + "x" * 60 + "\n## Training data\nshort\n## License\n" + "y" * 60 + "\nbased on org/base"
+    df = spark.createDataFrame([(1, None), (2, ""), (3, full)], "doc_id int, card string").withColumns({"tags": F.lit(None).cast("array<string>"), "config": F.lit("no json")})
+    found = {(r.doc_id, r.nec): r.status for r in cards.nec_mapper(df).collect()}
+    assert len(found) == 60
+    # keyword and group; heading and group; the last section of a name counts, and it is too short
+    assert found[3, "NEC#1"] == found[3, "NEC#2"] == "PRESENT" and found[3, "NEC#4"] == found[2, "NEC#1"] == "ABSENT"
+    named = {r.dataset: (r.source, r.confidence) for r in cards.dataset_mentions(df).collect()}
+    assert named["org/set"] == ("yaml_metadata", 0.9) and "ab" not in named
+    signals = {(r.signal, r.value) for r in cards.provenance_signals(df).collect()}
+    assert ("readme_base_model", "org/base") in signals and ("training_section", "present") in signals
+
+
 def test_period_has_to_be_padded():
     with pytest.raises(ValueError):
         payouts.in_period(F.lit("x"), "2024-1")
@@ -170,7 +269,7 @@ def test_all_vectors_are_searched(spark, duck):
     want = duck.execute("""SELECT q.vec_id, s.vec_id FROM embeddings q, embeddings s WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id
         ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], s.embedding::DOUBLE[]), 9) DESC, s.vec_id) <= 8""").fetchall()
     assert any(shard % 10 == 0 for _, shard in want)
-    assert sorted(want) == sorted((r.query_id, r.shard_id) for r in text._all_matches(spark, SF).collect())
+    assert sorted(want) == sorted((r.query_id, r.shard_id) for r in text._matches(spark, SF).collect())
     receipts = plans.queries()["c4_attribution_receipts"](spark, SF)
     assert receipts.count() == len({query for query, _ in want})
     assert plans.queries()["c5_calibrate_alpha"](spark, SF).count() == 5
