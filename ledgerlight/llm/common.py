@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_folder, stored
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -21,13 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder that all executors share and read it back.
-
-    The folder is ``spark.checkpoint.dir``; a local one is set only where the session names none.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+#: Write once to the checkpoint folder that all executors share, and read back.
+shared_checkpoint = stored
 
 
 def shared_table(df: DataFrame) -> DataFrame:
@@ -37,16 +32,6 @@ def shared_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is set only where the session names none, as in tests."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(
-            sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "ledgerlight-checkpoints")
-        )
-    return sc.getCheckpointDir()
-
-
 def with_row_key(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Add ``__key``: (identifier, row number), so that rows that share an identifier can be told apart.
 

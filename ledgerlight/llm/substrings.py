@@ -18,8 +18,8 @@ LENGTH = 200
 GRAM = 48
 #: Windows under one leading gram that a task sorts at once; the windows of more frequent ones are dealt out singly.
 BUCKET_MAX = 100_000
-#: Windows that are sorted in one go.
-SORT_BLOCK = 200_000
+#: Windows that are sorted in one go, and runs sampled for each splitter.
+SORT_BLOCK, SAMPLE = 200_000, 100
 WHOLE, PART, COPY, EDGE = 0, 1, 2, 3
 
 _BASE = 0x9E3779B97F4A7C15
@@ -79,7 +79,20 @@ def runs(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     return first, last, _leads(data, at), names, repeated
 
 
-def _runs_of_rows(length: int):
+def _range(keys: list[np.ndarray], splitters: np.ndarray) -> np.ndarray:
+    """Number of splitters (rows, in order) that are not above each key; keys and splitters compare column by column."""
+    first, last = (np.searchsorted(splitters[:, 0], keys[0], side) for side in ("left", "right"))
+    found, tied = last.astype(np.int32), np.flatnonzero(first < last)
+    if len(tied):
+        both = [np.concatenate([splitters[:, k], key[tied]]) for k, key in enumerate(keys)]
+        is_key = np.arange(len(both[0])) >= len(splitters)
+        order = np.lexsort((is_key, *both[::-1]))
+        below = np.cumsum(~is_key[order])
+        found[tied[order[is_key[order]] - len(splitters)]] = below[is_key[order]]
+    return found
+
+
+def _runs_of_rows(length: int, splitters: np.ndarray | None = None):
     names = ["uid", "lead", "gram", "content", "first", "last", "repeated"]
     types = [np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, bool]
 
@@ -98,12 +111,32 @@ def _runs_of_rows(length: int):
                 for column, value in zip(found, values, strict=True):
                     column.append(value)
             if found[0]:
-                columns = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(found, types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                columns = [np.concatenate(c).astype(t) for c, t in zip(found, types, strict=True)]
+                ranges = np.zeros(len(columns[0]), np.int32) if splitters is None else _range([columns[k] for k in (1, 2, 3, 0)], splitters)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, ranges)], [*names, "range"])
 
     return run
 
 
+_RUNS = "uid long, lead long, gram long, content long, first int, last int, repeated boolean, range int"
+
+
+def sampled_splitters(rows: DataFrame, length: int, n: int) -> np.ndarray:
+    """n - 1 splitters (lead, gram, content, uid) from about SAMPLE runs each, chosen by hashes: what they are changes only how
+    even the ranges are."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = SAMPLE * n
+    share = min(1.0, 4 * wanted * (length - GRAM) / 2 / max(1, size))  # a run for half a window of grams, with room
+    texts = rows.where(F.pmod(F.xxhash64("uid"), F.lit(1 << 40)) < round(share * (1 << 40)))
+    keys = ("lead", "gram", "content", "uid")
+    found = texts.select("uid", "text").mapInArrow(_runs_of_rows(length), _RUNS).select(*keys)
+    table = found.orderBy(F.xxhash64(*keys)).limit(wanted).toArrow()  # at most SAMPLE * n rows
+    key = [table[c].to_numpy() for c in keys]
+    order = np.lexsort(key[::-1])
+    at = order[np.arange(1, n) * len(order) // n] if len(order) else order
+    return np.stack([k[at] for k in key], axis=1).reshape(-1, 4)
+
+
 _SORTED = ("lead", "gram", "content", "uid", "first", "last", "repeated")
 _LABELLED = "kind int, size int, several boolean, lead long, gram long, content long, uid long, first int, last int, repeated boolean"
 
@@ -167,17 +200,14 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held, EDGE, size, before)
 
 
-def label_runs(found: DataFrame, n: int) -> DataFrame:
-    """Runs that repeat or may repeat in part, from ``found`` (columns of _SORTED): ``kind, uid, lead, gram, first, last``.
+def label_runs(ranges: DataFrame, keep=lambda df: df) -> DataFrame:
+    """Runs that repeat or may repeat in part, from ranges of _SORTED: ``kind, uid, lead, gram, first, last``.
 
-    Sampled splitters over (leading bytes, gram, content, row) deal the runs to ranges, so that even one gram or content may
-    span several; each range is sorted and neighbours are compared. What two ranges share is decided from their edges, two
-    runs a range.
+    ``ranges`` has ordered partitions by (leading bytes, gram, content, row), so that even one gram or content may span
+    several; each is sorted and neighbours are compared. What two ranges share is decided from their edges, two runs a range.
+    ``keep`` may store the labels, which are read twice.
     """
-    labels = shared_checkpoint(
-        found.repartitionByRange(n, "lead", "gram", "content", "uid").sortWithinPartitions("lead", "gram", "content")
-        .select(*_SORTED).mapInArrow(_label, _LABELLED)
-    )
+    labels = keep(ranges.sortWithinPartitions("lead", "gram", "content").select(*_SORTED).mapInArrow(_label, _LABELLED))
     edges = labels.where(F.col("kind") == EDGE).drop("kind")
     contents = edges.groupBy("lead", "gram", "content").agg(
         F.sum("size").alias("total"), F.max("several").alias("some"), F.min(F.struct("uid", "first")).alias("one")
@@ -287,9 +317,9 @@ def _single_windows(length: int):
                     digests = b"".join(xxhash.xxh3_128_digest(data[j : j + length]) for j in places.tolist())
                     halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
                     start = (first + places).astype(np.int32)
-                    values = (np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]), np.zeros(len(places), np.int64), np.full(len(places), uid), start,
+                    values = (halves[:, 0].copy(), halves[:, 1].copy(), np.zeros(len(places), np.int64), np.full(len(places), uid), start,
                               start if kind == PART else np.full(len(places), -1, np.int32), np.zeros(len(places), bool))
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], list(_SORTED))
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["lead", "gram", "content", "uid", "first", "last", "repeated"])
 
     return run
 
@@ -350,10 +380,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = shared_table(docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ))
-    found = rows.select("uid", "text").mapInArrow(
-        _runs_of_rows(length), "uid long, lead long, gram long, content long, first int, last int, repeated boolean"
-    )
-    labels = label_runs(found, n)
+    splitters = sampled_splitters(rows, length, n)
+    found = rows.select("uid", "text").mapInArrow(_runs_of_rows(length, splitters), _RUNS)
+    labels = label_runs(found.repartitionById(n, "range"), shared_table)
     whole = labels.where(F.col("kind") == WHOLE).select(
         "uid", F.col("first").cast("long").alias("start"), (F.col("last") + length).cast("long").alias("end")
     )
@@ -379,7 +408,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         singles = contents.where("large").mapInArrow(
             _single_windows(length), "lead long, gram long, content long, uid long, first int, last int, repeated boolean"
         )
-        singles = label_runs(singles, n).where((F.col("kind") == WHOLE) & (F.col("last") >= 0))
+        # Spark samples the splitters of digests
+        singles = label_runs(singles.repartitionByRange(n, "lead", "gram", "uid")).where((F.col("kind") == WHOLE) & (F.col("last") >= 0))
         spans = spans.unionByName(singles.select(
             "uid", F.col("first").cast("long").alias("start"), (F.col("first") + length).cast("long").alias("end")
         ))
