@@ -171,11 +171,19 @@ def with_metrics(observations: DataFrame) -> DataFrame:
     return observations.join(temporal_metrics(observations), "target_id")
 
 
+def _proof(value: Column) -> Column:
+    """``sha256:`` and 64 hex digits, with or without the prefix before; null for anything else."""
+    return F.when(value.startswith("sha256:"), value).when(value.rlike("^[0-9a-fA-F]{64}$"), F.concat(F.lit("sha256:"), value))
+
+
 def public_evidence(observations: DataFrame) -> DataFrame:
-    """Receipt hashes as ``sha256:`` where they are 64 hex digits, and the evidence number."""
-    digest = F.lower("receipt_hash")
-    return observations.select("observation_id", F.when(digest.rlike("^[0-9a-f]{64}$"), F.concat(F.lit("sha256:"), digest)).alias("proof"),
-                               F.try_variant_get(F.try_parse_json("evidence_text"), "$.k", "int").alias("evidence"))
+    """The receipt's proof, and from the evidence its number, the ids of violations and the proofs that are well formed."""
+    evidence = F.try_parse_json("evidence_text")
+    listed = lambda name: F.coalesce(F.try_variant_get(evidence, f"$.oracle.{name}", "array<string>"), F.expr("cast(array() as array<string>)"))
+    return observations.select(
+        "observation_id", _proof(F.col("receipt_hash")).alias("proof"), F.try_variant_get(evidence, "$.k", "int").alias("evidence"),
+        F.filter(listed("violations"), lambda x: x != "").alias("violations"), F.array_compact(F.transform(listed("proof_hashes"), _proof)).alias("proofs"),
+    )
 
 
 def license_snapshot(rows: DataFrame) -> DataFrame:

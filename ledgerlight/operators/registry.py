@@ -32,11 +32,22 @@ def compliance_index(reports: DataFrame) -> DataFrame:
                           count("ABSENT").alias("absent"), count("PARTIAL").alias("partial"), F.size("gaps").alias("n_gaps"))
 
 
+#: Fields of a report's parts that its public view keeps.
+PUBLIC = {
+    "observations": ("nec_id", "name", "description", "status", "severity"),
+    "jurisdictions": ("code", "name", "total_elements", "present", "absent", "partial", "score_pct"),
+    "gaps": ("gap_id", "severity"),
+}
+
+
 def redact_reports(reports: DataFrame, keep: int = 3) -> DataFrame:
-    """Public view: the first gaps without their articles, and the number of all gaps."""
+    """Public view: observations and jurisdictions without their evidence, the first gaps without their articles, and the
+    number of all gaps. Parts that a table does not have are left out."""
     empty = F.expr("cast(array() as array<string>)")
-    public = F.transform(F.slice("gaps", 1, keep), lambda g: F.struct(g["gap_id"].alias("gap_id"), empty.alias("articles")))
-    return reports.select("model_id", "severity", public.alias("gaps"), F.size("gaps").alias("total_gaps"))
+    narrow = lambda c: F.transform(c, lambda x: F.struct(*[x[f].alias(f) for f in PUBLIC[c]]))
+    public = F.transform(F.slice("gaps", 1, keep), lambda g: F.struct(*[g[f].alias(f) for f in PUBLIC["gaps"]], empty.alias("articles")))
+    parts = [narrow(c).alias(c) for c in ("observations", "jurisdictions") if c in reports.columns]
+    return reports.select("model_id", "severity", *parts, public.alias("gaps"), F.size("gaps").alias("total_gaps"))
 
 
 def model_ranking(reports: DataFrame) -> DataFrame:

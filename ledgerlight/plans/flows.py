@@ -43,6 +43,13 @@ def _finished(stream, mode="append"):
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in rows.dtypes if kind == "timestamp"})
 
 
+def _validated(s, f):
+    path = folder(s)
+    jobs.to_valid_and_quarantine(jobs.stream_validate(s.readStream.text(_stored(dirty(s, f).select("value"), "text"))), path)
+    read = lambda name: s.read.parquet(f"{path}/{name}").withColumn("sink", F.lit(name))
+    return read("valid").unionByName(read("quarantine"))
+
+
 def _wide(s, f):
     r = v.receipts(s, f)
     cols = [F.try_element_at("top_k", F.lit(i))[c].alias(f"{c}{i}") for i in (3, 1, 2) for c in ("provider_id", "shard_id", "share")]
@@ -127,7 +134,7 @@ QUERIES = {
     "a10_write_snapshot": _written_snapshots,
     "v8_check_spider_receipts": lambda s, f: val.check_spider_receipts(a.spider_receipts(v.table(s, f, "pages"), "crawl", "2024-01").withColumn(
         "receipt_id", F.when(F.col("content_id").endswith("0"), "bad").otherwise(F.col("receipt_id")))),
-    "s1_stream_validate": lambda s, f: _finished(jobs.stream_validate(s.readStream.text(_stored(dirty(s, f).select("value"), "text")))).groupBy("status").agg(F.count(F.lit(1)).alias("n")),
+    "s1_stream_validate": lambda s, f: _validated(s, f).groupBy("sink", "status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("codes") > 0).alias("with_codes")),
     "s2_stream_weights": lambda s, f: rounded(_latest_batch(_finished(jobs.stream_weights(_streamed(v.receipts(s, f))), "update"), "month", "provider_id")),
     "s3_stream_changes": lambda s, f: _finished(jobs.stream_changes(_streamed(v.snapshots(s, f)))).select("target_id", "observed_at"),
     "s4_stream_drift_windows": lambda s, f: _latest_batch(_finished(jobs.stream_drift_windows(_streamed(_changes(s, f))), "update"), "start", "end"),
@@ -160,7 +167,7 @@ SQL = {
     "a10_write_snapshot": f"{_S} SELECT 'history' AS part, count(*) AS n FROM snapshots UNION ALL SELECT 'latest', count(*) FROM snapshots WHERE day = (SELECT max(day) FROM snapshots)",
     "v8_check_spider_receipts": """WITH u AS (SELECT sha256(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '/$', '')) AS h FROM pages)
         SELECT count(*) FILTER (NOT ends_with(h, '0')) AS ok, count(*) FILTER (ends_with(h, '0')) AS failed FROM u""",
-    "s1_stream_validate": f"{_DIRTY} SELECT status, count(*) AS n FROM k GROUP BY 1",
+    "s1_stream_validate": f"{_DIRTY} SELECT CASE status WHEN 'ERROR' THEN 'quarantine' ELSE 'valid' END AS sink, status, count(*) AS n, count(*) FILTER (len(codes) > 0) AS with_codes FROM k GROUP BY 1, 2",
     "s2_stream_weights": f"""WITH {v.ENTRIES} SELECT strftime(ts, '%Y-%m') AS month, provider_id, round(sum(share), 6) AS weight FROM entries GROUP BY 1, 2""",
     "s3_stream_changes": f"{_S} SELECT target_id, observed_at FROM ch",
     "s4_stream_drift_windows": f"{_S} SELECT time_bucket(INTERVAL 7 DAY, observed_at, TIMESTAMP '1970-01-01') AS start, time_bucket(INTERVAL 7 DAY, observed_at, TIMESTAMP '1970-01-01') + INTERVAL 7 DAY AS \"end\", count(*) AS changes FROM ch GROUP BY 1, 2",

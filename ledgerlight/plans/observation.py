@@ -18,6 +18,13 @@ def _schemas(s, sf):
     return v.snapshots(s, sf).withColumn("schema", F.when(F.col("downloads") % 4 == 0, "ddf_snapshot.v2").otherwise(F.col("schema")))
 
 
+def _evidence(s, sf):
+    """Observations whose evidence has findings beside the number."""
+    i = F.col("observation_id")
+    found = F.concat(F.lit(', "oracle": {"violations": ["NEC#'), (i % 20 + 1).cast("string"), F.lit('", ""], "proof_hashes": ["'), F.upper("receipt_hash"), F.lit('", "sha256:ab", "bad"]}}'))
+    return v.observations(s, sf).withColumn("evidence_text", F.when(i % 3 == 0, F.concat(F.regexp_replace("evidence_text", r"\}\s*$", ""), found)).otherwise(F.col("evidence_text")))
+
+
 def _latest(s, sf):
     return v.snapshots(s, sf).groupBy("target_id").agg(F.max_by(F.struct("license", "http_status", "has_training_section", "downloads"), "observed_at").alias("s")).select("target_id", "s.*")
 
@@ -58,7 +65,7 @@ QUERIES = {
     "d11_gated_share": lambda s, f: d.gated_share(_latest(s, f)),
     "d12_temporal_metrics": lambda s, f: d.temporal_metrics(v.observations(s, f)),
     "d12_with_metrics": lambda s, f: d.with_metrics(v.observations(s, f)).select("observation_id", "target_id", "days", "n", "absence_days"),
-    "d13_public_evidence": lambda s, f: d.public_evidence(v.observations(s, f)),
+    "d13_public_evidence": lambda s, f: d.public_evidence(_evidence(s, f)),
     "d14_license_snapshot": lambda s, f: d.license_snapshot(_licenses(s, f)),
     "d15_license_drift": lambda s, f: d.license_drift(d.license_snapshot(_licenses(s, f))),
     "b5_migrate_timeline": lambda s, f: d.migrate_timeline(v.snapshots(s, f)).select("target_id", "day", "training_state", "access"),
@@ -130,7 +137,9 @@ SQL = {
         b AS (SELECT o.target_id, min(observation_timestamp) AS since FROM observations o JOIN a USING (target_id) WHERE observation_type = 'absence' AND (lp IS NULL OR observation_timestamp > lp) GROUP BY 1)
         SELECT target_id, first_seen, last_seen, date_diff('day', first_seen::DATE, last_seen::DATE) + 1 AS days, n,
                coalesce(date_diff('day', since::DATE, last_seen::DATE) + 1, 0) AS absence_days FROM a LEFT JOIN b USING (target_id)""",
-    "d13_public_evidence": f"WITH {v.OBSERVATIONS} SELECT observation_id, 'sha256:' || receipt_hash AS proof, (evidence_text::JSON->>'$.k')::INTEGER AS evidence FROM observations",
+    "d13_public_evidence": f"WITH {v.OBSERVATIONS} SELECT observation_id, 'sha256:' || receipt_hash AS proof, (evidence_text::JSON->>'$.k')::INTEGER AS evidence,"
+        " CASE WHEN observation_id % 3 = 0 THEN ['NEC#' || (observation_id % 20 + 1)] ELSE []::VARCHAR[] END AS violations,"
+        " CASE WHEN observation_id % 3 = 0 THEN ['sha256:' || upper(receipt_hash), 'sha256:ab'] ELSE []::VARCHAR[] END AS proofs FROM observations",
     "d14_license_snapshot": f"{_L} SELECT * FROM e",
     "d15_license_drift": f"""{_L}, g AS (SELECT dataset, period, round(0.6 * abs(entropy - lag(entropy) OVER w) + 0.4 * abs(unknown_ratio - lag(unknown_ratio) OVER w), 6) AS drift FROM e
         WINDOW w AS (PARTITION BY dataset ORDER BY period))

@@ -12,6 +12,21 @@ from ..sources import views as v
 NOW = "2024-01-31 00:00:00"
 
 
+def _full_reports(s, f):
+    """Reports with descriptions, evidence and jurisdictions."""
+    k = F.col("part_key")
+    seen = F.transform("observations", lambda o: F.struct(o["nec_id"], F.concat(F.lit("name of "), o["nec_id"]).alias("name"), F.lit("text").alias("description"), o["status"],
+                                                          F.when(o["status"] == "ABSENT", 70).otherwise(0).alias("severity"), F.lit("secret").alias("evidence")))
+    places = F.transform(F.sequence(F.lit(1), (k % 3 + 1).cast("int")), lambda i: F.struct(
+        F.concat(F.lit("J"), i.cast("string")).alias("code"), F.lit("place").alias("name"), F.lit(6).alias("total_elements"), (k % 4).alias("present"), (k % 2).alias("absent"),
+        (6 - k % 4 - k % 2).alias("partial"), (k % 4 * 10).alias("score_pct"), F.array(F.lit("art10")).alias("missing_articles")))
+    return v.reports(s, f).withColumns({"observations": seen, "jurisdictions": places})
+
+
+def _lines(part):
+    return F.transform(part, lambda x: F.concat_ws("|", *[x[n].cast("string") for n in r.PUBLIC[part]]))
+
+
 def _written(s, f):
     return v.reports(s, f).where("part_key % 4 = 0").select("model_id")
 
@@ -70,7 +85,9 @@ def _known(s, f):
 
 QUERIES = {
     "r1_compliance_index": lambda s, f: r.compliance_index(v.reports(s, f)),
-    "b3_redact_reports": lambda s, f: r.redact_reports(v.reports(s, f)).select("model_id", "severity", "total_gaps", F.transform("gaps", lambda x: x["gap_id"]).alias("gaps")),
+    "b3_redact_reports": lambda s, f: r.redact_reports(_full_reports(s, f)).select(
+        "model_id", "severity", "total_gaps", F.transform("gaps", lambda x: F.concat_ws("|", x["gap_id"], F.size(x["articles"]).cast("string"))).alias("gaps"),
+        *[_lines(c).alias(c) for c in ("observations", "jurisdictions")]),
     "r2_model_ranking": lambda s, f: r.model_ranking(v.reports(s, f)).select("model_id", "rank", "score"),
     "r3_org_ranking": lambda s, f: r.org_ranking(v.reports(s, f)),
     "r4_ranking_stats": lambda s, f: r.ranking_stats(r.model_ranking(v.reports(s, f))),
@@ -163,7 +180,9 @@ SQL = {
     "r1_compliance_index": f"""{_R} SELECT model_id, score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'fair' WHEN score >= 20 THEN 'poor' ELSE 'critical' END AS label,
         len(list_filter(observations, lambda x: x.status = 'PRESENT')) AS present, len(list_filter(observations, lambda x: x.status = 'ABSENT')) AS absent,
         len(list_filter(observations, lambda x: x.status = 'PARTIAL')) AS partial, len(gaps) AS n_gaps FROM rs""",
-    "b3_redact_reports": f"{_R} SELECT model_id, severity, len(gaps) AS total_gaps, list_transform(gaps[1:3], lambda x: x.gap_id) AS gaps FROM reports",
+    "b3_redact_reports": f"""{_R} SELECT model_id, severity, len(gaps) AS total_gaps, list_transform(gaps[1:3], lambda x: x.gap_id || '|0') AS gaps,
+        list_transform(observations, lambda o: concat_ws('|', o.nec_id, 'name of ' || o.nec_id, 'text', o.status, CASE WHEN o.status = 'ABSENT' THEN 70 ELSE 0 END)) AS observations,
+        list_transform(range(1, part_key % 3 + 2), lambda i: concat_ws('|', 'J' || i, 'place', 6, part_key % 4, part_key % 2, 6 - part_key % 4 - part_key % 2, part_key % 4 * 10)) AS jurisdictions FROM reports""",
     "r2_model_ranking": f"{_R} SELECT model_id, rank, score FROM rk",
     "r3_org_ranking": f"""{_R}, o AS (SELECT org, count(*) AS models, round(avg(score), 1) AS mean_score, arg_min(severity, o) AS worst, sum(downloads)::BIGINT AS downloads,
         count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'high') AS n_high, count(*) FILTER (severity = 'medium') AS n_medium, count(*) FILTER (severity = 'low') AS n_low FROM rs GROUP BY 1)

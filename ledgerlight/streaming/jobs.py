@@ -23,8 +23,24 @@ def to_table(stream: DataFrame, folder: str, mode: str = "append") -> None:
     query.awaitTermination()
 
 
+def to_valid_and_quarantine(stream: DataFrame, folder: str) -> None:
+    """Run what is available now; rows without an error go to ``valid``, the others to ``quarantine``. A batch is computed
+    once for both, and overwrites its own folders."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            bad = F.col("status") == "ERROR"
+            for name, chosen in (("valid", ~bad), ("quarantine", bad)):
+                batch.where(chosen).write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={number}")
+        finally:
+            batch.unpersist()
+
+    stream.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+
+
 def stream_validate(lines: DataFrame) -> DataFrame:
-    """Classified lines; split valid rows and quarantine by ``status`` at the sink."""
+    """Classified lines; ``to_valid_and_quarantine`` parts them by ``status``."""
     return classify_records(lines).select("value", "status", F.transform("issues", lambda i: i["code"]).alias("codes"))
 
 
