@@ -92,13 +92,28 @@ def report_metrics(reports: DataFrame) -> DataFrame:
                           F.when(share >= 80, "complete").when(share > 0, "partial").otherwise("unknown").alias("documentation"), F.slice(missing, 1, 3).alias("missing"))
 
 
-def outreach_status(messages: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Best message per target by status precedence, then time; manual overrides replace the status (the last wins)."""
+def mapped(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``target_id`` replaced by the model that a repository stands for, from ``mapping(target_id, model_id)``."""
+    found = rows.join(mapping.select("target_id", F.col("model_id").alias("__model")), "target_id", "left")
+    return found.withColumn("target_id", F.coalesce("__model", "target_id")).drop("__model")
+
+
+def outreach_status(messages: DataFrame, overrides: DataFrame, mapping: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """Best message per target by status precedence, then time; manual overrides replace the status (the last wins).
+
+    With ``mapping``, repositories count as the models they stand for; with ``scores(target_id, score)``, targets have a
+    score, 0 where there is none.
+    """
+    if mapping is not None:
+        messages, overrides = mapped(messages, mapping), mapped(overrides, mapping)
     best = messages.groupBy("target_id").agg(
         F.max_by(F.struct("status", "platform", "sent_at"), F.struct(_order("status", STATUS_RANK), "sent_at", "message_id")).alias("b"), F.count(F.lit(1)).alias("messages")
     )
     last = overrides.groupBy("target_id").agg(F.max_by("status", "line_no").alias("override"))
-    return best.join(last, "target_id", "left").select("target_id", F.coalesce("override", "b.status").alias("status"), "b.platform", "b.sent_at", "messages")
+    rows = best.join(last, "target_id", "left").select("target_id", F.coalesce("override", "b.status").alias("status"), "b.platform", "b.sent_at", "messages")
+    if scores is not None:
+        rows = rows.join(scores.select("target_id", "score"), "target_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return rows
 
 
 def outreach_stats(status: DataFrame, scores: DataFrame, now: str) -> DataFrame:
@@ -159,21 +174,38 @@ def verified_findings(after: DataFrame) -> DataFrame:
     return rows.withColumn("confidence", F.when(F.col("min_hours") >= 72, "high").when(F.col("min_hours") >= 24, "medium").otherwise("low"))
 
 
-def warranty_packs(reports: DataFrame, status: DataFrame, lineage: DataFrame) -> DataFrame:
-    """Evidence sources per model, the tier they add up to, and what the pack excludes."""
-    ids = reports.select("model_id").union(status.select("model_id")).union(lineage.select("model_id")).distinct()
-    rows = (
-        ids.join(reports.select("model_id", "score", F.lit(True).alias("r")), "model_id", "left")
-        .join(status.select("model_id", F.col("status"), F.lit(True).alias("s")), "model_id", "left")
-        .join(lineage.select("model_id", F.lit(True).alias("l")), "model_id", "left")
-    )
-    n = sum((F.col(c).isNotNull().cast("int") for c in "rsl"), F.lit(0))
-    return rows.select("model_id", n.alias("sources"), F.when((n == 3) & (F.col("score") >= 60), "gold").when(n >= 2, "silver").otherwise("bronze").alias("tier"),
-                       F.array_compact(F.array(F.when(F.col("r").isNull(), "report"), F.when(F.col("s").isNull(), "outreach"), F.when(F.col("l").isNull(), "lineage"))).alias("exclusions"))
+#: The claim that each source of evidence supports.
+CLAIMS = {"proof": "documentation_observation", "compliance": "compliance_gap_map", "notice": "notice_trail", "provenance": "provenance_support"}
+
+
+def warranty_packs(proofs: DataFrame, compliance: DataFrame, notices: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Evidence of four sources per model: claims they support, what the pack excludes, its state, and scores.
+
+    ``proofs(model_id, present, absent)``, ``compliance(model_id, score, severity)``, ``notices(model_id, status, platform)``,
+    ``provenance(model_id, provenance_score)``, each with one row a model. Any of the sources makes a pack.
+    """
+    sources = dict(zip(CLAIMS, (proofs, compliance, notices, provenance), strict=True))
+    rows = None
+    for name, df in sources.items():
+        df = df.withColumn(f"has_{name}", F.lit(True))
+        rows = df if rows is None else rows.join(df, "model_id", "full_outer")
+    has = {name: F.coalesce(f"has_{name}", F.lit(False)) for name in sources}
+    state = F.when(has["proof"] & has["compliance"] & has["notice"], "WARRANTY_PREP_READY").when(has["proof"] & has["compliance"], "EVIDENCE_PACK_READY")
+    state = state.when(has["proof"] | has["compliance"] | has["notice"], "PARTIAL_RAIL").otherwise("INSUFFICIENT_EVIDENCE")
+    confidence = F.when(has["proof"] & has["compliance"], "HIGH").when(has["proof"] | has["compliance"] | has["notice"], "MEDIUM").otherwise("LOW")
+    seen = F.col("present") + F.col("absent")
+    return rows.select(
+        "model_id", F.split("model_id", "/")[0].alias("organization"), state.alias("state"), confidence.alias("confidence"),
+        F.array_compact(F.array(*[F.when(has[n], F.lit(claim)) for n, claim in CLAIMS.items()])).alias("claims"),
+        F.array_compact(F.array(*[F.when(~has[n], F.lit(f"no_{n}")) for n in ("proof", "compliance", "provenance")])).alias("exclusions"),
+        F.when(seen > 0, F.round(100 * F.col("present") / seen, 1)).alias("completeness_pct"), F.col("score").alias("compliance_score"), "severity",
+        "provenance_score", "status", "platform",
+    )
 
 
 def warranty_index(packs: DataFrame) -> DataFrame:
-    return packs.groupBy("tier", "sources").agg(F.count(F.lit(1)).alias("models"))
+    """Packs by state and confidence, with their mean number of claims."""
+    return packs.groupBy("state", "confidence").agg(F.count(F.lit(1)).alias("models"), F.round(F.avg(F.size("claims")), 4).alias("mean_claims"))
 
 
 def passports(reports: DataFrame, comparisons: DataFrame) -> DataFrame:

@@ -49,6 +49,12 @@ def _scores(s, f):
     return v.reports(s, f).select(F.concat(F.lit("org"), (k % 5).cast("string"), F.lit("/m"), k.cast("string")).alias("target_id"), "score")
 
 
+def _mapping(s, f):
+    """Repositories of the first organisation stand for models of another."""
+    ids = v.outreach(s, f).select("target_id").union(_scores(s, f).select("target_id")).where("target_id like 'org0/%'").distinct()
+    return ids.select("target_id", F.replace("target_id", F.lit("org0/"), F.lit("main/")).alias("model_id"))
+
+
 def _second(s, f):
     return v.outreach(s, f).where("message_id % 3 = 0").groupBy(F.upper("target_id").alias("target_id")).agg(
         F.lit("sent").alias("status"), F.lit("mail").alias("platform"), F.count(F.lit(1)).alias("messages"))
@@ -61,7 +67,11 @@ def _report_targets(s, f):
 
 def _packs(s, f):
     rep = v.reports(s, f)
-    return r.warranty_packs(rep.where("part_key % 2 = 0"), rep.where("part_key % 3 = 0").select("model_id", F.lit("sent").alias("status")), rep.where("part_key % 5 = 0").select("model_id"))
+    count = lambda status: F.size(F.filter("observations", lambda o: o["status"] == status))
+    return r.warranty_packs(
+        rep.where("part_key % 2 = 0").select("model_id", count("PRESENT").alias("present"), count("ABSENT").alias("absent")), rep.where("part_key % 3 = 0").select("model_id", "score", "severity"),
+        rep.where("part_key % 5 = 0").select("model_id", F.lit("sent").alias("status"), F.lit("hub").alias("platform")),
+        rep.where("part_key % 7 = 0").select("model_id", (F.col("score") / 100).alias("provenance_score")))
 
 
 def _comparisons(s, f):
@@ -93,7 +103,7 @@ QUERIES = {
     "r4_ranking_stats": lambda s, f: r.ranking_stats(r.model_ranking(v.reports(s, f))),
     "r5_latest_reports": lambda s, f: r.latest_reports(v.reports(s, f), _written(s, f), 700).select("model_id", "written", "reported_on"),
     "r6_report_metrics": lambda s, f: r.report_metrics(v.reports(s, f)),
-    "r7_outreach_status": lambda s, f: _status(s, f),
+    "r7_outreach_status": lambda s, f: r.outreach_status(v.outreach(s, f), _overrides(s, f), _mapping(s, f), r.mapped(_scores(s, f), _mapping(s, f))),
     "r8_outreach_stats": lambda s, f: r.outreach_stats(_status(s, f), _scores(s, f), NOW),
     "r9_merge_outreach": lambda s, f: r.merge_outreach(_status(s, f), _second(s, f)),
     "r10_enrich_with_report": lambda s, f: r.enrich_with_report(_report_targets(s, f), v.reports(s, f)),
@@ -146,10 +156,14 @@ ch AS (SELECT * FROM f1 WHERE lfp IS NULL OR la < observed_at - INTERVAL 30 DAY
 me AS (SELECT * FROM outreach),
 af AS (SELECT message_id, target_id, observed_at, (epoch(date_trunc('second', observed_at))::BIGINT - epoch(date_trunc('second', sent_at))::BIGINT) // 3600 AS hours_after FROM me JOIN ch USING (target_id)
   WHERE means AND status IN ('sent', 'accepted') AND observed_at BETWEEN sent_at + INTERVAL 24 HOUR AND sent_at + INTERVAL 30 DAY)"""
-_P = f"""{_R}, ids AS (SELECT model_id, part_key, score FROM reports WHERE part_key % 2 = 0 OR part_key % 3 = 0 OR part_key % 5 = 0),
-pk AS (SELECT model_id, (part_key % 2 = 0)::INTEGER + (part_key % 3 = 0)::INTEGER + (part_key % 5 = 0)::INTEGER AS sources,
-  list_filter([CASE WHEN part_key % 2 <> 0 THEN 'report' END, CASE WHEN part_key % 3 <> 0 THEN 'outreach' END, CASE WHEN part_key % 5 <> 0 THEN 'lineage' END], lambda x: x IS NOT NULL) AS exclusions,
-  CASE WHEN part_key % 30 = 0 AND score >= 60 THEN 'gold' WHEN (part_key % 2 = 0)::INTEGER + (part_key % 3 = 0)::INTEGER + (part_key % 5 = 0)::INTEGER >= 2 THEN 'silver' ELSE 'bronze' END AS tier FROM ids)"""
+_P = f"""{_R}, sr AS (SELECT *, part_key % 2 = 0 AS p, part_key % 3 = 0 AS c, part_key % 5 = 0 AS n, part_key % 7 = 0 AS s, len(list_filter(observations, lambda o: o.status = 'PRESENT')) AS present,
+  len(list_filter(observations, lambda o: o.status = 'ABSENT')) AS absent FROM reports),
+pk AS (SELECT model_id, org AS organization, CASE WHEN p AND c AND n THEN 'WARRANTY_PREP_READY' WHEN p AND c THEN 'EVIDENCE_PACK_READY' WHEN p OR c OR n THEN 'PARTIAL_RAIL' ELSE 'INSUFFICIENT_EVIDENCE' END AS state,
+  CASE WHEN p AND c THEN 'HIGH' WHEN p OR c OR n THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+  list_filter([CASE WHEN p THEN 'documentation_observation' END, CASE WHEN c THEN 'compliance_gap_map' END, CASE WHEN n THEN 'notice_trail' END, CASE WHEN s THEN 'provenance_support' END], lambda x: x IS NOT NULL) AS claims,
+  list_filter([CASE WHEN NOT p THEN 'no_proof' END, CASE WHEN NOT c THEN 'no_compliance' END, CASE WHEN NOT s THEN 'no_provenance' END], lambda x: x IS NOT NULL) AS exclusions,
+  CASE WHEN p AND present + absent > 0 THEN round(100.0 * present / (present + absent), 1) END AS completeness_pct, CASE WHEN c THEN score END AS compliance_score, CASE WHEN c THEN severity END AS severity,
+  CASE WHEN s THEN score / 100 END AS provenance_score, CASE WHEN n THEN 'sent' END AS status, CASE WHEN n THEN 'hub' END AS platform FROM sr WHERE p OR c OR n OR s)"""
 
 
 def _id(kind: str, name: str) -> str:
@@ -194,7 +208,12 @@ SQL = {
     "r6_report_metrics": f"""{_R}, k AS (SELECT model_id, observations, (100 * len(list_filter(observations, lambda o: o.status = 'PRESENT')) // 6)::INTEGER AS completeness FROM reports)
         SELECT model_id, completeness, observations[1].status AS provenance, CASE WHEN completeness >= 80 THEN 'complete' WHEN completeness > 0 THEN 'partial' ELSE 'unknown' END AS documentation,
           list_transform(list_filter(observations, lambda o: o.status = 'ABSENT'), lambda o: o.nec_id)[1:3] AS missing FROM k""",
-    "r7_outreach_status": f"{_O} SELECT * FROM st",
+    "r7_outreach_status": f"""WITH {v.OUTREACH}, mo AS (SELECT * REPLACE (regexp_replace(target_id, '^org0/', 'main/') AS target_id) FROM outreach),
+        bs AS (SELECT target_id, status, platform, sent_at, count(*) OVER (PARTITION BY target_id) AS messages FROM mo
+          QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY {_SR} DESC, sent_at DESC, message_id DESC) = 1),
+        ov AS (SELECT target_id, arg_max(CASE WHEN message_id % 2 = 0 THEN 'sent' ELSE 'pending' END, message_id) AS o FROM mo WHERE message_id % 9 = 0 GROUP BY 1),
+        sc AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'main' ELSE 'org' || (p_partkey % 5) END || '/m' || p_partkey AS target_id, CASE WHEN p_partkey % 13 > 0 THEN p_size * 2.0::DOUBLE END AS score FROM part)
+        SELECT target_id, coalesce(o, status) AS status, platform, sent_at, messages, coalesce(score, 0)::DOUBLE AS score FROM bs LEFT JOIN ov USING (target_id) LEFT JOIN sc USING (target_id)""",
     "r8_outreach_stats": f"""{_O}, sc AS (SELECT 'org' || (p_partkey % 5) || '/m' || p_partkey AS target_id, CASE WHEN p_partkey % 13 > 0 THEN p_size * 2.0::DOUBLE END AS score FROM part)
         SELECT status, platform, count(*) AS targets, sum(messages)::BIGINT AS messages, round(avg(date_diff('day', sent_at::DATE, DATE '{NOW[:10]}')), 1) AS mean_days,
           count(sc.target_id) AS with_report, round(avg(score), 2) AS mean_score FROM st LEFT JOIN sc USING (target_id) GROUP BY 1, 2""",
@@ -208,8 +227,8 @@ SQL = {
         SELECT target_id, count(*) AS messages, min(sent_at) AS first_sent, coalesce(any_value(n), 0) AS later_changes, coalesce(any_value(n), 0) > 0 AS responded FROM me LEFT JOIN l USING (target_id) GROUP BY 1""",
     "r13_verified_findings": f"""{_D} SELECT observed_at::DATE AS day, count(DISTINCT split_part(target_id, '/', 1)) AS orgs, count(*) AS changes, min(hours_after) AS min_hours,
         CASE WHEN min(hours_after) >= 72 THEN 'high' WHEN min(hours_after) >= 24 THEN 'medium' ELSE 'low' END AS confidence FROM af GROUP BY 1""",
-    "r14_warranty_packs": f"{_P} SELECT model_id, sources, tier, exclusions FROM pk",
-    "r15_warranty_index": f"{_P} SELECT tier, sources, count(*) AS models FROM pk GROUP BY 1, 2",
+    "r14_warranty_packs": f"{_P} SELECT * FROM pk",
+    "r15_warranty_index": f"{_P} SELECT state, confidence, count(*) AS models, round(avg(len(claims)), 4) AS mean_claims FROM pk GROUP BY 1, 2",
     "r16_passports": f"{_R} SELECT model_id, rank, score, severity, CASE WHEN part_key % 10 = 0 THEN 2 ELSE 0 END AS comparisons FROM rk",
     "r17_response_rates": f"""WITH {v.OUTREACH} SELECT split_part(target_id, '/', 1) AS org, count(*) AS messages, count(*) FILTER (status = 'pending' AND sent_at < TIMESTAMP '{NOW}' - INTERVAL 14 DAY) AS no_response,
         round(100.0 * count(*) FILTER (status = 'accepted') / count(*), 1) AS accepted_pct, round(100.0 * count(*) FILTER (status IN ('accepted', 'rejected')) / count(*), 1) AS response_pct
