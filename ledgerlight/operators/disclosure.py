@@ -16,14 +16,24 @@ def access_state(status: Column) -> Column:
     )
 
 
+#: Sets of names that a snapshot counts, samples and hashes.
+SETS, SAMPLE = ("tags", "languages", "datasets"), 25
+
+
 def disclosure_snapshot(api: DataFrame, cards: DataFrame) -> DataFrame:
-    """Join fetched registry rows ``(target_id, license, tags, http_status)`` with cards ``(target_id, card)``."""
+    """Join fetched registry rows ``(target_id, license, http_status`` and sets of names``)`` with cards ``(target_id, card,
+    readme_status)``; sets and columns that a table does not have are left out."""
     joined = api.join(cards, "target_id", "left")
+    sets = []
+    for name in (n for n in SETS if n in api.columns):
+        names = F.array_sort(F.array_distinct(name))
+        sets += [F.size(names).alias(f"{name}_count"), F.slice(names, 1, SAMPLE).alias(f"{name}_sample"), F.sha2(F.array_join(names, ","), 256).alias(f"{name}_hash")]
+    readme = [access_state(F.col("readme_status")).alias("readme_access")] if "readme_status" in cards.columns else []
     return joined.select(
-        "target_id", "license", F.size("tags").alias("tags_count"), F.slice(F.array_sort("tags"), 1, 25).alias("tags_sample"),
-        F.sha2(F.array_join(F.array_sort("tags"), ","), 256).alias("tags_hash"),
+        "target_id", "license", *sets, *readme,
         F.coalesce(F.col("card").rlike(r"(?im)^##\s+training\b"), F.lit(False)).alias("has_training_section"),
         access_state(F.col("http_status")).alias("access"), F.sha2("card", 256).alias("card_hash"),
+        F.sha2(F.regexp_replace("card", r"(?s)\A---\n.*?\n---\n", ""), 256).alias("readme_hash"),
     )
 
 

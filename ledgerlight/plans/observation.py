@@ -35,6 +35,8 @@ def _changes(s, sf):
 
 def _api(s, sf):
     return v.cards(s, sf).select("target_id", F.col("lang").alias("license"), F.array(F.lit("t:b"), F.concat(F.lit("t:"), F.col("source"))).alias("tags"),
+                                 F.when(F.col("doc_id") % 3 > 0, F.array(F.lit("fr"), F.lit("en"), F.lit("fr"))).alias("languages"),
+                                 F.array(F.concat(F.lit("org/set"), (F.col("doc_id") % 5).cast("string"))).alias("datasets"),
                                  F.when(F.col("doc_id") % 6 == 0, 403).when(F.col("doc_id") % 6 == 1, 404).when(F.col("doc_id") % 6 == 2, 500).when(F.col("doc_id") % 6 > 3, 200).alias("http_status"))
 
 
@@ -49,7 +51,7 @@ def _licenses(s, sf):
 
 
 QUERIES = {
-    "d1_disclosure_snapshot": lambda s, f: d.disclosure_snapshot(_api(s, f), v.cards(s, f).where("doc_id % 5 <> 4").select("target_id", "card")),
+    "d1_disclosure_snapshot": lambda s, f: d.disclosure_snapshot(_api(s, f), v.cards(s, f).where("doc_id % 5 <> 4").select("target_id", "card", F.when(F.col("doc_id") % 2 == 0, 200).otherwise(404).alias("readme_status"))),
     "d2_fingerprint": lambda s, f: v.snapshots(s, f).select("target_id", "day", d.fingerprint(["schema", "license", "http_status"]).alias("fp")),
     "d3_reuse_unchanged": lambda s, f: d.reuse_unchanged(_hashed(s, f, 0), _hashed(s, f, 1)).select("target_id", "has_training_section", "reused"),
     "d4_drift_events": lambda s, f: d.drift_events(_day_before(s, f), v.snapshots(s, f), ("target_id", "day")),
@@ -91,7 +93,10 @@ e AS (SELECT dataset, period, sum(n)::BIGINT AS rows, round(-sum(p * log2(p)), 4
 SQL = {
     "d1_disclosure_snapshot": f"""WITH {v.CARDS}, a AS (SELECT target_id, doc_id, lang AS license, list_sort(['t:b', 't:' || source]) AS tags,
           CASE WHEN doc_id % 6 = 0 THEN 403 WHEN doc_id % 6 = 1 THEN 404 WHEN doc_id % 6 = 2 THEN 500 WHEN doc_id % 6 > 3 THEN 200 END AS http_status, card FROM cards)
-        SELECT target_id, license, 2 AS tags_count, tags AS tags_sample, sha256(array_to_string(tags, ',')) AS tags_hash,
+        SELECT target_id, license, CASE WHEN doc_id % 3 > 0 THEN 2 END::INTEGER AS languages_count, CASE WHEN doc_id % 3 > 0 THEN ['en', 'fr'] END AS languages_sample,
+          CASE WHEN doc_id % 3 > 0 THEN sha256('en,fr') END AS languages_hash, 1 AS datasets_count, ['org/set' || (doc_id % 5)] AS datasets_sample, sha256('org/set' || (doc_id % 5)) AS datasets_hash,
+          CASE WHEN doc_id % 5 = 4 THEN 'unknown' WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'not_found' END AS readme_access,
+          CASE WHEN doc_id % 5 <> 4 THEN sha256(regexp_replace(card, '(?s)\\A---\\n.*?\\n---\\n', '')) END AS readme_hash, 2 AS tags_count, tags AS tags_sample, sha256(array_to_string(tags, ',')) AS tags_hash,
           doc_id % 5 <> 4 AND regexp_matches(card, '(?im)^##\\s+training\\b') AS has_training_section, {_ACCESS} AS access,
           CASE WHEN doc_id % 5 <> 4 THEN sha256(card) END AS card_hash FROM a""",
     "d2_fingerprint": f"""{_S} SELECT target_id, day, sha256('{{"http_status":' || http_status || ',"license":' || coalesce('"' || license || '"', 'null') || ',"schema":"' || schema || '"}}') AS fp
