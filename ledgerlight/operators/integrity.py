@@ -116,6 +116,28 @@ def verify_artifacts(declared: DataFrame, stored: DataFrame) -> DataFrame:
     return joined.select("bundle", "path", status.alias("status"))
 
 
+#: How a manifest's schema ends, its contract, and the artifacts that it has to name.
+SCHEMA, CONTRACT = r"\.manifest\.v1$", "CRC-1"
+REQUIRED = ("receipts", "validate_report", "hashchain", "trust_bundle")
+
+
+def manifest_issues(manifests: DataFrame) -> DataFrame:
+    """``bundle, issues`` of manifests ``(bundle, body)``: body, schema and contract, artifacts that are missing or whose path
+    is no text or leaves the bundle; an empty array where nothing is wrong."""
+    v = F.try_parse_json("body")
+    named = F.try_variant_get(v, "$.artifacts", "map<string,variant>")
+    path = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    wrong = lambda x: F.coalesce((F.trim(path(x)) == "") | path(x).startswith("/") | path(x).rlike(r"(^|/)\.\.(/|$)"), F.lit(True))
+    rows = manifests.select("bundle", v.alias("v"), named.alias("named"))
+    whole = [F.when(F.col("v").isNull(), "invalid JSON")]
+    text = lambda name: F.coalesce(F.try_variant_get("v", f"$.{name}", "string"), F.lit(""))
+    whole += [F.when(F.col("v").isNotNull() & ~fits, n) for n, fits in (("schema", text("schema").rlike(SCHEMA)), ("contract", text("contract") == CONTRACT))]
+    whole += [F.when(F.col("v").isNotNull() & F.col("named").isNull(), "artifacts")]
+    missing = [F.when(F.col("named").isNotNull() & ~F.map_contains_key("named", k), f"missing {k}") for k in REQUIRED]
+    bad = F.transform(F.array_sort(F.map_keys(F.map_filter("named", lambda _, x: wrong(x)))), lambda k: F.concat(F.lit("path of "), k))
+    return rows.select("bundle", F.concat(F.array_compact(F.array(*whole, *missing)), F.coalesce(bad, F.expr("cast(array() as array<string>)"))).alias("issues"))
+
+
 def stored_files(spark, path: str) -> DataFrame:
     """``(path, length, digest)`` of files under ``path``; files of 2 GB and more are out of its reach."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -41,6 +41,16 @@ k AS (SELECT *, CASE WHEN len(codes) = 0 THEN 'VALID' WHEN m = 7 THEN 'WARN' ELS
 """
 
 
+def _manifests(s, d):
+    """A manifest per report, with something wrong by its key."""
+    k = F.col("part_key")
+    rest = '"receipts": "r.ndjson", "validate_report": "v.json", '
+    head = F.when(k % 5 == 1, '{"schema": "x", "contract": "CRC-1"').when(k % 5 == 2, '{"schema": "a.manifest.v1"').otherwise('{"schema": "a.manifest.v1", "contract": "CRC-1"')
+    names = F.when(k % 4 == 0, rest + '"hashchain": "h.txt", "trust_bundle": "t.json"').when(k % 4 == 1, rest + '"hashchain": "../h.txt", "trust_bundle": 7').when(k % 4 == 2, '"receipts": "/r", "other": " "')
+    body = F.concat(head, F.when(k % 4 == 3, ', "artifacts": []}').otherwise(F.concat(F.lit(', "artifacts": {'), names, F.lit("}}"))))
+    return v.reports(s, d).select(F.col("model_id").alias("bundle"), F.when(k % 7 == 0, "{broken").otherwise(body).alias("body"))
+
+
 def _classified(s, d):
     return val.classify_records(dirty(s, d))
 
@@ -119,6 +129,7 @@ QUERIES = {
     "h2_verify_chains": lambda s, d: h.verify_chains(_chain_lines(s, d), _tampered(s, d), CHUNK),
     "h3_canonical_hash": lambda s, d: v.providers(s, d).select("provider_id", h.canonical_hash(["provider_id", "eligible", "kyc_tier"]).alias("digest")),
     "h4_verify_artifacts": lambda s, d: h.verify_artifacts(_declared(s, d), _stored(s, d)),
+    "h4_manifest_issues": lambda s, d: h.manifest_issues(_manifests(s, d)),
     "h5_evidence_status": lambda s, d: h.evidence_status(
         v.reports(s, d).select(F.col("org").alias("bundle"), F.concat(F.lit("r"), F.when(F.col("part_key") % 2 == 0, ".json").otherwise(".bin")).alias("name")),
         v.reports(s, d).where("part_key % 6 = 0").select(F.col("org").alias("bundle"), F.explode("gaps").alias("g")).select("bundle", "g.severity")),
@@ -177,6 +188,10 @@ SQL = {
           CASE WHEN doc_id % 11 = 0 THEN 'OUTSIDE_BUNDLE' WHEN doc_id % 13 = 0 THEN 'MISSING' WHEN doc_id % 7 = 1 THEN 'SIZE_AND_HASH_MISMATCH'
             WHEN doc_id % 7 = 2 THEN CASE WHEN strlen(regexp_replace(text, '^.', '#')) <> strlen(text) THEN 'SIZE_AND_HASH_MISMATCH' ELSE 'HASH_MISMATCH' END
             ELSE 'OK' END AS status FROM documents""",
+    "h4_manifest_issues": f"""WITH {v.REPORTS} SELECT model_id AS bundle, CASE WHEN part_key % 7 = 0 THEN ['invalid JSON'] ELSE
+        CASE part_key % 5 WHEN 1 THEN ['schema'] WHEN 2 THEN ['contract'] ELSE []::VARCHAR[] END
+        || CASE part_key % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['path of hashchain', 'path of trust_bundle'] WHEN 3 THEN ['artifacts']
+           ELSE ['missing validate_report', 'missing hashchain', 'missing trust_bundle', 'path of other', 'path of receipts'] END END AS issues FROM reports""",
     "h5_evidence_status": f"""WITH {v.REPORTS}, a AS (SELECT org AS bundle, count(*) FILTER (part_key % 2 = 0) AS artifacts FROM reports GROUP BY 1),
         g AS (SELECT org AS bundle, count(*) FILTER (x.severity >= 0.8) AS severe FROM (SELECT org, unnest(gaps) AS x FROM reports WHERE part_key % 6 = 0) GROUP BY 1)
         SELECT bundle, artifacts, coalesce(severe, 0) AS severe, CASE WHEN artifacts = 0 THEN 'RED' WHEN coalesce(severe, 0) = 0 THEN 'GREEN' ELSE 'YELLOW' END AS status
