@@ -44,15 +44,16 @@ def _word_hash(word: str) -> int:
 
 
 class _Ids(dict):
-    """Token -> id. Ids from FIRST on are words of the benchmark's part; 0 is any other word.
+    """Token -> its id in templates, and above 32 bits its id as it is. Ids from FIRST on are words of the benchmark's part;
+    0 is any other word.
 
     ``vocabulary`` has the hashes, sorted, of all words that the whole benchmark writes in lower case: a capitalised word is
     a name if it is none of them.
     """
 
-    def __init__(self, words: dict[str, int], vocabulary: np.ndarray):
+    def __init__(self, words: dict[str, int], every: dict[str, int], vocabulary: np.ndarray):
         super().__init__()
-        self.words, self.vocabulary = words, vocabulary
+        self.words, self.every, self.vocabulary = words, every, vocabulary
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
@@ -64,11 +65,18 @@ class _Ids(dict):
             found = NAME
         if len(self) >= MEMO:
             self.clear()
-        self[token] = found
+        self[token] = found = found | self.every.get(low, 0) << 32
         return found
 
     def in_vocabulary(self, low: str) -> bool:
-        return bool(_known(np.array([_word_hash(low)], np.uint64), self.vocabulary)[0])
+        name = np.uint64(_word_hash(low))
+        at = self.vocabulary.searchsorted(name)
+        return at < len(self.vocabulary) and self.vocabulary[at] == name
+
+    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in templates, ids as they are."""
+        both = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return both & 0xFFFFFFFF, both >> 32
 
 
 def _joined(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +155,7 @@ def _benchmark(items: list, id_col: str, text_col: str, known: np.ndarray) -> tu
     lower = np.array([_word_hash(w) for w in every], np.uint64)
     words = {w: i for (w, i), literal in zip(every.items(), _known(lower, known), strict=True)
              if literal and w not in UNIT_WORDS | NUMBER_WORDS}
-    lookup = _Ids(words, known)
+    lookup = _Ids(words, every, known)
     hashes: dict[int, set] = {}
     exact: dict[int, set] = {}
     windows = []
@@ -156,10 +164,11 @@ def _benchmark(items: list, id_col: str, text_col: str, known: np.ndarray) -> tu
             continue
         size = min(WINDOW, len(ts))
         row = min(LEAK, len(ts)) - size + 1
-        starts, found = _windows(np.fromiter((every[t.lower()] for t in ts), np.int64, len(ts)), size, False)
+        ids, own = lookup.of(ts)
+        starts, found = _windows(own, size, False)
         exact.setdefault(size, set()).update(found.tolist())
         windows += [(item, int(s), size, *_exact(ts, int(s), size), None, row) for s in starts]
-        ids, bounds = _joined(np.fromiter(map(lookup.__getitem__, ts), np.int64, len(ts)))
+        ids, bounds = _joined(ids)
         if len(ids) < SHORTEST:
             continue
         size = min(WINDOW, len(ids))
@@ -219,14 +228,14 @@ def _find_part(docs: DataFrame, items: list, known: np.ndarray, item_type, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hashes, every, exact, lower = shared.value
-        lookup = _Ids(words, lower)
+        lookup = _Ids(words, every, lower)
         for batch in batches:
             rows, places, templates, slots = [], [], [], []
             for row, text in enumerate(batch.column("text")):
                 text = text.as_py() or ""
                 tokens = _TOKEN.findall(text)
-                ids, bounds = _joined(np.fromiter(map(lookup.__getitem__, tokens), np.int64, len(tokens)))
-                own = np.fromiter((every.get(t.lower(), 0) for t in tokens), np.int64, len(tokens))
+                ids, own = lookup.of(tokens)
+                ids, bounds = _joined(ids)
                 matched = []
                 for size, hashed in hashes.items():
                     starts, found = _windows(ids, size)
