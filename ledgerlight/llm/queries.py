@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, quality, sql
-from .common import table
+from .common import SPACE, table
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .extraction import extract_text
 from .mixing import mix_sources
+from .neighbours import nearest
 from .pii import BASE, find_pii
+from .runs import find_runs
 from .secrets import find_secrets
 from .simhash import simhash_components
 from .substrings import remove_repeats
+from .trie import prefix_trie, turn_steps, with_shared_openings
 
 
 def held_out(remainder: int, parts: int) -> Column:
@@ -82,6 +85,42 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """``documents``, where one in ten repeats a stretch of its words to its end, as the contract of op12 says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(rf"[^{SPACE}]+"), F.lit(0))
+    n, g = F.size("__words").cast("long"), F.floor(F.col("__h") / 10)
+    changed = docs.withColumn("__h", h).where("__h % 10 = 0").withColumn("__words", words)
+    changed = changed.where(F.size("__words") > 0).withColumn("__a", g % n)
+    changed = changed.withColumn("__p", 1 + F.floor((n - F.col("__a")) / (3 + g % 8)))
+    place = lambda i: F.when(i < F.col("__a"), i).otherwise(F.col("__a") + (i - F.col("__a")) % F.col("__p"))
+    at = F.sequence(F.lit(0).cast("long"), n - 1)
+    text = F.array_join(F.transform(at, lambda i: F.element_at("__words", (place(i) + 1).cast("int"))), " ")
+    kept = docs.where(F.coalesce((h % 10 != 0) | ~F.coalesce("text", F.lit("")).rlike(rf"[^{SPACE}]"), F.lit(True)))
+    return kept.select("doc_id", "text").unionByName(changed.select("doc_id", text.alias("text")))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(_with_periods(table(spark, sf_dir, "documents")), least=6, exponent=4)
+    by_length = F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    best = found.withColumn("best", F.array_min(by_length))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"), F.floor(-1000 * F.col("best.less") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(with_shared_openings(turn_steps(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -94,6 +133,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_substrings": op9_substrings,
         "op10_mix_sources": op10_mix_sources,
+        "op11_neighbours": op11_neighbours,
+        "op12_runs": op12_runs,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -101,4 +143,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op8_exact_dedup": sql.EXACT_DEDUP,
         "op10_mix_sources": sql.MIX_SOURCES,
+        "op11_neighbours": sql.NEIGHBOURS,
+        "op13_prefix_trie": sql.PREFIX_TRIE,
     }
