@@ -78,9 +78,10 @@ def drift_events(previous: DataFrame, current: DataFrame, on: tuple[str, ...] =
 
 
 def drift_quality(snapshots: DataFrame) -> DataFrame:
-    """Drop snapshots whose fetch failed; flag those whose sources answered as expected."""
-    failed = F.coalesce(F.col("fetch_error").rlike("(?i)timeout|connection"), F.lit(False)) | (~F.col("http_status").isin(200, 404))
-    return snapshots.where(~failed).withColumn("quality", F.when(F.col("http_status") == 200, "ok").otherwise("partial"))
+    """Snapshots whose fetch did not fail (a status that is absent is no failure), with ``quality_ok``: the interface answered 200 and
+    the readme 200 or 404."""
+    rows = snapshots.where(~failed_fetch(F.col("http_status"), F.col("fetch_error")))
+    return rows.withColumn("quality_ok", F.coalesce((F.col("http_status") == 200) & F.col("readme_status").isin(200, 404), F.lit(False)))
 
 
 def timeline_changes(snapshots: DataFrame, days: int = 30) -> DataFrame:

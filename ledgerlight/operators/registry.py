@@ -8,28 +8,44 @@ from pyspark.sql import functions as F
 from ..functions.ranking import global_rank
 
 SEVERITY = {"critical": 0, "high": 1, "medium": 2, "low": 3}  # worst first
-STATUS_RANK = {"error": 0, "pending": 1, "sent": 2, "rejected": 3, "accepted": 4}
+#: Labels of compliance scores, worst first.
+LABELS = {"CRITICAL": 0, "HIGH": 1, "MODERATE": 2, "LOW": 3, "EXCELLENT": 4}
 
 
-def _order(column: str, order: dict[str, int]) -> Column:
+def _order_column(column: Column, order: dict[str, int]) -> Column:
     out = F.lit(len(order))
     for name, place in order.items():
-        out = F.when(F.col(column) == name, place).otherwise(out)
+        out = F.when(column == name, place).otherwise(out)
     return out
 
 
+def _order(column: str, order: dict[str, int]) -> Column:
+    return _order_column(F.col(column), order)
+
+
 def score_label(score: Column) -> Column:
     return (
-        F.when(score >= 80, "excellent").when(score >= 60, "good").when(score >= 40, "fair").when(score >= 20, "poor").otherwise("critical")
+        F.when(score >= 80, "EXCELLENT").when(score >= 60, "LOW").when(score >= 40, "MODERATE").when(score >= 20, "HIGH").otherwise("CRITICAL")
     )
 
 
-def compliance_index(reports: DataFrame) -> DataFrame:
-    """Score (0 where missing), label and observation counts per report; order by score at the sink."""
-    count = lambda s: F.size(F.filter("observations", lambda o: o["status"] == s))
-    score = F.coalesce("score", F.lit(0.0))
-    return reports.select("model_id", score.alias("score"), score_label(score).alias("label"), count("PRESENT").alias("present"),
-                          count("ABSENT").alias("absent"), count("PARTIAL").alias("partial"), F.size("gaps").alias("n_gaps"))
+def compliance_index(reports: DataFrame, elements: int = 20) -> DataFrame:
+    """Score, counts and label per report, from its ``summary``, else from its own score and its observations.
+
+    ``summary`` may be null, and so may its fields ``score, label, present, absent, partial, total``. Counts come from the
+    observations where the summary has neither present nor absent ones; a label that is missing comes from the score.
+    ``worst`` orders the index at the sink: worst label first, then by model.
+    """
+    count = lambda s: F.coalesce(F.size(F.filter("observations", lambda o: F.lower(o["status"]) == s)), F.lit(0))
+    of = lambda c, other: F.coalesce(F.col(f"summary.{c}"), F.lit(other))
+    score = F.bround(F.coalesce("summary.score", "score", F.lit(0.0)), 0).cast("long")
+    rows = reports.withColumns({"__score": score, "__none": (of("present", 0) == 0) & (of("absent", 0) == 0)})
+    counted = lambda c: F.when(F.col("__none"), count(c)).otherwise(of(c, 0)).cast("long").alias(c)
+    observed = F.coalesce(F.size("observations"), F.lit(0))
+    total = F.when(F.col("__none"), F.when(observed > 0, observed).otherwise(elements)).otherwise(of("total", elements))
+    label = F.when(F.length("summary.label") > 0, F.col("summary.label")).otherwise(score_label(F.col("__score")))
+    return rows.select("model_id", F.col("__score").alias("score"), *[counted(c) for c in ("present", "absent", "partial")], total.cast("long").alias("total_elements"),
+                       label.alias("label"), _order_column(label, LABELS).alias("worst"), "reported_on")
 
 
 #: Fields of a report's parts that its public view keeps.
@@ -84,86 +100,66 @@ def latest_reports(reports: DataFrame, outreach: DataFrame, maximum: int) -> Dat
 
 
 def report_metrics(reports: DataFrame) -> DataFrame:
-    """Completeness in percent, provenance (first element) and the first three missing elements."""
-    present = F.size(F.filter("observations", lambda o: o["status"] == "PRESENT"))
-    missing = F.transform(F.filter("observations", lambda o: o["status"] == "ABSENT"), lambda o: o["nec_id"])
-    share = F.floor(100 * present / F.size("observations")).cast("int")
-    return reports.select("model_id", share.alias("completeness"), F.filter("observations", lambda o: o["nec_id"] == "NEC#1")[0]["status"].alias("provenance"),
-                          F.when(share >= 80, "complete").when(share > 0, "partial").otherwise("unknown").alias("documentation"), F.slice(missing, 1, 3).alias("missing"))
-
-
-def mapped(rows: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``target_id`` replaced by the model that a repository stands for, from ``mapping(target_id, model_id)``."""
-    found = rows.join(mapping.select("target_id", F.col("model_id").alias("__model")), "target_id", "left")
-    return found.withColumn("target_id", F.coalesce("__model", "target_id")).drop("__model")
-
-
-def outreach_status(messages: DataFrame, overrides: DataFrame, mapping: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
-    """Best message per target by status precedence, then time; manual overrides replace the status (the last wins).
-
-    With ``mapping``, repositories count as the models they stand for; with ``scores(target_id, score)``, targets have a
-    score, 0 where there is none.
-    """
-    if mapping is not None:
-        messages, overrides = mapped(messages, mapping), mapped(overrides, mapping)
-    best = messages.groupBy("target_id").agg(
-        F.max_by(F.struct("status", "platform", "sent_at"), F.struct(_order("status", STATUS_RANK), "sent_at", "message_id")).alias("b"), F.count(F.lit(1)).alias("messages")
-    )
-    last = overrides.groupBy("target_id").agg(F.max_by("status", "line_no").alias("override"))
-    rows = best.join(last, "target_id", "left").select("target_id", F.coalesce("override", "b.status").alias("status"), "b.platform", "b.sent_at", "messages")
-    if scores is not None:
-        rows = rows.join(scores.select("target_id", "score"), "target_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return rows
-
-
-def outreach_stats(status: DataFrame, scores: DataFrame, now: str) -> DataFrame:
-    """By status and platform: targets, messages, mean days since the last one, targets with a report and their mean score."""
-    rows = status.join(scores.select("target_id", "score", F.lit(True).alias("reported")), "target_id", "left")
-    return rows.groupBy("status", "platform").agg(
-        F.count(F.lit(1)).alias("targets"), F.sum("messages").alias("messages"), F.round(F.avg(F.datediff(F.lit(now).cast("date"), "sent_at")), 1).alias("mean_days"),
-        F.count("reported").alias("with_report"), F.round(F.avg("score"), 2).alias("mean_score"),
+    """Completeness (present of present and absent elements, in whole percent), provenance by the first NEC#1, documentation, and
+    the first three absent elements."""
+    names = lambda s: F.coalesce(F.transform(F.filter("observations", lambda o: o["status"] == s), lambda o: o["nec_id"]), F.expr("cast(array() as array<string>)"))
+    present, absent = F.size(names("PRESENT")), F.size(names("ABSENT"))
+    total = present + absent
+    first = F.get(F.filter("observations", lambda o: o["nec_id"] == "NEC#1"), 0)["status"]
+    return reports.select(
+        "model_id", F.when(total > 0, F.floor(present / total * 100)).otherwise(0).cast("int").alias("completeness"),
+        F.when(first == "PRESENT", "present").when(first == "ABSENT", "missing").otherwise("unknown").alias("provenance"),
+        F.when((total > 0) & (absent == 0), "complete").when(total > 0, "partial").otherwise("unknown").alias("documentation"), F.slice(names("ABSENT"), 1, 3).alias("missing"),
     )
 
 
-def merge_outreach(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Full merge by lower-case id: a status other than pending wins, other fields fill gaps."""
-    key = lambda df: df.withColumn("key", F.lower(F.trim("target_id")))
-    both = key(a).alias("a").join(key(b).alias("b"), "key", "full_outer")
-    rich = F.when(F.coalesce(F.col("a.status"), F.lit("pending")) != "pending", F.col("a.status"))
-    return both.select("key", F.coalesce(rich, "b.status", "a.status").alias("status"), F.coalesce("a.platform", "b.platform").alias("platform"),
-                       F.coalesce("a.messages", "b.messages", F.lit(0)).alias("messages"))
-
 
 def enrich_with_report(targets: DataFrame, reports: DataFrame) -> DataFrame:
-    """Report by exact id, else by the last part of the path (smallest id of those that share it)."""
-    base = lambda c: F.element_at(F.split(c, "/"), -1)
-    exact = reports.select(F.col("model_id").alias("target_id"), F.col("model_id").alias("by_id"))
+    """Report by exact id (lower case, no ``gh:``), else by the last part of the path (smallest id of those that share it), and what a
+    status record takes from it: absent elements and the first five, provenance, documentation, completeness."""
+    plain = lambda c: F.regexp_replace(F.lower(c), "^gh:", "")
+    base = lambda c: F.element_at(F.split(F.lower(c), "/"), -1)
+    exact = reports.groupBy(F.lower("model_id").alias("id")).agg(F.min("model_id").alias("by_id"))
     short = reports.groupBy(base("model_id").alias("base")).agg(F.min("model_id").alias("by_base"))
-    rows = targets.withColumn("base", base("target_id")).join(exact, "target_id", "left").join(short, "base", "left")
+    rows = targets.withColumns({"id": plain("target_id"), "base": F.when(F.col("target_id").contains("/"), base("target_id"))})
+    rows = rows.join(exact, "id", "left").join(short, "base", "left")
     chosen = rows.select("target_id", F.coalesce("by_id", "by_base").alias("model_id"))
-    facts = reports.select("model_id", "severity", F.size("gaps").alias("n_gaps"))
-    return chosen.join(facts, "model_id", "left")
+    names = lambda keep: F.transform(F.filter("observations", keep), lambda o: o["nec_id"])
+    absent, there = names(lambda o: o["status"] == "ABSENT"), names(lambda o: o["status"] != "ABSENT")
+    facts = reports.select(
+        "model_id", "severity", F.size("gaps").alias("n_gaps"), F.size(absent).alias("absent_count"), F.slice(absent, 1, 5).alias("missing"),
+        F.when(F.array_contains(there, "NEC#1"), "present").otherwise("missing").alias("provenance"),
+        F.when(F.arrays_overlap(there, F.array(F.lit("NEC#3"), F.lit("NEC#4"))), "partial").otherwise("minimal").alias("documentation"),
+        F.bround(100.0 * F.size(there) / F.greatest(F.size("observations"), F.lit(1)), 0).cast("long").alias("completeness"), F.lit(True).alias("has_report"),
+    )
+    return chosen.join(facts, "model_id", "left").withColumn("has_report", F.coalesce("has_report", F.lit(False)))
 
 
-#: Messages that count as outreach, and fields whose change can be an answer to it: licences are often found automatically.
-SENT, MEANINGFUL = ("sent", "acknowledged", "merged", "accepted"), ("declared_datasets", "has_training_section")
+#: Fields whose change can be an answer to a message: licences are often found automatically.
+MEANINGFUL = ("declared_datasets", "has_training_section")
 
 
-def drift_after_outreach(messages: DataFrame, drift: DataFrame, hours: int = 24, days: int = 30) -> DataFrame:
-    """Meaningful changes of a target (``changed``) from ``hours`` to ``days`` after a message to it."""
-    later = drift.where(F.arrays_overlap("changed", F.array(*[F.lit(c) for c in MEANINGFUL]))).select("target_id", "observed_at")
+def drift_after_outreach(messages: DataFrame, drift: DataFrame, hours: int = 24, days: int = 30, facts: DataFrame | None = None) -> DataFrame:
+    """Meaningful changes of a target (``changed``) from ``hours`` to ``days`` after each message of ``messages(message_id, target_id, sent_at)``.
+
+    Times are cut into buckets of ``days``; a message's interval touches two at most, a change lies in one. Targets meet by bucket, so
+    that one with very many messages and changes over the years is not one task's pairs. ``facts`` adds its report.
+    """
+    width = days * 86400
+    meaning = F.array_intersect("changed", F.array(*[F.lit(c) for c in MEANINGFUL]))
+    later = drift.select("target_id", "observed_at", meaning.alias("changes"), F.floor(F.unix_timestamp("observed_at") / width).alias("bucket")).where(F.size("changes") > 0)
     wait = lambda n, unit: F.col("sent_at") + F.expr(f"INTERVAL {n} {unit}")
-    sent = messages.where(F.col("status").isin(*SENT))
-    pairs = sent.join(later, "target_id").where(F.col("observed_at").between(wait(hours, "HOURS"), wait(days, "DAYS")))
+    bucket = lambda t: F.floor(F.unix_timestamp(t) / width)
+    sent = messages.where("sent_at is not null").select("message_id", "target_id", "sent_at", F.explode(F.sequence(bucket(wait(hours, "HOURS")), bucket(wait(days, "DAYS")))).alias("bucket"))
+    pairs = sent.join(later, ["target_id", "bucket"]).where(F.col("observed_at").between(wait(hours, "HOURS"), wait(days, "DAYS")))
     waited = F.floor((F.unix_timestamp("observed_at") - F.unix_timestamp("sent_at")) / 3600)
-    return pairs.select("message_id", "target_id", "observed_at", waited.alias("hours_after"))
-
-
-def outreach_timeline(messages: DataFrame, after: DataFrame) -> DataFrame:
-    """Per target: messages, later changes, and whether it responded."""
-    sent = messages.groupBy("target_id").agg(F.count(F.lit(1)).alias("messages"), F.min("sent_at").alias("first_sent"))
-    seen = after.groupBy("target_id").agg(F.count_distinct("observed_at").alias("later_changes"))
-    return sent.join(seen, "target_id", "left").withColumn("later_changes", F.coalesce("later_changes", F.lit(0))).withColumn("responded", F.col("later_changes") > 0)
+    rows = pairs.select("message_id", "target_id", "observed_at", waited.alias("hours_after"), "changes")
+    if facts is None:
+        return rows.drop("changes")
+    facts = facts.select(F.col("model_id").alias("target_id"), F.col("highest_severity").alias("severity"), "absent_count", F.lit(True).alias("has_report"))
+    return rows.join(facts, "target_id", "left").withColumns({
+        "severity": F.coalesce("severity", F.lit("")), "absent_count": F.coalesce("absent_count", F.lit(0)), "has_report": F.coalesce("has_report", F.lit(False)),
+    })
 
 
 def verified_findings(after: DataFrame) -> DataFrame:
@@ -212,32 +208,3 @@ def passports(reports: DataFrame, comparisons: DataFrame) -> DataFrame:
     """Rank, report and number of comparisons per model; comparisons count for both their members."""
     members = comparisons.select(F.explode(F.array("left_id", "right_id")).alias("model_id")).groupBy("model_id").agg(F.count(F.lit(1)).alias("comparisons"))
     return model_ranking(reports).join(members, "model_id", "left").select("model_id", "rank", "score", "severity", F.coalesce("comparisons", F.lit(0)).alias("comparisons"))
-
-
-def response_rates(messages: DataFrame, now: str, days: int = 14, n: int = 10) -> DataFrame:
-    """Per organisation: messages, those without an answer after ``days``, acceptance and response percentages."""
-    late = (F.col("status") == "pending") & (F.col("sent_at") < F.expr(f"TIMESTAMP'{now}' - INTERVAL {days} DAYS"))
-    rows = messages.withColumn("state", F.when(late, "no_response").otherwise(F.col("status"))).groupBy(F.split("target_id", "/")[0].alias("org")).agg(
-        F.count(F.lit(1)).alias("messages"), F.count_if(F.col("state") == "no_response").alias("no_response"),
-        F.round(100.0 * F.count_if(F.col("state") == "accepted") / F.count(F.lit(1)), 1).alias("accepted_pct"),
-        F.round(100.0 * F.count_if(F.col("state").isin("accepted", "rejected")) / F.count(F.lit(1)), 1).alias("response_pct"),
-    )
-    return rows.orderBy(F.desc("messages"), "org").limit(n)
-
-
-def sync_status(log: DataFrame, answers: DataFrame) -> DataFrame:
-    """Status of log rows from answers by exact (target, message): a closed answer becomes accepted or rejected."""
-    got = answers.select("target_id", "message_id", F.col("answer"))
-    new = F.when(F.col("answer") == "merged", "accepted").when(F.col("answer") == "closed", "rejected").when(F.col("answer").isNotNull(), "sent")
-    return log.join(got, ["target_id", "message_id"], "left").withColumn("status", F.coalesce(new, "status")).drop("answer")
-
-
-def cooldown_filter(candidates: DataFrame, messages: DataFrame, now: str, days: int) -> DataFrame:
-    """Candidates whose target was not written to, and whose organisation did not reject, in the last ``days``. Where both
-    sides name a ``package``, one that went to the target at any time is not sent again."""
-    if "package" in candidates.columns and "package" in messages.columns:
-        candidates = candidates.join(messages.select("target_id", "package").distinct(), ["target_id", "package"], "left_anti")
-    recent = messages.where(F.col("sent_at") >= F.expr(f"TIMESTAMP'{now}' - INTERVAL {days} DAYS"))
-    out = candidates.join(recent.select("target_id").distinct(), "target_id", "left_anti").withColumn("org", F.split("target_id", "/")[0])
-    orgs = recent.where("status = 'rejected'").select(F.split("target_id", "/")[0].alias("org")).distinct()
-    return out.join(orgs, "org", "left_anti")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, flows, observation, registry, settlement, text
+from . import evidence, flows, observation, outreach, registry, settlement, text
 
-_GROUPS = (settlement, evidence, observation, registry, text, flows)
+_GROUPS = (settlement, evidence, observation, outreach, registry, text, flows)
 
 
 def queries() -> dict:

@@ -50,12 +50,17 @@ def _licenses(s, sf):
                                              F.when(F.col("l_linenumber") % 4 > 0, F.concat("l_returnflag", "l_linestatus")).alias("license"))
 
 
+def _unanswered(s, f):
+    """Snapshots of which some have no status."""
+    return v.snapshots(s, f).withColumn("http_status", F.when(F.col("downloads") % 5 > 0, F.col("http_status")))
+
+
 QUERIES = {
     "d1_disclosure_snapshot": lambda s, f: d.disclosure_snapshot(_api(s, f), v.cards(s, f).where("doc_id % 5 <> 4").select("target_id", "card", F.when(F.col("doc_id") % 2 == 0, 200).otherwise(404).alias("readme_status"))),
     "d2_fingerprint": lambda s, f: v.snapshots(s, f).select("target_id", "day", d.fingerprint(["schema", "license", "http_status"]).alias("fp")),
     "d3_reuse_unchanged": lambda s, f: d.reuse_unchanged(_hashed(s, f, 0), _hashed(s, f, 1)).select("target_id", "has_training_section", "reused"),
     "d4_drift_events": lambda s, f: d.drift_events(_day_before(s, f), v.snapshots(s, f), ("target_id", "day")),
-    "d5_drift_quality": lambda s, f: d.drift_quality(v.snapshots(s, f)).select("target_id", "day", "quality"),
+    "d5_drift_quality": lambda s, f: d.drift_quality(_unanswered(s, f)).select("target_id", "day", "http_status", "quality_ok"),
     "d6_timeline_changes": lambda s, f: _changes(s, f).select("target_id", "observed_at"),
     "d7_prune_window": lambda s, f: d.prune_window(_schemas(s, f), NOW, 10, schema="ddf_snapshot.v3").select("target_id", "observed_at"),
     "d8_timeline_index": lambda s, f: d.timeline_index(v.snapshots(s, f), _changes(s, f)),
@@ -112,7 +117,9 @@ SQL = {
           list_sort(list_filter(a.declared_datasets, lambda x: NOT list_contains(b.declared_datasets, x))) AS datasets_removed,
           a.downloads AS downloads_before, b.downloads AS downloads_after, b.downloads - a.downloads AS downloads_delta
         FROM a JOIN b USING (target_id, day) WHERE a.fp <> b.fp AND b.http_status = 200 AND b.fetch_error IS NULL""",
-    "d5_drift_quality": f"{_S} SELECT target_id, day, CASE WHEN http_status = 200 THEN 'ok' ELSE 'partial' END AS quality FROM snapshots WHERE fetch_error IS NULL AND http_status IN (200, 404)",
+    "d5_drift_quality": f"""{_S}, u AS (SELECT * REPLACE (CASE WHEN downloads % 5 > 0 THEN http_status END AS http_status) FROM snapshots)
+        SELECT target_id, day, http_status, coalesce(http_status = 200 AND readme_status IN (200, 404), false) AS quality_ok FROM u
+        WHERE NOT coalesce(http_status <> 200, false) AND NOT coalesce(lower(fetch_error) LIKE '%timeout%' OR lower(fetch_error) LIKE '%connection%', false)""",
     "d6_timeline_changes": f"{_S} SELECT target_id, observed_at FROM ch",
     "d7_prune_window": f"{_S} SELECT target_id, observed_at FROM snapshots WHERE observed_at >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY AND downloads % 4 <> 0",
     "d8_timeline_index": f"""{_S}, x AS (SELECT target_id, max(observed_at) AS changed_at, count(*) AS changes FROM ch GROUP BY 1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import disclosure as d
 from ..operators import lineage as g
+from ..operators import outreach as o
 from ..operators import registry as r
 from ..sources import views as v
 
@@ -32,32 +33,29 @@ def _written(s, f):
 
 
 def _after(s, f):
-    return r.drift_after_outreach(v.outreach(s, f), d.timeline_changes(v.snapshots(s, f)), 24)
+    sent = v.outreach(s, f).where(F.col("status").isin(*o.SENT))
+    return r.drift_after_outreach(sent, d.timeline_changes(v.snapshots(s, f)), 24)
 
 
-def _overrides(s, f):
-    k = F.col("message_id")
-    return v.outreach(s, f).where(k % 9 == 0).select("target_id", F.when(k % 2 == 0, "sent").otherwise("pending").alias("status"), k.alias("line_no"))
-
-
-def _status(s, f):
-    return r.outreach_status(v.outreach(s, f), _overrides(s, f))
-
-
-def _scores(s, f):
+def _facts(s, f):
+    """Reports of the targets that messages go to."""
     k = F.col("part_key")
-    return v.reports(s, f).select(F.concat(F.lit("org"), (k % 5).cast("string"), F.lit("/m"), k.cast("string")).alias("target_id"), "score")
+    named = F.concat(F.lit("org"), (k % 5).cast("string"), F.lit("/m"), k.cast("string"))
+    return o.report_facts(v.reports(s, f).where(k % 3 > 0).withColumn("model_id", named))
 
 
-def _mapping(s, f):
-    """Repositories of the first organisation stand for models of another."""
-    ids = v.outreach(s, f).select("target_id").union(_scores(s, f).select("target_id")).where("target_id like 'org0/%'").distinct()
-    return ids.select("target_id", F.replace("target_id", F.lit("org0/"), F.lit("main/")).alias("model_id"))
+def _after_with_report(s, f):
+    sent = v.outreach(s, f).where(F.col("status").isin(*o.SENT))
+    return r.drift_after_outreach(sent, d.timeline_changes(v.snapshots(s, f)), 24, facts=_facts(s, f))
 
 
-def _second(s, f):
-    return v.outreach(s, f).where("message_id % 3 = 0").groupBy(F.upper("target_id").alias("target_id")).agg(
-        F.lit("sent").alias("status"), F.lit("mail").alias("platform"), F.count(F.lit(1)).alias("messages"))
+def _summarised(s, f):
+    """Reports of which some have a summary, with or without counts and a label."""
+    k = F.col("part_key")
+    count = lambda n: F.when(k % 5 > 0, k % n)
+    summary = F.struct(F.when(k % 7 > 0, k % 1000 / 8.0).alias("score"), F.when(k % 4 == 0, "MODERATE").when(k % 4 == 1, "").alias("label"), count(11).alias("present"),
+                       count(6).alias("absent"), count(3).alias("partial"), F.when(k % 2 > 0, F.lit(18)).alias("total"))
+    return v.reports(s, f).withColumn("summary", F.when(k % 3 > 0, summary))
 
 
 def _report_targets(s, f):
@@ -83,18 +81,12 @@ def _edges(s, f):
     return g.lineage_edges(v.chains(s, f))
 
 
-def _candidates(s, f):
-    """Targets of the snapshots and a second set that nobody has written to."""
-    seen = v.snapshots(s, f).select("target_id").distinct()
-    return seen.unionByName(v.reports(s, f).where("part_key % 9 = 0").select(F.concat(F.lit("new"), F.col("model_id")).alias("target_id")))
-
-
 def _known(s, f):
     return v.targets(s, f).where("source = 'registry'")
 
 
 QUERIES = {
-    "r1_compliance_index": lambda s, f: r.compliance_index(v.reports(s, f)),
+    "r1_compliance_index": lambda s, f: r.compliance_index(_summarised(s, f)),
     "b3_redact_reports": lambda s, f: r.redact_reports(_full_reports(s, f)).select(
         "model_id", "severity", "total_gaps", F.transform("gaps", lambda x: F.concat_ws("|", x["gap_id"], F.size(x["articles"]).cast("string"))).alias("gaps"),
         *[_lines(c).alias(c) for c in ("observations", "jurisdictions")]),
@@ -103,19 +95,12 @@ QUERIES = {
     "r4_ranking_stats": lambda s, f: r.ranking_stats(r.model_ranking(v.reports(s, f))),
     "r5_latest_reports": lambda s, f: r.latest_reports(v.reports(s, f), _written(s, f), 700).select("model_id", "written", "reported_on"),
     "r6_report_metrics": lambda s, f: r.report_metrics(v.reports(s, f)),
-    "r7_outreach_status": lambda s, f: r.outreach_status(v.outreach(s, f), _overrides(s, f), _mapping(s, f), r.mapped(_scores(s, f), _mapping(s, f))),
-    "r8_outreach_stats": lambda s, f: r.outreach_stats(_status(s, f), _scores(s, f), NOW),
-    "r9_merge_outreach": lambda s, f: r.merge_outreach(_status(s, f), _second(s, f)),
     "r10_enrich_with_report": lambda s, f: r.enrich_with_report(_report_targets(s, f), v.reports(s, f)),
-    "r11_drift_after_outreach": lambda s, f: _after(s, f),
-    "r12_outreach_timeline": lambda s, f: r.outreach_timeline(v.outreach(s, f), _after(s, f)),
+    "r11_drift_after_outreach": lambda s, f: _after_with_report(s, f).withColumn("changes", F.array_sort("changes")),
     "r13_verified_findings": lambda s, f: r.verified_findings(_after(s, f)),
     "r14_warranty_packs": lambda s, f: _packs(s, f),
     "r15_warranty_index": lambda s, f: r.warranty_index(_packs(s, f)),
     "r16_passports": lambda s, f: r.passports(v.reports(s, f), _comparisons(s, f)),
-    "r17_response_rates": lambda s, f: r.response_rates(v.outreach(s, f), NOW),
-    "r18_sync_status": lambda s, f: r.sync_status(v.outreach(s, f), v.outreach(s, f).where("message_id % 3 = 0").select("target_id", "message_id", F.when(F.col("message_id") % 2 == 0, "merged").otherwise("closed").alias("answer"))).select("message_id", "status"),
-    "r19_cooldown_filter": lambda s, f: r.cooldown_filter(_candidates(s, f), v.outreach(s, f), NOW, 2),
     "g1_lineage_edges": lambda s, f: _edges(s, f),
     "g1_lineage_nodes": lambda s, f: g.lineage_nodes(v.chains(s, f)),
     "g2_merge_graph": lambda s, f: g.merge_graph(_edges(s, f).where("type = 'owns'"), _edges(s, f).withColumn("weight", F.lit(0.1))),
@@ -142,15 +127,10 @@ QUERIES = {
 }
 
 _R = f"WITH {v.REPORTS}, sv(severity, o) AS (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3)), rs AS (SELECT * REPLACE (coalesce(score, 0) AS score) FROM reports JOIN sv USING (severity)), rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, o DESC, downloads DESC, model_id) AS rank FROM rs)"
-_SR = "CASE status WHEN 'error' THEN 0 WHEN 'pending' THEN 1 WHEN 'sent' THEN 2 WHEN 'rejected' THEN 3 ELSE 4 END"
-_O = f"""WITH {v.OUTREACH},
-best AS (SELECT target_id, status, platform, sent_at, count(*) OVER (PARTITION BY target_id) AS messages FROM outreach
-         QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY {_SR} DESC, sent_at DESC, message_id DESC) = 1),
-ov AS (SELECT target_id, arg_max(CASE WHEN message_id % 2 = 0 THEN 'sent' ELSE 'pending' END, message_id) AS o FROM outreach WHERE message_id % 9 = 0 GROUP BY 1),
-st AS (SELECT target_id, coalesce(o, status) AS status, platform, sent_at, messages FROM best LEFT JOIN ov USING (target_id))"""
+_REPORTS_ONLY = f"WITH {v.REPORTS} SELECT * FROM reports"
 _D = f"""WITH {v.OUTREACH}, {v.SNAPSHOTS},
 f0 AS (SELECT *, [schema, license, declared_datasets::VARCHAR, has_training_section::VARCHAR, http_status::VARCHAR]::VARCHAR AS fp FROM snapshots),
-f1 AS (SELECT *, lag(fp) OVER w AS lfp, lag(observed_at) OVER w AS la, declared_datasets <> lag(declared_datasets) OVER w OR has_training_section <> lag(has_training_section) OVER w AS means
+f1 AS (SELECT *, lag(fp) OVER w AS lfp, lag(observed_at) OVER w AS la, lag(declared_datasets) OVER w AS lds, lag(has_training_section) OVER w AS lts, declared_datasets <> lag(declared_datasets) OVER w OR has_training_section <> lag(has_training_section) OVER w AS means
   FROM f0 WINDOW w AS (PARTITION BY target_id ORDER BY observed_at)),
 ch AS (SELECT * FROM f1 WHERE lfp IS NULL OR la < observed_at - INTERVAL 30 DAY OR fp <> lfp),
 me AS (SELECT * FROM outreach),
@@ -191,9 +171,14 @@ nd AS (SELECT {_id('model', 'model_id')} AS id, 'model' AS type, lower(model_id)
 _T = f"WITH {v.TARGETS}"
 
 SQL = {
-    "r1_compliance_index": f"""{_R} SELECT model_id, score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'fair' WHEN score >= 20 THEN 'poor' ELSE 'critical' END AS label,
-        len(list_filter(observations, lambda x: x.status = 'PRESENT')) AS present, len(list_filter(observations, lambda x: x.status = 'ABSENT')) AS absent,
-        len(list_filter(observations, lambda x: x.status = 'PARTIAL')) AS partial, len(gaps) AS n_gaps FROM rs""",
+    "r1_compliance_index": f"""WITH {v.REPORTS}, s AS (SELECT *, part_key % 3 > 0 AS has, CASE WHEN part_key % 3 > 0 AND part_key % 5 > 0 THEN part_key % 11 ELSE 0 END AS sp, CASE WHEN part_key % 3 > 0 AND part_key % 5 > 0 THEN part_key % 6 ELSE 0 END AS sa,
+          CASE WHEN part_key % 3 > 0 AND part_key % 5 > 0 THEN part_key % 3 ELSE 0 END AS st, round_even(coalesce(CASE WHEN part_key % 3 > 0 AND part_key % 7 > 0 THEN part_key % 1000 / 8.0::DOUBLE END, score, 0), 0)::BIGINT AS sc FROM reports),
+        c AS (SELECT *, sp = 0 AND sa = 0 AS none FROM s),
+        l AS (SELECT *, CASE WHEN has AND part_key % 4 = 0 THEN 'MODERATE' WHEN sc >= 80 THEN 'EXCELLENT' WHEN sc >= 60 THEN 'LOW' WHEN sc >= 40 THEN 'MODERATE' WHEN sc >= 20 THEN 'HIGH' ELSE 'CRITICAL' END AS label FROM c)
+        SELECT model_id, sc AS score, CASE WHEN none THEN len(list_filter(observations, lambda x: x.status = 'PRESENT')) ELSE sp END AS present,
+          CASE WHEN none THEN len(list_filter(observations, lambda x: x.status = 'ABSENT')) ELSE sa END AS absent, CASE WHEN none THEN len(list_filter(observations, lambda x: x.status = 'PARTIAL')) ELSE st END AS partial,
+          CASE WHEN none THEN len(observations) WHEN has AND part_key % 2 > 0 THEN 18 ELSE 20 END::BIGINT AS total_elements, label,
+          CASE label WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MODERATE' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END AS worst, reported_on FROM l""",
     "b3_redact_reports": f"""{_R} SELECT model_id, severity, len(gaps) AS total_gaps, list_transform(gaps[1:3], lambda x: x.gap_id || '|0') AS gaps,
         list_transform(observations, lambda o: concat_ws('|', o.nec_id, 'name of ' || o.nec_id, 'text', o.status, CASE WHEN o.status = 'ABSENT' THEN 70 ELSE 0 END)) AS observations,
         list_transform(range(1, part_key % 3 + 2), lambda i: concat_ws('|', 'J' || i, 'place', 6, part_key % 4, part_key % 2, 6 - part_key % 4 - part_key % 2, part_key % 4 * 10)) AS jurisdictions FROM reports""",
@@ -205,38 +190,21 @@ SQL = {
         (SELECT score FROM rk WHERE rank = (SELECT count(*) - count(*) // 2 FROM rk)) AS median FROM rk""",
     "r5_latest_reports": f"""{_R}, k AS (SELECT *, part_key % 4 = 0 AS written, row_number() OVER (PARTITION BY part_key % 4 = 0 ORDER BY reported_on DESC, model_id) AS i,
         count(*) FILTER (part_key % 4 = 0) OVER () AS w FROM reports) SELECT model_id, written, reported_on FROM k WHERE written OR i <= greatest(0, 700 - w)""",
-    "r6_report_metrics": f"""{_R}, k AS (SELECT model_id, observations, (100 * len(list_filter(observations, lambda o: o.status = 'PRESENT')) // 6)::INTEGER AS completeness FROM reports)
-        SELECT model_id, completeness, observations[1].status AS provenance, CASE WHEN completeness >= 80 THEN 'complete' WHEN completeness > 0 THEN 'partial' ELSE 'unknown' END AS documentation,
-          list_transform(list_filter(observations, lambda o: o.status = 'ABSENT'), lambda o: o.nec_id)[1:3] AS missing FROM k""",
-    "r7_outreach_status": f"""WITH {v.OUTREACH}, mo AS (SELECT * REPLACE (regexp_replace(target_id, '^org0/', 'main/') AS target_id) FROM outreach),
-        bs AS (SELECT target_id, status, platform, sent_at, count(*) OVER (PARTITION BY target_id) AS messages FROM mo
-          QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY {_SR} DESC, sent_at DESC, message_id DESC) = 1),
-        ov AS (SELECT target_id, arg_max(CASE WHEN message_id % 2 = 0 THEN 'sent' ELSE 'pending' END, message_id) AS o FROM mo WHERE message_id % 9 = 0 GROUP BY 1),
-        sc AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'main' ELSE 'org' || (p_partkey % 5) END || '/m' || p_partkey AS target_id, CASE WHEN p_partkey % 13 > 0 THEN p_size * 2.0::DOUBLE END AS score FROM part)
-        SELECT target_id, coalesce(o, status) AS status, platform, sent_at, messages, coalesce(score, 0)::DOUBLE AS score FROM bs LEFT JOIN ov USING (target_id) LEFT JOIN sc USING (target_id)""",
-    "r8_outreach_stats": f"""{_O}, sc AS (SELECT 'org' || (p_partkey % 5) || '/m' || p_partkey AS target_id, CASE WHEN p_partkey % 13 > 0 THEN p_size * 2.0::DOUBLE END AS score FROM part)
-        SELECT status, platform, count(*) AS targets, sum(messages)::BIGINT AS messages, round(avg(date_diff('day', sent_at::DATE, DATE '{NOW[:10]}')), 1) AS mean_days,
-          count(sc.target_id) AS with_report, round(avg(score), 2) AS mean_score FROM st LEFT JOIN sc USING (target_id) GROUP BY 1, 2""",
-    "r9_merge_outreach": f"""{_O}, b AS (SELECT target_id AS key, 'sent' AS status, 'mail' AS platform, count(*) AS messages FROM outreach WHERE message_id % 3 = 0 GROUP BY 1)
-        SELECT coalesce(a.target_id, b.key) AS key, coalesce(CASE WHEN a.status <> 'pending' THEN a.status END, b.status, a.status) AS status, coalesce(a.platform, b.platform) AS platform,
-          coalesce(a.messages, b.messages, 0) AS messages FROM st a FULL OUTER JOIN b ON a.target_id = b.key""",
-    "r10_enrich_with_report": f"""{_R}, t AS (SELECT CASE WHEN part_key % 2 = 0 THEN model_id ELSE 'fork/m' || part_key END AS target_id, model_id FROM reports WHERE part_key % 3 = 0)
-        SELECT t.target_id, t.model_id, severity, len(gaps) AS n_gaps FROM t JOIN reports USING (model_id)""",
-    "r11_drift_after_outreach": f"{_D} SELECT * FROM af",
-    "r12_outreach_timeline": f"""{_D}, l AS (SELECT target_id, count(DISTINCT observed_at) AS n FROM af GROUP BY 1)
-        SELECT target_id, count(*) AS messages, min(sent_at) AS first_sent, coalesce(any_value(n), 0) AS later_changes, coalesce(any_value(n), 0) > 0 AS responded FROM me LEFT JOIN l USING (target_id) GROUP BY 1""",
+    "r6_report_metrics": f"""WITH {v.REPORTS}, k AS (SELECT *, len(list_filter(observations, lambda o: o.status = 'PRESENT')) AS p, len(list_filter(observations, lambda o: o.status = 'ABSENT')) AS a FROM reports)
+        SELECT model_id, floor(p::DOUBLE / (p + a) * 100)::INTEGER AS completeness, CASE observations[1].status WHEN 'PRESENT' THEN 'present' WHEN 'ABSENT' THEN 'missing' ELSE 'unknown' END AS provenance,
+          CASE WHEN a = 0 THEN 'complete' ELSE 'partial' END AS documentation, list_transform(list_filter(observations, lambda o: o.status = 'ABSENT'), lambda o: o.nec_id)[1:3] AS missing FROM k""",
+    "r10_enrich_with_report": f"""WITH {v.REPORTS}, t AS (SELECT CASE WHEN part_key % 2 = 0 THEN model_id ELSE 'fork/m' || part_key END AS target_id, model_id FROM reports WHERE part_key % 3 = 0),
+        x AS (SELECT *, list_transform(list_filter(observations, lambda o: o.status = 'ABSENT'), lambda o: o.nec_id) AS absent, list_transform(list_filter(observations, lambda o: o.status <> 'ABSENT'), lambda o: o.nec_id) AS there FROM reports)
+        SELECT t.target_id, t.model_id, severity, len(gaps) AS n_gaps, len(absent) AS absent_count, absent[1:5] AS missing, CASE WHEN list_contains(there, 'NEC#1') THEN 'present' ELSE 'missing' END AS provenance,
+          CASE WHEN list_has_any(there, ['NEC#3', 'NEC#4']) THEN 'partial' ELSE 'minimal' END AS documentation, round_even(100.0 * len(there) / len(observations), 0)::BIGINT AS completeness, true AS has_report FROM t JOIN x USING (model_id)""",
+    "r11_drift_after_outreach": f"""{_D}, fa AS (SELECT 'org' || (part_key % 5) || '/m' || part_key AS target_id, severity, len(list_filter(observations, lambda o: o.status = 'ABSENT')) AS absent FROM ({_REPORTS_ONLY}) WHERE part_key % 3 > 0),
+        mc AS (SELECT target_id, observed_at, list_filter([CASE WHEN lds <> declared_datasets THEN 'declared_datasets' END, CASE WHEN lts <> has_training_section THEN 'has_training_section' END], lambda x: x IS NOT NULL) AS changes FROM ch)
+        SELECT af.*, changes, coalesce(severity, '') AS severity, coalesce(absent, 0) AS absent_count, fa.target_id IS NOT NULL AS has_report FROM af JOIN mc USING (target_id, observed_at) LEFT JOIN fa USING (target_id)""",
     "r13_verified_findings": f"""{_D} SELECT observed_at::DATE AS day, count(DISTINCT split_part(target_id, '/', 1)) AS orgs, count(*) AS changes, min(hours_after) AS min_hours,
         CASE WHEN min(hours_after) >= 72 THEN 'high' WHEN min(hours_after) >= 24 THEN 'medium' ELSE 'low' END AS confidence FROM af GROUP BY 1""",
     "r14_warranty_packs": f"{_P} SELECT * FROM pk",
     "r15_warranty_index": f"{_P} SELECT state, confidence, count(*) AS models, round(avg(len(claims)), 4) AS mean_claims FROM pk GROUP BY 1, 2",
     "r16_passports": f"{_R} SELECT model_id, rank, score, severity, CASE WHEN part_key % 10 = 0 THEN 2 ELSE 0 END AS comparisons FROM rk",
-    "r17_response_rates": f"""WITH {v.OUTREACH} SELECT split_part(target_id, '/', 1) AS org, count(*) AS messages, count(*) FILTER (status = 'pending' AND sent_at < TIMESTAMP '{NOW}' - INTERVAL 14 DAY) AS no_response,
-        round(100.0 * count(*) FILTER (status = 'accepted') / count(*), 1) AS accepted_pct, round(100.0 * count(*) FILTER (status IN ('accepted', 'rejected')) / count(*), 1) AS response_pct
-        FROM outreach GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
-    "r18_sync_status": f"WITH {v.OUTREACH} SELECT message_id, CASE WHEN message_id % 6 = 0 THEN 'accepted' WHEN message_id % 3 = 0 THEN 'rejected' ELSE status END AS status FROM outreach",
-    "r19_cooldown_filter": f"""WITH {v.OUTREACH}, {v.SNAPSHOTS}, rc AS (SELECT * FROM outreach WHERE sent_at >= TIMESTAMP '{NOW}' - INTERVAL 2 DAY)
-        SELECT DISTINCT target_id, split_part(target_id, '/', 1) AS org FROM (SELECT target_id FROM snapshots UNION ALL SELECT 'new' || lower(replace(p_brand, '#', '')) || '/m' || p_partkey FROM part WHERE p_partkey % 9 = 0) WHERE target_id NOT IN (SELECT target_id FROM rc)
-          AND split_part(target_id, '/', 1) NOT IN (SELECT split_part(target_id, '/', 1) FROM rc WHERE status = 'rejected')""",
     "g1_lineage_edges": f"{_G} SELECT * FROM ed",
     "g1_lineage_nodes": f"{_G} SELECT * FROM nd",
     "g2_merge_graph": f"{_G} SELECT DISTINCT source, target, type, CASE WHEN type = 'owns' THEN 1.0 ELSE 0.1 END::DOUBLE AS weight, CASE WHEN type = 'owns' THEN 0 ELSE 1 END AS from_source FROM ed",

@@ -111,6 +111,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") * 1000).cast("long").alias("downloads"),
         F.when(F.col("event_type") == "error", 404).when(k % 10 == 0, 403).otherwise(200).alias("http_status"),
         F.when(k % 17 == 0, "connection timeout").alias("fetch_error"),
+        F.when(k % 6 == 0, 404).when(k % 6 == 1, 500).when(k % 6 < 5, 200).cast("int").alias("readme_status"),
     )
 
 
@@ -124,7 +125,8 @@ snapshots AS (
          CASE WHEN k % 3 = 0 THEN ['ds_a'] WHEN k % 3 = 1 THEN ['ds_a', 'ds_b'] ELSE []::VARCHAR[] END AS declared_datasets,
          k % 2 = 0 AS has_training_section, trunc(value * 1000)::BIGINT AS downloads,
          CASE WHEN event_type = 'error' THEN 404 WHEN k % 10 = 0 THEN 403 ELSE 200 END AS http_status,
-         CASE WHEN k % 17 = 0 THEN 'connection timeout' END AS fetch_error
+         CASE WHEN k % 17 = 0 THEN 'connection timeout' END AS fetch_error,
+         CASE WHEN k % 6 = 0 THEN 404 WHEN k % 6 = 1 THEN 500 WHEN k % 6 < 5 THEN 200 END AS readme_status
   FROM s0 WHERE n = 1)
 """
 
@@ -209,6 +211,50 @@ outreach AS (
 """
 
 
+#: Statuses of the log's messages; two are no outreach, one is missing.
+LOG_STATUSES = ("sent", "acknowledged", "merged", "accepted", "closed", "replied", "not_planned", "blocked", "access_restricted", "restricted", "error", "dry_run", None)
+LOG_RESPONSES = ("merged", "acknowledged", "closed", "blocked", "not_planned")
+
+
+def outreach_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of two platforms with raw statuses and answers: events of type signup."""
+    k, v = F.col("event_id"), (F.col("value") * 100).cast("long") % 13
+    name = F.concat(F.lit("org"), (F.col("user_id") % 5).cast("string"), F.lit("/m"), F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").where("event_type = 'signup'").select(
+        k.alias("record_no"),
+        F.when(k % 2 == 0, "huggingface").otherwise("github").alias("platform"),
+        F.when(k % 11 > 0, name).alias("repo_id"),
+        F.when(k % 17 > 0, name).alias("target_id"),
+        F.array(*[F.lit(x) for x in LOG_STATUSES])[v.cast("int")].alias("status"),
+        F.array(*[F.lit(x) for x in (*LOG_RESPONSES, None, None)])[(k % 7).cast("int")].alias("response_type"),
+        F.when(k % 23 > 0, F.col("ts")).alias("sent_at"),
+        (F.col("user_id") % 40).alias("number"),
+        F.when(k % 3 == 0, k % 101).alias("completeness_score"),
+        F.when(k % 29 == 0, F.concat(F.lit("https://example.org/"), k.cast("string"))).alias("discussion_url"),
+        F.when(k % 31 == 0, F.lit("note")).alias("public_note"),
+        F.lit(None).cast("string").alias("event_type"),
+        F.concat(F.lit("p"), (k % 3).cast("string")).alias("package"),
+    )
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in values) + "]"
+
+
+OUTREACH_LOG = f"""
+olog AS (
+  SELECT event_id AS record_no, CASE WHEN event_id % 2 = 0 THEN 'huggingface' ELSE 'github' END AS platform,
+         CASE WHEN event_id % 11 > 0 THEN 'org' || (user_id % 5) || '/m' || user_id END AS repo_id,
+         CASE WHEN event_id % 17 > 0 THEN 'org' || (user_id % 5) || '/m' || user_id END AS target_id,
+         {_sql_list(LOG_STATUSES)}[(trunc(value * 100)::BIGINT % 13 + 1)::INTEGER] AS status,
+         {_sql_list((*LOG_RESPONSES, None, None))}[(event_id % 7 + 1)::INTEGER] AS response_type,
+         CASE WHEN event_id % 23 > 0 THEN ts END AS sent_at, user_id % 40 AS number, CASE WHEN event_id % 3 = 0 THEN event_id % 101 END AS completeness_score,
+         CASE WHEN event_id % 29 = 0 THEN 'https://example.org/' || event_id END AS discussion_url, CASE WHEN event_id % 31 = 0 THEN 'note' END AS public_note,
+         'p' || (event_id % 3) AS package
+  FROM events WHERE event_type = 'signup')
+"""
+
+
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base model of each part: the part of half its key; part 1's base is part 3, which closes a cycle."""
     k = F.col("p_partkey")

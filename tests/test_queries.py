@@ -26,7 +26,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the input t
 SOME = (
     "t3_trust_scores p1_provider_weights p5_round_to_budget p8_concentration f3_floors v2_royalty_issues v4_classify_records h2_verify_chains "
     "h4_verify_artifacts d4_drift_events d12_temporal_metrics r2_model_ranking r7_outreach_status g1_lineage_edges n12_base_chain m1_merge_targets "
-    "n2_section_flags n7_nec_mapper c2_top_m_similar a2_with_line_no a4_receipts_from_collections s2_stream_weights"
+    "r9_merge_outreach r12_timeline_stats r17_answered r18_sync_status r19_cooldown_reasons n2_section_flags n7_nec_mapper c2_top_m_similar a2_with_line_no a4_receipts_from_collections s2_stream_weights"
 ).split()
 NAMES = list(plans.oracle_sql()) if os.environ.get("ALL_QUERIES") else SOME
 
