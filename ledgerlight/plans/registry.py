@@ -78,7 +78,33 @@ def _comparisons(s, f):
 
 
 def _edges(s, f):
-    return g.lineage_edges(v.chains(s, f))
+    return g.lineage_edges(v.chains(s, f), _trained(s, f))
+
+
+def _trained(s, f):
+    """Mentions of the cards with their confidence, and declared sets."""
+    chains = v.chains(s, f)
+    mentions = chains.select("model_id", F.explode(F.array_distinct("datasets")).alias("dataset"), (F.when(F.col("key") % 3 == 0, 0.9).when(F.col("key") % 3 == 1, 0.7).otherwise(0.5)).alias("confidence"))
+    return g.trained_on(mentions, g.dataset_sets(v.model_signals(s, f).withColumn("value", F.upper("value"))))
+
+
+def _provenance(s, f):
+    return g.provenance(v.chains(s, f), v.model_signals(s, f))
+
+
+def _graph(s, f):
+    """Claims, receipts and messages of a ledger, chains, and an earlier graph; the ledger writes some names in capitals."""
+    chains, k = v.chains(s, f), F.col("key")
+    name = lambda n: F.concat(F.lit("org"), (n % 7).cast("string"), F.lit("/m"), n.cast("string"))
+    half = F.floor(k / 2).cast("long")
+    claims = chains.where(k % 3 == 0).select(F.when(k % 2 == 0, F.upper(name(k))).otherwise(name(k)).alias("target_id"), F.when(k % 5 > 0, name(half)).alias("parent"))
+    receipts = chains.where(k % 4 == 0).select(name(k).alias("target_id"), (k % 9).cast("int").alias("absent_count"), F.lit("HIGH").alias("severity"))
+    outreach = chains.where(k % 5 == 0).select(F.initcap(name(k)).alias("target_id"), F.lit("closed").alias("status"), F.lit("hub").alias("platform"))
+    sonar = chains.where(k % 2 == 0).select(name(k).alias("model_id"), F.when(k % 8 > 0, name(half)).otherwise("bare").alias("base_model"), F.col("datasets").alias("declared"), F.col("score").alias("provenance_score"))
+    old_nodes = chains.where(k % 6 == 0).select(F.concat(F.lit("M-"), k.cast("string")).alias("id"), F.lit("model").alias("type"), F.upper(name(k)).alias("label")).unionByName(
+        chains.where(k <= 13).select(F.concat(F.lit("X-"), k.cast("string")).alias("id"), F.when(k < 5, "org").when(k < 12, "dataset").otherwise("shadow").alias("type"), F.concat(F.lit("ds"), k.cast("string")).alias("label")))
+    old_edges = chains.where(k % 6 == 0).select(F.concat(F.lit("M-"), k.cast("string")).alias("source"), F.concat(F.lit("X-"), (k % 17).cast("string")).alias("target"), F.when(k % 4 == 0, "trained_on").otherwise("owns").alias("type"))
+    return g.resolve_graph(claims, receipts, outreach, sonar, old_nodes, old_edges)
 
 
 def _known(s, f):
@@ -104,16 +130,18 @@ QUERIES = {
     "g1_lineage_edges": lambda s, f: _edges(s, f),
     "g1_lineage_nodes": lambda s, f: g.lineage_nodes(v.chains(s, f)),
     "g2_merge_graph": lambda s, f: g.merge_graph(_edges(s, f).where("type = 'owns'"), _edges(s, f).withColumn("weight", F.lit(0.1))),
+    "g2_resolved_nodes": lambda s, f: _graph(s, f)[0],
+    "g2_resolved_edges": lambda s, f: _graph(s, f)[1],
     "g3_graph_counts": lambda s, f: g.graph_counts(g.lineage_nodes(v.chains(s, f)), _edges(s, f)),
     "g3_graph_rates": lambda s, f: g.graph_rates(v.chains(s, f)),
     "g4_shared_datasets": lambda s, f: g.shared_datasets(v.chains(s, f)),
     "g5_opacity_cascades": lambda s, f: g.opacity_cascades(v.chains(s, f)),
     "g5_most_depended": lambda s, f: g.most_depended(v.chains(s, f)),
-    "g6_org_means": lambda s, f: g.org_means(v.chains(s, f)),
+    "g6_org_means": lambda s, f: g.org_means(_provenance(s, f).join(v.chains(s, f).select("model_id", "org", F.when(F.col("key") % 7 > 0, 100 * F.col("score")).alias("compliance_score")), "model_id")),
     "g6_score_distribution": lambda s, f: g.score_distribution(v.chains(s, f)),
     "b4_redact_graph": lambda s, f: g.redact_graph(v.chains(s, f)),
-    "n10_inherited_signals": lambda s, f: g.inherited_signals(v.chains(s, f)).withColumn("confidence", F.round("confidence", 6)),
-    "n11_provenance_score": lambda s, f: g.provenance_score(v.chains(s, f)),
+    "n10_inherited_signals": lambda s, f: g.inherited_signals(v.model_signals(s, f), v.chains(s, f)).withColumn("confidence", F.round("confidence", 6)),
+    "n11_provenance_score": lambda s, f: _provenance(s, f),
     "n12_base_chain": lambda s, f: g.base_chain(v.chains(s, f)),
     "n13_best_and_worst": lambda s, f: g.best_and_worst(v.chains(s, f)),
     "n13_scan_summary": lambda s, f: g.scan_summary(v.chains(s, f)),
@@ -156,18 +184,55 @@ _CHAIN = """LEFT JOIN LATERAL (SELECT base_model AS c1 FROM chains WHERE model_i
         LEFT JOIN LATERAL (SELECT base_model AS c4 FROM chains WHERE model_id = c3 AND base_model NOT IN (c0.model_id, c1, c2, c3)) ON true
         LEFT JOIN LATERAL (SELECT base_model AS c5 FROM chains WHERE model_id = c4 AND base_model NOT IN (c0.model_id, c1, c2, c3, c4)) ON true"""
 _G = f"""WITH {v.CHAINS},
+{v.MODEL_SIGNALS},
+mnt AS (SELECT DISTINCT model_id, unnest(datasets) AS d, CASE key % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence FROM chains),
+trn AS (SELECT * FROM mnt UNION ALL SELECT DISTINCT model_id, value, 0.95 FROM msig m WHERE signal IN ('tag', 'readme_dataset') AND confidence >= 0.7 AND NOT EXISTS (SELECT 1 FROM mnt WHERE mnt.model_id = m.model_id AND lower(d) = lower(value))),
+inh AS (SELECT DISTINCT c.model_id, 'inherited_' || signal AS signal, value, confidence * 0.8 AS confidence, 'base_model:' || base_model AS source FROM chains c JOIN msig b ON b.model_id = c.base_model WHERE signal IN ('readme_dataset', 'known_dataset') AND c.base_model <> c.model_id),
+als AS (SELECT model_id, signal, value, confidence FROM msig UNION ALL SELECT model_id, signal, value, confidence FROM inh),
+pvs AS (SELECT model_id, list_sort(coalesce(list(DISTINCT value) FILTER (signal IN ('tag', 'readme_dataset') AND confidence >= 0.7), [])) AS declared,
+  list_sort(coalesce(list(DISTINCT value) FILTER (signal IN ('known_dataset', 'inherited_readme_dataset', 'inherited_known_dataset')), [])) AS inferred, bool_or(signal = 'training_section') AS has_training FROM als GROUP BY 1),
+pvc AS (SELECT c.model_id, base_model, license, coalesce(declared, []) AS declared, coalesce(inferred, []) AS inferred, coalesce(p.has_training, false) AS has_training, c.org, c.key, c.score FROM chains c LEFT JOIN pvs p USING (model_id)),
+prv AS (SELECT *, round(least(1.0, CASE WHEN has_training THEN 0.3 ELSE 0 END + least(0.3, 0.1 * len(declared)) + CASE WHEN license IS NOT NULL THEN 0.1 ELSE 0 END + CASE WHEN base_model IS NOT NULL THEN 0.1 ELSE 0 END
+  + least(0.2, 0.05 * len(inferred))), 6)::DOUBLE AS provenance_score FROM pvc),
 stp AS (SELECT DISTINCT bases[i] AS base_from, bases[i + 1] AS base_to FROM (SELECT bases, unnest(range(1, len(bases))) AS i FROM (
   SELECT list_filter([c1, c2, c3, c4, c5], lambda x: x IS NOT NULL) AS bases FROM chains c0 {_CHAIN}))),
 ed AS (
   SELECT {_id('org', 'org')} AS source, {_id('model', 'model_id')} AS target, 'owns' AS type, 1.0::DOUBLE AS weight FROM chains
-  UNION SELECT {_id('model', 'model_id')}, {_id('dataset', 'd')}, 'trained_on', 0.7 FROM (SELECT model_id, unnest(datasets) AS d FROM chains)
+  UNION SELECT {_id('model', 'model_id')}, {_id('dataset', 'd')}, 'trained_on', max(confidence) FROM trn GROUP BY 1, 2
   UNION SELECT {_id('model', 'model_id')}, {_id('model', 'base_model')}, 'finetuned_from', 0.99 FROM chains WHERE base_model IS NOT NULL
   UNION SELECT {_id('model', 'base_from')}, {_id('model', 'base_to')}, 'finetuned_from', 0.95 FROM stp
   UNION SELECT {_id('model', 'model_id')}, {_id('dataset', "'undocumented'")}, 'undocumented_source', 0.5 FROM chains WHERE len(datasets) = 0
-  UNION SELECT {_id('model', 'a.model_id')}, {_id('model', 'a.base_model')}, 'inherited_opacity', 0.9 FROM chains a JOIN chains b ON a.base_model = b.model_id WHERE a.score < 0.3 AND b.score < 0.3),
+  UNION SELECT {_id('model', 'a.model_id')}, {_id('model', 'a.base_model')}, 'inherited_opacity', 0.9 FROM chains a LEFT JOIN chains b ON a.base_model = b.model_id WHERE a.base_model IS NOT NULL AND a.score < 0.3 AND coalesce(b.score, 0) < 0.3),
 chn AS (SELECT c0.model_id, list_filter([c1, c2, c3, c4, c5], lambda x: x IS NOT NULL) AS bases FROM chains c0 {_CHAIN}),
 nd AS (SELECT {_id('model', 'model_id')} AS id, 'model' AS type, lower(model_id) AS label FROM chains UNION SELECT {_id('org', 'org')}, 'org', lower(org) FROM chains
   UNION SELECT {_id('dataset', 'd')}, 'dataset', lower(d) FROM (SELECT unnest(datasets) AS d FROM chains))"""
+_NM = "'org' || ({0} % 7) || '/m' || ({0})"
+_RG = f"""WITH {v.CHAINS},
+cl AS (SELECT CASE WHEN key % 2 = 0 THEN upper({_NM.format('key')}) ELSE {_NM.format('key')} END AS t, CASE WHEN key % 5 > 0 THEN {_NM.format('(key // 2)')} END AS parent FROM chains WHERE key % 3 = 0),
+rc AS (SELECT {_NM.format('key')} AS t, (key % 9)::INTEGER AS absent FROM chains WHERE key % 4 = 0),
+om AS (SELECT upper(left({_NM.format('key')}, 1)) || substr({_NM.format('key')}, 2) AS t FROM chains WHERE key % 5 = 0),
+sn AS (SELECT {_NM.format('key')} AS m, CASE WHEN key % 8 > 0 THEN {_NM.format('(key // 2)')} ELSE 'bare' END AS base, datasets, score FROM chains WHERE key % 2 = 0),
+on_ AS (SELECT 'M-' || key AS id, 'model' AS type, upper({_NM.format('key')}) AS label FROM chains WHERE key % 6 = 0
+  UNION ALL SELECT 'X-' || key, CASE WHEN key < 5 THEN 'org' WHEN key < 12 THEN 'dataset' ELSE 'shadow' END, 'ds' || key FROM chains WHERE key <= 13),
+oe AS (SELECT 'M-' || key AS s, 'X-' || (key % 17) AS t, CASE WHEN key % 4 = 0 THEN 'trained_on' ELSE 'owns' END AS type FROM chains WHERE key % 6 = 0),
+nm AS (SELECT t AS name, 0 AS pr FROM cl UNION ALL SELECT parent, 1 FROM cl WHERE parent IS NOT NULL UNION ALL SELECT t, 2 FROM rc UNION ALL SELECT t, 3 FROM om UNION ALL SELECT m, 4 FROM sn
+  UNION ALL SELECT base, 5 FROM sn WHERE contains(base, '/') UNION ALL SELECT label, 6 FROM on_ WHERE type = 'model'),
+cn AS (SELECT lower(name) AS low, name AS id FROM nm QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY pr, name) = 1),
+md AS (SELECT id, low, CASE WHEN contains(id, '/') THEN split_part(id, '/', 1) ELSE 'unknown' END AS org FROM cn),
+mp AS (SELECT on_.id, CASE type WHEN 'model' THEN md.id WHEN 'org' THEN 'O-' || substr(sha256(label), 1, 12) WHEN 'dataset' THEN 'D-' || substr(sha256(label), 1, 12) ELSE on_.id END AS node FROM on_ LEFT JOIN md ON type = 'model' AND low = lower(label)),
+e0 AS (SELECT a.id AS source, b.id AS target, 'finetuned_from' AS type, 0.95 AS confidence, 0 AS pl FROM cl JOIN md a ON a.low = lower(t) JOIN md b ON b.low = lower(parent)
+  UNION ALL SELECT a.id, 'D-' || substr(sha256(d), 1, 12), 'trained_on', 0.9, 1 FROM (SELECT m, unnest(datasets) AS d FROM sn) JOIN md a ON a.low = lower(m)
+  UNION ALL SELECT a.id, b.id, 'finetuned_from', 0.85, 1 FROM sn JOIN md a ON a.low = lower(m) JOIN md b ON b.low = lower(base) WHERE contains(base, '/')
+  UNION ALL SELECT a.id, 'S-' || substr(sha256('shadow-' || a.id), 1, 12), 'undocumented_source', 0.7, 1 FROM sn JOIN md a ON a.low = lower(m) WHERE len(datasets) = 0 AND score < 0.3
+  UNION ALL SELECT a.node, b.node, type, 0.8, 2 FROM oe JOIN mp a ON a.id = s JOIN mp b ON b.id = t
+  UNION ALL SELECT id, 'O-' || substr(sha256(org), 1, 12), 'belongs_to', 1.0, 3 FROM md),
+re AS (SELECT source, target, type, confidence::DOUBLE AS confidence FROM e0 QUALIFY row_number() OVER (PARTITION BY source, target, type ORDER BY pl) = 1),
+rn AS (SELECT md.id, coalesce(absent, 0) AS absent_count, CASE WHEN rc.t IS NOT NULL THEN 'HIGH' END AS severity, rc.t IS NOT NULL AS has_report, CASE WHEN om.t IS NOT NULL THEN 'closed' END AS outreach_status,
+    CASE WHEN om.t IS NOT NULL THEN 'hub' END AS outreach_platform, sn.score AS provenance_score, org, 'model' AS type, md.id AS label
+  FROM md LEFT JOIN rc ON lower(rc.t) = low LEFT JOIN om ON lower(om.t) = low LEFT JOIN sn ON lower(sn.m) = low
+  UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, min(type), min(label) FROM (SELECT 'O-' || substr(sha256(org), 1, 12) AS id, 'org' AS type, org AS label FROM md
+    UNION ALL SELECT 'D-' || substr(sha256(d), 1, 12), 'dataset', d FROM (SELECT unnest(datasets) AS d FROM sn) UNION ALL SELECT target, 'shadow', 'Undocumented data (' || source || ')' FROM re WHERE type = 'undocumented_source'
+    UNION ALL SELECT node, type, label FROM on_ JOIN mp USING (id) WHERE type <> 'model') GROUP BY 1)"""
 _T = f"WITH {v.TARGETS}"
 
 SQL = {
@@ -208,21 +273,23 @@ SQL = {
     "g1_lineage_edges": f"{_G} SELECT * FROM ed",
     "g1_lineage_nodes": f"{_G} SELECT * FROM nd",
     "g2_merge_graph": f"{_G} SELECT DISTINCT source, target, type, CASE WHEN type = 'owns' THEN 1.0 ELSE 0.1 END::DOUBLE AS weight, CASE WHEN type = 'owns' THEN 0 ELSE 1 END AS from_source FROM ed",
+    "g2_resolved_nodes": f"{_RG} SELECT * FROM rn",
+    "g2_resolved_edges": f"{_RG} SELECT source, target, type, confidence FROM re",
     "g3_graph_counts": f"{_G} SELECT 'node' AS what, type, count(*) AS n FROM nd GROUP BY 2 UNION ALL SELECT 'edge', type, count(*) FROM ed GROUP BY 2",
     "g4_shared_datasets": f"{_G} SELECT d AS dataset, count(DISTINCT org) AS orgs, count(DISTINCT model_id) AS models FROM (SELECT org, model_id, unnest(datasets) AS d FROM chains) GROUP BY 1 HAVING count(DISTINCT org) >= 2 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 20",
     "g5_opacity_cascades": f"{_G} SELECT a.base_model, b.score AS base_score, count(*) AS models, count(DISTINCT a.org) AS orgs FROM chains a JOIN chains b ON a.base_model = b.model_id WHERE b.score < 0.4 GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 20",
     "g6_score_distribution": f"{_G} SELECT least(floor(score / 0.2::DOUBLE + 1e-9), 4)::INTEGER AS bucket, count(*) AS models, round(avg(score), 6) AS mean_score FROM chains GROUP BY 1",
     "b4_redact_graph": f"{_G} SELECT model_id, org, CASE WHEN score >= 0.7 THEN 'transparent' WHEN score >= 0.4 THEN 'partial' WHEN score > 0 THEN 'opaque' END AS transparency FROM chains",
-    "n10_inherited_signals": f"{_G} SELECT DISTINCT a.model_id, d AS dataset, 0.56::DOUBLE AS confidence FROM chains a JOIN (SELECT model_id, unnest(datasets) AS d FROM chains) b ON a.base_model = b.model_id",
-    "n11_provenance_score": f"""{_G} SELECT model_id, round(CASE WHEN has_training THEN 0.3 ELSE 0 END + least(0.3, 0.1 * n) + CASE WHEN license IS NOT NULL THEN 0.1 ELSE 0 END
-        + CASE WHEN base_model IS NOT NULL THEN 0.1 ELSE 0 END + least(0.2, 0.05 * n), 6)::DOUBLE AS provenance FROM (SELECT *, len(list_distinct(datasets)) AS n FROM chains)""",
+    "n10_inherited_signals": f"{_G} SELECT model_id, signal, value, round(confidence, 6)::DOUBLE AS confidence, source FROM inh",
+    "n11_provenance_score": f"{_G} SELECT model_id, base_model, license, declared, inferred, has_training, provenance_score FROM prv",
     "n12_base_chain": f"{_G} SELECT model_id, bases FROM chn",
     "n13_best_and_worst": f"""{_G} SELECT 'best' AS "end", model_id, score FROM (SELECT * FROM chains ORDER BY score DESC, model_id LIMIT 10)
         UNION ALL SELECT 'worst', model_id, score FROM (SELECT * FROM chains ORDER BY score, model_id LIMIT 10)""",
     "g3_graph_rates": f"""{_G} SELECT count(*) AS models, count(*) FILTER (len(datasets) = 0) AS undocumented, round(100.0 * count(*) FILTER (len(datasets) = 0) / count(*), 1) AS undocumented_rate,
         count(base_model) AS with_base, round(100 * avg(score), 1) AS mean_score FROM chains""",
     "g5_most_depended": f"{_G} SELECT base_model, count(*) AS dependents FROM (SELECT unnest(bases) AS base_model FROM chn) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15",
-    "g6_org_means": f"{_G} SELECT org, round(100 * avg(score), 1) AS mean_score, count(*) AS models FROM chains WHERE score > 0 GROUP BY 1",
+    "g6_org_means": f"""{_G} SELECT org, round(avg(CASE WHEN key % 7 > 0 THEN 100 * score ELSE 0 END), 1) AS mean_compliance, round(sum(round(provenance_score * 1000000)::BIGINT) FILTER (provenance_score > 0) / (10000 * count(*) FILTER (provenance_score > 0)), 1)::DOUBLE AS mean_provenance, count(*) AS models,
+        count(*) FILTER (provenance_score > 0) AS with_provenance FROM prv GROUP BY 1""",
     "n13_scan_summary": f"""{_G} SELECT count(*) AS models, count(*) FILTER (has_training) AS with_training, count(*) FILTER (len(datasets) > 0) AS with_datasets, count(base_model) AS with_base,
         count(license) AS with_license, round(avg(score), 6) AS mean_score FROM chains""",
     "b6_select_targets": f"{_T} SELECT target_id, max(downloads) AS downloads FROM targets WHERE downloads >= 1000 AND NOT private GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100",

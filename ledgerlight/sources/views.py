@@ -281,6 +281,31 @@ chains AS (
 """
 
 
+def model_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of the models of ``chains``: tags, names of cards, known names, training sections."""
+    k = F.col("key")
+    name = lambda prefix, n: F.concat(F.lit(prefix), (k % n).cast("string"))
+    signal = lambda kind, value, confidence: F.struct(F.lit(kind).alias("signal"), value.alias("value"), F.lit(confidence).cast("double").alias("confidence"))
+    every = F.array_compact(F.array(
+        F.when(k % 4 > 0, signal("tag", name("ds", 11), 0.95)), F.when(k % 4 > 1, signal("readme_dataset", name("org/ds", 7), 0.8)),
+        F.when(k % 5 == 0, signal("readme_dataset", name("set", 13), 0.6)), F.when(k % 3 == 0, signal("known_dataset", name("known", 5), 0.7)),
+        F.when(k % 6 == 0, signal("known_dataset", F.lit("c4"), 0.7)), F.when(k % 3 == 0, signal("training_section", F.lit("present"), 1.0)),
+        F.when(k % 2 == 0, signal("model_type", F.lit("gpt2"), 0.5))))
+    return chains(spark, sf_dir).select("model_id", F.explode(every).alias("s")).select("model_id", "s.*")
+
+
+MODEL_SIGNALS = """
+msig AS (
+  SELECT model_id, 'tag' AS signal, 'ds' || (key % 11) AS value, 0.95::DOUBLE AS confidence FROM chains WHERE key % 4 > 0
+  UNION ALL SELECT model_id, 'readme_dataset', 'org/ds' || (key % 7), 0.8 FROM chains WHERE key % 4 > 1
+  UNION ALL SELECT model_id, 'readme_dataset', 'set' || (key % 13), 0.6 FROM chains WHERE key % 5 = 0
+  UNION ALL SELECT model_id, 'known_dataset', 'known' || (key % 5), 0.7 FROM chains WHERE key % 3 = 0
+  UNION ALL SELECT model_id, 'known_dataset', 'c4', 0.7 FROM chains WHERE key % 6 = 0
+  UNION ALL SELECT model_id, 'training_section', 'present', 1.0 FROM chains WHERE key % 3 = 0
+  UNION ALL SELECT model_id, 'model_type', 'gpt2', 0.5 FROM chains WHERE key % 2 = 0)
+"""
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets of three sources: registry (suppliers), models and datasets (parts); some ids come from several."""
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
