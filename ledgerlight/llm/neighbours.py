@@ -34,7 +34,7 @@ CODES, QUERIES = 50_000, 2_000
 #: Standard deviations of an estimate's error: one neighbour in 30,000 is missed.
 EPSILON = 4.0
 #: Cells that a query meets first, and estimates that are compared in full there.
-FIRST_CELLS, FIRST_BEST = 2, 32
+FIRST_CELLS, FIRST_BEST = 8, 32
 
 
 def valid(vec: Column) -> Column:
@@ -152,7 +152,7 @@ def _scan(space: _Space, first: bool):
     """Pairs of a block of queries and a block of codes of one cell that have to be compared in full."""
 
     def run(key: tuple, queries: pa.Table, codes: pa.Table) -> pa.Table:
-        names, kinds = ["query", "uid"], [pa.int64(), pa.int64()]
+        names, kinds = ["query", "uid", "estimate"], [pa.int64(), pa.int64(), pa.float32()]
         if not queries.num_rows or not codes.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
         unit = queries["unit"].combine_chunks().flatten().to_numpy().reshape(-1, space.dim)
@@ -176,9 +176,9 @@ def _scan(space: _Space, first: bool):
                 best = np.take_along_axis(both, top, axis=1), np.take_along_axis(ids, top, axis=1)
             else:
                 row, col = np.nonzero(estimate + error[part] >= bound)
-                found.append((query[row], uid[at + col]))
+                found.append((query[row], uid[at + col], estimate[row, col]))
         if first:
-            found.append((np.repeat(query, best[1].shape[1]), best[1].reshape(-1)))
+            found.append((np.repeat(query, best[1].shape[1]), best[1].reshape(-1), best[0].reshape(-1)))
         return pa.table([pa.array(np.concatenate(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
     return run
@@ -268,17 +268,23 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
         keys = ["cell", "block", "part"]
         pairs = left.select(*keys, "query", "unit", "bound").groupBy(*keys).cogroup(
             right.select(*keys, "uid", "code", "length", "fit").groupBy(*keys)
-        ).applyInArrow(lambda key, a, b: _scan(shared.value, first)(key, a, b), "query long, uid long")
+        ).applyInArrow(lambda key, a, b: _scan(shared.value, first)(key, a, b), "query long, uid long, estimate float")
+        pairs = pairs.where("query <> uid")
+        if first:
+            by_estimate = Window.partitionBy("query").orderBy(F.col("estimate").desc(), "uid")
+            pairs = pairs.withColumn("place", F.row_number().over(by_estimate)).where(F.col("place") <= FIRST_BEST)
         return _in_full(pairs, classes, dim)
 
     asking_classes = classes.where("n_asking > 0").select("uid", "vec", "members")
-    head = shared_table(compared(asking_classes, True).where("query <> uid"))
+    head = shared_table(compared(asking_classes, True))
     by_score = Window.partitionBy("query").orderBy(F.col("score").desc(), "uid")
     bounds = head.withColumn("place", F.row_number().over(by_score)).where(F.col("place") == k).select(F.col("query").alias("uid"), "score")
     bounded = asking_classes.join(bounds, "uid", "left").select("uid", "vec", F.coalesce(F.col("score") - 1e-6, F.lit(-2.0)).alias("bound"))
-    others = compared(bounded, False).where("query <> uid")
+    others = compared(bounded, False)
     own = _in_full(asking_classes.select(F.col("uid").alias("query"), "uid"), classes, dim)
-    found = others.unionByName(own).select("query", "score", F.explode("members").alias("vec_id"))
+    # of classes with one score the smallest members come first, so the k + 1 best rows are in the k + 1 best classes
+    found = others.unionByName(own).withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= k + 1)
+    found = found.select("query", "score", F.explode("members").alias("vec_id"))
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     lists = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))
