@@ -19,12 +19,15 @@ BYTES, BITS = 8, 64
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Shingles whose bits are counted at a time, and fingerprints of one posting compared in one task.
 BLOCK, POSTING_MAX = 1 << 15, 20_000
+#: Tasks over which the rows of each long posting are dealt.
+SALTS = 64
 
 
 def fingerprints(text: str | None, words: int = 4, seeds: Sequence[int] = (SEED,)) -> list[int]:
     """64-bit SimHashes, one a seed, of the word shingles of ``text`` (A-Z lowered); 0 without words.
 
-    A bit is 1 where more than half of the shingles' XXH64 values have it. Whole texts, repeats included.
+    A bit is 1 where more than half of the shingles' hashes have it. Whole texts, repeats included. The first seed's hash is
+    XXH64; those of further seeds are mixed from it, so a shingle is hashed once.
     """
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not tokens:
@@ -37,13 +40,23 @@ def fingerprints(text: str | None, words: int = 4, seeds: Sequence[int] = (SEED,
     ones = np.zeros((len(seeds), BITS), np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), BLOCK):
-        cut = list(zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True))
+        cut = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)
+        first = np.array([digest(line[a:z], seeds[0]) for a, z in cut], np.uint64)
         for k, seed in enumerate(seeds):
-            hashes = np.array([digest(line[a:z], seed) for a, z in cut], np.uint64)
+            hashes = _mixed(first, seed) if k else first
             ones[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return [int(np.packbits(one * 2 > len(starts), bitorder="little").view(np.int64)[0]) for one in ones]
 
 
+def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Other hashes of the same values: the finishing steps of SplitMix64 after adding multiples of its constant."""
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _forest(links: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """The links that join parts not joined before: as many as nodes at most, the same components."""
     parent: dict[int, int] = {}
@@ -155,7 +168,8 @@ def fingerprint_links(nodes: DataFrame, distance: int = 4, posting_max: int = PO
     """Links ``(a, b)`` that connect all nodes whose fingerprints differ in ``distance`` bits or fewer, all ``prints`` together.
 
     Nodes share ``share`` positional bytes of one fingerprint at least; for one fingerprint the guaranteed count is
-    8 - distance, and then no link is lost. Postings of single bytes grow with the square of the corpus when pairs are
+    8 - distance, and then no link is lost. Over several fingerprints a distance may touch every byte; then ``share``
+    decides which links are found (see the pipeline's near-dedup stage). Postings of single bytes grow with the square of the corpus when pairs are
     tallied over them, so the index holds the intersections of ``share`` postings (of 4: the 70 choices of 4 byte
     positions). Sharing one of them is the same as reaching the count; each pair found there is then verified. Of a
     dense posting only a spanning forest of links is given. Postings over ``posting_max`` are cut into blocks, and every
@@ -181,9 +195,12 @@ def fingerprint_links(nodes: DataFrame, distance: int = 4, posting_max: int = PO
     long = found.where("long").select(F.col("a").alias("key"), F.col("b").alias("code"))
     if long.isEmpty():
         return links
-    sizes = index.join(long, ["code", "key"], "left_semi").groupBy("code", "key").count()
+    # rows of a long posting are dealt over SALTS tasks before they meet it, and counted where they are
+    salted = index.withColumn("salt", F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int"))
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sizes = salted.join(spread(long.distinct()), ["code", "key", "salt"]).groupBy("code", "key").count()
     sizes = sizes.select("code", "key", F.ceil(F.col("count") / posting_max).cast("int").alias("blocks"))
-    rows = index.join(sizes, ["code", "key"]).withColumn("block", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
+    rows = salted.join(spread(shared_checkpoint(sizes)), ["code", "key", "salt"]).withColumn("block", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select(*columns, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 

@@ -2,11 +2,14 @@
 
 import hashlib
 import importlib.util
+import random
+import uuid
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlight.llm.common import shared_folder
 from ledgerlight.llm.simhash import fingerprints
 from tests.llm.test_operators import lower, sentence
 
@@ -29,8 +32,8 @@ def sf_dir(spark, tmp_path_factory):
 
 
 def one_of_each(rows):
-    """Of each component of near duplicates the row with the smallest doc_id, by comparing all pairs."""
-    prints = [fingerprints(t, 5, (42, 43)) for _, t in rows]
+    """Of each component of near duplicates the row with the smallest doc_id, by comparing all bits of all pairs."""
+    prints = [fingerprints(t, 5, cp.NEAR_SEEDS) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -38,7 +41,7 @@ def one_of_each(rows):
 
     for a, b in combinations(range(len(rows)), 2):
         xors = [(x ^ y) & (2**64 - 1) for x, y in zip(prints[a], prints[b], strict=True)]
-        if sum(x.bit_count() for x in xors) <= 25 and any(sum((x >> 8 * k) & 255 == 0 for k in range(8)) >= 3 for x in xors):
+        if sum(x.bit_count() for x in xors) <= 51:
             parent[find(a)] = find(b)
     groups = {}
     for n in range(len(rows)):
@@ -94,3 +97,27 @@ def test_stages(spark, sf_dir):
 def test_run_twice(spark, sf_dir):
     digest = lambda: hashlib.sha256(repr(sorted((r.doc_id, r.text, r.taken) for r in cp.run(spark, sf_dir).collect())).encode()).hexdigest()
     assert digest() == digest()
+
+
+def test_near_copies_by_shingles(spark):
+    """Nine in ten of the pairs with a Jaccard similarity of 0.8 and more are one group, strangers are none."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    rows, pairs = [], []
+    for g in range(400):
+        text = rng.choices(words, k=rng.choice([40, 80, 150, 400]))
+        other = list(text)
+        for at in rng.sample(range(len(text)), rng.randint(1, max(1, len(text) // 60))):
+            other[at] = rng.choice(words)
+        both = shingles(text), shingles(other)
+        similar = len(both[0] & both[1]) / len(both[0] | both[1])
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(other))]
+        pairs.append((2 * g + 1, similar))
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    path = f"{shared_folder(spark)}/near-{uuid.uuid4().hex}"
+    docs.write.parquet(path)
+    kept = {r.doc_id for r in cp.near(spark, spark.read.parquet(path), "").collect()}
+    assert {2 * g for g in range(400)} <= kept
+    alike = [i for i, similar in pairs if similar >= 0.8]
+    assert len(alike) > 200 and sum(i not in kept for i in alike) >= 0.95 * len(alike)
