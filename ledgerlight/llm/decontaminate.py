@@ -11,13 +11,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_groups, shared_table
+
 #: Tokens of a window, literal tokens a template needs, tokens in a row that make a leak, tokens below which an item has to
 #: stand by itself.
 WINDOW, LITERALS, LEAK, SHORTEST = 8, 4, 13, 5
-#: Characters of benchmark text that one broadcast may hold; a longer benchmark is taken in parts.
-BROADCAST_CHARS = 20_000_000
-#: Words a task remembers, and lower-case words that the whole benchmark may have (eight bytes each are broadcast).
+#: Lengths to which a window with few literals grows along its neighbours, and literals that a whole item of few needs.
+LONGER, FEWEST = (13, 16, 24, 32, 48), 2
+#: Characters of benchmark text of which hashes are broadcast at a time (about eight bytes a character at most); a longer
+#: benchmark is taken in parts.
+BROADCAST_CHARS = 10_000_000
+#: Words a task remembers; lower-case words of the whole benchmark that are broadcast (eight bytes each), more are joined.
 MEMO, VOCABULARY = 500_000, 4_000_000
+#: Bytes of windows up to which they are broadcast to what was found in the documents; more are joined over SALTS.
+TABLE_BYTES, SALTS = 32_000_000, 16
 
 #: Before the tokens of a window that is looked for as it is.
 EXACT = "= "
@@ -36,47 +43,57 @@ UNIT_WORDS = frozenset(
     "miles foot feet inch inches liter liters litre litres gallon gallons second seconds minute minutes hour hours day "
     "days week weeks month months year years degree degrees mph kmh".split()
 )
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, WINDOW + 1)], np.uint64)
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 50)], np.uint64)
 
 
 def _word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    """64 bits of a lower-case word, out of the way of the placeholders."""
+    return max(FIRST, xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")))
 
 
 class _Ids(dict):
-    """Token -> its id in templates, and above 32 bits its id as it is. Ids from FIRST on are words of the benchmark's part;
-    0 is any other word.
+    """Token -> (id in templates, id as it is): hashes of words; 0 is a word that the benchmark's part does not have.
 
-    ``vocabulary`` has the hashes, sorted, of all words that the whole benchmark writes in lower case: a capitalised word is
-    a name if it is none of them.
+    ``every`` and ``literal`` have the hashes, sorted, of the part's words and of those among them that the whole benchmark
+    writes in lower case; ``lower`` those of all such words of the benchmark: a capitalised word is a name if it is none of
+    them. Where ``lower`` is None, ``row_lower`` has those that concern the text at hand.
     """
 
-    def __init__(self, words: dict[str, int], every: dict[str, int], vocabulary: np.ndarray):
+    def __init__(self, every: np.ndarray, literal: np.ndarray, lower: np.ndarray | None):
         super().__init__()
-        self.words, self.every, self.vocabulary = words, every, vocabulary
+        self.every, self.literal, self.lower, self.row_lower = every, literal, lower, frozenset()
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, token: str) -> tuple[int, int]:
         low = token.lower()
+        word = _word_hash(low)
+        own = word if _has(self.every, word) else 0
+        named = False
         if token[0].isdigit() or low in NUMBER_WORDS:
             found = NUMBER
         elif low in UNIT_WORDS:
             found = UNIT
-        elif (found := self.words.get(low, 0)) == 0 and token[0].isupper() and not self.in_vocabulary(low):
-            found = NAME
+        else:
+            found = word if _has(self.literal, word) else 0
+            named = not found and token[0].isupper()
+            if named and not (word in self.row_lower if self.lower is None else _has(self.lower, word)):
+                found = NAME
+        if self.lower is None and named:
+            return found, own  # another row may see it otherwise
         if len(self) >= MEMO:
             self.clear()
-        self[token] = found = found | self.every.get(low, 0) << 32
-        return found
+        self[token] = found, own
+        return found, own
 
-    def in_vocabulary(self, low: str) -> bool:
-        name = np.uint64(_word_hash(low))
-        at = self.vocabulary.searchsorted(name)
-        return at < len(self.vocabulary) and self.vocabulary[at] == name
-
-    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, tokens: list[str], row_lower=()) -> tuple[np.ndarray, np.ndarray]:
         """Ids in templates, ids as they are."""
-        both = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        return both & 0xFFFFFFFF, both >> 32
+        self.row_lower = frozenset(row_lower or ())
+        both = np.array([self[t] for t in tokens], np.uint64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+
+def _has(hashes: np.ndarray, value: int) -> bool:
+    at = hashes.searchsorted(np.uint64(value))
+    return at < len(hashes) and int(hashes[at]) == value
 
 
 def _joined(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,10 +115,14 @@ def _windows(ids: np.ndarray, size: int, literals: bool = True) -> tuple[np.ndar
         literal = np.concatenate(([0], np.cumsum(ids >= FIRST)))
         ok &= literal[size:] - literal[:n] >= min(LITERALS, size - 1)
     starts = np.flatnonzero(ok)
+    return starts, _window_hash(ids, starts, size)
+
+
+def _window_hash(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     if not len(starts):
-        return starts, np.zeros(0, np.uint64)
-    hashes = (ids[starts[:, None] + np.arange(size)].astype(np.uint64) * _POWERS[:size]).sum(1, dtype=np.uint64)
-    return starts, hashes ^ (hashes >> np.uint64(29))
+        return np.zeros(0, np.uint64)
+    hashes = (ids[starts[:, None] + np.arange(size)] * _POWERS[:size]).sum(1, dtype=np.uint64)
+    return hashes ^ (hashes >> np.uint64(29))
 
 
 def _exact(tokens: list[str], start: int, size: int) -> tuple[str, list[str]]:
@@ -129,55 +150,86 @@ def _template(tokens: list[str], ids: np.ndarray, bounds: np.ndarray, start: int
     return " ".join(words), slots
 
 
-def vocabulary(items: DataFrame) -> np.ndarray:
-    """Hashes of the words that the items (column ``text``) write in lower case, and of single letters, sorted."""
+def _words(rows: DataFrame, keep) -> DataFrame:
+    """Distinct hashes ``word`` of the lower-cased words of ``text`` that ``keep`` (of the token) chooses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {t for text in batch.column("text").to_pylist() for t in _TOKEN.findall(text or "") if t[0].isalpha()}
-            low = {_word_hash(t.lower()) for t in found if not t[0].isupper() or len(t) == 1}
+            found = {t for text in batch.column("text").to_pylist() for t in _TOKEN.findall(text or "") if keep(t)}
+            low = {_word_hash(t.lower()) for t in found}
             yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(low, np.uint64, len(low)).view(np.int64))], ["word"])
 
-    words = items.select("text").mapInArrow(run, "word long").distinct().limit(VOCABULARY + 1).toArrow()["word"].to_numpy()
-    if len(words) > VOCABULARY:
-        raise ValueError(f"the benchmark has more than {VOCABULARY} lower-case words")
-    return np.sort(words.view(np.uint64))
+    return rows.select("text").mapInArrow(run, "word long").distinct()
+
+
+def _written_low(token: str) -> bool:
+    return token[0].isalpha() and (not token[0].isupper() or len(token) == 1)
+
+
+def _capital(token: str) -> bool:
+    return token[0].isupper()
+
+
+def _sorted(words: DataFrame) -> np.ndarray:
+    return np.sort(words.toArrow()["word"].to_numpy().view(np.uint64))
+
+
+def _with_lower(rows: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``lower``: hashes of the capitalised words of ``text`` that ``vocabulary`` has.
 
+    The words of a text are few; a word that very many texts have is counted before it meets its texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [list({_word_hash(t.lower()) for t in _TOKEN.findall(x or "") if _capital(t)}) for x in batch.column("text").to_pylist()]
+            words = [np.array(w, np.uint64).view(np.int64) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(words, pa.list_(pa.int64()))], ["__row", "words"])
 
-def _benchmark(items: list, id_col: str, text_col: str, known: np.ndarray) -> tuple[tuple, list]:
-    """(words, window hashes by size, tokens, hashes of windows as they are by size), and windows (item, position, size,
-    template, slots, template windows that make a leak, windows in a row that do).
+    rows = shared_table(rows.withColumn("__row", F.monotonically_increasing_id()))
+    used = shared_table(rows.select("__row", "text").mapInArrow(run, "__row long, words array<long>").select("__row", F.explode("words").alias("word")))
+    counts = shared_table(used.groupBy("word").count().join(vocabulary, "word", "left").select("word", "count", vocabulary["word"].isNotNull().alias("known")))
+    found = join_groups(used, counts, "word", "count").where("known").groupBy("__row").agg(F.collect_list("word").alias("lower"))
+    return rows.join(found, "__row", "left").select(*keys, "text", "lower")
 
-    Every window is kept as it is; those with enough literals are kept as a template too.
+
+def _item_windows(tokens: list[str], ids: np.ndarray, own: np.ndarray) -> Iterator[tuple]:
+    """Windows of one item: (place, size, hash, template, slots, template windows that make a leak, windows as they are in a row
+    that do, whether one is enough, whether it has to stand by itself).
+
+    Every window is kept as it is. Those with enough literals are kept as a template too; the others grow along their
+    neighbours until they have enough, and the whole item is one where it never does.
     """
-    tokens = [(r[id_col], _TOKEN.findall(r[text_col] or "")) for r in items]
-    every = {t: FIRST + i for i, t in enumerate(sorted({t.lower() for _, ts in tokens for t in ts}))}
-    lower = np.array([_word_hash(w) for w in every], np.uint64)
-    words = {w: i for (w, i), literal in zip(every.items(), _known(lower, known), strict=True)
-             if literal and w not in UNIT_WORDS | NUMBER_WORDS}
-    lookup = _Ids(words, every, known)
-    hashes: dict[int, set] = {}
-    exact: dict[int, set] = {}
-    windows = []
-    for item, ts in tokens:
-        if not ts:
-            continue
-        size = min(WINDOW, len(ts))
-        row = min(LEAK, len(ts)) - size + 1
-        ids, own = lookup.of(ts)
-        starts, found = _windows(own, size, False)
-        exact.setdefault(size, set()).update(found.tolist())
-        windows += [(item, int(s), size, *_exact(ts, int(s), size), None, row) for s in starts]
-        ids, bounds = _joined(ids)
-        if len(ids) < SHORTEST:
-            continue
-        size = min(WINDOW, len(ids))
-        starts, found = _windows(ids, size)
-        hashes.setdefault(size, set()).update(found.tolist())
-        need = min(len(starts), min(LEAK, len(ids)) - size + 1)
-        windows += [(item, int(s), size, *_template(ts, ids, bounds, int(s), size), need, None) for s in starts]
-    sizes = lambda x: {k: np.array(sorted(v), np.uint64) for k, v in x.items()}
-    return (words, sizes(hashes), every, sizes(exact)), windows
+    if not tokens:
+        return
+    size = min(WINDOW, len(tokens))
+    row = min(LEAK, len(tokens)) - size + 1
+    for s, h in zip(*_windows(own, size, False), strict=True):
+        yield int(s), size, h, *_exact(tokens, int(s), size), None, row, False, size < SHORTEST
+    ids, bounds = _joined(ids)
+    n = len(ids)
+    if n < SHORTEST:
+        return
+    size = min(WINDOW, n)
+    starts, found = _windows(ids, size)
+    need = min(len(starts), min(LEAK, n) - size + 1)
+    for s, h in zip(starts.tolist(), found, strict=True):
+        yield s, size, h, *_template(tokens, ids, bounds, s, size), need, None, False, False
+    literal = np.concatenate(([0], np.cumsum(ids >= FIRST)))
+    grown = set()
+    for s in sorted(set(range(n - size + 1)) - set(starts.tolist())):
+        for longer in LONGER:
+            at = min(s, n - longer)  # the last windows reach back
+            if at >= 0 and literal[at + longer] - literal[at] >= LITERALS:
+                grown.add((at, longer))
+                break
+    if not grown and not len(starts) and literal[n] >= FEWEST and n <= LONGER[-1]:
+        grown.add((0, n))
+    for s, longer in sorted(grown):
+        if not (ids[s : s + longer] == 0).any():
+            hashed = _window_hash(ids, np.array([s]), longer)[0]
+            alone = bool(literal[s + longer] - literal[s] < LITERALS)
+            yield s, longer, hashed, *_template(tokens, ids, bounds, s, longer), 1, None, True, alone
 
 
 def _known(found: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -187,69 +239,108 @@ def _known(found: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               item_col: str = "item_id", item_text_col: str = "text", broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+               item_col: str = "item_id", item_text_col: str = "text", broadcast_chars: int = BROADCAST_CHARS,
+               vocabulary: int = VOCABULARY) -> DataFrame:
     """Documents that hold a benchmark passage, verbatim or with other numbers, names and units.
 
     Both sides become templates: numbers, units and capitalised words that the benchmark never writes in lower case
     turn into typed placeholders, neighbours of one type into one ("New York", "forty five"). Windows of 8 template tokens
-    are joined by hash. Per document, item and alignment the replaced values must be consistent: each benchmark value
-    stands for one document value and the other way round. An alignment leaks if its windows reach 13 template tokens (the
-    whole item where that is shorter). So does one of 13 tokens in a row that are the item's own, whatever the rest of it
-    says. Windows with under 4 literals match only as they are.
+    with 4 literals are joined by hash; windows with fewer literals grow along their neighbours (to 48 tokens at most) until
+    they have 4, and an item that never does is one window, if it has 2 literals, looked for as a passage of its own
+    (bounded by punctuation, line ends or the ends of the text). Per document, item and alignment the replaced values must
+    be consistent: each benchmark value stands for one document value and the other way round. An alignment leaks if its
+    windows reach 13 template tokens (the whole item where that is shorter). So does one of 13 tokens in a row that are the
+    item's own, whatever the rest of it says.
 
     Returns one row per leaking document text and item: ``id_col, text_hash, item_col, n_windows, exact`` (verbatim, and no
     value was replaced).
 
-    The benchmark is broadcast only in parts of at most ``broadcast_chars`` characters; a longer one takes several
-    scans of the documents, with the same result. Its lower-case words, which tell names, are broadcast whole; a benchmark
-    with more than VOCABULARY of them is refused.
+    Windows are built by tasks; hashes of the words and windows of ``broadcast_chars`` characters of the benchmark are
+    broadcast at a time, a longer benchmark takes several scans of the documents, with the same result. Its lower-case
+    words, which tell names, are broadcast up to ``vocabulary``; more are joined with the words of the texts.
 
     * null and empty texts leak nothing; repeated items count once; items of fewer than 5 tokens are looked for as they
-      are, as a passage of their own (bounded by punctuation, line ends or the ends of the text);
+      are, as a passage of their own; items with under 2 literals are found only as they are;
     * repeated rows (same identifier and text) give one row; rows are keyed by identifier and text hash, so a
       null identifier is safe; empty tables give an empty result.
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = int(total // broadcast_chars) + 1
-    known = vocabulary(items)
+    words = shared_table(_words(items, _written_low))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    if words.count() > vocabulary:
+        lower = None
+        rows, items = _with_lower(rows, words, ["id", "text_hash"]), _with_lower(items, words, ["item"])
+    else:
+        lower = _sorted(words)
+        rows, items = (df.withColumn("lower", F.lit(None).cast("array<long>")) for df in (rows, items))
     out = None
     for part in range(parts):
         chosen = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else items
-        found = _find_part(docs, chosen.collect(), known, benchmark.schema[item_col].dataType, id_col, text_col)
+        found = _find_part(rows, chosen, words, lower)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("item", item_col).withColumnRenamed("id", id_col)
 
 
-def _find_part(docs: DataFrame, items: list, known: np.ndarray, item_type, id_col: str, text_col: str) -> DataFrame:
-    spark = docs.sparkSession
-    index, windows = _benchmark(items, "item", "text", known)
-    shared = spark.sparkContext.broadcast((*index, known))  # bounded by broadcast_chars and VOCABULARY
+def _find_part(rows: DataFrame, items: DataFrame, words: DataFrame, lower: np.ndarray | None) -> DataFrame:
+    spark = rows.sparkSession
+    every = _words(items, lambda t: True)
+    fixed = np.sort(np.array([_word_hash(w) for w in UNIT_WORDS | NUMBER_WORDS], np.uint64))
+    literal = _sorted(every.join(words, "word", "left_semi"))
+    literal = literal[~_known(literal, fixed)]
+    names = spark.sparkContext.broadcast((_sorted(every), literal, lower))  # bounded by broadcast_chars and vocabulary
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = _Ids(*names.value)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
+        for batch in batches:
+            taken, out = [], []
+            for k, (text, low) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lower").to_pylist(), strict=True)):
+                tokens = _TOKEN.findall(text)
+                own = [(w[0], w[1], int(np.uint64(w[2]).view(np.int64)), *w[3:]) for w in _item_windows(tokens, *lookup.of(tokens, _unsigned(low)))]
+                taken += [k] * len(own)
+                out += own
+            columns = zip(*out, strict=True) if out else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item").take(pa.array(taken, pa.int64())), *[pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]],
+                ["item", "item_place", "size", "hash", "template", "item_slots", "need", "row", "enough", "alone"],
+            )
+
+    item = items.schema["item"].dataType.simpleString()
+    table = shared_table(items.mapInArrow(
+        build, f"item {item}, item_place long, size int, hash long, template string, item_slots array<string>, need int, row int, enough boolean, alone boolean"
+    ))
+    kinds: dict[tuple, list] = {}
+    for batch in table.select(F.col("need").isNull().alias("plain"), "size", "alone", "hash").distinct().toArrow().to_batches():  # bounded by broadcast_chars
+        plain, size, alone = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("plain", "size", "alone"))
+        hashes = batch.column("hash").to_numpy().view(np.uint64)
+        for kind in set(zip(plain.tolist(), size.tolist(), alone.tolist(), strict=True)):
+            chosen = (plain == kind[0]) & (size == kind[1]) & (alone == kind[2])
+            kinds.setdefault(kind, []).append(hashes[chosen])
+    windows = spark.sparkContext.broadcast({k: np.sort(np.concatenate(v)) for k, v in sorted(kinds.items())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, hashes, every, exact, lower = shared.value
-        lookup = _Ids(words, every, lower)
+        lookup = _Ids(*names.value)
         for batch in batches:
             rows, places, templates, slots = [], [], [], []
             for row, text in enumerate(batch.column("text")):
                 text = text.as_py() or ""
                 tokens = _TOKEN.findall(text)
-                ids, own = lookup.of(tokens)
+                ids, own = lookup.of(tokens, _unsigned(batch.column("lower")[row].as_py()))
                 ids, bounds = _joined(ids)
-                matched = []
-                for size, hashed in hashes.items():
-                    starts, found = _windows(ids, size)
-                    matched += [(start, *_template(tokens, ids, bounds, start, size)) for start in starts[_known(found, hashed)].tolist()]
-                for size, hashed in exact.items():
-                    starts, found = _windows(own, size, False)
+                for (plain, size, alone), hashed in windows.value.items():
+                    starts, found = _windows(own if plain else ids, size, not plain and size == min(size, WINDOW) and not alone)
                     for start in starts[_known(found, hashed)].tolist():
-                        if size >= SHORTEST or _alone(text, start, size):
-                            matched.append((start, *_exact(tokens, start, size)))
-                for start, template, values in matched:
-                    rows.append(row)
-                    places.append(start)
-                    templates.append(template)
-                    slots.append(values)
+                        last = start + size if plain else int(bounds[start + size])
+                        first = start if plain else int(bounds[start])
+                        if alone and not _alone(text, first, last - first):
+                            continue
+                        template, values = _exact(tokens, start, size) if plain else _template(tokens, ids, bounds, start, size)
+                        rows.append(row)
+                        places.append(start)
+                        templates.append(template)
+                        slots.append(values)
             taken = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(taken), batch.column("text_hash").take(taken), pa.array(places, pa.int64()),
@@ -257,23 +348,26 @@ def _find_part(docs: DataFrame, items: list, known: np.ndarray, item_type, id_co
                 ["id", "text_hash", "place", "template", "slots"],
             )
 
-    ids = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    ids = rows.schema["id"].dataType.simpleString()
     seen = rows.mapInArrow(run, f"id {ids}, text_hash long, place long, template string, slots array<string>")
-    item = item_type.simpleString()
-    table = spark.createDataFrame(
-        windows, f"item {item}, item_place long, size int, template string, item_slots array<string>, need int, row int"
-    )
-    pairs = seen.join(F.broadcast(table), "template")  # at most two windows per token of the part
+    size = table.agg(F.sum(F.length("template") * 2 + 64)).first()[0] or 0
+    table = table.drop("hash", "size", "alone")
+    if size <= TABLE_BYTES:
+        pairs = seen.join(F.broadcast(table), "template")
+    else:
+        salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = seen.withColumn("__salt", F.pmod(F.xxhash64("id", "text_hash"), F.lit(SALTS)).cast("int")).join(salted, ["template", "__salt"])
     pairs = pairs.select(
-        "id", "text_hash", "item", "need", "row", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
+        "id", "text_hash", "item", "need", "row", "enough", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
         F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours")).alias("values"),
     ).distinct()
-    # At most a window per token of an item meets in one alignment, so the sets below are small. Windows of templates have
+    # At most two windows per token of an item meet in one alignment, so the sets below are small. Windows of templates have
     # a ``need``, those of the item as it is have a ``row``.
     aligned = pairs.groupBy("id", "text_hash", "item", "shift", F.col("need").isNull().alias("plain")).agg(
         F.count_distinct("item_place").alias("n_windows"),
-        F.max("need").alias("need"),
+        F.count_distinct(F.when(~F.col("enough"), F.col("item_place"))).alias("n_dense"),
+        F.max(F.when(~F.col("enough"), F.col("need"))).alias("need"),
+        F.max("enough").alias("enough"),
         F.max("row").alias("row"),
         F.array_sort(F.collect_set("item_place")).alias("places"),
         F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"),
@@ -286,7 +380,8 @@ def _find_part(docs: DataFrame, items: list, known: np.ndarray, item_type, id_co
         F.transform("places", lambda x, i: F.coalesce(F.get("places", i + F.col("row") - 1) == x + F.col("row") - 1, F.lit(False))),
         lambda x: x,
     )
-    leaks = F.when(F.col("plain"), in_row).otherwise((F.col("n_windows") >= F.col("need")) & one_way & other_way)
+    reached = F.col("enough") | F.coalesce(F.col("n_dense") >= F.col("need"), F.lit(False))
+    leaks = F.when(F.col("plain"), in_row).otherwise(reached & one_way & other_way)
     found = aligned.select("id", "text_hash", "item", "plain", "n_windows", same.alias("same"), leaks.alias("leaks"))
     templates = F.max(F.when(~F.col("plain"), F.struct("n_windows", "same")))
     found = found.groupBy("id", "text_hash", "item").agg(
@@ -297,6 +392,10 @@ def _find_part(docs: DataFrame, items: list, known: np.ndarray, item_type, id_co
     return found.where("leaks").drop("leaks")
 
 
+def _unsigned(words: list[int] | None) -> list[int]:
+    return [w & 0xFFFFFFFFFFFFFFFF for w in words or ()]
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage, with all their columns."""
     leaks = find_leaks(docs, benchmark, id_col, text_col, **names).select(F.col(id_col).alias("__id"), "text_hash").distinct()

@@ -94,14 +94,13 @@ def _with_periods(docs: DataFrame) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(rf"[^{SPACE}]+"), F.lit(0))
     n, g = F.size("__words").cast("long"), F.floor(F.col("__h") / 10)
-    changed = docs.withColumn("__h", h).where("__h % 10 = 0").withColumn("__words", words)
-    changed = changed.where(F.size("__words") > 0).withColumn("__a", g % n)
-    changed = changed.withColumn("__p", 1 + F.floor((n - F.col("__a")) / (3 + g % 8)))
-    place = lambda i: F.when(i < F.col("__a"), i).otherwise(F.col("__a") + (i - F.col("__a")) % F.col("__p"))
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
     at = F.sequence(F.lit(0).cast("long"), n - 1)
-    text = F.array_join(F.transform(at, lambda i: F.element_at("__words", (place(i) + 1).cast("int"))), " ")
-    kept = docs.where(F.coalesce((h % 10 != 0) | ~F.coalesce("text", F.lit("")).rlike(rf"[^{SPACE}]"), F.lit(True)))
-    return kept.select("doc_id", "text").unionByName(changed.select("doc_id", text.alias("text")))
+    changed = F.array_join(F.transform(at, lambda i: F.element_at("__words", (place(i) + 1).cast("int"))), " ")
+    rows = docs.select("doc_id", "text", h.alias("__h")).withColumn("__words", F.when(F.col("__h") % 10 == 0, words))
+    return rows.select("doc_id", F.when(F.size("__words") > 0, changed).otherwise(F.col("text")).alias("text"))
 
 
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

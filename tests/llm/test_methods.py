@@ -430,11 +430,46 @@ def test_templates_against_every_place(spark):
         assert sorted(map(tuple, parts.select(*found.columns).collect())) == sorted(map(tuple, found.collect()))
 
 
-def test_vocabulary_is_refused_when_too_large(spark, monkeypatch):
-    bench = spark.createDataFrame([(1, "one little item of a few words")], "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "VOCABULARY", 3)
-    with pytest.raises(ValueError):
-        decontaminate.find_leaks(bench.withColumnRenamed("item_id", "doc_id"), bench)
+def test_vocabulary_that_is_joined_gives_the_same(spark):
+    words = "a coach with red seats leaves the quiet station at dawn and carries mail over two hills near the Bridge".split()
+    items = [(1, " ".join(words)), (2, "Then Anna gave the old Coach of Bruno two plums and walked home over the bridge again")]
+    docs = [(1, items[0][1]), (2, items[1][1].replace("Anna", "Clara").replace("Bruno", "Dora")), (3, "The Coach of Anna"), (None, None), (5, ""), (6, items[1][1].upper())]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([*items, (3, None)], "item_id long, text string")
+    rows = lambda **k: sorted(map(str, decontaminate.find_leaks(df, bench, **k).collect()))
+    want = rows()
+    assert len(want) >= 2
+    assert rows(vocabulary=0) == want == rows(vocabulary=0, broadcast_chars=50)
+
+
+def test_windows_that_are_joined_give_the_same(spark, monkeypatch):
+    item = "a coach with red seats leaves the quiet station at dawn and carries 45 sacks of mail over two hills"
+    df = spark.createDataFrame([(k, item.replace("45", str(k))) for k in range(40)] + [(99, "no leak here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, item + " near the bridge")], "item_id long, text string")
+    want = sorted(map(str, decontaminate.find_leaks(df, bench).collect()))
+    monkeypatch.setattr(decontaminate, "TABLE_BYTES", 0)
+    assert sorted(map(str, decontaminate.find_leaks(df, bench).collect())) == want and len(want) >= 40
+
+
+@pytest.mark.parametrize("item,doc,leaks", [
+    # numbers, names and units nearly everywhere: the whole item, by itself
+    ("How many miles in 5 km?", "How many feet in 70 meters?", True),
+    ("How many miles in 5 km?", "we know how many feet in 70 meters there are", False),
+    ("How many miles in 5 km?", "Tell us. How many feet in 70 meters? No.", True),
+    # a value that stands for two others
+    ("does 12 kg plus 30 kg make 12 kg again", "does 5 kg plus 7 kg make 5 kg again", True),
+    ("does 12 kg plus 30 kg make 12 kg again", "does 5 kg plus 7 kg make 9 kg again", False),
+    # windows grow along their neighbours
+    ("when Anna met Bruno and Clara or Dora with Emil in Fulda near Gera she paid 5 euros", "x when Ida met Jan and Karl or Lena with Max in Nauen near Olpe she paid 9 euros y", True),
+    ("when Anna met Bruno and Clara or Dora with Emil in Fulda near Gera she paid 5 euros", "x when Ida met Jan and Ida or Lena with Max in Nauen near Olpe she paid 9 euros y", False),
+    ("12 kg 30 miles", "13 kg 31 miles", False),
+])
+def test_items_of_numbers_and_names(spark, item, doc, leaks):
+    words = "how many in does plus make again when met and or with near she paid we know there are tell us no x y"
+    bench = spark.createDataFrame([(1, item), (2, words)], "item_id long, text string")
+    found = decontaminate.find_leaks(spark.createDataFrame([(1, doc)], "doc_id long, text string"), bench).where("item_id = 1")
+    assert (found.count() == 1) == leaks
+
 
 
 def test_crc_is_that_of_the_queries(spark):
