@@ -25,21 +25,30 @@ def in_period(timestamp: Column, period: str) -> Column:
     return F.coalesce((parsed >= start) & (parsed < F.add_months(start, 1).cast("timestamp")), F.lit(False))
 
 
-def _usable(receipts: DataFrame, period: str) -> DataFrame:
-    """Receipts of the period with their valid entries and the sum of those shares."""
+def usable_receipts(receipts: DataFrame) -> DataFrame:
+    """Royalty receipts with their valid entries (a provider, a shard, a share of 0 or more) and the sum of those shares; receipts
+    without a positive, finite sum go. One rule for batches and streams."""
     entries = F.filter("top_k", lambda e: (e["share"] >= 0) & e["provider_id"].isNotNull() & e["shard_id"].isNotNull())
-    rows = receipts.where((F.col("schema") == "royalty_receipt.v1") & in_period(F.col("timestamp"), period))
-    rows = rows.withColumn("entries", entries)
+    rows = receipts.where(F.col("schema") == "royalty_receipt.v1").withColumn("entries", entries)
     rows = rows.withColumn("sum_share", F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["share"]))
     return rows.where((F.col("sum_share") > 0) & (F.col("sum_share") < float("inf")))
 
 
+def balanced_receipts(receipts: DataFrame) -> DataFrame:
+    """Usable receipts whose shares sum to 1, give or take TOLERANCE."""
+    return usable_receipts(receipts).where(F.abs(F.col("sum_share") - 1) <= TOLERANCE)
+
+
+def _usable(receipts: DataFrame, period: str) -> DataFrame:
+    return usable_receipts(receipts.where(in_period(F.col("timestamp"), period)))
+
+
 def provider_weights(receipts: DataFrame, period: str) -> DataFrame:
     """Shares per provider, each receipt normalised to 1; receipts whose shares miss 1 by over 0.02 are skipped.
 
     What follows reads this table several times: it is stored, so that the receipts are read once.
     """
-    rows = _usable(receipts, period).where(F.abs(F.col("sum_share") - 1) <= TOLERANCE)
+    rows = balanced_receipts(receipts.where(in_period(F.col("timestamp"), period)))
     each = rows.select("sum_share", F.explode("entries").alias("e"))
     return stored(each.groupBy(F.col("e.provider_id").alias("provider_id")).agg(F.sum(F.col("e.share") / F.col("sum_share")).alias("weight")))
 

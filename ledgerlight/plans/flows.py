@@ -36,6 +36,14 @@ def _streamed(df):
     return df.sparkSession.readStream.schema(df.schema).parquet(_stored(df))
 
 
+def _closed(s, f):
+    """Snapshots, and two of a target of its own from years later that let the watermark pass them all."""
+    rows = v.snapshots(s, f)
+    last = rows.orderBy(F.desc("observed_at")).limit(1).withColumn("target_id", F.lit("end"))
+    later = lambda years: last.withColumn("observed_at", F.col("observed_at") + F.expr(f"INTERVAL {years} YEARS"))
+    return rows.unionByName(later(1)).unionByName(later(2))
+
+
 def _finished(stream, mode="append"):
     path = folder(stream.sparkSession)
     jobs.to_table(stream, path, mode)
@@ -135,8 +143,8 @@ QUERIES = {
     "v8_check_spider_receipts": lambda s, f: val.check_spider_receipts(a.spider_receipts(v.table(s, f, "pages"), "crawl", "2024-01").withColumn(
         "receipt_id", F.when(F.col("content_id").endswith("0"), "bad").otherwise(F.col("receipt_id")))),
     "s1_stream_validate": lambda s, f: _validated(s, f).groupBy("sink", "status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("codes") > 0).alias("with_codes")),
-    "s2_stream_weights": lambda s, f: rounded(_latest_batch(_finished(jobs.stream_weights(_streamed(v.receipts(s, f))), "update"), "month", "provider_id")),
-    "s3_stream_changes": lambda s, f: _finished(jobs.stream_changes(_streamed(v.snapshots(s, f)))).select("target_id", "observed_at"),
+    "s2_stream_weights": lambda s, f: rounded(jobs.monthly_weights(_finished(jobs.stream_weights(_streamed(v.receipts(s, f))), "update"))),
+    "s3_stream_changes": lambda s, f: _finished(jobs.stream_changes(_streamed(_closed(s, f)))).where("target_id <> 'end'").select("target_id", "observed_at"),
     "s4_stream_drift_windows": lambda s, f: _latest_batch(_finished(jobs.stream_drift_windows(_streamed(_changes(s, f))), "update"), "start", "end"),
     "s4_stream_drift_sliding": lambda s, f: _latest_batch(_finished(jobs.stream_drift_windows(_streamed(_changes(s, f)), "30 days", "1 day"), "update"), "start", "end"),
     "s5_stream_drift_after_outreach": lambda s, f: _finished(jobs.stream_drift_after_outreach(
