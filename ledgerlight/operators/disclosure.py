@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,17 +118,20 @@ def _percent(part: Column, whole: Column) -> Column:
 
 
 def disclosure_index(latest: DataFrame, changes: DataFrame, now: str) -> DataFrame:
-    """One row of headline counts: fields present and absent, access, mean downloads, changes of 7 and 30 days, changed
-    targets."""
+    """One row of headline counts: ISO week, fields present and absent, access, mean downloads, changes of 7 and 30 days, changed
+    targets and the changes of each."""
     n = F.count(F.lit(1))
+    year, week, _ = datetime.fromisoformat(now).isocalendar()
+    declared = F.count_if(F.coalesce(F.size("declared_datasets"), F.lit(0)) > 0)
     state = latest.agg(
-        n.alias("targets"), F.count("license").alias("with_license"), _percent(F.count("license"), n).alias("license_pct"),
+        F.lit(f"{year}-W{week:02d}").alias("week_id"), n.alias("targets"), declared.alias("with_declaration"), _percent(declared, n).alias("declaration_pct"), F.count("license").alias("with_license"), _percent(F.count("license"), n).alias("license_pct"),
         F.count_if("has_training_section").alias("with_training"), (n - F.count("license")).alias("without_license"),
         F.count_if(~F.coalesce("has_training_section", F.lit(False))).alias("without_training"), F.round(F.avg("downloads"), 2).alias("mean_downloads"),
         *[F.count_if(access_state(F.col("http_status")) == x).alias(f"access_{x}") for x in ("ok", "forbidden", "not_found", "unknown", "error")],
     )
     since = lambda d: F.col("observed_at") >= F.expr(f"TIMESTAMP'{now}' - INTERVAL {d} DAYS")
-    events = changes.agg(F.count_if(since(7)).alias("events_7d"), F.count_if(since(30)).alias("events_30d"), F.count_distinct("target_id").alias("changed_targets"))
+    events = changes.agg(F.count_if(since(7)).alias("events_7d"), F.count_if(since(30)).alias("events_30d"), F.count_distinct("target_id").alias("changed_targets"), F.count_distinct(F.when(since(30), F.col("target_id"))).alias("changed_targets_30d"))
+    events = events.withColumn("changes_per_target_30d", F.round(F.col("events_30d") / F.greatest("changed_targets_30d", F.lit(1)), 2))
     return state.crossJoin(events)  # one row each
 
 
@@ -137,9 +142,10 @@ def org_disclosure(latest: DataFrame, n: int = 25) -> DataFrame:
     return rows.orderBy(F.desc("targets"), "org").limit(n)
 
 
-def latest_events(changes: DataFrame, n: int = 20) -> DataFrame:
-    """The last ``n`` changes."""
-    return changes.orderBy(F.desc("observed_at"), "target_id").limit(n).select("target_id", "observed_at", "changed")
+def latest_events(changes: DataFrame, now: str, n: int = 20, days: int = 7) -> DataFrame:
+    """The last ``n`` changes of the last ``days``."""
+    recent = changes.where(F.col("observed_at") >= F.expr(f"TIMESTAMP'{now}' - INTERVAL {days} DAYS"))
+    return recent.orderBy(F.desc("observed_at"), "target_id").limit(n).select("target_id", "observed_at", "changed")
 
 
 def gated_share(latest: DataFrame) -> DataFrame:
@@ -152,6 +158,11 @@ def movers(changes: DataFrame, n: int = 10) -> DataFrame:
     return changes.groupBy("target_id").agg(F.count(F.lit(1)).alias("events")).orderBy(F.desc("events"), "target_id").limit(n)
 
 
+def top_downloads(latest: DataFrame, n: int = 15) -> DataFrame:
+    """Most downloaded targets; those without downloads do not count."""
+    return latest.where("downloads > 0").orderBy(F.desc("downloads"), "target_id").limit(n).select("target_id", "downloads")
+
+
 def undocumented_tops(latest: DataFrame, n: int = 15, downloads: int = 10_000) -> DataFrame:
     """Most downloaded targets without a training section."""
     rows = latest.where((F.col("downloads") > downloads) & ~F.coalesce("has_training_section", F.lit(False)))
@@ -198,17 +209,19 @@ def public_evidence(observations: DataFrame) -> DataFrame:
 
 
 def license_snapshot(rows: DataFrame) -> DataFrame:
-    """Licence entropy (bits), share of unknown licences, and the 20 most frequent licences with their counts, per (dataset,
-    period)."""
+    """Licence entropy (bits), share of unknown licences, the 20 most frequent licences and all levels of confidence with their
+    counts, per (dataset, period). Licences are lower case; no licence is ``unknown``, and so is no ``confidence``."""
+    rows = rows.withColumns({"license": F.lower(F.coalesce("license", F.lit("unknown"))), "confidence": F.coalesce("confidence", F.lit("unknown"))})
     counts = rows.groupBy("dataset", "period", "license").agg(F.count(F.lit(1)).alias("n"))
     total = Window.partitionBy("dataset", "period")
     counts = counts.withColumn("p", F.col("n") / F.sum("n").over(total))
-    return counts.groupBy("dataset", "period").agg(
+    listed = lambda name: F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col(name).alias("x")))), lambda x: F.concat(x["x"], F.lit(":"), (-x["o"]).cast("string")))
+    licences = counts.groupBy("dataset", "period").agg(
         F.sum("n").alias("rows"), F.round(-F.sum(F.col("p") * F.log2("p")), 4).alias("entropy"),
-        F.round(F.coalesce(F.sum(F.when(F.col("license").isNull(), F.col("p"))), F.lit(0.0)), 4).alias("unknown_ratio"),
-        F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.coalesce("license", F.lit("unknown")).alias("license")))), 1, 20),
-                    lambda x: F.concat(x["license"], F.lit(":"), (-x["o"]).cast("string"))).alias("top"),
+        F.round(F.coalesce(F.sum(F.when(F.col("license") == "unknown", F.col("p"))), F.lit(0.0)), 4).alias("unknown_ratio"), F.slice(listed("license"), 1, 20).alias("top"),
     )
+    levels = rows.groupBy("dataset", "period", "confidence").agg(F.count(F.lit(1)).alias("n")).groupBy("dataset", "period").agg(listed("confidence").alias("confidences"))
+    return licences.join(levels, ["dataset", "period"])
 
 
 def license_drift(snapshots: DataFrame) -> DataFrame:

@@ -279,9 +279,12 @@ def new_targets(found: DataFrame, known: DataFrame) -> DataFrame:
     return key(found).join(key(known), "id", "left_anti")
 
 
-def one_per_org(targets: DataFrame, excluded: DataFrame, least: int, n: int) -> DataFrame:
-    """The most downloaded target of each organisation that is not excluded."""
-    rows = targets.where(F.col("downloads") >= least).withColumn("org", F.split("target_id", "/")[0]).join(excluded, "org", "left_anti")
+def one_per_org(targets: DataFrame, excluded: DataFrame, least: int, n: int, allowed: DataFrame | None = None) -> DataFrame:
+    """The most downloaded target of each organisation that is not excluded, and allowed where a list is given; names without an
+    organisation do not count."""
+    rows = targets.where((F.col("downloads") >= least) & F.col("target_id").contains("/")).withColumn("org", F.split("target_id", "/")[0]).join(excluded, "org", "left_anti")
+    if allowed is not None:
+        rows = rows.join(allowed, "org", "left_semi")
     best = rows.groupBy("org").agg(F.min_by(F.struct("target_id", "downloads"), F.struct(-F.col("downloads"), F.col("target_id"))).alias("b"))
     return best.select("org", "b.*").orderBy(F.desc("downloads"), "org").limit(n)
 

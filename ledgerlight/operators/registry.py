@@ -89,14 +89,25 @@ def ranking_stats(ranked: DataFrame) -> DataFrame:
     return sums.crossJoin(middle)  # one row each
 
 
-def latest_reports(reports: DataFrame, outreach: DataFrame, maximum: int) -> DataFrame:
-    """All reported models that were written to, filled up to ``maximum`` with the most recent of the others."""
-    flagged = reports.join(outreach.select(F.col("model_id")).distinct().withColumn("written", F.lit(True)), "model_id", "left")
+def latest_reports(reports: DataFrame, outreach: DataFrame, maximum: int, provenance: DataFrame | None = None) -> DataFrame:
+    """The newest report of each model (last by ``file_name``): all of models that were written to, filled up to ``maximum`` with
+    the most recent of the others.
+
+    ``provenance(model_id, base_model, license, has_training, declared, provenance_score)`` adds its fields, of the declared
+    datasets the first five.
+    """
+    kept = [c for c in reports.columns if c != "model_id"]
+    newest = reports.groupBy("model_id").agg(F.max_by(F.struct(*kept), "file_name").alias("r")).select("model_id", "r.*")
+    flagged = newest.join(outreach.select("model_id").distinct().withColumn("written", F.lit(True)), "model_id", "left")
     flagged = flagged.withColumn("written", F.coalesce("written", F.lit(False)))
     first = flagged.where("written")
     room = max(0, maximum - first.count())
     rest = flagged.where(~F.col("written")).orderBy(F.desc("reported_on"), "model_id").limit(room)
-    return first.unionByName(rest)
+    chosen = first.unionByName(rest)
+    if provenance is None:
+        return chosen
+    found = provenance.withColumn("declared", F.slice("declared", 1, 5)).withColumn("has_provenance", F.lit(True))
+    return chosen.join(found, "model_id", "left").withColumn("has_provenance", F.coalesce("has_provenance", F.lit(False)))
 
 
 def report_metrics(reports: DataFrame) -> DataFrame:
@@ -205,6 +216,15 @@ def warranty_index(packs: DataFrame) -> DataFrame:
 
 
 def passports(reports: DataFrame, comparisons: DataFrame) -> DataFrame:
-    """Rank, report and number of comparisons per model; comparisons count for both their members."""
-    members = comparisons.select(F.explode(F.array("left_id", "right_id")).alias("model_id")).groupBy("model_id").agg(F.count(F.lit(1)).alias("comparisons"))
-    return model_ranking(reports).join(members, "model_id", "left").select("model_id", "rank", "score", "severity", F.coalesce("comparisons", F.lit(0)).alias("comparisons"))
+    """Rank and report of every model, and the evidence of its comparisons with other models.
+
+    ``comparisons(run, left_id, right_id, relationship, confidence, comparison_hash)`` count for both their members; the first of the
+    runs (then by its hash) gives relationship, match and evidence.
+    """
+    fields = ("relationship", "confidence", "comparison_hash")
+    sides = F.array(*[F.struct(F.col(a).alias("model_id"), F.col(b).alias("match")) for a, b in (("left_id", "right_id"), ("right_id", "left_id"))])
+    members = comparisons.withColumn("side", F.explode(F.array_distinct(sides))).select("side.*", "run", *fields)
+    found = members.groupBy("model_id").agg(F.count(F.lit(1)).alias("comparisons"), F.min_by(F.struct("relationship", "confidence", "match", "comparison_hash"), F.struct("run", "comparison_hash", "match")).alias("c"))
+    rows = model_ranking(reports).join(found, "model_id", "left")
+    return rows.select("model_id", "rank", "score", "severity", F.coalesce("comparisons", F.lit(0)).alias("comparisons"), F.col("c").isNotNull().alias("compared"), "c.relationship", "c.confidence",
+                       F.col("c.match").alias("primary_match"), F.col("c.comparison_hash").alias("evidence_hash"))
\ No newline at end of file

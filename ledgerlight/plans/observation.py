@@ -26,7 +26,7 @@ def _evidence(s, sf):
 
 
 def _latest(s, sf):
-    return v.snapshots(s, sf).groupBy("target_id").agg(F.max_by(F.struct("license", "http_status", "has_training_section", "downloads"), "observed_at").alias("s")).select("target_id", "s.*")
+    return v.snapshots(s, sf).groupBy("target_id").agg(F.max_by(F.struct("license", "http_status", "has_training_section", "downloads", "declared_datasets"), "observed_at").alias("s")).select("target_id", "s.*")
 
 
 def _changes(s, sf):
@@ -47,7 +47,8 @@ def _hashed(s, sf, shift):
 
 def _licenses(s, sf):
     return v.table(s, sf, "lineitem").select(F.concat(F.lit("d"), (F.col("l_suppkey") % 20).cast("string")).alias("dataset"), F.date_format("l_shipdate", "yyyy-MM").alias("period"),
-                                             F.when(F.col("l_linenumber") % 4 > 0, F.concat("l_returnflag", "l_linestatus")).alias("license"))
+                                             F.when(F.col("l_linenumber") % 4 > 0, F.when(F.col("l_linenumber") == 5, "Unknown").otherwise(F.concat("l_returnflag", "l_linestatus"))).alias("license"),
+                                             F.when(F.col("l_linenumber") % 3 == 0, "high").when(F.col("l_linenumber") % 3 == 1, F.col("l_returnflag")).alias("confidence"))
 
 
 def _unanswered(s, f):
@@ -68,7 +69,8 @@ QUERIES = {
     "d10_org_disclosure": lambda s, f: d.org_disclosure(_latest(s, f)),
     "d11_movers": lambda s, f: d.movers(_changes(s, f)),
     "d11_undocumented_tops": lambda s, f: d.undocumented_tops(_latest(s, f)),
-    "d11_latest_events": lambda s, f: d.latest_events(_changes(s, f)),
+    "d11_latest_events": lambda s, f: d.latest_events(_changes(s, f), NOW),
+    "d11_top_downloads": lambda s, f: d.top_downloads(_latest(s, f)),
     "d11_gated_share": lambda s, f: d.gated_share(_latest(s, f)),
     "d12_temporal_metrics": lambda s, f: d.temporal_metrics(v.observations(s, f)),
     "d12_with_metrics": lambda s, f: d.with_metrics(v.observations(s, f)).select("observation_id", "target_id", "days", "n", "absence_days"),
@@ -88,11 +90,13 @@ f1 AS (SELECT *, lag(fp) OVER (PARTITION BY target_id ORDER BY observed_at) AS l
 ch AS (SELECT * FROM f1 WHERE lfp IS NULL OR lat_ < observed_at - INTERVAL 30 DAY OR fp <> lfp)
 """
 _L = """
-WITH r AS (SELECT 'd' || (l_suppkey % 20) AS dataset, strftime(l_shipdate, '%Y-%m') AS period, CASE WHEN l_linenumber % 4 > 0 THEN l_returnflag || l_linestatus END AS license FROM lineitem),
-c AS (SELECT dataset, period, license, count(*) AS n FROM r GROUP BY ALL),
+WITH r AS (SELECT 'd' || (l_suppkey % 20) AS dataset, strftime(l_shipdate, '%Y-%m') AS period, CASE WHEN l_linenumber = 5 OR l_linenumber % 4 = 0 THEN 'unknown' ELSE lower(l_returnflag || l_linestatus) END AS license,
+  CASE l_linenumber % 3 WHEN 0 THEN 'high' WHEN 1 THEN l_returnflag ELSE 'unknown' END AS confidence FROM lineitem),
+cf AS (SELECT dataset, period, list_transform(list_sort(list({'o': -n, 'x': confidence})), lambda x: x.x || ':' || (-x.o)) AS confidences FROM (SELECT dataset, period, confidence, count(*) AS n FROM r GROUP BY ALL) GROUP BY 1, 2),
+c AS (SELECT dataset, period, license, count(*) AS n FROM r GROUP BY 1, 2, 3),
 p AS (SELECT *, n / sum(n) OVER (PARTITION BY dataset, period) AS p FROM c),
-e AS (SELECT dataset, period, sum(n)::BIGINT AS rows, round(-sum(p * log2(p)), 4) AS entropy, round(coalesce(sum(p) FILTER (license IS NULL), 0), 4) AS unknown_ratio,
-  list_transform(list_sort(list({'o': -n, 'license': coalesce(license, 'unknown')}))[1:20], lambda x: x.license || ':' || (-x.o)) AS top FROM p GROUP BY 1, 2)
+e AS (SELECT dataset, period, sum(n)::BIGINT AS rows, round(-sum(p * log2(p)), 4) AS entropy, round(coalesce(sum(p) FILTER (license = 'unknown'), 0), 4) AS unknown_ratio,
+  list_transform(list_sort(list({'o': -n, 'license': license}))[1:20], lambda x: x.license || ':' || (-x.o)) AS top FROM p GROUP BY 1, 2)
 """
 
 SQL = {
@@ -129,7 +133,10 @@ SQL = {
           count(*) - count(license) AS without_license, count(*) FILTER (NOT has_training_section) AS without_training, round(avg(downloads), 2) AS mean_downloads,
           count(*) FILTER (http_status = 404) AS access_not_found, count(*) FILTER (http_status IS NULL) AS access_unknown, 0::BIGINT AS access_error,
           (SELECT count(*) FROM ch WHERE observed_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS events_7d,
-          (SELECT count(*) FROM ch WHERE observed_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY) AS events_30d, (SELECT count(DISTINCT target_id) FROM ch) AS changed_targets FROM lat""",
+          (SELECT count(*) FROM ch WHERE observed_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY) AS events_30d, (SELECT count(DISTINCT target_id) FROM ch) AS changed_targets,
+          strftime(TIMESTAMP '{NOW}', '%G-W%V') AS week_id, count(*) FILTER (len(declared_datasets) > 0) AS with_declaration, round(100.0 * count(*) FILTER (len(declared_datasets) > 0) / count(*), 1) AS declaration_pct,
+          (SELECT count(DISTINCT target_id) FROM ch WHERE observed_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY) AS changed_targets_30d,
+          (SELECT round(count(*) / greatest(count(DISTINCT target_id), 1), 2) FROM ch WHERE observed_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY) AS changes_per_target_30d FROM lat""",
     "d10_org_disclosure": f"{_S} SELECT split_part(target_id, '/', 1) AS org, count(*) AS targets, round(100.0 * count(license) / count(*), 1) AS license_pct FROM lat GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25",
     "d11_movers": f"{_S} SELECT target_id, count(*) AS events FROM ch GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "d11_undocumented_tops": f"{_S} SELECT target_id, downloads FROM lat WHERE downloads > 10000 AND NOT has_training_section ORDER BY 2 DESC, 1 LIMIT 15",
@@ -137,7 +144,8 @@ SQL = {
           WINDOW w AS (PARTITION BY target_id ORDER BY observed_at))
         SELECT target_id, observed_at, CASE WHEN lfp IS NOT NULL THEN list_filter([CASE WHEN declared_datasets <> l2 THEN 'declared_datasets' END, CASE WHEN has_training_section <> l3 THEN 'has_training_section' END,
           CASE WHEN http_status <> l4 THEN 'http_status' END, CASE WHEN license IS DISTINCT FROM l1 THEN 'license' END], lambda x: x IS NOT NULL) END AS changed
-        FROM f2 WHERE lfp IS NULL OR lat_ < observed_at - INTERVAL 30 DAY OR fp <> lfp ORDER BY observed_at DESC, target_id LIMIT 20""",
+        FROM f2 WHERE (lfp IS NULL OR lat_ < observed_at - INTERVAL 30 DAY OR fp <> lfp) AND observed_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY ORDER BY observed_at DESC, target_id LIMIT 20""",
+    "d11_top_downloads": f"{_S} SELECT target_id, downloads FROM lat WHERE downloads > 0 ORDER BY 2 DESC, 1 LIMIT 15",
     "d11_gated_share": f"{_S} SELECT round(100.0 * count(*) FILTER (http_status = 403) / count(*), 1) AS gated_pct FROM lat",
     "d12_with_metrics": f"""WITH {v.OBSERVATIONS}, a AS (SELECT target_id, min(observation_timestamp) AS f, max(observation_timestamp) AS l, count(*) AS n,
             max(observation_timestamp) FILTER (observation_type <> 'absence') AS lp FROM observations GROUP BY 1),
@@ -152,7 +160,7 @@ SQL = {
     "d13_public_evidence": f"WITH {v.OBSERVATIONS} SELECT observation_id, 'sha256:' || receipt_hash AS proof, (evidence_text::JSON->>'$.k')::INTEGER AS evidence,"
         " CASE WHEN observation_id % 3 = 0 THEN ['NEC#' || (observation_id % 20 + 1)] ELSE []::VARCHAR[] END AS violations,"
         " CASE WHEN observation_id % 3 = 0 THEN ['sha256:' || upper(receipt_hash), 'sha256:ab'] ELSE []::VARCHAR[] END AS proofs FROM observations",
-    "d14_license_snapshot": f"{_L} SELECT * FROM e",
+    "d14_license_snapshot": f"{_L} SELECT * FROM e JOIN cf USING (dataset, period)",
     "d15_license_drift": f"""{_L}, g AS (SELECT dataset, period, round(0.6 * abs(entropy - lag(entropy) OVER w) + 0.4 * abs(unknown_ratio - lag(unknown_ratio) OVER w), 6) AS drift FROM e
         WINDOW w AS (PARTITION BY dataset ORDER BY period))
         SELECT *, CASE WHEN drift < 0.05 THEN 'low' WHEN drift < 0.15 THEN 'medium' ELSE 'high' END AS level FROM g WHERE drift IS NOT NULL""",

@@ -73,8 +73,25 @@ def _packs(s, f):
 
 
 def _comparisons(s, f):
-    rep = v.reports(s, f)
-    return rep.where("part_key % 10 = 0").select(F.col("model_id").alias("left_id"), F.concat(F.split("model_id", "/")[0], F.lit("/m"), F.col("part_key").cast("string")).alias("right_id"))
+    """Two runs over some models: with a fork, and some with themselves."""
+    rep, k = v.reports(s, f).where("part_key % 10 = 0"), F.col("part_key")
+    pair = lambda run, left, right, says: rep.select(F.lit(run).alias("run"), left.alias("left_id"), right.alias("right_id"), F.lit(says).alias("relationship"), (k % 7 / 8).alias("confidence"),
+                                                     F.sha2(F.concat(F.lit(says), k.cast("string")), 256).alias("comparison_hash"))
+    fork = F.concat(F.lit("fork/m"), k.cast("string"))
+    return pair(2, F.col("model_id"), fork, "derived").unionByName(pair(1, fork, F.col("model_id"), "equal").where("confidence > 0.5")).unionByName(
+        pair(3, F.col("model_id"), F.col("model_id"), "self"))
+
+
+def _filed(s, f):
+    """Two files of each report, the older one with another score."""
+    rep = v.reports(s, f).withColumn("file_name", F.lit("2024-02.json"))
+    return rep.unionByName(rep.withColumns({"file_name": F.lit("2024-01.json"), "score": F.lit(-1.0), "reported_on": F.lit("2020-01-01").cast("date")}))
+
+
+def _shown(s, f):
+    """Provenance of some of the models."""
+    k = F.col("part_key")
+    return v.reports(s, f).where(k % 3 == 0).select("model_id", F.transform(F.sequence(F.lit(1), (k % 8 + 1).cast("int")), lambda i: F.concat(F.lit("ds"), i.cast("string"))).alias("declared"), (k % 10 / 10).alias("provenance_score"))
 
 
 def _edges(s, f):
@@ -119,7 +136,7 @@ QUERIES = {
     "r2_model_ranking": lambda s, f: r.model_ranking(v.reports(s, f)).select("model_id", "rank", "score"),
     "r3_org_ranking": lambda s, f: r.org_ranking(v.reports(s, f)),
     "r4_ranking_stats": lambda s, f: r.ranking_stats(r.model_ranking(v.reports(s, f))),
-    "r5_latest_reports": lambda s, f: r.latest_reports(v.reports(s, f), _written(s, f), 700).select("model_id", "written", "reported_on"),
+    "r5_latest_reports": lambda s, f: r.latest_reports(_filed(s, f), _written(s, f), 700, _shown(s, f)).select("model_id", "written", "reported_on", "score", "file_name", "declared", "provenance_score", "has_provenance"),
     "r6_report_metrics": lambda s, f: r.report_metrics(v.reports(s, f)),
     "r10_enrich_with_report": lambda s, f: r.enrich_with_report(_report_targets(s, f), v.reports(s, f)),
     "r11_drift_after_outreach": lambda s, f: _after_with_report(s, f).withColumn("changes", F.array_sort("changes")),
@@ -151,6 +168,7 @@ QUERIES = {
     "m1_merge_targets": lambda s, f: g.merge_targets(v.targets(s, f)),
     "m2_new_targets": lambda s, f: g.new_targets(v.targets(s, f).where("source <> 'registry'"), _known(s, f)),
     "m3_one_per_org": lambda s, f: g.one_per_org(v.targets(s, f), s.createDataFrame([("org3",)], "org string"), 100, 25),
+    "m3_allowed_orgs": lambda s, f: g.one_per_org(v.targets(s, f), s.createDataFrame([("org3",)], "org string"), 100, 25, v.targets(s, f).where("downloads % 2 = 0").select(F.split("target_id", "/")[0].alias("org")).distinct()),
     "m4_search_targets": lambda s, f: g.search_targets(v.targets(s, f), v.targets(s, f).where("downloads % 2 = 0").select(F.col("target_id").alias("model_id"))),
 }
 
@@ -253,8 +271,10 @@ SQL = {
         SELECT *, row_number() OVER (ORDER BY mean_score DESC, models DESC, org) AS rank FROM o""",
     "r4_ranking_stats": f"""{_R} SELECT count(*) AS n, round(avg(score), 4) AS mean, count(*) FILTER (score = 0) AS zeros, count(*) FILTER (score >= 95) AS top,
         (SELECT score FROM rk WHERE rank = (SELECT count(*) - count(*) // 2 FROM rk)) AS median FROM rk""",
-    "r5_latest_reports": f"""{_R}, k AS (SELECT *, part_key % 4 = 0 AS written, row_number() OVER (PARTITION BY part_key % 4 = 0 ORDER BY reported_on DESC, model_id) AS i,
-        count(*) FILTER (part_key % 4 = 0) OVER () AS w FROM reports) SELECT model_id, written, reported_on FROM k WHERE written OR i <= greatest(0, 700 - w)""",
+    "r5_latest_reports": f"""WITH {v.REPORTS}, k AS (SELECT *, part_key % 4 = 0 AS written, row_number() OVER (PARTITION BY part_key % 4 = 0 ORDER BY reported_on DESC, model_id) AS i,
+        count(*) FILTER (part_key % 4 = 0) OVER () AS w FROM reports) SELECT model_id, written, reported_on, score, '2024-02.json' AS file_name,
+        CASE WHEN part_key % 3 = 0 THEN list_transform(range(1, least(part_key % 8 + 1, 5) + 1), lambda i: 'ds' || i) END AS declared, CASE WHEN part_key % 3 = 0 THEN part_key % 10 / 10 END AS provenance_score, part_key % 3 = 0 AS has_provenance
+        FROM k WHERE written OR i <= greatest(0, 700 - w)""",
     "r6_report_metrics": f"""WITH {v.REPORTS}, k AS (SELECT *, len(list_filter(observations, lambda o: o.status = 'PRESENT')) AS p, len(list_filter(observations, lambda o: o.status = 'ABSENT')) AS a FROM reports)
         SELECT model_id, floor(p::DOUBLE / (p + a) * 100)::INTEGER AS completeness, CASE observations[1].status WHEN 'PRESENT' THEN 'present' WHEN 'ABSENT' THEN 'missing' ELSE 'unknown' END AS provenance,
           CASE WHEN a = 0 THEN 'complete' ELSE 'partial' END AS documentation, list_transform(list_filter(observations, lambda o: o.status = 'ABSENT'), lambda o: o.nec_id)[1:3] AS missing FROM k""",
@@ -269,7 +289,9 @@ SQL = {
         CASE WHEN min(hours_after) >= 72 THEN 'high' WHEN min(hours_after) >= 24 THEN 'medium' ELSE 'low' END AS confidence FROM af GROUP BY 1""",
     "r14_warranty_packs": f"{_P} SELECT * FROM pk",
     "r15_warranty_index": f"{_P} SELECT state, confidence, count(*) AS models, round(avg(len(claims)), 4) AS mean_claims FROM pk GROUP BY 1, 2",
-    "r16_passports": f"{_R} SELECT model_id, rank, score, severity, CASE WHEN part_key % 10 = 0 THEN 2 ELSE 0 END AS comparisons FROM rk",
+    "r16_passports": f"""{_R}, x AS (SELECT *, part_key % 10 = 0 AS c, part_key % 10 = 0 AND part_key % 7 / 8 > 0.5 AS e FROM rk)
+        SELECT model_id, rank, score, severity, CASE WHEN e THEN 3 WHEN c THEN 2 ELSE 0 END AS comparisons, c AS compared, CASE WHEN e THEN 'equal' WHEN c THEN 'derived' END AS relationship,
+          CASE WHEN c THEN part_key % 7 / 8 END AS confidence, CASE WHEN c THEN 'fork/m' || part_key END AS primary_match, CASE WHEN e THEN sha256('equal' || part_key) WHEN c THEN sha256('derived' || part_key) END AS evidence_hash FROM x""",
     "g1_lineage_edges": f"{_G} SELECT * FROM ed",
     "g1_lineage_nodes": f"{_G} SELECT * FROM nd",
     "g2_merge_graph": f"{_G} SELECT DISTINCT source, target, type, CASE WHEN type = 'owns' THEN 1.0 ELSE 0.1 END::DOUBLE AS weight, CASE WHEN type = 'owns' THEN 0 ELSE 1 END AS from_source FROM ed",
@@ -297,7 +319,10 @@ SQL = {
     "m1_merge_targets": f"""{_T} SELECT lower(target_id) AS id, type, source, downloads, private FROM targets QUALIFY row_number() OVER (PARTITION BY lower(target_id), type
         ORDER BY CASE source WHEN 'registry' THEN 0 WHEN 'models' THEN 1 ELSE 2 END, downloads DESC) = 1""",
     "m2_new_targets": f"{_T} SELECT DISTINCT lower(target_id) AS id FROM targets WHERE source <> 'registry' AND lower(target_id) NOT IN (SELECT lower(target_id) FROM targets WHERE source = 'registry')",
-    "m3_one_per_org": f"""{_T} SELECT split_part(target_id, '/', 1) AS org, target_id, downloads FROM targets WHERE downloads >= 100 AND split_part(target_id, '/', 1) <> 'org3'
+    "m3_one_per_org": f"""{_T} SELECT split_part(target_id, '/', 1) AS org, target_id, downloads FROM targets WHERE downloads >= 100 AND contains(target_id, '/') AND split_part(target_id, '/', 1) <> 'org3'
+        QUALIFY row_number() OVER (PARTITION BY split_part(target_id, '/', 1) ORDER BY downloads DESC, target_id) = 1 ORDER BY downloads DESC, org LIMIT 25""",
+    "m3_allowed_orgs": f"""{_T} SELECT split_part(target_id, '/', 1) AS org, target_id, downloads FROM targets WHERE downloads >= 100 AND contains(target_id, '/') AND split_part(target_id, '/', 1) <> 'org3'
+          AND split_part(target_id, '/', 1) IN (SELECT split_part(target_id, '/', 1) FROM targets WHERE downloads % 2 = 0)
         QUALIFY row_number() OVER (PARTITION BY split_part(target_id, '/', 1) ORDER BY downloads DESC, target_id) = 1 ORDER BY downloads DESC, org LIMIT 25""",
     "m4_search_targets": f"{_T}, h AS (SELECT DISTINCT lower(target_id) AS id FROM targets WHERE downloads % 2 = 0) SELECT type, h.id IS NOT NULL AS has_report, count(*) AS targets FROM targets LEFT JOIN h ON lower(target_id) = h.id GROUP BY 1, 2",
 }
