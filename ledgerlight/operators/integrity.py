@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import os
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -138,10 +139,43 @@ def manifest_issues(manifests: DataFrame) -> DataFrame:
     return rows.select("bundle", F.concat(F.array_compact(F.array(*whole, *missing)), F.coalesce(bad, F.expr("cast(array() as array<string>)"))).alias("issues"))
 
 
-def stored_files(spark, path: str) -> DataFrame:
-    """``(path, length, digest)`` of files under ``path``; files of 2 GB and more are out of its reach."""
+#: Files from this size on are read in pieces; smaller ones Spark reads whole (it can up to 2 GB).
+WHOLE, PIECE = 256 << 20, 8 << 20
+
+
+def stored_files(spark, path: str, whole: int = WHOLE) -> DataFrame:
+    """``(path, length, digest)`` of the files under ``path``, of any size but empty ones, which Spark does not list.
+
+    The listing has no content. Files of ``whole`` bytes and more are dealt out by their paths, and each is read as a stream
+    of pieces by one task, which needs a file system that Arrow can open; the others are read by Spark.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("digest"))
+    small = files.where(F.col("length") < whole).select("path", "length", F.sha2("content", 256).alias("digest"))  # the filter reaches the listing
+    large = files.where(F.col("length") >= whole).select("path", "length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            digests = []
+            for uri in batch.column("path").to_pylist():
+                scheme, host, name = re.fullmatch(r"(?s)([a-z0-9]+):(?://([^/]*))?(/.*)", uri).groups()  # names are not escaped
+                system, base = (fs.LocalFileSystem(), "") if scheme == "file" else fs.FileSystem.from_uri(f"{scheme}://{host or ''}/")
+                digest = hashlib.sha256()
+                with system.open_input_stream(base.rstrip("/") + name) as stream:
+                    while piece := stream.read(PIECE):
+                        digest.update(piece)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(digests, pa.string())], ["path", "length", "digest"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return small.unionByName(large.repartition(n, "path").mapInArrow(run, "path string, length long, digest string"))
+
+
+def in_bundles(files: DataFrame, root: str) -> DataFrame:
+    """Files under ``root`` as ``(bundle, path, length, digest)``: the first folder is the bundle, the rest the path in it."""
+    inside = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + re.escape(re.sub("^[a-z]+:/+", "/", root.rstrip("/"))) + "/", "")
+    return files.select(F.substring_index(inside, "/", 1).alias("bundle"), F.regexp_replace(inside, "^[^/]*/", "").alias("path"), "length", "digest")
 
 
 def evidence_status(inventory: DataFrame, gaps: DataFrame, severe: float = 0.8) -> DataFrame:

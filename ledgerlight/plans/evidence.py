@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_folder
 from ..operators import integrity as h
 from ..operators import validation as val
 from ..sources import views as v
@@ -59,6 +62,21 @@ def _objects(s, d):
     return val.parse(dirty(s, d)).where("kind = 'OBJECT'")
 
 
+def _artifacts(s, d):
+    """A text artifact for each report, and what its manifest declares of it: some with a wrong size or digest, some missing."""
+    k = F.col("part_key")
+    value = F.concat(F.lit("artifact of "), "model_id", F.lit(" "), F.repeat(F.col("type"), (k % 50).cast("int")))
+    rows = v.reports(s, d).select(F.replace("model_id", F.lit("/"), F.lit("__")).alias("bundle"), k, value.alias("value"))
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    rows.where(k % 9 > 0).select("bundle", "value").write.partitionBy("bundle").text(path)
+    file = F.concat("value", F.lit("\n"))
+    declared = rows.select(F.concat(F.lit("bundle="), "bundle").alias("bundle"), F.lit("artifact").alias("path"), (F.octet_length(file) + F.when(k % 5 == 0, 1).otherwise(0)).cast("long").alias("bytes"),
+                           F.sha2(F.concat(file, F.when(k % 7 == 0, "x").otherwise("")), 256).alias("sha256"))
+    # a third of the files is read in pieces, as if they were large
+    stored = h.in_bundles(h.stored_files(s, path, whole=600), path).withColumn("path", F.lit("artifact"))
+    return h.verify_artifacts(declared, stored)
+
+
 def _chain_lines(s, d):
     rows = v.table(s, d, "lineitem")
     from pyspark.sql import Window
@@ -129,6 +147,7 @@ QUERIES = {
     "h2_verify_chains": lambda s, d: h.verify_chains(_chain_lines(s, d), _tampered(s, d), CHUNK),
     "h3_canonical_hash": lambda s, d: v.providers(s, d).select("provider_id", h.canonical_hash(["provider_id", "eligible", "kyc_tier"]).alias("digest")),
     "h4_verify_artifacts": lambda s, d: h.verify_artifacts(_declared(s, d), _stored(s, d)),
+    "h4_stored_files": lambda s, d: _artifacts(s, d),
     "h4_manifest_issues": lambda s, d: h.manifest_issues(_manifests(s, d)),
     "h5_evidence_status": lambda s, d: h.evidence_status(
         v.reports(s, d).select(F.col("org").alias("bundle"), F.concat(F.lit("r"), F.when(F.col("part_key") % 2 == 0, ".json").otherwise(".bin")).alias("name")),
@@ -188,6 +207,8 @@ SQL = {
           CASE WHEN doc_id % 11 = 0 THEN 'OUTSIDE_BUNDLE' WHEN doc_id % 13 = 0 THEN 'MISSING' WHEN doc_id % 7 = 1 THEN 'SIZE_AND_HASH_MISMATCH'
             WHEN doc_id % 7 = 2 THEN CASE WHEN strlen(regexp_replace(text, '^.', '#')) <> strlen(text) THEN 'SIZE_AND_HASH_MISMATCH' ELSE 'HASH_MISMATCH' END
             ELSE 'OK' END AS status FROM documents""",
+    "h4_stored_files": f"""WITH {v.REPORTS} SELECT 'bundle=' || replace(model_id, '/', '__') AS bundle, 'artifact' AS path, CASE WHEN part_key % 9 = 0 THEN 'MISSING' WHEN part_key % 35 = 0 THEN 'SIZE_AND_HASH_MISMATCH'
+        WHEN part_key % 5 = 0 THEN 'SIZE_MISMATCH' WHEN part_key % 7 = 0 THEN 'HASH_MISMATCH' ELSE 'OK' END AS status FROM reports""",
     "h4_manifest_issues": f"""WITH {v.REPORTS} SELECT model_id AS bundle, CASE WHEN part_key % 7 = 0 THEN ['invalid JSON'] ELSE
         CASE part_key % 5 WHEN 1 THEN ['schema'] WHEN 2 THEN ['contract'] ELSE []::VARCHAR[] END
         || CASE part_key % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['path of hashchain', 'path of trust_bundle'] WHEN 3 THEN ['artifacts']

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -116,16 +115,8 @@ def _written_snapshots(s, f):
 def _store(s, f):
     k = F.col("part_key")
     body = F.to_json(F.struct(F.when(k % 2 == 0, F.col("model_id")).alias("model_id"), "score"))
-    rows = v.reports(s, f).select(F.replace("model_id", F.lit("/"), F.lit("__")).alias("name"), body.alias("value"))
-    path = folder(s).removeprefix("file:")
-    os.makedirs(path)
-
-    def write(reports):
-        for r in reports:
-            with open(f"{path}/{r['name']}.json", "w", encoding="utf-8") as out:
-                out.write(r["value"])
-
-    rows.foreachPartition(write)
+    path = folder(s)
+    a.write_report_store(v.reports(s, f).select(F.col("model_id").alias("name"), body.alias("value")), path)
     return a.read_report_store(s, path)
 
 

@@ -273,3 +273,13 @@ def test_all_vectors_are_searched(spark, duck):
     receipts = plans.queries()["c4_attribution_receipts"](spark, SF)
     assert receipts.count() == len({query for query, _ in want})
     assert plans.queries()["c5_calibrate_alpha"](spark, SF).count() == 5
+
+
+@pytest.mark.parametrize("whole", [0, 50, 1 << 20])
+def test_stored_files_of_any_size(spark, tmp_path, whole):
+    bodies = {"a/x.txt": b"", "a/deep/er/y.bin": bytes(range(256)) * 5, "b/ä %20 z.txt": b"text" * 10}
+    for name, body in bodies.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    got = {f"{r.bundle}/{r.path}": (r.length, r.digest) for r in integrity.in_bundles(integrity.stored_files(spark, str(tmp_path), whole), str(tmp_path)).collect()}
+    assert got == {name: (len(body), hashlib.sha256(body).hexdigest()) for name, body in bodies.items() if body}
