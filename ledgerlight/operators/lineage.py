@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
+
 
 def node_id(kind: str, name: Column) -> Column:
     return F.concat(F.lit(kind[0]), F.lit("_"), F.substring(F.sha2(F.concat(F.lit(kind + ":"), F.lower(name)), 256), 1, 12))
@@ -139,7 +141,7 @@ def graph_rates(models: DataFrame) -> DataFrame:
 
 def most_depended(models: DataFrame, n: int = 15) -> DataFrame:
     """Base models by the number of models that build on them, directly or along their chain."""
-    used = base_chain(models).select("model_id", F.explode("bases").alias("base_model"))
+    used = ancestors(models, 5).withColumnRenamed("ancestor", "base_model")
     return used.groupBy("base_model").agg(F.count(F.lit(1)).alias("dependents")).orderBy(F.desc("dependents"), "base_model").limit(n)
 
 
@@ -177,17 +179,33 @@ def redact_graph(nodes: DataFrame) -> DataFrame:
     return nodes.select("model_id", "org", level.alias("transparency"))
 
 
+def ancestors(models: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``(model_id, ancestor, distance)``: every base of each model along its chain, to any depth or to ``max_depth``.
+
+    Pointers are doubled: a round joins the ancestors at the greatest distance so far with all of theirs, so a chain of n
+    bases takes about log2(n) rounds. An ancestor that comes again on the way closes a cycle; it and what follows do not count,
+    nor does the model itself. A base that is no model of the table ends the chain. Models have one base each.
+    """
+    step = models.where("base_model is not null and base_model <> model_id").select("model_id", F.col("base_model").alias("ancestor"), F.lit(1).alias("distance")).distinct()
+    every, reach = stored(step), 1
+    while max_depth is None or reach < max_depth:
+        far = every.where(F.col("distance") == reach).select("model_id", F.col("ancestor").alias("at"), F.col("distance").alias("before"))
+        more = every.select(F.col("model_id").alias("at"), "ancestor", "distance")
+        new = far.join(more, "at").select("model_id", "ancestor", (F.col("before") + F.col("distance")).alias("distance"))
+        if max_depth is not None:
+            new = new.where(F.col("distance") <= max_depth)
+        both = every.unionByName(new.where("ancestor <> model_id")).groupBy("model_id", "ancestor").agg(F.min("distance").alias("distance"))
+        before, every, reach = every, stored(both), 2 * reach
+        if max_depth is None and every.count() == before.count():
+            break
+    return every
+
+
 def base_chain(models: DataFrame, max_depth: int = 5) -> DataFrame:
     """Base models of each model in turn; the chain ends at a cycle, an unknown base or ``max_depth``."""
-    base = models.select(F.col("model_id").alias("at"), F.col("base_model").alias("next"))
-    rows = models.select("model_id", F.array("model_id").alias("chain"), F.col("base_model").alias("next"))
-    for _ in range(max_depth):
-        grow = F.col("next").isNotNull() & ~F.array_contains("chain", F.coalesce("next", F.lit("")))
-        rows = rows.withColumn("grow", grow).withColumn("chain", F.when(F.col("grow"), F.array_append("chain", F.col("next"))).otherwise(F.col("chain")))
-        # chains that have ended look for a name of their own that no model has, so that they do not meet in one task
-        at = F.when(F.col("grow"), F.col("next")).otherwise(F.concat(F.lit("\x00"), "model_id"))
-        rows = rows.withColumn("at", at).drop("next", "grow").join(base, "at", "left").drop("at")
-    return rows.select("model_id", F.expr("slice(chain, 2, size(chain))").alias("bases"))
+    bases = ancestors(models, max_depth).groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("distance", "ancestor"))).alias("b"))
+    rows = models.select("model_id").join(bases, "model_id", "left")
+    return rows.select("model_id", F.coalesce(F.transform("b", lambda x: x["ancestor"]), F.expr("cast(array() as array<string>)")).alias("bases"))
 
 
 #: Signals that a model takes over from its base, and kinds of signals that make a declared or an inferred dataset.

@@ -159,6 +159,7 @@ QUERIES = {
     "b4_redact_graph": lambda s, f: g.redact_graph(v.chains(s, f)),
     "n10_inherited_signals": lambda s, f: g.inherited_signals(v.model_signals(s, f), v.chains(s, f)).withColumn("confidence", F.round("confidence", 6)),
     "n11_provenance_score": lambda s, f: _provenance(s, f),
+    "n12_ancestors": lambda s, f: g.ancestors(v.chains(s, f)),
     "n12_base_chain": lambda s, f: g.base_chain(v.chains(s, f)),
     "n13_best_and_worst": lambda s, f: g.best_and_worst(v.chains(s, f)),
     "n13_scan_summary": lambda s, f: g.scan_summary(v.chains(s, f)),
@@ -304,6 +305,10 @@ SQL = {
     "b4_redact_graph": f"{_G} SELECT model_id, org, CASE WHEN score >= 0.7 THEN 'transparent' WHEN score >= 0.4 THEN 'partial' WHEN score > 0 THEN 'opaque' END AS transparency FROM chains",
     "n10_inherited_signals": f"{_G} SELECT model_id, signal, value, round(confidence, 6)::DOUBLE AS confidence, source FROM inh",
     "n11_provenance_score": f"{_G} SELECT model_id, base_model, license, declared, inferred, has_training, provenance_score FROM prv",
+    "n12_ancestors": f"""WITH RECURSIVE {v.CHAINS}, an(model_id, ancestor, distance, path) AS (
+        SELECT model_id, base_model, 1, [model_id, base_model] FROM chains WHERE base_model IS NOT NULL AND base_model <> model_id
+        UNION ALL SELECT an.model_id, base_model, distance + 1, list_append(path, base_model) FROM an JOIN chains c ON c.model_id = ancestor WHERE base_model IS NOT NULL AND NOT list_contains(path, base_model))
+        SELECT model_id, ancestor, distance FROM an""",
     "n12_base_chain": f"{_G} SELECT model_id, bases FROM chn",
     "n13_best_and_worst": f"""{_G} SELECT 'best' AS "end", model_id, score FROM (SELECT * FROM chains ORDER BY score DESC, model_id LIMIT 10)
         UNION ALL SELECT 'worst', model_id, score FROM (SELECT * FROM chains ORDER BY score, model_id LIMIT 10)""",

@@ -66,3 +66,16 @@ def test_graph_of_three_sources(spark):
 def test_graph_of_nothing(spark):
     nodes, edges = graph(spark)
     assert nodes.count() == edges.count() == 0
+
+
+def test_ancestors_of_any_depth(spark):
+    line = [(f"n{k}", f"n{k - 1}") for k in range(1, 40)]  # n0 is no model of the table
+    ring = [("a", "b"), ("b", "c"), ("c", "a"), ("into", "b"), ("self", "self"), ("none", None)]
+    df = spark.createDataFrame(line + ring, "model_id string, base_model string")
+    got = {(r.model_id, r.ancestor): r.distance for r in lineage.ancestors(df).collect()}
+    want = {(f"n{k}", f"n{j}"): k - j for k in range(1, 40) for j in range(k)}
+    want |= {("a", "b"): 1, ("a", "c"): 2, ("b", "c"): 1, ("b", "a"): 2, ("c", "a"): 1, ("c", "b"): 2, ("into", "b"): 1, ("into", "c"): 2, ("into", "a"): 3}
+    assert got == want
+    chains = {r.model_id: r.bases for r in lineage.base_chain(df, 3).collect()}
+    assert (chains["n9"], chains["into"], chains["none"], chains["self"]) == (["n8", "n7", "n6"], ["b", "c", "a"], [], [])
+    assert lineage.ancestors(df.where("false")).count() == 0
