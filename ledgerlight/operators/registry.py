@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,6 +212,37 @@ def warranty_packs(proofs: DataFrame, compliance: DataFrame, notices: DataFrame,
     )
 
 
+#: Tier and confidence of each claim, and the fields of its source that support it; lists are cut.
+TIERS = {"proof": ("cryptographic_observation", "HIGH"), "compliance": ("structured_public_analysis", "MEDIUM"), "notice": ("documentary_notice", "MEDIUM"), "provenance": ("heuristic_support", "LOW")}
+SUPPORT = {
+    "proof": ("proof_id", "root", "anchor", "observed_at"),
+    "compliance": ("score", "severity", "gaps"),
+    "notice": ("platform", "status", "offer_date", "days_pending", "discussion_url"),
+    "provenance": ("provenance_score", "license", "base_model", "declared", "inferred"),
+}
+FIRST = {"gaps": 3, "declared": 5, "inferred": 5}
+
+
+def warranty_claims(proofs: DataFrame, compliance: DataFrame, notices: DataFrame, provenance: DataFrame) -> DataFrame:
+    """``model_id, claim, tier, confidence, support``: a row for each claim of a pack, with the fields of its source by name.
+
+    Fields that a source does not have, or that are null, are left out; a proof has its completeness in percent as well.
+    """
+    out = []
+    for name, df in zip(CLAIMS, (proofs, compliance, notices, provenance), strict=True):
+        kinds = dict(df.dtypes)
+        text = lambda c: F.concat_ws(",", F.slice(c, 1, FIRST[c])) if kinds[c].startswith("array") else F.col(c).cast("string")  # noqa: B023, E731
+        fields = [(c, text(c)) for c in SUPPORT[name] if c in kinds]
+        if name == "proof":
+            seen = F.col("present") + F.col("absent")
+            fields.append(("completeness_pct", F.when(seen > 0, F.round(100 * F.col("present") / seen, 1)).cast("string")))
+        entries = F.array(*[F.struct(F.lit(c).alias("k"), v.alias("v")) for c, v in fields])
+        support = F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
+        tier, confidence = TIERS[name]
+        out.append(df.select("model_id", F.lit(CLAIMS[name]).alias("claim"), F.lit(tier).alias("tier"), F.lit(confidence).alias("confidence"), support.alias("support")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def warranty_index(packs: DataFrame) -> DataFrame:
     """Packs by state and confidence, with their mean number of claims."""
     return packs.groupBy("state", "confidence").agg(F.count(F.lit(1)).alias("models"), F.round(F.avg(F.size("claims")), 4).alias("mean_claims"))

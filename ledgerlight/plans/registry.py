@@ -72,6 +72,18 @@ def _packs(s, f):
         rep.where("part_key % 7 = 0").select("model_id", (F.col("score") / 100).alias("provenance_score")))
 
 
+def _claims(s, f):
+    """Claims of the packs' sources, with proofs, gaps, notices and sets to support them."""
+    rep, k = v.reports(s, f), F.col("part_key")
+    count = lambda status: F.size(F.filter("observations", lambda o: o["status"] == status))
+    sets = F.transform(F.sequence(F.lit(1), (k % 8 + 1).cast("int")), lambda i: F.concat(F.lit("ds"), i.cast("string")))
+    return r.warranty_claims(
+        rep.where(k % 2 == 0).select("model_id", F.sha2("model_id", 256).alias("proof_id"), F.when(k % 4 == 0, F.sha2(k.cast("string"), 256)).alias("anchor"), F.col("reported_on").alias("observed_at"), count("PRESENT").alias("present"), count("ABSENT").alias("absent")),
+        rep.where(k % 3 == 0).select("model_id", F.col("score").cast("long").alias("score"), "severity", F.transform("gaps", lambda g: g["gap_id"]).alias("gaps")),
+        rep.where(k % 5 == 0).select("model_id", F.lit("hub").alias("platform"), F.lit("closed").alias("status"), (k % 30).alias("days_pending")),
+        rep.where(k % 7 == 0).select("model_id", F.when(k % 2 == 0, "mit").alias("license"), sets.alias("declared")))
+
+
 def _comparisons(s, f):
     """Two runs over some models: with a fork, and some with themselves."""
     rep, k = v.reports(s, f).where("part_key % 10 = 0"), F.col("part_key")
@@ -142,6 +154,7 @@ QUERIES = {
     "r11_drift_after_outreach": lambda s, f: _after_with_report(s, f).withColumn("changes", F.array_sort("changes")),
     "r13_verified_findings": lambda s, f: r.verified_findings(_after(s, f)),
     "r14_warranty_packs": lambda s, f: _packs(s, f),
+    "r14_warranty_claims": lambda s, f: _claims(s, f).withColumn("support", F.array_sort(F.transform(F.map_entries("support"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))),
     "r15_warranty_index": lambda s, f: r.warranty_index(_packs(s, f)),
     "r16_passports": lambda s, f: r.passports(v.reports(s, f), _comparisons(s, f)),
     "g1_lineage_edges": lambda s, f: _edges(s, f),
@@ -289,6 +302,14 @@ SQL = {
     "r13_verified_findings": f"""{_D} SELECT observed_at::DATE AS day, count(DISTINCT split_part(target_id, '/', 1)) AS orgs, count(*) AS changes, min(hours_after) AS min_hours,
         CASE WHEN min(hours_after) >= 72 THEN 'high' WHEN min(hours_after) >= 24 THEN 'medium' ELSE 'low' END AS confidence FROM af GROUP BY 1""",
     "r14_warranty_packs": f"{_P} SELECT * FROM pk",
+    "r14_warranty_claims": f"""WITH {v.REPORTS}, x AS (SELECT *, len(list_filter(observations, lambda o: o.status = 'PRESENT')) AS p, len(list_filter(observations, lambda o: o.status = 'ABSENT')) AS a FROM reports),
+        c AS (SELECT model_id, 'documentation_observation' AS claim, 'cryptographic_observation' AS tier, 'HIGH' AS confidence, ['proof_id=' || sha256(model_id), CASE WHEN part_key % 4 = 0 THEN 'anchor=' || sha256(part_key::VARCHAR) END,
+            'observed_at=' || reported_on, 'completeness_pct=' || round(100.0 * p / (p + a), 1)::DOUBLE] AS s FROM x WHERE part_key % 2 = 0
+          UNION ALL SELECT model_id, 'compliance_gap_map', 'structured_public_analysis', 'MEDIUM', ['score=' || score::BIGINT, 'severity=' || severity, 'gaps=' || array_to_string(list_transform(gaps, lambda g: g.gap_id)[1:3], ',')] FROM x WHERE part_key % 3 = 0
+          UNION ALL SELECT model_id, 'notice_trail', 'documentary_notice', 'MEDIUM', ['platform=hub', 'status=closed', 'days_pending=' || (part_key % 30)] FROM x WHERE part_key % 5 = 0
+          UNION ALL SELECT model_id, 'provenance_support', 'heuristic_support', 'LOW', [CASE WHEN part_key % 2 = 0 THEN 'license=mit' END,
+            'declared=' || array_to_string(list_transform(range(1, least(part_key % 8 + 1, 5) + 1), lambda i: 'ds' || i), ',')] FROM x WHERE part_key % 7 = 0)
+        SELECT model_id, claim, tier, confidence, list_sort(list_filter(s, lambda y: y IS NOT NULL)) AS support FROM c""",
     "r15_warranty_index": f"{_P} SELECT state, confidence, count(*) AS models, round(avg(len(claims)), 4) AS mean_claims FROM pk GROUP BY 1, 2",
     "r16_passports": f"""{_R}, x AS (SELECT *, part_key % 10 = 0 AS c, part_key % 10 = 0 AND part_key % 7 / 8 > 0.5 AS e FROM rk)
         SELECT model_id, rank, score, severity, CASE WHEN e THEN 3 WHEN c THEN 2 ELSE 0 END AS comparisons, c AS compared, CASE WHEN e THEN 'equal' WHEN c THEN 'derived' END AS relationship,
