@@ -19,6 +19,8 @@ BYTES, BITS = 8, 64
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Shingles whose bits are counted at a time, and fingerprints of one posting compared in one task.
 BLOCK, POSTING_MAX = 1 << 15, 20_000
+#: Rows of postings whose pairs are compared at once.
+PAIRED = 24
 #: Tasks over which the rows of each long posting are dealt.
 SALTS = 64
 
@@ -76,7 +78,7 @@ def _forest(links: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
 
 def _close(rows: np.ndarray, at: np.ndarray, distance: int) -> np.ndarray:
     """Which columns of ``rows`` (a fingerprint a row, a node a column) differ from ``at`` in few enough bits."""
-    differing = np.bitwise_count(rows.view(np.uint64) ^ at.view(np.uint64))
+    differing = np.bitwise_count(np.ascontiguousarray(rows).view(np.uint64) ^ at.view(np.uint64))
     return differing.sum(0, dtype=np.int64) <= distance
 
 
@@ -150,16 +152,21 @@ def _posting(held: list, size: int, links: list, long: list, distance: int, post
 
 
 def _short(rows: np.ndarray, links: list, long: list, distance: int, posting_max: int) -> None:
-    """All whole postings of a batch: pairs of neighbours at once, longer postings one by one."""
+    """All whole postings of a batch: those of up to PAIRED rows at once, neighbours by neighbours, longer ones one by one."""
     if rows.shape[1] < 2:
         return
     new = np.concatenate(([True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])))
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, rows.shape[1]))
-    two = starts[sizes == 2]
-    near = two[_close(_prints(rows[:, two]), _prints(rows[:, two + 1]), distance)]
-    links.extend(zip(rows[2, near].tolist(), rows[2, near + 1].tolist(), strict=True))
-    for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+    left = np.repeat(np.where(sizes <= PAIRED, starts + sizes, 0), sizes) - np.arange(rows.shape[1])  # rows to the posting's end
+    prints = _prints(rows)
+    for step in range(1, PAIRED):
+        at = np.flatnonzero(left > step)
+        if not len(at):
+            break
+        near = at[_close(prints[:, at], np.ascontiguousarray(prints[:, at + step]), distance)]
+        links.extend(zip(rows[2, near].tolist(), rows[2, near + step].tolist(), strict=True))
+    for start, size in zip(starts[sizes > PAIRED].tolist(), sizes[sizes > PAIRED].tolist(), strict=True):
         _posting([rows[:, start : start + size]], size, links, long, distance, posting_max)
 
 
