@@ -52,42 +52,49 @@ def _word_hash(word: str) -> int:
 
 
 class _Ids(dict):
-    """Token -> (id in templates, id as it is): hashes of words; 0 is a word that the benchmark's part does not have.
+    """Token -> place of its (id in templates, id as it is): hashes of words; 0 is a word that the benchmark's part does not have.
 
     ``every`` and ``literal`` have the hashes, sorted, of the part's words and of those among them that the whole benchmark
     writes in lower case; ``lower`` those of all such words of the benchmark: a capitalised word is a name if it is none of
-    them. Where ``lower`` is None, ``row_lower`` has those that concern the text at hand.
+    them. Where ``lower`` is None, ``row_lower`` has those that concern the text at hand, and names are not remembered.
     """
 
     def __init__(self, every: np.ndarray, literal: np.ndarray, lower: np.ndarray | None):
         super().__init__()
-        self.every, self.literal, self.lower, self.row_lower = every, literal, lower, frozenset()
+        self.literal = dict(zip(every.tolist(), _known(every, literal).tolist(), strict=True))  # a lookup tells both
+        self.lower, self.row_lower = lower, frozenset()
+        self.pairs, self.used = np.zeros((1 << 12, 2), np.uint64), 0
 
-    def __missing__(self, token: str) -> tuple[int, int]:
+    def __missing__(self, token: str) -> int:
         low = token.lower()
         word = _word_hash(low)
-        own = word if _has(self.every, word) else 0
+        literal = self.literal.get(word)
         named = False
         if token[0].isdigit() or low in NUMBER_WORDS:
             found = NUMBER
         elif low in UNIT_WORDS:
             found = UNIT
         else:
-            found = word if _has(self.literal, word) else 0
+            found = word if literal else 0
             named = not found and token[0].isupper()
             if named and not (word in self.row_lower if self.lower is None else _has(self.lower, word)):
                 found = NAME
-        if self.lower is None and named:
-            return found, own  # another row may see it otherwise
-        if len(self) >= MEMO:
-            self.clear()
-        self[token] = found, own
-        return found, own
+        if self.used == len(self.pairs):
+            self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
+        self.pairs[self.used] = found, 0 if literal is None else word
+        self.used += 1
+        if self.lower is not None or not named:  # else another text may see it otherwise
+            self[token] = self.used - 1
+        return self.used - 1
 
     def of(self, tokens: list[str], row_lower=()) -> tuple[np.ndarray, np.ndarray]:
         """Ids in templates, ids as they are."""
+        if self.used >= MEMO:
+            self.clear()
+            self.used = 0
         self.row_lower = frozenset(row_lower or ())
-        both = np.array([self[t] for t in tokens], np.uint64).reshape(-1, 2)
+        places = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        both = self.pairs[places]  # after the places are known: the table may have grown
         return both[:, 0], both[:, 1]
 
 
@@ -118,6 +125,11 @@ def _windows(ids: np.ndarray, size: int, literals: bool = True) -> tuple[np.ndar
     return starts, _window_hash(ids, starts, size)
 
 
+def _longest(ids: np.ndarray) -> int:
+    """Tokens of the longest stretch without foreign words."""
+    return int(np.diff(np.concatenate(([-1], np.flatnonzero(ids == 0), [len(ids)]))).max()) - 1
+
+
 def _window_hash(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
@@ -329,7 +341,10 @@ def _find_part(rows: DataFrame, items: DataFrame, words: DataFrame, lower: np.nd
                 tokens = _TOKEN.findall(text)
                 ids, own = lookup.of(tokens, _unsigned(batch.column("lower")[row].as_py()))
                 ids, bounds = _joined(ids)
+                longest = _longest(ids), _longest(own)
                 for (plain, size, alone), hashed in windows.value.items():
+                    if size > longest[plain]:
+                        continue
                     starts, found = _windows(own if plain else ids, size, not plain and size == min(size, WINDOW) and not alone)
                     for start in starts[_known(found, hashed)].tolist():
                         last = start + size if plain else int(bounds[start + size])
