@@ -117,7 +117,7 @@ def _store(s, f):
     body = F.to_json(F.struct(F.when(k % 2 == 0, F.col("model_id")).alias("model_id"), "score"))
     path = folder(s)
     a.write_report_store(v.reports(s, f).select(F.col("model_id").alias("name"), body.alias("value")), path)
-    return a.read_report_store(s, path)
+    return a.read_report_store(s, path, packed=True)
 
 
 QUERIES = {
