@@ -67,14 +67,12 @@ def _artifacts(s, d):
     k = F.col("part_key")
     value = F.concat(F.lit("artifact of "), "model_id", F.lit(" "), F.repeat(F.col("type"), (k % 50).cast("int")))
     rows = v.reports(s, d).select(F.replace("model_id", F.lit("/"), F.lit("__")).alias("bundle"), k, value.alias("value"))
-    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
-    rows.where(k % 9 > 0).select("bundle", "value").write.partitionBy("bundle").text(path)
-    file = F.concat("value", F.lit("\n"))
-    declared = rows.select(F.concat(F.lit("bundle="), "bundle").alias("bundle"), F.lit("artifact").alias("path"), (F.octet_length(file) + F.when(k % 5 == 0, 1).otherwise(0)).cast("long").alias("bytes"),
-                           F.sha2(F.concat(file, F.when(k % 7 == 0, "x").otherwise("")), 256).alias("sha256"))
-    # a third of the files is read in pieces, as if they were large
-    stored = h.in_bundles(h.stored_files(s, path, whole=600), path).withColumn("path", F.lit("artifact"))
-    return h.verify_artifacts(declared, stored)
+    rows = rows.withColumns({"bundle": F.concat(F.lit("bundle="), "bundle"), "path": F.lit("artifact"), "body": F.concat("value", F.lit("\n"))})
+    root = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    h.write_files(rows.where(k % 9 > 0), root)
+    declared = rows.select("bundle", "path", (F.octet_length("body") + F.when(k % 5 == 0, 1).otherwise(0)).cast("long").alias("bytes"),
+                           F.sha2(F.concat("body", F.when(k % 7 == 0, "x").otherwise("")), 256).alias("sha256"))
+    return h.verify_artifacts(declared, h.declared_files(declared, root))
 
 
 def _chain_lines(s, d):

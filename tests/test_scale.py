@@ -1,7 +1,10 @@
 """What keeps a query's work from growing faster than its input."""
 
+import hashlib
 import json
+from pathlib import Path
 
+from ledgerlight.operators import integrity
 from ledgerlight.sources import adapters
 
 
@@ -18,3 +21,14 @@ def test_report_store_has_few_files(spark, tmp_path):
     (single / "org__m1.json").write_text(json.dumps({"score": 4}))
     (single / "index.json").write_text("{}")
     assert [(r.model_id, r.score) for r in adapters.read_report_store(spark, str(single)).collect()] == [("org/m1", 4.0)]
+
+
+def test_declared_files_are_opened_by_their_names(spark, tmp_path):
+    bodies = {("a", "x.txt"): b"", ("a", "deep/er/y.bin"): bytes(range(256)) * 5, ("b=1", "ä %20 z.txt"): b"text" * 10}
+    (tmp_path / "secret").write_bytes(b"s")
+    root = f"file:{tmp_path}/root"
+    integrity.write_files(spark.createDataFrame([(*k, bytearray(b)) for k, b in bodies.items()], "bundle string, path string, body binary"), root)
+    assert {str(p.relative_to(tmp_path / "root")) for p in Path(tmp_path / "root").rglob("*") if p.is_file()} == {"/".join(k) for k in bodies}
+    asked = [*bodies, *bodies, ("a", "deep"), ("a", "none"), ("a", "../../secret"), ("..", "secret"), ("", "secret"), ("a", None)]
+    got = integrity.declared_files(spark.createDataFrame(asked, "bundle string, path string"), root).collect()
+    assert sorted(map(tuple, got)) == sorted((*k, len(b), hashlib.sha256(b).hexdigest()) for k, b in bodies.items())
