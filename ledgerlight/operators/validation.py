@@ -6,6 +6,7 @@ Records stay VARIANT values, so that a share written as text is seen as text. Na
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,10 +60,17 @@ _TYPES = {"n": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"}
 _ISSUE = "array<struct<path:string,rule:string>>"
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with ``columns`` computed once: filters are not pushed below a generator, so none of them computes a column again."""
+    return rows.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     """Add ``record`` (VARIANT, null for broken lines) and ``kind`` (its outer type); blank lines go."""
-    rows = lines.where(F.trim(column) != "").withColumn("record", F.try_parse_json(column))
-    kind = F.regexp_extract(F.schema_of_variant("record"), "^[A-Z]+", 0)
+    rows = once(lines.where(F.trim(column) != ""), record=F.try_parse_json(column))
+    # the schema of a whole record is long, its first character is enough for the two types that have long ones
+    outer = F.when(F.startswith(F.col(column), F.lit("{")), "OBJECT").when(F.startswith(F.col(column), F.lit("[")), "ARRAY")
+    kind = F.coalesce(outer, F.regexp_extract(F.schema_of_variant("record"), "^[A-Z]+", 0))
     return rows.withColumn("kind", F.when(F.col("record").isNull(), "BROKEN").otherwise(kind))
 
 
@@ -170,9 +178,65 @@ def contract_issues(record: Column, schema_id: str | Column) -> Column:
     return _bind(_get(record, "$", "map<string,variant>"), lambda m: _bind(rules, lambda c: parts(m, c)))
 
 
+def _keeps(members: Column, fields: dict, inner: dict) -> Column:
+    """Whether a STRUCT of an object's members keeps ``fields``; ``inner`` has the rules of its members' members."""
+    tests = [_keeps_rule(members[r["name"]], r, {n[len(r["name"]) :]: f for n, f in inner.items() if n[:-2] == r["name"]}) for r in _rules(fields)]
+    return reduce(lambda x, y: x & y, tests)
+
+
+def _keeps_rule(value: Column, rule: dict, inner: dict) -> Column:
+    kind = rule["kind"]
+    wrong = lambda test: F.coalesce(~test, F.lit(True))  # noqa: E731  limits that cannot be told are kept
+    if kind in ("a", "o"):  # the type is told by a cast, the schema of a list of objects is long
+        (form, fields), *_ = [*inner.items(), (None, None)]
+        shape = _struct(fields) if fields else "variant"
+        typed = {"a": f"array<{shape}>", "o": shape if fields else "map<string,variant>"}[kind]
+
+        def whole(x: Column) -> Column:
+            tests = [x.isNotNull()]
+            tests += [wrong(F.size(x) < rule[n]) for n in ("items", "keys") if rule[n] is not None]
+            if form == "[]":
+                tests += [F.forall(x, lambda e: e.isNotNull() & _keeps(e, fields, {}))]
+            elif form == "{}":
+                tests += [_keeps(x, fields, {})]
+            return reduce(lambda a, b: a & b, tests)
+
+        fits = _bind(_get(value, "$", typed), whole)
+    else:
+        named = F.schema_of_variant(value)
+        if kind == "s":
+            tests, text = [named == "STRING"], _get(value, "$", "string")
+            tests += [wrong(F.length(text) < rule["len"])] if rule["len"] is not None else []
+            tests += [wrong(~F.regexp_like(text, F.lit(rule["re"])))] if rule["re"] is not None else []
+            tests += [wrong(~text.isin(*rule["in"].split("|")))] if rule["in"] is not None else []
+        else:
+            whole_number = lambda k: (k == "BIGINT") | k.endswith(",0)")
+            number = lambda k: (k == "BIGINT") | k.startswith("DECIMAL") | k.startswith("DOUBLE") | k.startswith("FLOAT")
+            tests = [_bind(named, whole_number if kind == "i" else number)]
+            tests += [wrong(_get(value, "$", "double") < rule["min"])] if rule["min"] is not None else []
+        fits = reduce(lambda a, b: a & b, tests)
+    if rule["nullable"]:
+        fits = F.is_variant_null(value) | fits
+    return F.when(value.isNull(), F.lit(not rule["required"])).otherwise(fits)
+
+
+def _struct(fields: dict) -> str:
+    return "struct<" + ",".join(f"`{n}`:variant" for n, f in fields.items() if isinstance(f, str)) + ">"
+
+
+def keeps_contract(record: Column, schema_id: str | Column) -> Column:
+    """Whether ``contract_issues`` finds nothing (null for an unknown schema or no object): fixed tests, which stop at the first miss."""
+    one = lambda sid: _bind(_get(record, "$", _struct(CONTRACTS[sid])), lambda m: _keeps(m, CONTRACTS[sid], {n: f for n, f in CONTRACTS[sid].items() if isinstance(f, dict)}))
+    if isinstance(schema_id, str):
+        return one(schema_id) if schema_id in CONTRACTS else F.lit(None).cast("boolean")
+    return reduce(lambda case, sid: case.when(schema_id == sid, one(sid)), CONTRACTS, F.when(F.lit(False), F.lit(None).cast("boolean")))
+
+
 def check_contract(records: DataFrame, schema_id: str) -> DataFrame:
     """Add ``contract_issues`` for one schema."""
-    return records.withColumn("contract_issues", contract_issues(F.col("record"), schema_id))
+    keeps = F.coalesce(keeps_contract(F.col("record"), schema_id), F.lit(False))
+    none = F.expr(f"cast(array() as {_ISSUE})")
+    return once(records, contract_issues=F.when(keeps, none).otherwise(contract_issues(F.col("record"), schema_id)))
 
 
 def _code(code: str, level: str = "ERROR") -> Column:
@@ -187,35 +251,46 @@ def royalty_issues(record: Column) -> Column:
     """ARRAY of (code, level) by the rules of royalty receipts; the record itself is not checked against its contract."""
     schema = _get(record, "$.schema", "string")
     output_id = _get(record, "$.output_id", "string")
-    top_k = _get(record, "$.top_k", "array<variant>")
+    top_k = _get(record, "$.top_k", "array<struct<share:variant,rank:variant>>")  # null for what is no object
     none = F.expr(_NONE)
     start = F.struct(
         none.alias("issues"), F.lit(None).cast("long").alias("last"), F.lit(0.0).alias("total"), F.lit(0).alias("n")
     )
 
-    def step(state: Column, entry: Column) -> Column:
-        is_object = F.schema_of_variant(entry).startswith("OBJECT")
-        share = _get(entry, "$.share", "variant")
-        numeric = F.coalesce(F.schema_of_variant(share).rlike(_TYPES["n"]), F.lit(False))
-        value = _get(entry, "$.share", "double")
-        rank = _get(entry, "$.rank", "variant")
-        has_rank = rank.isNotNull() & ~F.is_variant_null(rank)
-        number = _get(entry, "$.rank", "long")
-        good = is_object & numeric
+    def read(entry: Column) -> Column:
+        """What the rules ask of an entry, computed once: its share and rank as numbers, and which of them it has."""
+        is_number = lambda k: (k == "BIGINT") | k.startswith("DECIMAL") | k.startswith("DOUBLE") | k.startswith("FLOAT")
+        return F.struct(
+            entry.isNotNull().alias("is_object"), F.coalesce(_bind(F.schema_of_variant(entry["share"]), is_number), F.lit(False)).alias("numeric"),
+            _get(entry["share"], "$", "double").alias("value"), _get(entry["rank"], "$", "long").alias("number"),
+            (entry["rank"].isNotNull() & ~F.is_variant_null(entry["rank"])).alias("has_rank"),
+        )
+
+    def step(state: Column, e: Column) -> Column:
+        good = e["is_object"] & e["numeric"]
         found = F.array_compact(F.array(
-            F.when(~is_object, _code("TOPK_NOT_OBJECT")),
-            F.when(is_object & ~numeric, _code("MISSING_SHARE")),
-            F.when(good & (value < 0), _code("NEGATIVE_SHARE")),
-            F.when(good & has_rank & (number < state["last"]), _code("RANK_NOT_MONOTONE")),
-            F.when(good & has_rank & number.isNull(), _code("RANK_NOT_INT", "WARN")),
+            F.when(~e["is_object"], _code("TOPK_NOT_OBJECT")),
+            F.when(e["is_object"] & ~e["numeric"], _code("MISSING_SHARE")),
+            F.when(good & (e["value"] < 0), _code("NEGATIVE_SHARE")),
+            F.when(good & e["has_rank"] & (e["number"] < state["last"]), _code("RANK_NOT_MONOTONE")),
+            F.when(good & e["has_rank"] & e["number"].isNull(), _code("RANK_NOT_INT", "WARN")),
         ))
         return F.struct(
             F.concat(state["issues"], found).alias("issues"),
-            F.when(good, F.coalesce(number, state["last"])).otherwise(state["last"]).alias("last"),
-            (state["total"] + F.when(good, value).otherwise(0.0)).alias("total"),
+            F.when(good, F.coalesce(e["number"], state["last"])).otherwise(state["last"]).alias("last"),
+            (state["total"] + F.when(good, e["value"]).otherwise(0.0)).alias("total"),
             (state["n"] + F.when(good, 1).otherwise(0)).alias("n"),
         )
 
+    def of_entries(es: Column) -> Column:
+        """Entries that have all they need, in order of their ranks, are only summed."""
+        plain = F.forall(es, lambda e: e["numeric"] & (e["value"] >= 0) & e["number"].isNotNull())
+        ranks = F.transform(es, lambda e: e["number"])
+        ordered = F.forall(F.zip_with(F.slice(ranks, F.lit(1), F.size(ranks) - 1), F.slice(ranks, F.lit(2), F.size(ranks) - 1), lambda x, y: x <= y), lambda x: x)
+        total = F.aggregate(es, F.lit(0.0), lambda s, e: s + e["value"])
+        summed = lambda x: finish(F.struct(none.alias("issues"), x.alias("total"), F.size(es).alias("n")))
+        return F.when(F.coalesce(plain, F.lit(False)) & ordered, _bind(total, summed)).otherwise(F.aggregate(es, start, step, finish))
+
     def finish(state: Column) -> Column:
         finite = F.abs(state["total"]) < float("inf")
         last = F.array_compact(F.array(
@@ -225,13 +300,9 @@ def royalty_issues(record: Column) -> Column:
         return F.concat(state["issues"], last)
 
     first = F.array_compact(F.array(F.when(F.coalesce(output_id, F.lit("")) == "", _code("MISSING_OUTPUT_ID"))))
-    empty = F.coalesce(F.size(top_k) < 1, F.lit(True))
-    entries = F.aggregate(F.coalesce(top_k, F.expr("cast(array() as array<variant>)")), start, step, finish)
-    return (
-        F.when(F.coalesce(schema != ROYALTY, F.lit(True)), F.array(_code("BAD_SCHEMA")))
-        .when(empty, F.concat(first, F.array(_code("MISSING_TOPK"))))
-        .otherwise(F.concat(first, entries))
-    )
+    issues = lambda top: F.when(F.coalesce(F.size(top) < 1, F.lit(True)), F.concat(first, F.array(_code("MISSING_TOPK")))).otherwise(
+        F.concat(first, _bind(F.transform(top, read), of_entries)))
+    return F.when(F.coalesce(schema != ROYALTY, F.lit(True)), F.array(_code("BAD_SCHEMA"))).otherwise(_bind(top_k, issues))
 
 
 def data_receipt_issues(record: Column) -> Column:
@@ -251,7 +322,7 @@ def classify_records(lines: DataFrame, column: str = "value") -> DataFrame:
     """
     rows = parse(lines, column)
     rows = rows.withColumn("schema_id", F.when(F.col("kind") == "OBJECT", _get(F.col("record"), "$.schema", "string")))
-    broken = F.coalesce(F.size(contract_issues(F.col("record"), F.col("schema_id"))) > 0, F.lit(True))
+    broken = ~F.coalesce(keeps_contract(F.col("record"), F.col("schema_id")), F.lit(False))
     data = F.col("schema_id") == DATA
     one = lambda code, level="ERROR": F.array(_code(code, level))
     warned = F.concat(one("SCHEMA_VALIDATE_DATA_WARN", "WARN"), data_receipt_issues(F.col("record")))
@@ -333,13 +404,13 @@ def check_spider_receipts(receipts: DataFrame) -> DataFrame:
 def profile_records(lines: DataFrame, column: str = "value") -> DataFrame:
     """Counts over all lines: ``(what, name, n)`` for parsing, schemas, field names and signatures."""
     rows = parse(lines, column)
-    objects = rows.where("kind = 'OBJECT'")
+    said = lambda what, name: F.struct(F.lit(what).alias("what"), name.alias("name"))
     schema = F.coalesce(_get(F.col("record"), "$.schema", "string"), F.lit("none"))
     signed = F.coalesce(_get(F.col("record"), "$.signature", "string"), F.lit("")) != ""
-    each = rows.select(F.lit("line").alias("what"), F.when(F.col("kind") == "BROKEN", "broken").otherwise("parsed").alias("name"))
-    each = each.unionByName(objects.select(F.lit("schema").alias("what"), schema.alias("name")))
-    each = each.unionByName(objects.select(F.lit("signed").alias("what"), F.when(signed, "yes").otherwise("no").alias("name")))
-    each = each.unionByName(objects.select(F.lit("field").alias("what"), F.explode(F.json_object_keys(column)).alias("name")))
+    fields = F.transform(F.map_keys(_get(F.col("record"), "$", "map<string,variant>")), lambda k: said("field", k))
+    line = F.array(said("line", F.when(F.col("kind") == "BROKEN", "broken").otherwise("parsed")))
+    of_object = F.concat(F.array(said("schema", schema), said("signed", F.when(signed, "yes").otherwise("no"))), fields)
+    each = rows.select(F.inline_outer(F.when(F.col("kind") == "OBJECT", F.concat(line, of_object)).otherwise(line)))
     return each.groupBy("what", "name").agg(F.count(F.lit(1)).alias("n"))
 
 

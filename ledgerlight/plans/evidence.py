@@ -30,7 +30,7 @@ def dirty(spark, sf):
         F.when(F.col("m") == 0, F.substring(body, 1, 40)).when(F.col("m") == 1, F.lit("[1, 2]"))
         .when(F.col("m") == 5, F.regexp_replace(body, '"share":([0-9.E-]+)', '"share":"$1"')).when(F.col("m").isin(9, 10), data).otherwise(body)
     )
-    return rows.select(F.col("order_key").alias("line_no"), value.alias("value"), "m")
+    return val.once(rows, value=value).select(F.col("order_key").alias("line_no"), "value", "m")
 
 
 _DIRTY = f"""
@@ -126,7 +126,7 @@ QUERIES = {
     "a1_read_ndjson": lambda s, d: val.parse(dirty(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
     "v1_check_contract": lambda s, d: val.check_contract(_objects(s, d), val.ROYALTY).select(
         "line_no", F.array_sort(F.array_distinct(F.transform("contract_issues", lambda i: F.concat(i["path"], F.lit(" "), i["rule"])))).alias("issues")),
-    "v2_royalty_issues": lambda s, d: _codes(s, d, _objects(s, d).withColumn("issues", val.royalty_issues(F.col("record")))),
+    "v2_royalty_issues": lambda s, d: _codes(s, d, val.once(_objects(s, d), issues=val.royalty_issues(F.col("record")))),
     "v3_data_receipt_issues": lambda s, d: _codes(s, d, _objects(s, d).where("m in (9, 10)").withColumn("issues", val.data_receipt_issues(F.col("record")))),
     "v4_classify_records": lambda s, d: _classified(s, d).select("line_no", "status", F.transform("issues", lambda i: i["code"]).alias("codes")),
     "v5_validation_summary": lambda s, d: val.validation_summary(_classified(s, d)),

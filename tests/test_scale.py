@@ -4,7 +4,9 @@ import hashlib
 import json
 from pathlib import Path
 
-from ledgerlight.operators import integrity
+from pyspark.sql import functions as F
+
+from ledgerlight.operators import integrity, validation
 from ledgerlight.sources import adapters
 
 
@@ -32,3 +34,43 @@ def test_declared_files_are_opened_by_their_names(spark, tmp_path):
     asked = [*bodies, *bodies, ("a", "deep"), ("a", "none"), ("a", "../../secret"), ("..", "secret"), ("", "secret"), ("a", None)]
     got = integrity.declared_files(spark.createDataFrame(asked, "bundle string, path string"), root).collect()
     assert sorted(map(tuple, got)) == sorted((*k, len(b), hashlib.sha256(b).hexdigest()) for k, b in bodies.items())
+
+
+_ENTRIES = ('{"rank":1,"provider_id":"p","shard_id":"s","share":0.5}', '{"rank":1.0,"provider_id":"p","shard_id":"s","share":1}', '{"rank":1.5,"provider_id":"p","shard_id":"s","share":0.5}',
+            '{"rank":0,"provider_id":"","shard_id":"s","share":-1}', '{"rank":"2","provider_id":"p","shard_id":"s","share":"0.5"}', '{"rank":null,"provider_id":null,"share":null}', '{"meta":[],"raw_score":true}',
+            '7', 'null', '[]', '{}', '{"rank":1e400,"share":1e400}', '{"rank":1,"provider_id":"p","shard_id":"s","share":12345678901234567890123456789012345678901234567890}')
+_PARTS = ('"usage":{"input_tokens":-1}', '"usage":{"input_tokens":1,"output_tokens":"x"}', '"usage":[]', '"usage":null', '"epsilon_dp":0.5', '"epsilon_dp":-0.5', '"signature":""', '"signature":7',
+          '"license_refs":[{"license_id":"a","scope":"rag"}]', '"license_refs":[{"license_id":"a","scope":"rage"},3]', '"license_refs":{}', '"license_refs":null', '"proof_ref":{"offset":1.5}', '"meta":{}', '"meta":"x"',
+          '"output_id":""', '"hash_model":"short"', '"hash_model":null', '"top_k":[]', '"top_k":{}', '"top_k":"x"', '"Schema":1')
+
+
+def _odd_receipts():
+    head = {"schema": '"royalty_receipt.v1"', "output_id": '"o"', "model_id": '"m"', "timestamp": '"t"', "attribution_scope": '"a"', "hash_model": '"12345678"', "hash_data_index": '"12345678"'}
+    body = lambda top, extra="": "{" + ",".join([f'"{k}":{x}' for k, x in head.items() if f'"{k}"' not in extra] + ([] if '"top_k"' in extra else [f'"top_k":[{top}]']) + ([extra] if extra else [])) + "}"
+    tops = [",".join(p) for a in _ENTRIES for p in ((a,), *((a, b) for b in _ENTRIES), (_ENTRIES[0], a, _ENTRIES[0]))]
+    other = ['{"schema":"payouts.v1","provider_id":"p","period":"2024-01","amount":1.5,"currency":"EU"}', '{"schema":"payouts.v1","provider_id":"p","period":"2024-1","amount":1.5}',
+             '{"schema":"payouts.v1","provider_id":"p","period":"2024-01","amount":1}', '{"schema":"trust_bundle.v1","period":"2024-01","created_at":"x","bundle_id":"b","inputs":{},"artifacts":{"a":null}}',
+             '{"schema":"trust_bundle.v1","period":"2024-01","created_at":"x","bundle_id":"b","inputs":{"b":1},"artifacts":{"a":null}}', '{"schema":"x"}', '{}', "[1]", "1", ' \t{"schema":3}', "{", '"{"',
+             '{"schema":"shapley.v1","request_id":"r","timestamp":"t","method":"m","top_k":[{"rank":1,"index":2,"label":"l","score_mean":1,"share":1,"score_lo95":null}]}',
+             '{"schema":"shapley.v1","request_id":"r","timestamp":"t","method":"m","top_k":[{"rank":1,"index":null,"label":"l","score_mean":1,"share":1,"score_hi95":"x"}]}',
+             '{"schema":"data_receipt.v1","id":"i","provider_id":"p","content_id":"c","timestamp":"t","period":"2024-01"}', '{"schema":"data_receipt.v1","id":"i","provider_id":" ","content_id":"c"}']
+    return [body(t) for t in tops] + [body(_ENTRIES[0], p) for p in _PARTS] + [body(_ENTRIES[0], f"{p},{q}") for p in _PARTS for q in _PARTS if p.split(":")[0] != q.split(":")[0]] + other
+
+
+def test_fixed_contract_tests_agree_with_the_rules(spark):
+    rows = validation.parse(spark.createDataFrame([(x,) for x in _odd_receipts()], "value string"))
+    schema = F.try_variant_get("record", "$.schema", "string")
+    both = rows.select("value", "kind", validation.keeps_contract(F.col("record"), schema).alias("fast"), (F.size(validation.contract_issues(F.col("record"), schema)) == 0).alias("slow"),
+                       F.regexp_extract(F.schema_of_variant("record"), "^[A-Z]+", 0).alias("outer")).collect()
+    assert [r.value for r in both if bool(r.fast) != bool(r.slow)] == []
+    assert {bool(r.fast) for r in both} == {True, False}
+    assert [r.value for r in both if r.kind != (r.outer or "BROKEN")] == []
+
+
+def test_lines_are_read_once(spark, tmp_path):
+    spark.createDataFrame([(x,) for x in _odd_receipts()], "value string").write.text(str(tmp_path / "lines"))
+    lines = spark.read.text(str(tmp_path / "lines"))
+    parsed = validation.parse(lines).where("kind = 'OBJECT'")
+    for df, scans in ((validation.profile_records(lines), 1), (parsed, 1)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == scans and plan.count("parse_json") <= 1 and plan.count("parseJson") <= 1
