@@ -2,11 +2,15 @@
 
 import hashlib
 import json
+import tracemalloc
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
-from ledgerlight.operators import integrity, validation
+from ledgerlight.operators import integrity, similarity, validation
 from ledgerlight.sources import adapters
 
 
@@ -74,3 +78,22 @@ def test_lines_are_read_once(spark, tmp_path):
     for df, scans in ((validation.profile_records(lines), 1), (parsed, 1)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [") == scans and plan.count("parse_json") <= 1 and plan.count("parseJson") <= 1
+
+
+def test_a_pair_of_blocks_is_worked_on_in_tiles(spark, monkeypatch):
+    tasks = []
+    plain = PandasCogroupedOps.applyInPandas
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", lambda self, fn, schema: tasks.append(fn) or plain(self, fn, schema))
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vec array<float>")
+    similarity.top_m_similar(one.withColumnRenamed("id", "query_id"), one.withColumnRenamed("id", "shard_id"), 3, tile=500)
+    vectors = np.random.default_rng(1).integers(-2, 3, (6_000, 4)) + 0.5
+    queries, shards = (pd.DataFrame({c: np.arange(6_000), "vec": list(vectors)}) for c in ("query_id", "shard_id"))
+    tracemalloc.start()
+    found = tasks[0](queries, shards)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # 6,000 x 500 scores are 24 MB, and some copies of them are needed
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for query, rows in list(found.groupby("query_id"))[::600]:
+        scores = np.round(unit @ unit[query], 9)
+        assert rows["shard_id"].tolist() == sorted(range(6_000), key=lambda i: (-scores[i], i))[:3]
