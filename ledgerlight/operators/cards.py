@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .validation import _bind, once
+
 # Patterns that show a section, matched in lower case.
 SECTIONS = {
     "training": (r"##\s*train", r"##\s*data", r"training\s*data", r"trained\s*on", r"training\s*procedure", r"training\s*details"),
@@ -174,11 +176,15 @@ def _context(text: Column, found: Column) -> Column:
 
 def _signals(text: Column, patterns) -> Column:
     """(value, context) of all matches, pattern by pattern."""
-    parts = []
-    for pattern, group in patterns:
-        whole, inner = (F.regexp_extract_all(text, F.lit("(?i)" + pattern), g) for g in (0, group))
-        parts.append(F.zip_with(inner, whole, lambda v, w: F.struct(F.regexp_replace(v, r"^[`\"'\[\]]+|[`\"'\[\]]+$", "").alias("value"), _context(text, w).alias("context"))))
-    return F.concat(*parts)
+    none = F.expr("cast(array() as array<struct<value:string,context:string>>)")
+
+    def matches(pattern: str, group: int) -> Column:
+        """The group is looked for only where there are matches."""
+        inner = lambda whole: whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), group)
+        pair = lambda v, w: F.struct(F.regexp_replace(v, r"^[`\"'\[\]]+|[`\"'\[\]]+$", "").alias("value"), _context(text, w).alias("context"))
+        return _bind(F.regexp_extract_all(text, F.lit(pattern), 0), lambda whole: F.when(F.size(whole) == 0, none).otherwise(F.zip_with(inner(whole), whole, pair)))
+
+    return F.concat(*[matches("(?i)" + pattern, group) for pattern, group in patterns])
 
 
 def provenance_signals(cards: DataFrame, key: str = "doc_id", text: str = "card", tags: str = "tags", config: str = "config") -> DataFrame:
@@ -187,15 +193,16 @@ def provenance_signals(cards: DataFrame, key: str = "doc_id", text: str = "card"
     From tags (dataset 0.95, base model 0.99), patterns of the card (datasets 0.8 with an organisation, else 0.6, each name
     once; base models 0.85), known names (0.7), a training section (1.0) and the configuration (base 0.9, type 0.5).
     """
-    card = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(card)
+    rows = once(cards.select(key, tags, config, F.coalesce(F.col(text), F.lit("")).alias("__text")), __card=F.col("__text"), __low=F.lower("__text"))
+    card, low = F.col("__card"), F.col("__low")
     signal = lambda kind, value, confidence, context: F.struct(F.lit(kind).alias("signal"), value.alias("value"), F.lit(confidence).cast("double").alias("confidence"), context.alias("context"))
     tagged = lambda prefix: F.filter(F.coalesce(F.col(tags), F.array().cast("array<string>")), lambda t: t.startswith(prefix))
     value_of = lambda t, prefix: F.substring(t, len(prefix) + 1, 1 << 30)
-    found = F.filter(_signals(card, DATASET_SIGNALS), lambda x: F.length(x["value"]) > 2)
+    rows = once(rows, __found=F.filter(_signals(card, DATASET_SIGNALS), lambda x: F.length(x["value"]) > 2), __bases=_signals(card, BASE_SIGNALS))
+    found = F.col("__found")
     names = F.transform(found, lambda x: F.lower(x["value"]))
     first = F.filter(found, lambda x, i: F.array_position(names, F.lower(x["value"])) == i + 1)
-    bases = F.filter(_signals(card, BASE_SIGNALS), lambda x: x["value"].contains("/"))
+    bases = F.filter("__bases", lambda x: x["value"].contains("/"))
     known = F.array_compact(F.array(*[F.when(low.contains(n), F.lit(n)) for n in KNOWN_NAMES]))
     path, kind = (F.get_json_object(F.col(config), f"$.{n}") for n in ("_name_or_path", "model_type"))
     either = lambda x, confidence: F.struct(F.lit("readme_dataset").alias("signal"), x["value"].alias("value"), confidence.alias("confidence"), x["context"].alias("context"))
@@ -210,7 +217,8 @@ def provenance_signals(cards: DataFrame, key: str = "doc_id", text: str = "card"
             F.when(path.contains("/"), signal("config_base", path, 0.9, F.concat(F.lit("_name_or_path: "), path))),
             F.when(F.length(kind) > 0, signal("model_type", kind, 0.5, F.concat(F.lit("model_type: "), kind))))),
     ]
-    return cards.select(key, F.explode(F.concat(*every)).alias("s")).select(key, "s.*")
+    # a plain explode would have Spark compute the signals once more, to leave out rows without any
+    return rows.select(key, F.explode_outer(F.concat(*every)).alias("s")).where(F.col("s").isNotNull()).select(key, "s.*")
 
 
 def omission_score(rows: DataFrame) -> DataFrame:

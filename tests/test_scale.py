@@ -1,5 +1,6 @@
 """What keeps a query's work from growing faster than its input."""
 
+import datetime
 import hashlib
 import json
 import tracemalloc
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
-from ledgerlight.operators import integrity, similarity, validation
+from ledgerlight.operators import cards, integrity, registry, similarity, validation
 from ledgerlight.sources import adapters
 
 
@@ -97,3 +98,23 @@ def test_a_pair_of_blocks_is_worked_on_in_tiles(spark, monkeypatch):
     for query, rows in list(found.groupby("query_id"))[::600]:
         scores = np.round(unit @ unit[query], 9)
         assert rows["shard_id"].tolist() == sorted(range(6_000), key=lambda i: (-scores[i], i))[:3]
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+
+
+def test_signals_are_looked_for_once(spark):
+    rows = spark.createDataFrame([(1, "trained on org/set", None, None), (2, "", ["dataset:x"], '{"model_type": "g"}'), (3, None, None, None)], "doc_id long, card string, tags array<string>, config string")
+    found = cards.provenance_signals(rows.repartition(2))
+    assert sum(line.count("regexp_extract_all(") for line in _optimized(found)) <= 13  # each pattern, and the group of six of them
+    assert {(r.doc_id, r.signal, r.value) for r in found.collect()} == {(1, "readme_dataset", "org/set"), (2, "tag", "x"), (2, "model_type", "g")}
+
+
+def test_newest_reports_carry_the_columns_that_are_read(spark, tmp_path):
+    schema = "model_id string, file_name string, reported_on date, score double, gaps array<string>"
+    rows = [("a", "1", datetime.date(2024, 1, 1), 1.0, ["g"]), ("a", "2", None, None, None), ("b", "1", datetime.date(2024, 1, 1), 2.0, ["h"])]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "reports"))
+    found = registry.latest_reports(spark.read.parquet(str(tmp_path / "reports")), spark.createDataFrame([("a",)], "model_id string"), 2)
+    assert sorted(map(tuple, found.select("model_id", "score", "gaps").collect())) == [("a", None, None), ("b", 2.0, ["h"])]
+    assert not [line for line in _optimized(found.select("model_id", "score")) if "Relation" not in line and "gaps" in line]
