@@ -99,7 +99,8 @@ def latest_reports(reports: DataFrame, outreach: DataFrame, maximum: int, proven
     datasets the first five.
     """
     kept = [c for c in reports.columns if c != "model_id"]
-    newest = reports.groupBy("model_id").agg(F.max_by(F.struct(*kept), "file_name").alias("r")).select("model_id", "r.*")
+    # a column each, so that a reader of few columns does not sort whole reports; all of them take the same row
+    newest = reports.groupBy("model_id").agg(*[F.max_by(c, "file_name").alias(c) for c in kept])
     flagged = newest.join(outreach.select("model_id").distinct().withColumn("written", F.lit(True)), "model_id", "left")
     flagged = flagged.withColumn("written", F.coalesce("written", F.lit(False)))
     first = flagged.where("written")
