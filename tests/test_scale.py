@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
-from ledgerlight.operators import cards, integrity, registry, similarity, validation
-from ledgerlight.sources import adapters
+from ledgerlight.operators import cards, integrity, payouts, registry, similarity, validation
+from ledgerlight.sources import adapters, views
 
 
 def test_report_store_has_few_files(spark, tmp_path):
@@ -118,3 +118,10 @@ def test_newest_reports_carry_the_columns_that_are_read(spark, tmp_path):
     found = registry.latest_reports(spark.read.parquet(str(tmp_path / "reports")), spark.createDataFrame([("a",)], "model_id string"), 2)
     assert sorted(map(tuple, found.select("model_id", "score", "gaps").collect())) == [("a", None, None), ("b", 2.0, ["h"])]
     assert not [line for line in _optimized(found.select("model_id", "score")) if "Relation" not in line and "gaps" in line]
+
+
+def test_lines_outside_the_period_are_left_out_before_they_are_grouped(spark):
+    rows = payouts.balanced_receipts(views.receipts(spark, "/root/testdata/sf0.001").where(payouts.in_period(F.col("timestamp"), "1997-06")))
+    plan = _optimized(rows.select("sum_share", "entries"))
+    place = lambda *words: next(i for i, line in enumerate(plan) if all(w in line for w in words))
+    assert place("Aggregate", "collect_list") < place("Join Inner") < place("Filter", "o_orderdate")
