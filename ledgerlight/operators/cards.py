@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,19 +235,33 @@ def omission_score(rows: DataFrame) -> DataFrame:
     return rows.withColumn("badge", badge).withColumn("evidence", F.substring(F.sha2(evidence, 256), 1, 16))
 
 
+def _titles(lines: Column) -> Column:
+    """(heading in lower case, characters of the text under it) of a card's lines; without headings that nothing follows, and the
+    last section of those with one heading."""
+    at = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: x["line"].startswith("#") & x["line"].rlike(HEADING))
+
+    def sections(at: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(at, i + 1)["at"], F.size(lines)) - F.get(at, i)["at"] - 1
+        section = lambda x, i: F.struct(F.lower(F.trim(F.regexp_extract(x["line"], HEADING, 1))).alias("heading"), x["at"].alias("at"), after(i).alias("n"))
+        return F.sort_array(F.filter(F.transform(at, section), lambda x: x["n"] > 0))
+
+    chars = lambda x: F.length(F.trim(F.array_join(F.slice(lines, x["at"] + 2, x["n"]), "\n")))
+    last = lambda found: F.filter(found, lambda x, i: ~F.coalesce(F.get(found, i + 1)["heading"] == x["heading"], F.lit(False)))
+    return _bind(_bind(at, sections), lambda found: F.transform(last(found), lambda x: F.struct(x["heading"].alias("heading"), chars(x).alias("chars"))))
+
+
 def nec_mapper(cards: DataFrame, key: str = "doc_id", text: str = "card", table: str = DETECTORS) -> DataFrame:
     """``key, nec, score, status`` per card and element: a hint in a heading with a body long enough +0.4, a keyword +0.3, a
-    keyword group +0.3; PRESENT from 0.6, PARTIAL from 0.3. Of sections with one heading the last counts."""
-    named = card_sections(cards, key, text).where("heading is not null and n_lines > 0")
-    last = named.groupBy(key, F.lower("heading").alias("heading")).agg(F.max_by(F.length(F.trim("body")), "section").alias("chars"))
-    heads = last.groupBy(key).agg(F.collect_list(F.struct("heading", "chars")).alias("heads"))
-    rows = cards.select(key, F.lower(text).alias("low")).join(heads, key, "left")
-    any_of = lambda conditions: F.greatest(*conditions, F.lit(False))
+    keyword group +0.3; PRESENT from 0.6, PARTIAL from 0.3. Of sections with one heading the last counts. A card is worked on
+    where it is read: no text is moved."""
+    rows = once(cards.select(key, F.coalesce(F.col(text), F.lit("")).alias("__text")), __lines=F.split("__text", "\n"), low=F.lower("__text"))
+    rows = once(rows.select(key, "__lines", "low"), heads=_titles(F.col("__lines")))
+    any_of = lambda conditions: reduce(Column.__or__, conditions, F.lit(False))
     tenths = []
     for nec, hints, words, groups, least in detectors(table):
-        titled = F.coalesce(F.exists("heads", lambda h: (h["chars"] >= least) & any_of([h["heading"].contains(x) for x in hints])), F.lit(False))  # noqa: B023
+        titled = F.exists("heads", lambda h: (h["chars"] >= least) & any_of([h["heading"].contains(x) for x in hints]))  # noqa: B023
         worded = any_of([F.col("low").contains(w) for w in words])
-        grouped = any_of([F.least(*[F.col("low").contains(w) for w in g], F.lit(True)) for g in groups])
+        grouped = any_of([reduce(Column.__and__, [F.col("low").contains(w) for w in g], F.lit(True)) for g in groups])
         score = F.when(titled, 4).otherwise(0) + F.when(worded, 3).otherwise(0) + F.when(grouped, 3).otherwise(0)
         tenths.append(F.struct(F.lit(nec).alias("nec"), score.alias("tenths")))
     rows = rows.select(key, F.explode(F.array(*tenths)).alias("d")).select(key, "d.*")

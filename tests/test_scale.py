@@ -125,3 +125,16 @@ def test_lines_outside_the_period_are_left_out_before_they_are_grouped(spark):
     plan = _optimized(rows.select("sum_share", "entries"))
     place = lambda *words: next(i for i, line in enumerate(plan) if all(w in line for w in words))
     assert place("Aggregate", "collect_list") < place("Join Inner") < place("Filter", "o_orderdate")
+
+
+def test_elements_are_looked_for_where_a_card_is_read(spark):
+    odd = ["", "no heading", "# A\n# B\nb", "# A\nlong one\n## a\nx\n# A", "##  Données \r\ntext \n y\n", "#\n# \n#  \nbody\n##### E\nt", "x\n#### D\n\n\n", "# A\rB\nz", "#\tTab\n é\n#Tab\nq", "# A\n \n# b\n1\n# a\n22\n# B\n"]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, card string").repartition(2)
+    expected = {}
+    for r in sorted(cards.card_sections(df).where("heading is not null and n_lines > 0").collect(), key=lambda r: r.section):
+        expected[r.doc_id, r.heading.lower()] = len(r.body.strip(" "))
+    found = df.select("doc_id", F.inline(cards._titles(F.split("card", "\n")))).collect()
+    assert sorted((r.doc_id, r.heading, r.chars) for r in found) == sorted((*k, n) for k, n in expected.items())
+    assert len(expected) == 8
+    assert not [line for line in _optimized(cards.nec_mapper(df.select("doc_id", "card"))) if any(w in line for w in ("Window", "Aggregate", "Join "))]
+    assert {(r.score, r.status) for r in cards.nec_mapper(spark.createDataFrame([(1, None)], "doc_id long, card string")).collect()} == {(0.0, "ABSENT")}
