@@ -35,8 +35,9 @@ def lineage_edges(models: DataFrame, trained: DataFrame) -> DataFrame:
     used = used.groupBy("source", "target", "type").agg(F.max("weight").alias("weight"))
     based = models.where(F.col("base_model").isNotNull())
     tuned = edge(based, model, node_id("model", F.col("base_model")), "finetuned_from", F.lit(0.99))
-    steps = base_chain(models).select(F.explode(F.arrays_zip(F.col("bases").alias("at"), F.expr("slice(bases, 2, size(bases))").alias("next"))).alias("x")).where("x.next is not null")
-    chained = edge(steps, node_id("model", F.col("x.at")), node_id("model", F.col("x.next")), "finetuned_from", F.lit(0.95))
+    pairs = based.where("base_model <> model_id").select("model_id", "base_model").distinct()  # a pair is a step of a chain where a third model builds on it
+    steps = pairs.join(pairs.toDF("user", "at"), (F.col("at") == F.col("model_id")) & (F.col("user") != F.col("base_model")), "left_semi")
+    chained = edge(steps, model, node_id("model", F.col("base_model")), "finetuned_from", F.lit(0.95))
     bare = edge(models.where(F.size("datasets") == 0), model, node_id("dataset", F.lit("undocumented")), "undocumented_source", F.lit(0.5))
     clear = models.where(F.col("score") >= 0.3).select(F.col("model_id").alias("base_model"))  # what is not clear is opaque, unknown bases included
     opaque = based.where(F.coalesce("score", F.lit(0.0)) < 0.3).join(clear, "base_model", "left_anti")

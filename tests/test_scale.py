@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
-from ledgerlight.operators import cards, integrity, payouts, registry, similarity, validation
+from ledgerlight.operators import cards, integrity, lineage, payouts, registry, similarity, validation
 from ledgerlight.sources import adapters, views
 
 
@@ -138,3 +138,14 @@ def test_elements_are_looked_for_where_a_card_is_read(spark):
     assert len(expected) == 8
     assert not [line for line in _optimized(cards.nec_mapper(df.select("doc_id", "card"))) if any(w in line for w in ("Window", "Aggregate", "Join "))]
     assert {(r.score, r.status) for r in cards.nec_mapper(spark.createDataFrame([(1, None)], "doc_id long, card string")).collect()} == {(0.0, "ABSENT")}
+
+
+def test_steps_of_chains_need_no_whole_chains(spark, monkeypatch):
+    bases = {"a": "b", "b": "a", "s": "s", "y": "a", "t": "s", "1": "2", "2": "3", "3": "4", "4": "5", "5": "6", "6": "7", "7": "8", "8": "6", "u": "none", "w": "u", "x": None, "v": "x", "p": "q", "q": "r", "r": "p"}
+    models = spark.createDataFrame([(m, b, "o", 1.0, ["d"]) for m, b in bases.items()], "model_id string, base_model string, org string, score double, datasets array<string>")
+    ids = {r.id: r.n for r in models.select("model_id").union(spark.createDataFrame([("none",)], "model_id string")).select(lineage.node_id("model", F.col("model_id")).alias("id"), F.col("model_id").alias("n")).collect()}
+    chains = [r.bases for r in lineage.base_chain(models).collect()]
+    monkeypatch.setattr(lineage, "stored", None)  # nothing is computed before it is asked for
+    edges = lineage.lineage_edges(models, spark.createDataFrame([], "model_id string, dataset string, confidence double")).where("weight = 0.95").collect()
+    assert sorted((ids[e.source], ids[e.target]) for e in edges) == sorted({p for c in chains for p in zip(c, c[1:])})
+    assert len(edges) > 10
