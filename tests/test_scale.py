@@ -149,3 +149,11 @@ def test_steps_of_chains_need_no_whole_chains(spark, monkeypatch):
     edges = lineage.lineage_edges(models, spark.createDataFrame([], "model_id string, dataset string, confidence double")).where("weight = 0.95").collect()
     assert sorted((ids[e.source], ids[e.target]) for e in edges) == sorted({p for c in chains for p in zip(c, c[1:])})
     assert len(edges) > 10
+
+
+def test_keywords_are_searched_once_a_card(spark):
+    low = spark.createDataFrame([(1, "a training dataset, naïve"), (2, ""), (3, "red teaming: naïv")], "doc_id long, low string").repartition(2)
+    found = low.select("doc_id", cards._words_in(F.col("low"), ["naïve", "red team", "training data", "set,"]).alias("hits")).collect()
+    assert {r.doc_id: r.hits for r in found} == {1: [0, 2, 3], 2: [], 3: [1]}
+    plan = "\n".join(_optimized(cards.nec_mapper(low.withColumnRenamed("low", "card"))))
+    assert "Contains(low" not in plan and plan.count("ArrowEvalPython") == 1
